@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing
+from siltstone.llm import mixing, simhash
 from siltstone.runtime import shared_dir, table
 
 
@@ -13,8 +13,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
+    "op7_simhash": op7_simhash,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
