@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, simhash
+from siltstone.llm import mixing, simhash, vecdedup
 from siltstone.runtime import shared_dir, table
 
 
@@ -13,14 +13,20 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_simhash": op7_simhash,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
+    "op5_embedding_dedup": vecdedup.ORACLE,
 }
