@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, simhash, vecdedup
+from siltstone.llm import mixing, simhash, superkmer, vecdedup
 from siltstone.runtime import shared_dir, table
 
 
@@ -17,6 +17,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -24,6 +28,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
 }
 ORACLES = {
