@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, simhash, superkmer, vecdedup
+from siltstone.llm import mixing, quality, simhash, superkmer, toxicity, vecdedup
 from siltstone.runtime import shared_dir, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     return mixing.plan(table(spark, sf_dir, "documents"))
@@ -25,11 +30,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_source_mixing": op3_source_mixing,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
