@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -263,10 +264,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(out_docs, pa.binary()), pa.array(out_spans, pa.binary())], ["doc", "spans"])
 
     for batch in batches:
-        ready = batch.filter(pa.compute.is_valid(batch.column(4)))
+        ready = batch.filter(pc.is_valid(batch.column(4)))
         if ready.num_rows:
             yield ready.select(["doc", "spans"])
-        rows = batch.filter(pa.compute.is_valid(batch.column(1)))
+        rows = batch.filter(pc.is_valid(batch.column(1)))
         for now, s, d, t in zip(rows.column(0).to_numpy().tolist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_numpy().tolist(), strict=True):
             if now != key and size >= SORTED_AT_ONCE:
                 yield flush()
