@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, quality, simhash, superkmer, toxicity, vecdedup
+from siltstone.llm import mixing, packing, quality, simhash, superkmer, toxicity, vecdedup
 from siltstone.runtime import shared_dir, table
 
 
@@ -18,6 +18,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -38,6 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_source_mixing": op3_source_mixing,
+    "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
