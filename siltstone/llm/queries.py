@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, packing, quality, simhash, superkmer, toxicity, vecdedup
+from siltstone.llm import mixing, orderminhash, packing, quality, simhash, superkmer, toxicity, vecdedup
 from siltstone.runtime import shared_dir, table
 
 
@@ -34,6 +34,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
+    "op8_order_minhash": op8_order_minhash,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
