@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, orderminhash, packing, quality, simhash, superkmer, toxicity, vecdedup
-from siltstone.runtime import shared_dir, table
+from siltstone.llm import mixing, orderminhash, packing, quality, simhash, superkmer, tokenio, toxicity, vecdedup
+from siltstone.runtime import scratch, shared_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    tokenio.write(table(spark, sf_dir, "documents"), folder)
+    return tokenio.read(spark, folder, with_ids=False)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     return mixing.plan(table(spark, sf_dir, "documents"))
@@ -45,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_token_files": op2_token_files,
     "op3_source_mixing": op3_source_mixing,
     "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
