@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 HELD_OUT_OF = 5
 
 
@@ -13,13 +15,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of documents outside the held-out fold whose label is 0 or 1."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
-    known = known.dropDuplicates(["_id", "y"])
-    return docs.join(known, docs["doc_id"] == known["_id"]).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
+def chosen(ids: Column, salt: str, share: float) -> Column:
+    """True for a share of all ids, by a hash of the id alone."""
+    return F.pmod(F.xxhash64(F.lit(salt), F.coalesce(ids.cast("string"), F.lit(""))), F.lit(1 << 32)) < F.lit(share * (1 << 32))
+
+
+def share_of(df: DataFrame, most: int) -> float:
+    """The share of df's rows that makes about most rows."""
+    return min(1.0, most / max(1, df.count()))
+
 
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, kind: int | None = None) -> DataFrame:
+    """(text, y) of about most labelled documents outside the held-out fold, all if there are fewer.
 
-def sample_order(doc_id: Column, salt: str) -> Column:
-    """A pseudo-random order that depends on the id alone."""
-    return F.xxhash64(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit("")))
+    The ids are picked by hash first, so the side that is broadcast has about
+    most rows whatever the input, and no text is shuffled.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
+    known = known.where(~held_out(F.col("_id")) & (F.col("y").isin(0, 1) if kind is None else F.col("y") == kind))
+    picked = cut(known.where(chosen(F.col("_id"), label, share_of(known, most))).dropDuplicates(["_id", "y"]))
+    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select(F.col("text").cast("binary").alias("text"), "y")

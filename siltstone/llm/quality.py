@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.folds import held_out, labelled, sample_order
+from siltstone.llm.folds import chosen, held_out, sample, share_of
 
 SHAPES = 512
-#: The model is fitted on so many positives and unlabelled documents at most, chosen by a hash of their ids.
+#: The bounds of the samples that the model is fitted on; documents are picked by a hash of their ids.
 FIT_POSITIVES, FIT_UNLABELLED = 8_000, 16_000
 THRESHOLD = 0.3
 ROUNDS, RATE, PENALTY = 600, 0.05, 1e-4
@@ -123,21 +123,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], ["x"])
 
 
-def _matrix(sample: DataFrame) -> np.ndarray:
-    rows = sample.select("text").mapInArrow(_featured, "x binary").toArrow().column(0).to_pylist()
+def _matrix(texts: DataFrame) -> np.ndarray:
+    rows = texts.select("text").mapInArrow(_featured, "x binary").toArrow().column(0).to_pylist()
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, SHAPES + _SHARES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labelled(docs, labels, "quality")
     counts = {r["y"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("quality").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
     if not counts.get(1):
         return Model(0.0, -1e6, np.zeros(SHAPES + _SHARES))
     prior = min(0.99, max(0.01, counts[1] / (counts[1] + counts.get(0, 0))))
-    first = lambda df, n: df.withColumn("_order", sample_order(F.col("doc_id"), "quality")).orderBy("_order", "text").limit(n)
-    positive = _matrix(first(known.where("y = 1").select("doc_id", "text"), FIT_POSITIVES))
-    web = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("binary").alias("text"))
-    unlabelled = _matrix(first(web, FIT_UNLABELLED))
+    positive = _matrix(sample(docs, labels, "quality", FIT_POSITIVES, kind=1))
+    web = docs.where(~held_out(F.col("doc_id")))
+    unlabelled = _matrix(web.where(chosen(F.col("doc_id"), "web", share_of(web, FIT_UNLABELLED))).select(F.col("text").cast("binary").alias("text")))
     if not len(positive):
         return Model(0.0, -1e6, np.zeros(SHAPES + _SHARES))
     return fit(positive, unlabelled, prior)
