@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, orderminhash, packing, quality, simhash, superkmer, tokenio, toxicity, vecdedup
+from siltstone.llm import license, mixing, orderminhash, packing, quality, simhash, superkmer, tokenio, toxicity, vecdedup
 from siltstone.runtime import scratch, shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.compare(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_order_minhash": op8_order_minhash,
+    "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
