@@ -1,15 +1,73 @@
-"""The corpus pipeline; its stages are added as their operators land."""
+"""The corpus pipeline: from raw documents to packed sequences of token ids.
+
+Each stage takes (spark, docs, sf_dir), with docs the whole output of the stage
+before, and returns a DataFrame; all but the last return the columns of
+``documents``. Results are written as Parquet and read again between stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import mixing, packing, simhash, superkmer, toxicity
+from siltstone.runtime import prepare, scratch, table
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among docs."""
+    prepare(spark)
+    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document of the least id stays."""
+    prepare(spark)
+    return simhash.keep_one(docs)
+
+
+def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that occur earlier go; n_chars follows the text."""
+    prepare(spark)
+    out = superkmer.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks."""
+    prepare(spark)
+    return mixing.mix(docs)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("simhash near-dedup", _near_duplicates),
+    ("substring dedup", _substrings),
+    ("mixing", _mixing),
+    ("packing", _packing),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; what each returns is written and read again."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        path = scratch(spark, f"stage-{k}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
