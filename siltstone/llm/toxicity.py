@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Over all labelled documents outside the held-out fold, each hashed n-gram gets
-its smoothed log-count ratio between toxic and other documents. N-grams whose
-ratio cannot be told from zero are left out. A logistic regression on presence
-times ratio, fitted on at most FIT_ROWS of those documents, gives the weights;
-scoring reads whole texts and adds up the weights of the n-grams present.
+The model is fitted on about FIT_ROWS labelled documents outside the held-out
+fold (all, if there are fewer), picked by a hash of their ids. Each hashed
+n-gram gets its smoothed log-count ratio between toxic and other documents;
+n-grams whose ratio cannot be told from zero are left out. A logistic
+regression on presence times ratio gives the weights; scoring reads whole texts
+and adds up the weights of the n-grams present.
 
 Defined cases: null and empty texts have no n-grams and get the score of the
 bias; without labels of both kinds every score is the share of label 1 (0 if
@@ -21,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.folds import held_out, labelled, sample_order
+from siltstone.llm.folds import held_out, sample
+from siltstone.runtime import cut
 
 ORDERS = (3, 4, 5)
 BITS = 18
 SMOOTHING = 1.0
 #: An n-gram is used if it is in so many documents and its ratio so many standard errors from zero.
 LEAST_DOCS, LEAST_Z = 4, 4.0
-#: The regression is fitted on so many labelled documents at most, chosen by a hash of their ids.
+#: Of those, the farthest from zero in standard errors; the regression has so many weights at most.
+FEATURES_MOST = 4096
+#: The bound of the labelled sample that the model is fitted on.
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
 ROUNDS, RATE, PENALTY = 400, 0.3, 1e-3
@@ -89,7 +93,9 @@ def _ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p, q = (n1 + SMOOTHING) / (docs[1] + 2 * SMOOTHING), (n0 + SMOOTHING) / (docs[0] + 2 * SMOOTHING)
     ratio = np.log(p / q)
     error = np.sqrt((1 - p) / (n1 + SMOOTHING) + (1 - q) / (n0 + SMOOTHING))
-    keep = np.abs(ratio) >= LEAST_Z * error
+    z = np.abs(ratio) / error
+    order = np.lexsort((gram, -z))[:FEATURES_MOST]
+    keep = order[z[order] >= LEAST_Z]
     r, used = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
     r[gram[keep]], used[gram[keep]] = ratio[keep], True
     return r, used, docs
@@ -111,8 +117,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labelled(docs, labels, "toxic")
-    ratio, used, totals = _ratios(known.select("text", "y").mapInArrow(_document_counts, "gram long, n0 long, n1 long"))
+    known = cut(sample(docs, labels, "toxic", FIT_ROWS))
+    ratio, used, totals = _ratios(known.mapInArrow(_document_counts, "gram long, n0 long, n1 long"))
     if not totals.all():
         return Model(bias=50.0 if totals[1] else -50.0)
 
@@ -121,14 +127,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             grams = [np.unique(g[used[g]]).astype("<i4").tobytes() for g in (ngrams(t.as_py()) for t in batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["grams", "y"])
 
-    sample = known.withColumn("_order", sample_order(F.col("doc_id"), "toxic")).orderBy("_order", "text").limit(FIT_ROWS)
-    fitted = sample.select("text", "y").mapInArrow(chosen, "grams binary, y int").toArrow()
+    fitted = known.mapInArrow(chosen, "grams binary, y int").toArrow()
     y = fitted.column(1).to_numpy().astype(np.float64)
     features = [np.frombuffer(x, "<i4") for x in fitted.column(0).to_pylist()]
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in features])
-    slot = np.cumsum(used) - 1
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in features])
+    slot = (np.cumsum(used) - 1).astype(np.int32)
     grams = np.concatenate(features)
-    w, bias = fit_logistic(rows, slot[grams], ratio[grams], y, int(used.sum()))
+    w, bias = fit_logistic(rows, slot[grams], ratio.astype(np.float32)[grams], y, int(used.sum()))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used]
     return Model(bias, weights, used)
