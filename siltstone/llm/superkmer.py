@@ -24,6 +24,7 @@ comes after all others. Other columns are carried along untouched.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +35,20 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import cut
 
-WINDOW, MINIMISER = 20, 3
+WINDOW, MINIMISER = 20, 2
 #: Minimisers are counted in so many bins; a bin is heavy if it has over HEAVY times the mean of all bins.
 BINS, HEAVY = 4096, 8
-#: Words that a bucket task sorts at once, in whole keys.
-SORTED_AT_ONCE = 1 << 20
-#: Words whose packed strings a map task gathers before it sends them.
-GATHERED_AT_ONCE = 3 << 20
+#: Packed words that a bucket is to hold.
+BUCKET_WORDS = 1 << 18
+#: Bytes of text that a map task packs at a time.
+GATHERED_BYTES = 8 << 20
+#: Windows in a packed string at most; more of one minimiser make several strings.
+STRING_WINDOWS = 2048
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = 0xD6E8FEB86659FD93
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SEGMENT = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,238 +57,270 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets all when it has grown large."""
-
-    LIMIT = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of width values, by doubling."""
-    out, done, part, span = None, 0, h, 1
-    left = width
-    while left:
-        if left & 1:
-            n = len(h) - (done + span) + 1
-            piece = part[done : done + n]
-            out = piece if out is None else _mix(out[:n] * _B + piece)
-            done += span
-        left >>= 1
-        if left:
-            part = _mix(part[:-span] * _A + part[span:])
-            span *= 2
-    return out
+_VALUES = _mix(np.arange(1, 257, dtype=np.uint64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd constant and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], by prefix sums; starts and ends ascend."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(starts, base + _SEGMENT))
+        lo, hi = starts[i:j] - base, ends[i:j] - base
+        up, down = _powers_to(max(2 * _SEGMENT, int(hi[-1]) + 1))
+        sums = np.zeros(int(hi[-1]) + 1, np.uint64)
+        np.cumsum(_VALUES[data[base : base + len(sums) - 1]] * up[: len(sums) - 1], out=sums[1:])
+        out[i:j] = (sums[hi] - sums[lo]) * down[lo]
+        i = j
+    return _mix(out)
+
+
+class Words:
+    """Texts' words in one buffer, single blanks between them: byte spans, and the text each is in."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        blank = _BLANK[data]
+        first, keep = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        keep[1:] |= ~blank[:-1]
+        self.data = np.where(blank, np.uint8(32), data)[keep]
+        ends = np.flatnonzero(self.data == 32).astype(np.int32)
+        if len(self.data) and self.data[-1] != 32:
+            ends = np.append(ends, np.int32(len(self.data)))
+        self.ends = ends
+        self.starts = np.concatenate((np.zeros(min(1, len(ends)), np.int32), ends[:-1] + np.int32(1)))
+        edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.owner = (np.searchsorted(edges, np.flatnonzero(first), side="right") - 1).astype(np.int32)
+        self.first = np.searchsorted(self.owner, np.arange(len(texts))).astype(np.int32)
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:
     """For each window of the words' hashes h, the least hash of its runs of MINIMISER words."""
-    low = _mix(rolling(h, MINIMISER))
+    low = h[: len(h) - MINIMISER + 1].copy()
+    for k in range(1, MINIMISER):
+        low *= _A
+        low += h[k : len(h) - MINIMISER + 1 + k]
+    low = _mix(low)
     width, span = WINDOW - MINIMISER + 1, 1
     while 2 * span <= width:
-        low = np.minimum(low[:-span], low[span:])
+        np.minimum(low[:-span], low[span:], out=low[:-span])
+        low = low[:-span]
         span *= 2
     return np.minimum(low[: len(h) - WINDOW + 1], low[width - span :])
 
 
-def _runs(m: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]))
+def _runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (index of their first word), their minimisers, and the edges of runs of windows."""
+    n = len(words.ends)
+    if n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    at = np.flatnonzero(words.owner[: n - WINDOW + 1] == words.owner[WINDOW - 1 :]).astype(np.int32)
+    if not len(at):
+        return at, np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    m = minimisers(span_hashes(words.data, words.starts, words.ends))[at]
+    new = np.concatenate(([True], (m[1:] != m[:-1]) | (np.diff(at) != 1)))
+    begun = np.flatnonzero(new)
+    within = np.arange(len(at), dtype=np.int32) - np.repeat(begun.astype(np.int32), np.diff(np.append(begun, len(at))))
+    return at, m, np.append(np.flatnonzero(within % STRING_WINDOWS == 0), len(at))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of rows, the text last, of about GATHERED_BYTES."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            row = tuple(x.as_py() for x in row)
+            if row[-1]:
+                held.append(row)
+                size += len(row[-1])
+            if size >= GATHERED_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts = WordHashes(), np.zeros(BINS, np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            words = (text.as_py() or b"").split()
-            if len(words) >= WINDOW:
-                m = minimisers(hashes.of(words))
-                starts = _runs(m)[:-1]
-                counts += np.bincount((m[starts] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bin", "n"])
-
-
-def heavy_bins(docs: DataFrame) -> list[int]:
-    """At most BINS / HEAVY bins; counted over all documents."""
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "bin int, n long")
-    per = counted.groupBy("bin").agg(F.sum("n").alias("n"))
-    rows = per.collect()  # BINS rows at most
-    mean = max(1.0, sum(r["n"] for r in rows) / BINS)
-    return sorted(r["bin"] for r in rows if r["n"] > HEAVY * mean)
-
-
-_SENT = "key long, packed binary, doc binary, start int, spans binary"
-
-
-def _sent(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of packed strings (key, packed, doc, start), and of spans found on the spot (doc, spans)."""
-    hashes = WordHashes()
-    held: list[tuple[bytes, list[bytes]]] = []
-    words_held = 0
-
-    def flush() -> pa.RecordBatch:
-        held.sort(key=lambda x: x[0])
-        first: set[bytes] = set()
-        keys: list[np.ndarray] = []
-        packed, docs, starts, local = [], [], [], []
-        last = None
-        for doc, words in held:
-            if doc == last:
-                continue
-            last = doc
-            h = hashes.of(words)
-            m = minimisers(h)
-            edges = _runs(m)
-            which = heavy[(m[edges[:-1]] % np.uint64(BINS)).astype(np.int64)]
-            if which.any():  # windows of a heavy bin go one by one
-                single = np.repeat(which, np.diff(edges))
-                cuts = np.zeros(len(m) + 1, bool)
-                cuts[edges] = True
-                cuts[:-1] |= single
-                cuts[1:] |= single
-                edges = np.flatnonzero(cuts)
-                key = np.where(single, _mix(rolling(h, WINDOW)), m)[edges[:-1]]
-            else:
-                key = m[edges[:-1]]
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            begins = np.concatenate(([0], ends[:-1] + 1))
-            lo, hi = edges[:-1], edges[1:] + WINDOW - 1
-            new, spans = [], []
-            for k, (a, b) in enumerate(zip(begins[lo].tolist(), ends[hi - 1].tolist(), strict=True)):
-                piece = joined[a:b]
-                if piece in first:
-                    spans.append(k)
-                else:
-                    first.add(piece)
-                    packed.append(piece)
-                    new.append(k)
-            keys.append(key[new])
-            docs += [doc] * len(new)
-            starts.append(lo[new])
-            if spans:
-                local.append((doc, np.stack([lo[spans], hi[spans]], axis=1).astype("<i4").tobytes()))
-        held.clear()
-        n, more = len(packed), len(local)
-        every = np.concatenate([*keys, _mix(np.arange(more, dtype=np.uint64) + np.uint64(len(packed)))]) if n or more else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(every.view(np.int64)),
-                pa.array(packed + [None] * more, pa.binary()),
-                pa.array(docs + [d for d, _ in local], pa.binary()),
-                pa.array(np.concatenate([*starts, np.zeros(more, np.int64)]).astype(np.int32) if n or more else np.zeros(0, np.int32)),
-                pa.array([None] * n + [s for _, s in local], pa.binary()),
-            ],
-            ["key", "packed", "doc", "start", "spans"],
-        )
-
-    for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            words = (text.as_py() or b"").split()
-            if len(words) >= WINDOW:
-                held.append((doc.as_py(), words))
-                words_held += len(words)
-            if words_held >= GATHERED_AT_ONCE:
-                yield flush()
-                words_held = 0
-    if held:
-        yield flush()
-
-
-def _repeats(strings: list[bytes], docs: list[bytes], starts: np.ndarray) -> dict[int, list[int]]:
-    """Index of a packed string -> offsets of its windows that are not the first of their kind."""
-    import xxhash
-
-    words = [s.split(b" ") for s in strings]
-    flat = [w for ws in words for w in ws]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    offset = np.concatenate(([0], np.cumsum(lengths)))
-    known: dict[bytes, int] = {}
-    for w in flat:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = rolling(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), WINDOW)
-    counts = lengths - WINDOW + 1
-    owner = np.repeat(np.arange(len(words)), counts)
+    strings, windows = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    for rows in _gathered(batches):
+        _, m, edges = _runs(Words([text for text, in rows]))
+        bins = (m[edges[:-1]] % np.uint64(BINS)).astype(np.int64)
+        strings += np.bincount(bins, minlength=BINS)
+        windows += np.bincount(bins, np.diff(edges), BINS).astype(np.int64)
+    used = np.flatnonzero(strings)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(strings[used]), pa.array(windows[used])], ["bin", "strings", "windows"])
+
+
+def plan(docs: DataFrame) -> tuple[list[int], int]:
+    """Heavy bins (at most BINS / HEAVY) and the number of buckets; counted over all documents."""
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "bin int, strings long, windows long")
+    per = counted.groupBy("bin").agg(F.sum("strings").alias("strings"), F.sum("windows").alias("windows")).collect()  # BINS rows at most
+    most = HEAVY * max(1.0, sum(r["strings"] for r in per) / BINS)
+    heavy = sorted(r["bin"] for r in per if r["strings"] > most)
+    packed = sum(r["windows"] * WINDOW if r["strings"] > most else r["windows"] + r["strings"] * (WINDOW - 1) for r in per)
+    return heavy, max(1, -(-packed // BUCKET_WORDS))
+
+
+_IDENTITY_BYTES = 17
+_SENT = "bucket int, packed binary, doc binary, spans binary"
+
+
+def _strings(words: Words, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Key, first and past-last word of each packed string."""
+    at, m, edges = _runs(words)
+    which = heavy[(m[edges[:-1]] % np.uint64(BINS)).astype(np.int64)]
+    key = m
+    if which.any():  # windows of a heavy bin go one by one
+        single = np.repeat(which, np.diff(edges))
+        cuts = np.zeros(len(m) + 1, bool)
+        cuts[edges] = True
+        cuts[:-1] |= single
+        cuts[1:] |= single
+        edges = np.flatnonzero(cuts)
+        key = m.copy()
+        key[single] = span_hashes(words.data, words.starts[at[single]], words.ends[at[single] + WINDOW - 1])
+    return key[edges[:-1]], at[edges[:-1]], at[edges[1:] - 1] + WINDOW
+
+
+def _sent(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of packed strings (bucket, packed), and of spans found on the spot (bucket, doc, spans)."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    for rows in _gathered(batches):
+        by_doc = dict(sorted(rows))
+        docs = list(by_doc)
+        words = Words(list(by_doc.values()))
+        key, lo, hi = _strings(words, heavy)
+        data = words.data.tobytes()
+        del rows, by_doc
+        pieces = [data[a:b] for a, b in zip(words.starts[lo].tolist(), words.ends[hi - 1].tolist(), strict=True)]
+        owner = words.owner[lo]
+        start, stop = lo - words.first[owner], hi - words.first[owner]
+        seen: set[bytes] = set()
+        new = np.zeros(len(pieces), bool)
+        for k, piece in enumerate(pieces):
+            if piece not in seen:
+                seen.add(piece)
+                new[k] = True
+        out: list[tuple] = []
+        again = np.flatnonzero(~new)
+        for part in np.split(again, np.flatnonzero(np.diff(owner[again])) + 1) if len(again) else []:
+            doc = docs[owner[part[0]]]
+            out.append((zlib.crc32(doc) % buckets, None, doc, np.stack([start[part], stop[part]], axis=1).astype("<i4").tobytes()))
+        chosen = np.flatnonzero(new)
+        bucket = (_mix(key[chosen]) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        chosen, bucket = chosen[order], bucket[order]
+        for part, b in zip(np.split(chosen, np.flatnonzero(np.diff(bucket)) + 1), bucket[np.flatnonzero(np.diff(bucket, prepend=-1))].tolist(), strict=True) if len(chosen) else []:
+            local, index = np.unique(owner[part], return_inverse=True)
+            head = np.concatenate([[len(part), len(local)], index, start[part]]).astype("<i4").tobytes()
+            out.append((b, squeeze(head + b"".join(docs[k] for k in local) + b"\n".join([pieces[k] for k in part.tolist()])), None, None))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "packed", "doc", "spans"])
+
+
+def _repeats(blobs: list[bytes]) -> dict[bytes, list[int]]:
+    """Document -> starts of its windows in this bucket that are not the first of their kind."""
+    docs: list[bytes] = []
+    of, begin, texts = [], [], []
+    for blob in blobs:
+        n, m = np.frombuffer(blob, "<i4", 2).tolist()
+        index, start = np.frombuffer(blob, "<i4", 2 * n, 8).reshape(2, n)
+        at = 8 + 8 * n
+        of.append(index + len(docs))
+        begin.append(start)
+        docs += [blob[at + k * _IDENTITY_BYTES : at + (k + 1) * _IDENTITY_BYTES] for k in range(m)]
+        texts.append(blob[at + m * _IDENTITY_BYTES :])
+    data = b"\n".join(texts)
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = np.flatnonzero(np.append(raw[ends[:-1]] == 10, True))  # the last word of each string
+    first = np.concatenate(([0], last[:-1] + 1))
+    counts = last - first + 2 - WINDOW
+    owner = np.repeat(np.arange(len(last)), counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = offset[:-1][owner] + within
-    h = h[place]
-    order = np.argsort(h, kind="stable")
+    word = first[owner] + within
+    a, b = starts[word], ends[word + WINDOW - 1]
+    h = span_hashes(raw, a, b)
+    order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
-    found: dict[int, list[int]] = {}
+    found: dict[bytes, list[int]] = {}
     if not same.any():
         return found
-    touched = np.zeros(len(order), bool)
-    touched[1:] |= same
-    touched[:-1] |= same
-    group = np.cumsum(np.concatenate(([True], ~same)))
-    seen: dict[bytes, tuple] = {}
-    last = -1
-    for g, k in zip(group[touched].tolist(), order[touched].tolist(), strict=True):
-        if g != last:
-            seen, last = {}, g
-        o, p = int(owner[k]), int(place[k])
-        text = b" ".join(flat[p : p + WINDOW])
-        at = (docs[o], int(starts[o]) + int(within[k]), o, int(within[k]))
-        if text not in seen:
-            seen[text] = at
-            continue
-        if at[:2] == seen[text][:2]:
+    touched = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    group = np.cumsum(np.concatenate(([True], ~same)))[touched]
+    picked = order[touched]
+    of, begin = np.concatenate(of), np.concatenate(begin)
+    rows = zip(group.tolist(), a[picked].tolist(), b[picked].tolist(), of[owner[picked]].tolist(), (begin[owner[picked]] + within[picked]).tolist(), strict=True)
+    seen: dict[bytes, tuple[bytes, int]] = {}
+    current = -1
+    for g, lo, hi, doc, start in rows:
+        if g != current:
+            seen, current = {}, g
+        text, at = data[lo:hi], (docs[doc], start)
+        earlier = seen.setdefault(text, at)
+        if at == earlier:
             continue
-        if at < seen[text]:
-            seen[text], at = at, seen[text]
-        found.setdefault(at[2], []).append(at[3])
+        if at < earlier:
+            seen[text], at = at, earlier
+        found.setdefault(at[0], []).append(at[1])
     return found
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key. Out: (doc, spans), spans as pairs of int32: first and past-last word."""
-    strings: list[bytes] = []
-    docs: list[bytes] = []
-    starts: list[int] = []
-    size, key = 0, None
+    """Rows come sorted by bucket. Out: (doc, spans), spans as pairs of int32: first and past-last word."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    blobs: list[bytes] = []
+    bucket = None
 
-    def flush() -> pa.RecordBatch:
-        out_docs, out_spans = [], []
-        for o, offs in _repeats(strings, docs, np.array(starts, np.int64)).items():
-            at = np.unique(np.array(offs, np.int64)) + starts[o]
+    def judge() -> pa.RecordBatch:
+        docs, spans = [], []
+        for doc, offsets in _repeats(blobs).items():
+            at = np.unique(np.array(offsets, np.int64))
             breaks = np.flatnonzero(np.diff(at) > 1) + 1
             lo, hi = at[np.concatenate(([0], breaks))], at[np.concatenate((breaks - 1, [len(at) - 1]))] + WINDOW
-            out_docs.append(docs[o])
-            out_spans.append(np.stack([lo, hi], axis=1).astype("<i4").tobytes())
-        strings.clear(), docs.clear(), starts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out_docs, pa.binary()), pa.array(out_spans, pa.binary())], ["doc", "spans"])
+            docs.append(doc)
+            spans.append(np.stack([lo, hi], axis=1).astype("<i4").tobytes())
+        blobs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(spans, pa.binary())], ["doc", "spans"])
 
     for batch in batches:
-        ready = batch.filter(pc.is_valid(batch.column(4)))
+        ready = batch.filter(pc.is_valid(batch.column(3)))
         if ready.num_rows:
             yield ready.select(["doc", "spans"])
         rows = batch.filter(pc.is_valid(batch.column(1)))
-        for now, s, d, t in zip(rows.column(0).to_numpy().tolist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_numpy().tolist(), strict=True):
-            if now != key and size >= SORTED_AT_ONCE:
-                yield flush()
-                size = 0
-            key = now
-            strings.append(s), docs.append(d), starts.append(t)
-            size += s.count(b" ") + 1
-    if strings:
-        yield flush()
+        for now, packed in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            if now != bucket and blobs:
+                yield judge()
+            bucket = now
+            blobs.append(expand(packed.as_py()))
+    if blobs:
+        yield judge()
 
 
 def _identity(doc_id: Column, text: Column) -> Column:
     """Bytes in the order of documents: ids ascending, null last, equal ids by text digest."""
     known = F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return F.unhex(F.concat(F.when(doc_id.isNull(), F.lit("01")).otherwise(F.concat(F.lit("00"), known)), F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16)))
+    order = F.when(doc_id.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), known))
+    return F.unhex(F.concat(order, F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16)))
 
 
 def kept_words(text: str | None, spans: list[bytes] | None) -> tuple[list[bytes], int]:
@@ -302,11 +340,12 @@ def kept_words(text: str | None, spans: list[bytes] | None) -> tuple[list[bytes]
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs with a column _spans: the parts of the text to remove, null where there are none."""
     ident = _identity(docs["doc_id"], docs["text"])
+    bins, buckets = plan(docs)
     heavy = np.zeros(BINS, bool)
-    heavy[heavy_bins(docs)] = True
+    heavy[bins] = True
     narrow = docs.select(ident.alias("doc"), F.col("text").cast("binary").alias("text"))
-    sent = narrow.mapInArrow(lambda batches: _sent(batches, heavy), _SENT)
-    found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_judged, "doc binary, spans binary")
+    sent = narrow.mapInArrow(lambda batches: _sent(batches, heavy, buckets), _SENT)
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged, "doc binary, spans binary")
     per = cut(found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("spans").alias("_spans")))
     return docs.withColumn("_of", ident).join(per, F.col("_of") == F.col("_doc"), "left").drop("_of", "_doc")
 
@@ -314,12 +353,14 @@ def with_spans(docs: DataFrame) -> DataFrame:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = [kept_words(t, s) for t, s in zip(texts, spans, strict=True)]
+        total, gone, digests = [], [], []
+        for text, of_text in zip(texts, spans, strict=True):
+            kept, n = kept_words(text, of_text)
+            total.append(n)
+            gone.append(n - len(kept))
+            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([n - len(w) for w, n in out], pa.int64()),
-                pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in out], pa.string()),
-            ],
+            [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 

@@ -49,7 +49,7 @@ def test_against_brute_force(spark, rows):
 
 def test_heavy_bins_change_nothing(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(superkmer, "heavy_bins", lambda docs: list(range(0, superkmer.BINS, 2)))
+    monkeypatch.setattr(superkmer, "plan", lambda docs: (list(range(0, superkmer.BINS, 2)), 7))
     got = sorted(map(repr, map(tuple, superkmer.digest(df).collect())))
     assert got == sorted(map(repr, brute(rows)))
 
