@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
-_SPACE = r"\t-\r \x85\xa0"  # Unicode white space up to U+024F
-_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+# The pre-tokenizer's pieces, for texts up to U+024F: its letters, numbers and white space are listed.
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_PIECES = rf" ?[{_LETTER}]++|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]++| ?[^{_SPACE}{_LETTER}{_NUMBER}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def default_path() -> str:
@@ -29,7 +31,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -37,9 +38,9 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        beyond, named = regex.compile(r"[^\x00-\u024f]").search, [t["content"] for t in spec.get("added_tokens", [])]
+        beyond, named = re.compile(r"[^\x00-\u024f]").search, [t["content"] for t in spec.get("added_tokens", [])]
         self._whole = (lambda text: (not text.isascii() and beyond(text)) or any(s in text for s in named)) if cached else lambda text: True
-        self._pieces = regex.compile(_PIECES).findall
+        self._pieces = re.compile(_PIECES).findall
         self._known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
