@@ -104,7 +104,7 @@ def exact(docs: DataFrame, queries: DataFrame, identifier: str, most: int = CAND
     return ranked(hits, most, F.col("id"))
 
 
-def fusion_key(df: DataFrame, id: str = "id", source: str = "source", content: str = "content") -> Column:
+def fusion_key(id: str = "id", source: str = "source", content: str = "content") -> Column:
     """The id, or the source and the content's first 64 bytes where it is blank."""
     rest = F.concat(F.coalesce(source, F.lit("")), F.lit("\x00"), F.hex(F.substring(F.col(content).cast("binary"), 1, 64)))
     return F.when(F.coalesce(F.col(id).cast("string"), F.lit("")) != "", F.col(id).cast("string")).otherwise(rest)
