@@ -34,4 +34,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, kind: int
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out(F.col("_id")) & (F.col("y").isin(0, 1) if kind is None else F.col("y") == kind))
     picked = cut(known.where(chosen(F.col("_id"), label, share_of(known, most))).dropDuplicates(["_id", "y"]))
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select(F.col("text").cast("binary").alias("text"), "y")
+    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return narrow.join(F.broadcast(picked), narrow["doc_id"] == picked["_id"]).select("text", "y")
