@@ -67,7 +67,7 @@ def audit_timeline(spark, d):
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select("event_id", F.lag("event_type").over(w).alias("before"), (F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w))).alias("gap_ms"))
+    return e.select("event_id", F.lag("event_type").over(w).alias("before"), F.coalesce(F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w)), F.lit(-1)).cast("bigint").alias("gap_ms"))
 
 
 def audit_append(spark, d):
@@ -213,7 +213,7 @@ ORACLES = {
     "retention_null_trap": f"""WITH a AS (SELECT id, CASE WHEN status = 'PENDING' AND expires_at < {_NOW_SQL} THEN 'EXPIRED' ELSE status END AS status, decided_at, expires_at FROM ({_A})), k AS (SELECT {_NOW_SQL} - INTERVAL 168 HOUR AS cutoff)
       SELECT status, count(*) AS n, 'faithful' AS rule FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND decided_at < cutoff, false) GROUP BY status
       UNION ALL SELECT status, count(*), 'fixed' FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND coalesce(decided_at, expires_at) < cutoff, false) GROUP BY status""",
-    "audit_timeline": "SELECT event_id, lag(event_type) OVER w AS before, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "audit_timeline": "SELECT event_id, lag(event_type) OVER w AS before, coalesce(epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000, -1) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "audit_append": f"SELECT id AS subject, 'approval.expired' AS event_type, {_NOW_SQL} AS created_at FROM ({_A}) WHERE status = 'PENDING' AND expires_at < {_NOW_SQL}",
     "turn_complete_once": f"""WITH t AS (SELECT *, status IN ('RUNNING', 'INTERRUPTED') AND id % 3 = 0 AS won FROM ({_TURNS}))
       SELECT CASE WHEN won THEN 'COMPLETED' ELSE status END AS what, count(*) AS n, count(*) FILTER (won OR status = 'COMPLETED') AS timed FROM t GROUP BY 1

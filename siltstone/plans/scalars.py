@@ -68,7 +68,7 @@ def product_front_matter(spark, d):
     files = p.groupBy((F.col("p_partkey") % 200).alias("f")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("text"))
     out = parse_products(files.select(F.concat(F.lit("f"), "f").alias("source"), F.concat(F.lit("junk\n"), "text").alias("text")))
     return out.select("product_id", "model", "product_name", F.col("specs_from_doc.install_type").alias("install_type"), F.col("specs_from_doc.open_angle_deg").alias("angle"),
-                      F.array_join("variants", "+").alias("variants"), "content", F.col("_source").alias("source"), F.col("specs_from_doc.cup_diameter_mm").alias("cup"))
+                      F.array_join("variants", "+").alias("variants"), "content", F.col("_source").alias("source"), F.col("specs_from_doc.cup_diameter_mm").isNull().alias("no_cup"))
 
 
 _SLUG = "regexp_replace(regexp_replace(lower(" + trim_sql("left(text, 120)") + "), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '^-+', '')"
@@ -93,5 +93,5 @@ ORACLES = {
     "numeric_conversions": """WITH RECURSIVE b AS (SELECT event_id, event_id AS n, '' AS s FROM events UNION ALL SELECT event_id, n // 36, substring('0123456789abcdefghijklmnopqrstuvwxyz', (n % 36 + 1)::INTEGER, 1) || s FROM b WHERE n > 0)
       SELECT event_id, CASE WHEN s = '' THEN '0' ELSE s END AS b36, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339, value::FLOAT::DOUBLE AS narrow FROM b JOIN events USING (event_id) WHERE n = 0""",
     "product_front_matter": """SELECT 'P' || p_partkey AS product_id, p_brand AS model, p_name AS product_name, p_type AS install_type, p_size AS angle, 'a' || p_size || '+b' AS variants,
-      '# ' || p_name || chr(10) || 'body' AS content, 'f' || (p_partkey % 200) AS source, NULL::INTEGER AS cup FROM part""",
+      '# ' || p_name || chr(10) || 'body' AS content, 'f' || (p_partkey % 200) AS source, true AS no_cup FROM part""",
 }

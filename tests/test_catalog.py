@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.plans import catalog
@@ -23,10 +24,10 @@ def normal(frame):
     def one(x):
         if isinstance(x, np.ndarray):
             return repr(x.tolist())
-        if x is None or x != x:
+        if x is None or pd.isna(x):
             return "null"
         if isinstance(x, float | np.floating):
-            return repr(round(float(x), 9))
+            return str(int(x)) if float(x).is_integer() else repr(round(float(x), 9))
         return str(x)
 
     frame = frame[sorted(frame.columns)].astype(object)
