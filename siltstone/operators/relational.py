@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 
 class NotFound(LookupError):
     """No row where one was asked for."""
@@ -262,7 +264,7 @@ def tree_paths(folders: DataFrame, separator: str = "/", most_levels: int = 100)
     level = folders.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, most_levels + 1):
-        level = folders.alias("f").join(level.alias("p"), F.col("f.parent_id") == F.col("p.id")).select("f.id", F.concat_ws(separator, "p.path", "f.name").alias("path"), F.lit(depth).alias("depth"))
+        level = cut(folders.alias("f").join(level.alias("p"), F.col("f.parent_id") == F.col("p.id")).select("f.id", F.concat_ws(separator, "p.path", "f.name").alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
