@@ -108,6 +108,38 @@ def fail_turns(df: DataFrame, which: Column, error: str) -> Change:
     return transition(df, ("RUNNING", "INTERRUPTED"), "FAILED", which, error=error)
 
 
+def interrupt_turns(df: DataFrame, which: Column, approval: Column) -> Change:
+    return transition(df, ("RUNNING",), "INTERRUPTED", which, **({"approval_id": approval} if "approval_id" in df.columns else {}))
+
+
+def claim_runs(df: DataFrame, which: Column, owner: Column, now: Column) -> Change:
+    """INTERRUPTED runs of their owner, with a checkpoint, are taken up by one claimant."""
+    return transition(df, ("INTERRUPTED",), "RESUMING", which & (F.col("requested_by") == owner) & F.col("checkpoint_id").isNotNull(), updated_at=now)
+
+
+def finish_runs(df: DataFrame, which: Column, now: Column, error: str | None = None) -> Change:
+    """RUNNING and RESUMING runs complete, or fail with an error code."""
+    values = {"updated_at": now} | ({"error_code": error} if error else {})
+    return transition(df, ("RUNNING", "RESUMING"), "FAILED" if error else "COMPLETED", which, **values)
+
+
+def interrupt_runs(df: DataFrame, which: Column, checkpoint: Column, now: Column) -> Change:
+    return transition(df, ("RUNNING", "RESUMING"), "INTERRUPTED", which, checkpoint_id=checkpoint, updated_at=now)
+
+
+def release_runs(df: DataFrame, which: Column, now: Column) -> Change:
+    return transition(df, ("RESUMING",), "INTERRUPTED", which, updated_at=now)
+
+
+def list_datasets(df: DataFrame, name: str = "", kind: str = "", visibility: str = "") -> DataFrame:
+    """Filters by part of the name, type and visibility; a blank one admits any."""
+    if name.strip():
+        df = df.where(F.lower("name").contains(name.strip().lower()))
+    for column, value in (("type", kind), ("visibility", visibility)):
+        df = df.where(F.col(column) == value) if value.strip() else df
+    return df
+
+
 def set_checkpoints(df: DataFrame, rows: DataFrame, now: Column, ttl: int = CHECKPOINT_TTL_SECONDS) -> DataFrame:
     """New checkpoints live for ttl; known ones get the payload and keep their expiry."""
     merged = df.join(rows.withColumnRenamed("payload", "_new"), "checkpoint_id", "full")

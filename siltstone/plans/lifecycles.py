@@ -194,14 +194,104 @@ def doc_status_rollup(spark, d):
     return lc.document_status(_chunk_states(spark, d), docs)
 
 
+def run_states(spark, d):
+    """Runs interrupted, claimed by their owner, some released, the rest finished or failed."""
+    o = table(spark, d, "orders")
+    runs = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "P", "RESUMING").otherwise("COMPLETED").alias("status"),
+                    F.col("o_custkey").cast("string").alias("requested_by"), F.lit(None).cast("string").alias("checkpoint_id"), F.lit(None).cast("string").alias("error_code"), _now().alias("updated_at"))
+    runs = lc.interrupt_runs(runs, F.col("id") % 2 == 0, F.concat(F.lit("c"), "id"), _now()).state
+    runs = lc.claim_runs(runs, F.col("id") % 3 != 0, F.col("requested_by"), _now()).state
+    runs = lc.release_runs(runs, F.col("id") % 5 == 0, _now()).state
+    runs = lc.finish_runs(runs, F.col("id") % 7 == 1, _now(), "boom").state
+    runs = lc.finish_runs(runs, F.col("id") % 7 == 2, _now()).state
+    return runs.groupBy("status").agg(F.count("*").alias("n"), F.count("checkpoint_id").alias("checkpoints"), F.count("error_code").alias("errors"))
+
+
+def dataset_list(spark, d):
+    data = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("visibility"))
+    return lc.list_datasets(data, " RING ", "ECONOMY", "").select("id", "name")
+
+
+def embed_documents(spark, d):
+    from siltstone.operators.indexing import embed, hash_embedder
+
+    out = embed(table(spark, d, "documents").select("doc_id", "text"), "text", hash_embedder(), 16)
+    return out.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(F.col("embedding")[15].cast("double"), 5).alias("last"))
+
+
+def lexical_index(spark, d):
+    docs = schema.documents(spark, d).select("id", "text", "title")
+    return r.inverted_index(docs, ["text", "title"]).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").cast("bigint").alias("longest")).where("df >= 20")
+
+
+def reindex_summary(spark, d):
+    from siltstone.operators.indexing import reindex_summary as summary
+
+    return summary(table(spark, d, "documents"), _chunk_states(spark, d))
+
+
+def chunk_report(spark, d):
+    from siltstone.operators.indexing import chunk_report as report
+
+    return report(schema.documents(spark, d), _chunk_states(spark, d).where("document_id % 4 = 0"))
+
+
+def upload_documents(spark, d):
+    from siltstone.operators.indexing import upload
+
+    have = table(spark, d, "region").select(F.col("r_name").alias("title"), F.lit("ready").alias("status"))
+    pages = table(spark, d, "pages").select(F.col("url").alias("source"), F.concat(F.lit("page "), "page_id").alias("title"))
+    return upload(have, pages, 3, _now()).select("title", "status", F.coalesce("dataset_id", F.lit(0)).alias("dataset_id"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+def retrieval_evaluation(spark, d):
+    """Leaks and answers of every twentieth document as a hit for its source, judged by grants on odd datasets."""
+    from siltstone.operators import evaluation as ev
+
+    docs = schema.documents(spark, d)
+    hits = docs.select(F.col("id").alias("query_id"), F.lit("ann").alias("subject"), "id")
+    grants = spark.createDataFrame([("ann", 1), ("ann", 3)], "subject string, dataset_id bigint")
+    leaks = ev.acl_leaks(hits, docs, grants).agg(F.count("*").cast("double").alias("v"))
+    asked = docs.select(F.col("id").alias("query_id"), (F.col("id") % 4 != 0).alias("answerable"))
+    answers = ev.no_answer_accuracy(hits.where("id % 3 <> 0"), asked).toDF("v")
+    cited = ev.citation_accuracy(docs.select("id", F.when(F.col("id") % 5 == 0, F.lit("no such words")).otherwise(F.left("text", F.lit(20))).alias("excerpt")), docs.select("id", F.col("text").alias("content"))).toDF("v")
+    late = ev.latency(docs.select(F.col("n_chars").alias("millis"))).toDF("v")
+    parts = [df.select(F.lit(name).alias("what"), "v") for name, df in (("leaks", leaks), ("no_answer", answers), ("citations", cited), ("p95", late))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 _A = schema.APPROVALS_SQL
 QUERIES = {q.__name__: q for q in (
     approval_expire, approval_decide, approval_claim_release, approval_consume, retention_delete, retention_null_trap, audit_timeline, audit_append, turn_complete_once, turn_retention,
     checkpoint_set, session_history, session_get_or_create, grants_state, orm_update, orm_delete, orm_create_bulk, vector_upsert, vector_delete, doc_upsert_by_title, chunk_replace,
-    chunk_counts_by_status, doc_status_rollup,
+    chunk_counts_by_status, doc_status_rollup, run_states, dataset_list, embed_documents, lexical_index, reindex_summary, chunk_report, upload_documents, retrieval_evaluation,
 )}
 _TURNS = "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'RUNNING' WHEN o_orderstatus = 'P' THEN 'INTERRUPTED' WHEN o_orderkey % 2 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_orderdate AS at_ FROM orders"
+_TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 ORACLES = {
+    "run_states": """WITH a AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'P' THEN 'RESUMING' ELSE 'COMPLETED' END AS s FROM orders),
+      b AS (SELECT id, CASE WHEN s <> 'COMPLETED' AND id % 2 = 0 THEN 'INTERRUPTED' ELSE s END AS s, s <> 'COMPLETED' AND id % 2 = 0 AS c FROM a),
+      e AS (SELECT id, c, CASE WHEN s = 'INTERRUPTED' AND id % 3 <> 0 THEN 'RESUMING' ELSE s END AS s FROM b), f AS (SELECT id, c, CASE WHEN s = 'RESUMING' AND id % 5 = 0 THEN 'INTERRUPTED' ELSE s END AS s FROM e),
+      g AS (SELECT id, c, CASE WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 1 THEN 'FAILED' WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 2 THEN 'COMPLETED' ELSE s END AS s FROM f)
+      SELECT s AS status, count(*) AS n, count(*) FILTER (c) AS checkpoints, count(*) FILTER (s = 'FAILED') AS errors FROM g GROUP BY s""",
+    "dataset_list": "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') AND p_type = 'ECONOMY'",
+    "embed_documents": f"""WITH t AS (SELECT doc_id, [md5(x)[1] for x in {_TERMS.format('text')}] AS h FROM documents),
+      n AS (SELECT doc_id, h, [len([x for x in h if x = d]) for d in ['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f']] AS v FROM t),
+      s AS (SELECT doc_id, v, sqrt(list_sum([x * x for x in v])) AS norm FROM n)
+      SELECT doc_id, round((v[1] / greatest(norm, 1))::FLOAT::DOUBLE, 5) AS first, round((v[16] / greatest(norm, 1))::FLOAT::DOUBLE, 5) AS last FROM s""",
+    "lexical_index": f"""WITH e AS (SELECT id, 'text' AS field, {_TERMS.format('text')} AS ts FROM ({schema.DOCUMENTS_SQL}) UNION ALL SELECT id, 'title', {_TERMS.format('title')} FROM ({schema.DOCUMENTS_SQL})),
+      l AS (SELECT id, field, len(ts) AS dl, unnest(ts) AS term FROM e), p AS (SELECT id, field, term, dl, count(*) AS tf FROM l GROUP BY ALL)
+      SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl) AS longest FROM p GROUP BY field, term HAVING count(*) >= 20""",
+    "reindex_summary": f"SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(*) FILTER (vector_status = 'failed') AS failed FROM ({_CHUNK_STATES})",
+    "chunk_report": f"SELECT id, title, chunk_id, vector_status FROM ({schema.DOCUMENTS_SQL}) JOIN ({_CHUNK_STATES}) ON id = document_id WHERE document_id % 4 = 0",
+    "upload_documents": "SELECT r_name AS title, 'ready' AS status, 0::BIGINT AS dataset_id, '' AS source FROM region UNION ALL SELECT 'page ' || page_id, 'indexing', 3, url FROM pages",
+    "retrieval_evaluation": f"""WITH d AS ({schema.DOCUMENTS_SQL}) SELECT 'leaks' AS what, (count(*) FILTER (dataset_id NOT IN (1, 3)))::DOUBLE AS v FROM d
+      UNION ALL SELECT 'no_answer', round(avg(((id % 3 <> 0) = (id % 4 <> 0))::INT), 6) FROM d
+      UNION ALL SELECT 'citations', round(avg(contains(text, CASE WHEN id % 5 = 0 THEN 'no such words' ELSE left(text, 20) END)::INT), 6) FROM d
+      UNION ALL SELECT 'p95', round(quantile_cont(n_chars, 0.95), 6) FROM d""",
     "approval_expire": f"WITH a AS ({_A}), due AS (SELECT id FROM a WHERE status = 'PENDING' AND expires_at < {_NOW_SQL} ORDER BY expires_at, id LIMIT 100) SELECT id, CASE WHEN id IN (FROM due) THEN 'EXPIRED' ELSE status END AS status, expires_at, decided_at FROM a",
     "approval_decide": f"""WITH a AS (SELECT *, id % 3 <> 0 AND status = 'PENDING' AND expires_at > {_NOW_SQL} AS hit FROM ({_A}))
       SELECT id, CASE WHEN hit THEN CASE WHEN id % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END ELSE status END AS status, expires_at, CASE WHEN hit THEN {_NOW_SQL} ELSE decided_at END AS decided_at, (SELECT count(*) FROM a WHERE hit) AS affected FROM a""",
