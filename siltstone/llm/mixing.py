@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (5, 2, 1)
 #: All targets together, as a share of all words.
@@ -41,33 +43,41 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(_HASH_RANGE)
 
 
+def _numbered(per: DataFrame) -> DataFrame:
+    """per with turn, its place from 0 by code point, null last: by ranges, so no task sorts all sources."""
+    order = F.col("source").asc_nulls_last()
+    placed = cut(per.repartitionByRange(order)).withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return placed.withColumn("_in", within).join(F.broadcast(offsets), "_part").select(*per.columns, (F.col("_in") + F.col("_before")).alias("turn"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, size) -> (source, source_size, target, rate), one row per source.
 
-    Handing the excess of capped sources to the rest by weight, until none is
-    above, ends at min(cap, level * weight) for one level. With sources in
-    ascending cap / weight, it is the first level that the source itself can hold.
+    All sources not yet capped get level * weight words. What the capped ones
+    can't take raises the level of the rest, until no more are above their cap.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (turn % len(WEIGHTS) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST_REPEATS)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(whole) * F.lit(TOTAL_SHARE) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    per = per.withColumn("level", level)
-    holds = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("level")))
-    per = per.withColumn("level", F.min(holds).over(whole)["level"])
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("turn") % len(WEIGHTS) + 1).cast("int"))
+    per = cut(_numbered(per).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST_REPEATS).alias("cap")))
+    level, before = 0.0, None
+    while level != before:
+        above = F.lit(level) * F.col("weight") > F.col("cap")
+        sums = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("cap"))).alias("capped"), F.sum(F.when(~above, F.col("weight"))).alias("weights")).first()
+        before = level
+        if sums["weights"]:
+            level = (TOTAL_SHARE * sums["all"] - (sums["capped"] or 0)) / sums["weights"]
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     per = per.withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
 def _with_rates(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    per = targets(sizes).withColumnRenamed("source", "_key").checkpoint()
+    per = targets(sizes).withColumnRenamed("source", "_key")
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     return docs.join(per, docs["source"].eqNullSafe(per["_key"]), "left").drop("_key")
@@ -90,7 +100,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of docs as many times as the mix takes it, all columns kept."""
     sized = docs.select("source", word_count("text").alias("size"))
     names = {"source_size": "_source_size", "target": "_target", "rate": "_rate"}
-    per = targets(sized).withColumnsRenamed(names | {"source": "_key"}).checkpoint()
+    per = targets(sized).withColumnsRenamed(names | {"source": "_key"})
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     joined = docs.join(per, docs["source"].eqNullSafe(per["_key"]), "left")
