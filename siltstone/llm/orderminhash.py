@@ -38,20 +38,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Low bits of a k-mer's hash that make room for its position; fixed, as hashes must not depend on the text's length.
+_PLACE = np.uint64(24)
+
+
 def _numbered(kmers: np.ndarray) -> np.ndarray:
     """Hashes of (k-mer, occurrence number)."""
     n = len(kmers)
-    bits = np.uint64(max(1, (n - 1).bit_length()))
-    # Sorting hash and position as one number groups equal k-mers in text order.
-    both = np.sort((kmers >> bits << bits) | np.arange(n, dtype=np.uint64))
-    kmer, at = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    kmers = kmers >> _PLACE
+    if n <= 1 << int(_PLACE):
+        # Sorting hash and position as one number groups equal k-mers in text order.
+        both = np.sort((kmers << _PLACE) | np.arange(n, dtype=np.uint64))
+        kmer, at = both >> _PLACE, (both & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+    else:
+        at = np.argsort(kmers, kind="stable")
+        kmer = kmers[at]
     same = kmer[1:] == kmer[:-1]
     if not same.any():
-        return _mix(kmers >> bits << bits)
+        return _mix(kmers << _PLACE)
     begun = np.concatenate(([0], np.flatnonzero(~same) + 1))
     number = np.arange(n) - np.repeat(begun, np.diff(np.append(begun, n)))
     out = np.empty(n, np.uint64)
-    out[at] = _mix((kmer << bits) + number.astype(np.uint64) * _B)
+    out[at] = _mix((kmer << _PLACE) + number.astype(np.uint64) * _B)
     return out
 
 

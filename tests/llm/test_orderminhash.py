@@ -40,6 +40,15 @@ def test_fingerprint_is_order_minhash():
     assert o.likeness(o.fingerprint(text), o.fingerprint(text[::-1])) < 0.1
 
 
+def test_hashes_do_not_depend_on_length():
+    rng = random.Random(7)
+    for base in ("".join(rng.choice("abcdefgh ") for _ in range(4200)), "For " * 1050):
+        for cut in (4090, 4100, 3000, 2040):
+            assert o.likeness(o.fingerprint(base), o.fingerprint(base[:cut])) > (cut / 4200) ** 2 - 0.25
+    short, long = np.arange(50, dtype=np.uint64) << np.uint64(40), np.arange(5000, dtype=np.uint64) << np.uint64(40)
+    assert (o._numbered(short) == o._numbered(long)[:50]).all()
+
+
 @pytest.mark.parametrize("rows_per_bucket", [3, 1000])
 def test_compare_against_brute_force(spark, monkeypatch, rows_per_bucket):
     monkeypatch.setattr(o, "BUCKET_ROWS", rows_per_bucket)
