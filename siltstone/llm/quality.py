@@ -37,7 +37,7 @@ SHAPES = 512
 #: The bounds of the samples that the model is fitted on; documents are picked by a hash of their ids.
 FIT_POSITIVES, FIT_UNLABELLED = 8_000, 16_000
 THRESHOLD = 0.3
-ROUNDS, RATE, PENALTY = 600, 0.05, 1e-4
+ROUNDS, RATE, PENALTY = 250, 0.3, 1e-4
 
 _CLASSES = bytes(
     ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("A") if 0x41 <= b <= 0x5A else ord("0") if 0x30 <= b <= 0x39 else b for b in range(256)
