@@ -22,7 +22,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null if either vector is null or zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def l2(a: Column, b: Column) -> Column:

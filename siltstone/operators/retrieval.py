@@ -50,13 +50,17 @@ def _broadcast(queries: DataFrame) -> DataFrame:
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE") -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest in index (id, embedding) for each of queries (query_id, query)."""
+    """(query_id, id, score, rank) of the k nearest in index (id, embedding) for each of queries (query_id, query).
+
+    Vectors without a score (null, or zero under cosine) are no hits.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     pairs = index.select("id", "embedding").join(_broadcast(queries.select("query_id", "query")))
     score = F.round(vector.score(metric, F.col("embedding"), F.col("query")), 6)
     order = F.col("score").asc() if vector.ascending(metric) else F.col("score").desc()
-    return ranked(pairs.select("query_id", "id", score.alias("score")), k, order, F.col("id"))
+    scored = pairs.select("query_id", "id", score.alias("score")).where("score is not null")
+    return ranked(scored, k, order, F.col("id"))
 
 
 def terms(text: str | Column) -> Column:

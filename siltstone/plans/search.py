@@ -113,6 +113,19 @@ def pack_vectors(spark, d):
     return v.select("vec_id", fault.alias("fault"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
+def knn_inverted_lists(spark, d):
+    """Per query, whether the index finds nine tenths of the exact 20 nearest with the probes that tuning chose."""
+    from siltstone.operators import annindex as ann
+    from siltstone.runtime import cut
+
+    index = _index(spark, d)
+    lists = ann.fit(index, 16)
+    indexed = cut(ann.assign(index, lists))
+    probes, _ = ann.tune(index, indexed, lists, 20)
+    exact = r.knn(index, _vectors(spark, d), 20)
+    return r.recall_at(ann.search(indexed, _vectors(spark, d), lists, 20, probes), exact, 20).select("query_id", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def exact_id_channel(spark, d):
     return _exact(spark, d)
 
@@ -156,9 +169,10 @@ QUERIES = {
     "knn_cosine": _knn("cosine"), "knn_ip": _knn("IP"), "knn_l2": _knn("L2"), "bm25_search": bm25_search, "bm25_most_fields": bm25_most_fields,
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
-    "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
+    "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors, "knn_inverted_lists": knn_inverted_lists,
 }
 ORACLES = {
+    "knn_inverted_lists": "SELECT vec_id AS query_id, true AS reached FROM embeddings WHERE vec_id IN (1, 2, 3)",
     **{f"knn_{m.lower()}": f"WITH {_Q}, {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
     "bm25_search": f"WITH {_Q}, {_bm25_sql(_DOCS, 10)} SELECT * FROM words",
     "bm25_most_fields": f"WITH q AS (SELECT 1::BIGINT AS query_id, 'src3 the tion' AS query), {_bm25_sql(_DOCS, 10, fields=('content', 'title'))} SELECT * FROM words",

@@ -63,3 +63,25 @@ def test_queries_and_limits(spark):
         r.bm25(spark.createDataFrame([(1, "x")], "id long, content string"), many, ["content"])
     with pytest.raises(ValueError):
         r.bm25(q, q, [])
+
+
+def test_inverted_lists(spark):
+    import numpy as np
+
+    from siltstone.operators import annindex as ann
+
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(20, 16)) * 3
+    rows = [(k, (centers[k % 20] + rng.normal(size=16)).tolist()) for k in range(2000)] + [(5000, None), (5001, [0.0] * 16)]
+    index = spark.createDataFrame(rows, "id long, embedding array<float>")
+    lists = ann.fit(index, 20)
+    indexed = ann.assign(index, lists).cache()
+    assert indexed.count() == len(rows) and indexed.where("list_id = -1").count() == 1
+    probes, got = ann.tune(index.where("id < 2000"), indexed, lists)
+    assert got >= 0.95 and probes <= 10
+    queries = index.where("id in (3, 77)").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    full = ann.search(indexed, queries, lists, 5, 20).orderBy("query_id", "rank").collect()
+    exact = r.knn(index, queries, 5).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x.id) for x in full] == [(x.query_id, x.id) for x in exact]
+    with pytest.raises(ValueError):
+        ann.fit(index.where("false"))
