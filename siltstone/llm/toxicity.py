@@ -33,7 +33,7 @@ LEAST_DOCS, LEAST_Z = 4, 4.0
 #: Of those, the farthest from zero in standard errors; the regression has so many weights at most.
 FEATURES_MOST = 4096
 #: The bound of the labelled sample that the model is fitted on.
-FIT_ROWS = 20_000
+FIT_ROWS = 16_000
 THRESHOLD = 0.5
 ROUNDS, RATE, PENALTY = 120, 0.05, 1e-3
 
@@ -105,6 +105,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     """Penalised logistic regression on sparse rows (in row order) by full-batch Adam, deterministic."""
     by_col = np.argsort(cols, kind="stable")
     rows_c, values_c, cols_c = rows[by_col], values[by_col], cols[by_col]
+    del by_col
     # Sums over rows and over columns are sums over consecutive entries.
     row_at, col_at = (np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1)) if len(k) else np.zeros(0, np.int64) for k in (rows, cols_c))
     row_of, col_of = rows[row_at], cols_c[col_at]
@@ -140,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     fitted = known.mapInArrow(chosen, "grams binary, y int").toArrow()
     y = fitted.column(1).to_numpy().astype(np.float64)
-    features = [np.frombuffer(x, "<i4") for x in fitted.column(0).to_pylist()]
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in features])
+    features = fitted.column(0).to_pylist()
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) // 4 for x in features])
+    grams = np.frombuffer(b"".join(features), "<i4")
+    del fitted, features
     slot = (np.cumsum(used) - 1).astype(np.int32)
-    grams = np.concatenate(features)
     w, bias = fit_logistic(rows, slot[grams], ratio.astype(np.float32)[grams], y, int(used.sum()))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used]
