@@ -38,20 +38,27 @@ THRESHOLD = 0.5
 ROUNDS, RATE, PENALTY = 120, 0.05, 1e-3
 
 
-def ngrams(text: bytes | None) -> np.ndarray:
-    """Hashed n-grams of the lower-cased text's code points, repeats included."""
-    if not text:
-        return np.zeros(0, np.int64)
-    points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(points) < n:
-            break
-        h = np.full(len(points) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h + points[k : len(points) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+#: Code points of a text that are hashed at a time.
+_AT_ONCE = 1 << 20
+
+
+def ngrams(text: bytes | None, used: np.ndarray | None = None) -> np.ndarray:
+    """The distinct hashed n-grams (of the used ones) of the lower-cased text's code points."""
+    folded = (text or b"").decode("utf-8", "replace").lower()
+    parts = []
+    for at in range(0, len(folded), _AT_ONCE):
+        piece = folded[at : at + _AT_ONCE + ORDERS[-1] - 1]
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        for n in ORDERS:
+            size = min(_AT_ONCE, len(points) - n + 1)
+            if size < 1:
+                break
+            h = np.full(size, n, np.uint64)
+            for k in range(n):
+                h = (h + points[k : size + k]) * np.uint64(0x9E3779B97F4A7C15)
+            grams = (h >> np.uint64(64 - BITS)).astype(np.int32)
+            parts.append(np.unique(grams if used is None else grams[used[grams]]))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -63,9 +70,7 @@ class Model:
     used: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, bool))
 
     def score(self, text: bytes | None) -> float:
-        grams = ngrams(text)
-        present = np.unique(grams[self.used[grams]])
-        z = self.bias + float(self.weights[present].sum(dtype=np.float64))
+        z = self.bias + float(self.weights[ngrams(text, self.used)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -74,7 +79,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     rows = np.zeros(2, np.int64)
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts[y][np.unique(ngrams(text.as_py()))] += 1
+            counts[y][ngrams(text.as_py())] += 1
             rows[y] += 1
     used = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
@@ -136,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [np.unique(g[used[g]]).astype("<i4").tobytes() for g in (ngrams(t.as_py()) for t in batch.column(0))]
+            grams = [ngrams(t.as_py(), used).astype("<i4").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["grams", "y"])
 
     fitted = known.mapInArrow(chosen, "grams binary, y int").toArrow()

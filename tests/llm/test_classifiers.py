@@ -34,6 +34,17 @@ def test_toxicity_on_held_out(spark):
     assert model.score(clean.encode()) < 0.5
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = ("The tion of an IDIOT é日 " * 30).encode()
+    whole = toxicity.ngrams(text)
+    for size in (7, 100):
+        monkeypatch.setattr(toxicity, "_AT_ONCE", size)
+        assert np.array_equal(toxicity.ngrams(text), whole)
+    used = np.zeros(1 << toxicity.BITS, bool)
+    used[whole[::3]] = True
+    assert np.array_equal(toxicity.ngrams(text, used), whole[::3])
+
+
 def test_quality_on_held_out(spark):
     model, score, y, predicted = judged(spark, quality, "quality")
     assert auc(score, y) > 0.95 and (predicted == y).mean() > 0.93
