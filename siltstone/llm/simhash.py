@@ -58,13 +58,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1)
         out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, digest, fp): a hash of the text as it is, and its fingerprint as a signed long."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, digest long, fp long")
 
 
 def _bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]:
@@ -153,12 +153,17 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _compared(batches, radius), "u long, v long")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of each class of equal fingerprints: its least id, and its component's fingerprint."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = connected_components(links(classes.select("fp"), radius))
+    return classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of docs."""
     prints = cut(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(links(classes.select("fp"), radius))
-    rooted = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(prints, radius)
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return prints.join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
@@ -168,10 +173,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: that of the least id."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
-    kept = cut(kept)
-    out = docs.join(kept.select("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the least id, null last, then of the least hash of its text."""
+    prints = cut(fingerprints(docs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    # Equal fingerprints are one row before the join, however many documents share one.
+    by_print = prints.groupBy("fp").agg(least.alias("w"))
+    winners = by_print.join(_rooted(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w"))
+    kept = cut(winners.select(F.col("w.doc_id").alias("_kept"), F.col("w.digest").alias("_of")))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left_semi")
+    twice = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])

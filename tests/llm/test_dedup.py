@@ -54,7 +54,7 @@ def test_simhash_against_brute_force(spark, monkeypatch, tile):
             changed = list(words)
             changed[rng.randrange(len(changed))] = "changed"
             rows.append((10 * k + c, "  ".join(changed).upper() if c % 2 else "\n".join(changed)))
-    rows += [(7000, None), (7001, ""), (7002, " \x0b"), (7003, "one two three"), (7004, "ONE two\tthree"), (None, "one two three"), (7003, "one two three"), (7005, "w " * 30000), (None, "alone here")]
+    rows += [(7000, None), (7001, ""), (7002, " \x0b"), (7003, "one two three"), (7004, "ONE two\tthree"), (None, "one two three"), (7003, "one two three"), (None, "lonely words of no id"), (None, "other lonely words"), (None, "other lonely words"), (7005, "w " * 30000), (None, "alone here")]
     prints = [slow_fingerprint(t) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
     root = roots(len(rows), links)
@@ -68,8 +68,11 @@ def test_simhash_against_brute_force(spark, monkeypatch, tile):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     kept = simhash.keep_one(df)
     assert kept.schema == df.schema
-    with_id = {c for _, _, c in want if c is not None}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(with_id)
+    winner = {}
+    for (k, t), r in zip(rows, root, strict=True):
+        mine = (k is None, k or 0, 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)), k, t)
+        winner[r] = min(winner.get(r, mine), mine)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, (w[3:] for w in winner.values())))
 
 
 def test_simhash_links_are_all_found():
