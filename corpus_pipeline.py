@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, packing, simhash, superkmer, toxicity
+from siltstone.llm import mixing, neardup, packing, superkmer, toxicity
 from siltstone.runtime import prepare, scratch, table
 
 
@@ -21,9 +21,9 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the least id stays."""
+    """Of each group linked by 5-word Jaccard 0.8 or more, the document of the least id stays."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", _toxicity),
-    ("simhash near-dedup", _near_duplicates),
+    ("near-dedup", _near_duplicates),
     ("substring dedup", _substrings),
     ("mixing", _mixing),
     ("packing", _packing),

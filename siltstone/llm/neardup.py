@@ -1,0 +1,144 @@
+"""Near-dedup by exact Jaccard similarity of word shingles.
+
+A document is the set of XXH64 values of its shingles; equal sets form one class.
+Two sets of similarity SIMILARITY or more share a value among the least fifth of
+each (prefix filter), so classes that share one are all the candidates there can
+be, and each candidate is checked on the whole sets. Classes are first compared
+with the least and the largest class they share a value with; the rest is paired
+only across the components which that gives, so a group of copies close to either
+costs a row each. Other large groups cost a row a pair.
+
+Defined cases: null or blank text has no words and the empty set, one class;
+fewer words than the shingle size give one shingle of all of them; repeated rows
+and ids are separate rows of one class.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.llm.components import connected_components
+from siltstone.runtime import cut, scratch
+
+SHINGLE_WORDS = 5
+HASH_SEED = 42
+#: 0.8, as a fraction of whole numbers.
+PART, WHOLE = 4, 5
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The distinct XXH64 values, as signed longs in ascending order."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    k = min(SHINGLE_WORDS, len(words))
+    digest = xxhash.xxh64_intdigest
+    values = [digest(b" ".join(words[i : i + k]), HASH_SEED) for i in range(len(words) - k + 1)] if words else []
+    return np.unique(np.array(values, np.uint64).view(np.int64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return WHOLE * both >= PART * (len(a) + len(b) - both)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for batch in batches:
+        sets = [shingles(t.as_py()) for t in batch.column(1)]
+        keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], np.uint64).view(np.int64)
+        sizes = [len(s) for s in sets]
+        prefixes = [s[: len(s) - -(-PART * len(s) // WHOLE) + 1] for s in sets]
+        arrays = [batch.column(0), batch.column(2), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "key", "n", "prefix", "hashes"])
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, key, n, prefix, hashes): a hash of the text as it is, and its set; written and read again."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+    path = scratch(docs.sparkSession, "shingles")
+    narrow.mapInArrow(_described, "doc_id long, digest long, key long, n int, prefix array<long>, hashes binary").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def possible(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """Whether sets of n and m values with the prefixes a and b can be similar: up to the lesser end, both are whole."""
+    end = min(a[-1], b[-1])
+    i, j = np.searchsorted(a, end, "right"), np.searchsorted(b, end, "right")
+    both = len(np.intersect1d(a[:i], b[:j], assume_unique=True))
+    return (PART + WHOLE) * (both + min(n - i, m - j)) >= PART * (n + m)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in (3, 5))
+        keep = [possible(*x) for x in zip(a, batch.column(2).to_pylist(), b, batch.column(4).to_pylist(), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [[np.frombuffer(x.as_py(), np.int64) for x in batch.column(c)] for c in (2, 3)]
+        keep = pa.array([similar(a, b) for a, b in zip(*sets, strict=True)], pa.bool_())
+        yield batch.select([0, 1]).filter(keep)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (u, v), those whose sets are similar; judged by the prefixes first, which are a fifth of the sets."""
+    left, right = (classes.select(F.col("key").alias(k), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_p")) for k in "uv")
+    pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "u_n", "u_p", "v_n", "v_p")
+    pairs = cut(pairs.mapInArrow(_possible, "u long, v long"))
+    asked = pairs.select("u").union(pairs.select("v")).distinct()
+    needed = sets.join(asked, sets["key"] == asked["u"], "left_semi").dropDuplicates(["key"])
+    left, right = (needed.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}_set")) for k in "uv")
+    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(_checked, "u long, v long"))
+
+
+def _near(u: str, v: str) -> str:
+    """A condition that similar sets meet at the first value they share, u and v being structs of their sizes and its places."""
+    return f"{PART + WHOLE} * least({u}.n - {u}.at, {v}.n - {v}.at) >= {PART} * ({u}.n + {v}.n)"
+
+
+def links(found: DataFrame) -> DataFrame:
+    """described documents -> (u, v): edges whose components are those of all similar pairs of classes."""
+    sets = found.select("key", "hashes")
+    classes = cut(found.select("key", "n", "prefix").dropDuplicates(["key"]))
+    index = classes.select("key", "n", F.posexplode("prefix").alias("at", "h")).select("h", F.struct("key", "n", "at").alias("c"))
+    shared = index.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo.key < hi.key")
+    members = cut(index.join(shared, "h"))
+    pair = lambda u, v: members.where(f"{u}.key < {v}.key and {_near(u, v)}").select(F.col(f"{u}.key").alias("u"), F.col(f"{v}.key").alias("v"))
+    stars = cut(pair("lo", "c").union(pair("c", "hi")).distinct())
+    first = _verified(stars, classes, sets)
+    labels = connected_components(first)
+    tagged = members.join(labels, F.col("c.key") == labels["node"], "left").select("h", "c", F.coalesce("component", "c.key").alias("root"))
+    mixed = tagged.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    open_ = cut(tagged.join(mixed, "h", "left_semi"))
+    x, y = (open_.select("h", F.col("c").alias(k), F.col("root").alias(f"{k}_root")) for k in "uv")
+    # Of one of the two, the whole prefix is compared; what it shares is in the count, what follows it may be shared.
+    rest = f"greatest(({PART} * u_n + {WHOLE - 1}) div {WHOLE}, ({PART} * v_n + {WHOLE - 1}) div {WHOLE}) - 1"
+    across = x.join(y, "h").where(f"u.key < v.key and u_root <> v_root and {WHOLE} * least(u.n, v.n) >= {PART} * greatest(u.n, v.n)")
+    across = across.groupBy(F.col("u.key").alias("u"), F.col("v.key").alias("v")).agg(
+        F.count("*").alias("both"), F.min("u.n").alias("u_n"), F.min("v.n").alias("v_n"), F.bool_or(F.expr(_near("u", "v"))).alias("near")
+    ).where(f"near and {PART + WHOLE} * (both + {rest}) >= {PART} * (u_n + v_n)").select("u", "v")
+    return first.union(_verified(cut(across.join(stars, ["u", "v"], "left_anti")), classes, sets))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least id, null last, then of the least hash of its text."""
+    found = described(docs)
+    labels = connected_components(links(found))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    # Equal sets are one row before the join, however many documents share one.
+    classes = found.groupBy("key").agg(least.alias("w"))
+    rooted = classes.join(labels, classes["key"] == labels["node"], "left").select("w", F.coalesce("component", "key").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("w").alias("w"))
+    kept = cut(winners.select(F.col("w.doc_id").alias("_kept"), F.col("w.digest").alias("_of")))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left_semi")
+    twice = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
