@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -37,6 +39,23 @@ def _knn(metric):
     return lambda spark, d: r.knn(_index(spark, d), _vectors(spark, d), 10, metric)
 
 
+def _in_blocks(search, queries):
+    """search(queries), of sets too large to be broadcast at once in blocks of about half the bound."""
+    blocks = max(1, -(-2 * queries.count() // r.MOST_QUERIES))
+    parts = [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _knn_every(metric):
+    """Every vector whose id is divisible by 50 asks for its nearest of all."""
+
+    def query(spark, d):
+        asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        return _in_blocks(lambda queries: r.knn(_index(spark, d), queries, 10, metric), asked)
+
+    return query
+
+
 def bm25_search(spark, d):
     return r.bm25(_docs(spark, d), _queries(spark, d), ["content"])
 
@@ -170,10 +189,12 @@ QUERIES = {
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
     "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors, "knn_inverted_lists": knn_inverted_lists,
+    **{f"knn_{m.lower()}_every_50th": _knn_every(m) for m in ("COSINE", "IP", "L2")},
 }
 ORACLES = {
     "knn_inverted_lists": "SELECT vec_id AS query_id, true AS reached FROM embeddings WHERE vec_id IN (1, 2, 3)",
     **{f"knn_{m.lower()}": f"WITH {_Q}, {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
+    **{f"knn_{m.lower()}_every_50th": f"WITH qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
     "bm25_search": f"WITH {_Q}, {_bm25_sql(_DOCS, 10)} SELECT * FROM words",
     "bm25_most_fields": f"WITH q AS (SELECT 1::BIGINT AS query_id, 'src3 the tion' AS query), {_bm25_sql(_DOCS, 10, fields=('content', 'title'))} SELECT * FROM words",
     "rrf_hybrid": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '') WHERE n <= 5",

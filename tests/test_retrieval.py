@@ -85,3 +85,15 @@ def test_inverted_lists(spark):
     assert [(x.query_id, x.id) for x in full] == [(x.query_id, x.id) for x in exact]
     with pytest.raises(ValueError):
         ann.fit(index.where("false"))
+
+
+def test_every_fiftieth_vector_asks(spark, monkeypatch):
+    from siltstone.plans import catalog
+    from siltstone.runtime import table
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in table(spark, sf, "embeddings").where("vec_id % 50 = 0").select("vec_id").collect()}
+    whole = {tuple(x) for x in catalog.QUERIES["knn_cosine_every_50th"](spark, sf).collect()}
+    assert len(want) > 1 and {x[0] for x in whole} == want
+    monkeypatch.setattr("siltstone.operators.retrieval.MOST_QUERIES", max(2, len(want) - 1))
+    assert {tuple(x) for x in catalog.QUERIES["knn_cosine_every_50th"](spark, sf).collect()} == whole
