@@ -224,6 +224,12 @@ def lexical_index(spark, d):
     return r.inverted_index(docs, ["text", "title"]).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").cast("bigint").alias("longest")).where("df >= 20")
 
 
+def lexical_index_all(spark, d):
+    """Every term, however rare."""
+    docs = schema.documents(spark, d).select("id", "text", "title")
+    return r.inverted_index(docs, ["text", "title"]).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").cast("bigint").alias("longest"))
+
+
 def reindex_summary(spark, d):
     from siltstone.operators.indexing import reindex_summary as summary
 
@@ -236,6 +242,13 @@ def chunk_report(spark, d):
     return report(schema.documents(spark, d), _chunk_states(spark, d).where("document_id % 4 = 0"))
 
 
+def chunk_report_all(spark, d):
+    """The chunks of all documents."""
+    from siltstone.operators.indexing import chunk_report as report
+
+    return report(schema.documents(spark, d), _chunk_states(spark, d))
+
+
 def upload_documents(spark, d):
     from siltstone.operators.indexing import upload
 
@@ -331,3 +344,8 @@ ORACLES = {
       SELECT d.doc_id AS id, count(c.document_id) AS chunks, count(*) FILTER (vector_status = 'indexed') AS indexed, count(*) FILTER (vector_status = 'failed') AS failed
       FROM documents d LEFT JOIN ({_CHUNK_STATES}) c ON c.document_id = d.doc_id GROUP BY d.doc_id)""",
 }
+QUERIES |= {"lexical_index_all": lexical_index_all, "chunk_report_all": chunk_report_all}
+ORACLES |= {
+    "lexical_index_all": ORACLES["lexical_index"].removesuffix(" HAVING count(*) >= 20"),
+    "chunk_report_all": ORACLES["chunk_report"].removesuffix(" WHERE document_id % 4 = 0"),
+}

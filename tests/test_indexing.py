@@ -94,3 +94,11 @@ def test_runs(spark):
     assert lc.release_runs(taken.state, F.lit(True), now).count() == 1
     done = lc.finish_runs(taken.state, F.lit(True), now, "boom").state
     assert sorted((x.id, x.status, x.error_code) for x in done.collect()) == [(1, "FAILED", "boom"), (2, "COMPLETED", None)]
+
+
+def test_index_and_report_of_everything(spark):
+    from siltstone.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["lexical_index_all"](spark, sf).where("df < 20").count() > 0
+    assert catalog.QUERIES["chunk_report_all"](spark, sf).where("chunk_id div 1000 % 4 <> 0").count() > 0
