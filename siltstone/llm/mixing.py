@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.names import fresh
 from siltstone.runtime import cut
 
 #: Sources by code point, null last, weigh these in turn.
@@ -98,14 +99,13 @@ def plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of docs as many times as the mix takes it, all columns kept."""
-    sized = docs.select("source", word_count("text").alias("size"))
-    names = {"source_size": "_source_size", "target": "_target", "rate": "_rate"}
-    per = targets(sized).withColumnsRenamed(names | {"source": "_key"})
+    key, rate, copy = fresh(docs, "_key", "_rate", "_copy")
+    per = targets(docs.select("source", word_count("text").alias("size"))).select(F.col("source").alias(key), F.col("rate").alias(rate))
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    joined = docs.join(per, docs["source"].eqNullSafe(per["_key"]), "left")
-    times = copies(F.coalesce(F.col("_rate"), F.lit(0.0)), docs["doc_id"])
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    joined = docs.join(per, docs["source"].eqNullSafe(per[key]), "left")
+    times = copies(F.coalesce(F.col(rate), F.lit(0.0)), docs["doc_id"])
+    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
     return repeated.select(*[docs[c] for c in docs.columns])
 
 

@@ -1,70 +1,117 @@
 """SimHash near-dedup by tiled exact comparison.
 
-Documents become 64-bit fingerprints of their word shingles; equal fingerprints
-form one class. Classes are cut into tiles by population count, and tile pairs
-whose counts differ by more than the radius are never formed. Inside a task,
-blocks of both tiles are skipped when the counts of their quarters differ by
-more than the radius together; the rest is compared exactly with exclusive-or
-and bit counts. A task returns a spanning forest of its links, not the links.
+Documents become fingerprints of their word shingles: LANES 64-bit words, a bit
+being set if it is in over half of the shingles' hashes. Equal fingerprints form
+one class. Classes are cut into tiles by population count, and tile pairs whose
+counts differ by more than the radius are never formed. Inside a task, blocks of
+both tiles are skipped when the counts of their quarters differ by more than the
+radius together; the rest is compared exactly with exclusive-or and bit counts.
+A task returns a spanning forest of its links, not the links.
+
+``near_duplicates`` links by the radius alone. ``keep_one`` can ask for more: then
+classes are texts of equal words, a wide radius gives candidates, and a candidate
+pair counts only if the Jaccard similarity of its shingle sets is as asked. The
+pairs are checked where the texts of one group of candidates meet, a block of
+texts against another, so no pair is ever a row.
 
 Defined cases: null or blank text has no words and fingerprint 0, which links
 like any other; fewer words than the shingle size give one shingle of all of
 them; repeated rows and ids are separate rows of one class; a null doc_id gets
-the least non-null id of its component, null if there is none.
+the least non-null id of its component, null if there is none; an empty table
+gives no rows. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.components import Forest, connected_components
+from siltstone.llm.components import Forest, connected_components, least_of
+from siltstone.llm.names import fresh
 from siltstone.runtime import cut
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 RADIUS = 4
+#: Similarity search: shingles of so many words, fingerprints of so many lanes, and the radius that has 0.8 inside.
+#: Sets of Jaccard similarity 0.8 differ in 19.4 +- 4.1 of 128 bits, unlike ones in 64 +- 5.7.
+SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_RADIUS = 5, 2, 30
+SIMILARITY = 0.8
 #: Fingerprints in a tile: this at least, and a share of all so that the number of pairs levels off.
-TILE_LEAST, TILE_MOST, TILES_AIMED = 2048, 1 << 18, 128
-_COUNTED_AT_ONCE = 1 << 15
+TILE_LEAST, TILE_MOST, TILES_AIMED = 2048, 1 << 18, 32
+#: What a block of texts to be checked holds, in texts and in bytes.
+BLOCK_TEXTS, BLOCK_BYTES = 4096, 32 << 20
+#: Candidates' keys are broadcast up to so many rows of some 30 bytes; beyond it texts are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Shingles of a text that are hashed at a time.
+_AT_ONCE = 1 << 14
+#: 0.8 isn't a binary fraction; whole numbers must still meet it exactly.
+_ROUNDING = 1e-9
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Unsigned; bit i is set if it is set in over half of the shingles' XXH64 values."""
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int, lanes: int = 1) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 values of the shingles, a row each, a column for each lane's seed; in parts of _AT_ONCE rows."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(SHINGLE_WORDS, len(words))
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _COUNTED_AT_ONCE):
-        part = hashes[at : at + _COUNTED_AT_ONCE].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    k = min(size, len(words))
+    for at in range(0, len(words) - k + 1 if words else 0, _AT_ONCE):
+        part = words[at : at + _AT_ONCE + k - 1]
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(part) - k + 1]
+        spans = [joined[a:b] for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)]
+        yield np.stack([np.fromiter((digest(s, HASH_SEED + lane) for s in spans), np.uint64, len(spans)) for lane in range(lanes)], axis=1)
+
 
+def majority(parts: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """One unsigned word a lane; a bit is set if it is set in over half of all rows."""
+    ones, n = np.zeros(64 * lanes, np.int64), 0
+    for part in parts:
+        n += len(part)
+        ones += np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(text: bytes | None) -> int:
+    """Unsigned, of one lane."""
+    return int(majority(shingle_hashes(words_of(text), SHINGLE_WORDS))[0])
+
+
+def _prints(batches: Iterator[pa.RecordBatch], size: int, lanes: int, by_words: bool) -> Iterator[pa.RecordBatch]:
+    import xxhash
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "digest", "fp"])
+        fps, keys = np.zeros((batch.num_rows, lanes), np.uint64), np.zeros((batch.num_rows, 2), np.uint64)
+        for k, text in enumerate(batch.column(1)):
+            words = words_of(text.as_py())
+            fps[k] = majority(shingle_hashes(words, size, lanes), lanes)
+            if by_words:
+                keys[k] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<u8")
+            else:
+                keys[k, 0] = fps[k, 0]
+        columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(x.view(np.int64).copy()) for x in (*keys.T.copy(), *fps.T.copy()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bytes", "k0", "k1", *_fps(lanes)])
+
+
+def _fps(lanes: int) -> list[str]:
+    return [f"fp{k}" for k in range(lanes)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, fp): a hash of the text as it is, and its fingerprint as a signed long."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, digest long, fp long")
+def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, lanes: int = 1, by_words: bool = False) -> DataFrame:
+    """(doc_id, digest, bytes, k0, k1, fp0, ...): of the text as it is a hash and its size, the key of its class, and its fingerprint, as signed longs."""
+    text = F.col("text").cast("binary")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("bytes"))
+    schema = ", ".join(f"{c} long" for c in ["doc_id", "digest", "bytes", "k0", "k1", *_fps(lanes)])
+    return narrow.mapInArrow(lambda batches: _prints(batches, size, lanes, by_words), schema)
 
 
 def _bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]:
@@ -78,109 +125,222 @@ def _bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]:
     return [(lo, hi, -(-n // tile)) for lo, hi, n in bands]
 
 
-def _blocks(x: np.ndarray, size: int = 512) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of x, sorted by its quarters' population counts: (offset, part, least and largest counts)."""
-    quarters = np.bitwise_count(x[:, None] >> np.arange(0, 64, 16, dtype=np.uint64) & np.uint64(0xFFFF)).astype(np.int16)
-    order = np.lexsort(quarters.T[::-1])
-    x[:], quarters = x[order], quarters[order]
-    return [(at, x[at : at + size], quarters[at : at + size].min(axis=0), quarters[at : at + size].max(axis=0)) for at in range(0, len(x), size)]
+class _Side:
+    """A tile's fingerprints, a row each, in blocks of like population counts."""
 
+    def __init__(self, x: np.ndarray, size: int = 512):
+        quarters = np.bitwise_count(x[:, :, None] >> np.arange(0, 64, 16, dtype=np.uint64) & np.uint64(0xFFFF)).astype(np.int16).reshape(len(x), 4 * x.shape[1])
+        self.order = np.lexsort(quarters.T[::-1])
+        quarters = quarters[self.order]
+        lanes = [np.ascontiguousarray(x[self.order, k]) for k in range(x.shape[1])]
+        self.blocks = [
+            (self.order[at : at + size], [lane[at : at + size] for lane in lanes], quarters[at : at + size].min(axis=0), quarters[at : at + size].max(axis=0))
+            for at in range(0, len(x), size)
+        ]
 
-def _compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within left, or between left and right."""
-    nodes = left if right is None else np.concatenate([left, right])
-    split = len(left)
-    rows = _blocks(nodes[:split])
-    cols = rows if right is None else _blocks(nodes[split:])
-    shift = 0 if right is None else split
-    forest = Forest(len(nodes))
-    for p, (at, a, lo, hi) in enumerate(rows):
-        for bt, b, low, high in cols[p:] if right is None else cols:
+
+def _near(a: list[np.ndarray], b: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    apart = np.bitwise_count(a[0][:, None] ^ b[0][None, :])
+    for x, y in zip(a[1:], b[1:], strict=True):
+        apart += np.bitwise_count(x[:, None] ^ y[None, :])
+    flat = np.flatnonzero(apart.reshape(-1) <= radius)
+    return np.divmod(flat, len(b[0]))
+
+
+def _pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, in parts: of left's rows, or of left's and (counted on) right's."""
+    rows = _Side(left)
+    cols = rows if right is None else _Side(right)
+    shift = 0 if right is None else len(left)
+    for p, (at, a, lo, hi) in enumerate(rows.blocks):
+        for bt, b, low, high in cols.blocks[p:] if right is None else cols.blocks:
             if np.maximum(np.maximum(low - hi, lo - high), 0).sum() > radius:
                 continue
-            i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+            i, j = _near(a, b, radius)
             if len(i):
-                forest.link(i + at, j + bt + shift)
-    child, root = forest.edges()
-    return nodes[child], nodes[root]
+                yield at[i], bt[j] + shift
+
+
+def _compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (child, root) of the links within left, or between left and right."""
+    forest = Forest(len(left) + (0 if right is None else len(right)))
+    for i, j in _pairs(left, right, radius):
+        forest.link(i, j)
+    return forest.edges()
 
 
 def _compared(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pair, each pair as two tiles or, of a tile with itself, one."""
+    """Rows (a, b, tile) come sorted by pair, each pair as two tiles or, of a tile with itself, one."""
     held: tuple | None = None
 
-    def result(left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
-        u, v = _compare(left, right, radius)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def result(nodes: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
+        child, root = _compare(left, right, radius)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root])], ["u", "v"])
 
     for batch in batches:
         for k in range(batch.num_rows):
             a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            tile = np.array(batch.column(2)[k].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+            node, *lanes = (np.array(x.to_numpy(zero_copy_only=False), np.int64) for x in batch.column(2)[k].values.flatten())
+            tile = np.stack(lanes, axis=1).view(np.uint64)
             if a == b:
-                yield result(tile, None)
+                yield result(node, tile, None)
             elif held and held[:2] == (a, b):
-                yield result(held[2], tile)
+                yield result(np.concatenate([held[2], node]), held[3], tile)
                 held = None
             else:
-                held = (a, b, tile)
+                held = (a, b, node, tile)
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """classes (fp), distinct -> (u, v): edges whose components are those of all pairs within the radius."""
-    pop = F.bit_count("fp")
-    counts = {int(r["pop"]): int(r["n"]) for r in classes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+def links(classes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
+    """classes (cid, fp0, ...) -> (u, v): edges of cids whose components are those of all pairs within the radius."""
+    pop = sum((F.bit_count(c) for c in _fps(lanes)), F.lit(0))
+    counts = {int(r["pop"]): int(r["n"]) for r in classes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # 64 rows a lane, and one
     total = sum(counts.values())
-    bands = _bands(counts, min(TILE_MOST, max(TILE_LEAST, total // TILES_AIMED)))
+    bands = _bands(counts, min(TILE_MOST, max(TILE_LEAST * lanes, total // TILES_AIMED)))
     if not bands:
-        return classes.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        return classes.select(F.col("cid").alias("u"), F.col("cid").alias("v"))
     band = F.lit(0)
     for k, (lo, _, _) in enumerate(bands):
         band = F.when(pop >= lo, F.lit(k)).otherwise(band)
     firsts = np.cumsum([0] + [n for _, _, n in bands]).tolist()
-    placed = classes.select("fp", band.alias("band"))
+    placed = classes.select("cid", *_fps(lanes), band.alias("band"))
     at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("band") + 1)
     tiles = placed.select(
-        "band", (at(firsts[:-1]) + F.pmod(F.xxhash64("fp"), at([n for _, _, n in bands]))).cast("int").alias("tile"), "fp"
-    ).groupBy("band", "tile").agg(F.collect_list("fp").alias("fps"))
+        "band", (at(firsts[:-1]) + F.pmod(F.xxhash64("cid"), at([n for _, _, n in bands]))).cast("int").alias("tile"), F.struct("cid", *_fps(lanes)).alias("x")
+    ).groupBy("band", "tile").agg(F.collect_list("x").alias("xs"))
     # The tiles within reach of a band are consecutive: bands are in order of their counts.
     reach = [[k for k, (lo, hi, _) in enumerate(bands) if lo - bands[j][1] <= radius and bands[j][0] - hi <= radius] for j in range(len(bands))]
     first, last = at([firsts[r[0]] for r in reach]), at([firsts[r[-1] + 1] - 1 for r in reach])
-    pairs = tiles.select("tile", "fps", F.explode(F.sequence(first, last)).alias("other")).select(
-        F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "fps"
+    pairs = tiles.select("tile", "xs", F.explode(F.sequence(first, last)).alias("other")).select(
+        F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "xs"
     )
     dealt = pairs.repartition("a", "b").sortWithinPartitions("a", "b")
     return dealt.mapInArrow(lambda batches: _compared(batches, radius), "u long, v long")
 
 
-def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, least, root) of each class of equal fingerprints: its least id, and its component's fingerprint."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(links(classes.select("fp"), radius))
-    return classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+def _classes(prints: DataFrame, lanes: int = 1) -> DataFrame:
+    """(cid, k0, k1, w, bytes, fp0, ...), a row for each class: w is its least row, by id, null last, then by digest."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("w")
+    per = prints.groupBy("k0", "k1").agg(least, F.max("bytes").alias("bytes"), *[F.first(c).alias(c) for c in _fps(lanes)])
+    return cut(per).withColumn("cid", F.monotonically_increasing_id())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of docs."""
     prints = cut(fingerprints(docs))
-    rooted = _rooted(prints, radius)
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = _classes(prints)
+    labels = connected_components(links(classes, radius))
+    least = least_of(labels, classes.select(F.col("cid").alias("node"), F.col("w").alias("value")))
+    by_class = classes.join(least, classes["cid"] == least["node"], "left").select(F.col("k0").alias("fp"), F.coalesce("value", "w")["doc_id"].alias("component_id"))
+    return prints.select("doc_id", F.col("k0").alias("fp")).join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least id, null last, then of the least hash of its text."""
-    prints = cut(fingerprints(docs))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
-    # Equal fingerprints are one row before the join, however many documents share one.
-    by_print = prints.groupBy("fp").agg(least.alias("w"))
-    winners = by_print.join(_rooted(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w"))
-    kept = cut(winners.select(F.col("w.doc_id").alias("_kept"), F.col("w.digest").alias("_of")))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left_semi")
-    twice = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as ascending arrays, have that Jaccard similarity."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if len(a) < len(b):
+        a, b = b, a
+    both = int((a.take(a.searchsorted(b), mode="clip") == b).sum())
+    return both >= similarity * (len(a) + len(b) - both) - _ROUNDING
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each cid, the first column, in the task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for cid in batch.column(0).to_pylist():
+            new.append(cid not in seen)
+            seen.add(cid)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (component, a, b, side, cid, text) come sorted by the first four; a group is one block of texts, or two.
+
+    Out: a spanning forest (u, v) of the similar pairs among the group's candidates.
+    """
+    held: dict[int, tuple] = {}
+    key = None
+
+    def result() -> pa.RecordBatch:
+        split = sum(1 for side, _, _ in held.values() if side == 0)
+        cids = np.array(list(held), np.int64)
+        fps = np.stack([fp for _, fp, _ in held.values()])
+        sets = [values for _, _, values in held.values()]
+        sizes = np.array([len(s) for s in sets])
+        forest = Forest(len(sets))
+        same = key[1] == key[2]
+        for i, j in _pairs(fps if same else fps[:split], None if same else fps[split:], radius) if same or 0 < split < len(sets) else ():
+            alike = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - _ROUNDING
+            for x, y in np.stack([i, j], axis=1)[alike & (forest.label[i] != forest.label[j])].tolist():
+                if forest.label[x] != forest.label[y] and similar(sets[x], sets[y], similarity):
+                    forest.link(np.array([x]), np.array([y]))
+        child, root = forest.edges()
+        return pa.RecordBatch.from_arrays([pa.array(cids[child]), pa.array(cids[root])], ["u", "v"])
+
+    for batch in batches:
+        fields = [batch.column(k).to_pylist() for k in range(5)]
+        for k, text in enumerate(batch.column(5)):
+            if (now := (fields[0][k], fields[1][k], fields[2][k])) != key:
+                if len(held) > 1:
+                    yield result()
+                held, key = {}, now
+            if fields[4][k] not in held:
+                parts = list(shingle_hashes(words_of(text.as_py()), SIMILAR_WORDS, SIMILAR_LANES))
+                values = np.unique(np.concatenate([p[:, 0] for p in parts])) if parts else np.zeros(0, np.uint64)
+                held[fields[4][k]] = (fields[3][k], majority(parts, SIMILAR_LANES), values)
+    if len(held) > 1:
+        yield result()
+
+
+def _row(doc_id: str | Column, digest_: Column) -> list[Column]:
+    """What tells rows apart in a join, without nulls."""
+    doc = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return [doc.isNull(), F.coalesce(doc.cast("long"), F.lit(0)), digest_]
+
+
+def _similar(docs: DataFrame, classes: DataFrame, candidates: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(u, v): edges of cids whose components are those of all candidate pairs that are similar."""
+    every = candidates.union(candidates.select("component", "component").distinct()).toDF("node", "component")
+    names = ("last", "id", "digest")
+    keyed = cut(classes.join(every, classes["cid"] == every["node"]).select("cid", "component", "bytes", *(c.alias(n) for c, n in zip(_row("w.doc_id", F.col("w.digest")), names, strict=True))))
+    sizes = keyed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    large = cut(sizes.select("component", blocks.alias("blocks")).where("blocks > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    keyed = keyed.drop("bytes").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed
+    texts = docs.select(*(c.alias(n) for c, n in zip(_row("doc_id", F.xxhash64("text")), names, strict=True)), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # A row that repeats without limit leaves a task once.
+    found = texts.join(keyed, list(names)).select("cid", "component", "blocks", "text").mapInArrow(_once, "cid long, component long, blocks int, text binary")
+    placed = found.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = F.least("block", "other"), F.greatest("block", "other")
+    rows = paired.select("component", a.alias("a"), b.alias("b"), (F.col("block") > a).cast("int").alias("side"), "cid", "text")
+    dealt = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "side")
+    return dealt.mapInArrow(lambda batches: _verified(batches, radius, similarity), "u long, v long")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """docs with one row of each group linked by shingle sets of that Jaccard similarity, as far as the radius finds them.
+
+    The row of the least id stays, null last, then that of the least hash of its text; rows equal in both are one.
+    """
+    prints = cut(fingerprints(docs, SIMILAR_WORDS, SIMILAR_LANES, by_words=True))
+    classes = _classes(prints, SIMILAR_LANES)
+    candidates = connected_components(links(classes, radius, SIMILAR_LANES))
+    labels = connected_components(_similar(docs, classes, candidates, radius, similarity))
+    least = least_of(labels, classes.select(F.col("cid").alias("node"), F.col("w").alias("value")))
+    known = classes.join(least, classes["cid"] == least["node"], "left")
+    winners = known.where("value is null or value = w").select(*(c.alias(n) for c, n in zip(_row("w.doc_id", F.col("w.digest")), ("last", "id", "digest"), strict=True)))
+    names = fresh(docs, "_last", "_id", "_digest")
+    kept = cut(winners).toDF(*names)
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(_row(docs["doc_id"], F.xxhash64(docs["text"])), names, strict=True)))
+    # Made distinct map-side first and joined by the same keys, so each text is shuffled once.
+    return marked.dropDuplicates(names).join(kept, names, "left_semi").select(*docs.columns)

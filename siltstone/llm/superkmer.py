@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.names import fresh
 from siltstone.runtime import cut
 
 WINDOW, MINIMISER = 20, 2
@@ -355,8 +356,9 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
     return (None if t is None else expand(t) for t in column.to_pylist())
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with the text compressed, and a column _spans: the parts of it to remove, null where there are none."""
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the text compressed, and a further column: the parts of it to remove, null where there are none; and that column's name."""
+    spans_name, of_name, doc_name = fresh(docs, "_spans", "_of", "_doc")
     ident = _identity(docs["doc_id"], docs["text"])
     bins, buckets = plan(docs)
     heavy = np.zeros(BINS, bool)
@@ -364,10 +366,11 @@ def with_spans(docs: DataFrame) -> DataFrame:
     narrow = docs.select(ident.alias("doc"), F.col("text").cast("binary").alias("text"))
     sent = narrow.mapInArrow(lambda batches: _sent(batches, heavy, buckets), _SENT)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged, "doc binary, spans binary")
-    per = cut(found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("spans").alias("_spans")))
-    known = docs.withColumn("_of", ident)
+    per = cut(found.groupBy(F.col("doc").alias(doc_name)).agg(F.collect_list("spans").alias(spans_name)))
+    known = docs.withColumn(of_name, ident)
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in known.schema)
-    return known.mapInArrow(_squeezed, schema).join(per, F.col("_of") == F.col("_doc"), "left").drop("_of", "_doc")
+    joined = known.mapInArrow(_squeezed, schema).join(per, F.col(of_name) == F.col(doc_name), "left")
+    return joined.drop(of_name, doc_name), spans_name
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,13 +390,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of docs."""
-    spanned = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return spanned.select("doc_id", "text", "_spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spanned, spans = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return spanned.select("doc_id", "text", spans).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch], spans_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, sp = batch.schema.get_field_index("text"), batch.schema.get_field_index("_spans")
+        at, sp = batch.schema.get_field_index("text"), batch.schema.get_field_index(spans_name)
         texts, spans = _texts(batch.column(at)), batch.column(sp).to_pylist()
         new = pa.array([b" ".join(kept_words(t, s)[0]) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string())
         columns = [new if k == at else c for k, c in enumerate(batch.columns) if k != sp]
@@ -402,4 +405,5 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs whose texts have lost their repeated words; texts that lose none stay as they are."""
-    return with_spans(docs).mapInArrow(_cleaned, docs.schema)
+    spanned, name = with_spans(docs)
+    return spanned.mapInArrow(lambda batches: _cleaned(batches, name), docs.schema)

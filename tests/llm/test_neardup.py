@@ -1,15 +1,36 @@
 import random
 
+import pytest
+import xxhash
+
 from corpus_pipeline import _near_duplicates
 from siltstone.llm import simhash
 
 
 def grams(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_brute_force(rows):
+    """Of rows (doc_id, text), the kept ones of each group linked by Jaccard of 0.8 or more, and how many groups have links."""
+    sets = [grams(t) for _, t in rows]
+    label, linked = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                linked += sets[a] != sets[b]
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    best = {}
+    for (k, t), r in zip(rows, label, strict=True):
+        digest = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+        mine = (k is None, k or 0, digest - (digest >> 63 << 64), (k, t))
+        best[r] = min(best.get(r, mine), mine)
+    return [w[-1] for w in best.values()], linked
 
 
-def test_stage_keeps_one_of_each_group_at_four_fifths(spark):
+def corpus():
     rng = random.Random(4)
     text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     rows = []
@@ -21,6 +42,7 @@ def test_stage_keeps_one_of_each_group_at_four_fifths(spark):
             edited[rng.randrange(len(edited))] = "changed"
         rows.append(" ".join(edited))
     hub = text(150)
+    rows.append(" ".join(hub))
     for _ in range(40):  # far from each other, near through the hub
         edited = list(hub)
         for at in rng.sample(range(150), 3):
@@ -28,15 +50,24 @@ def test_stage_keeps_one_of_each_group_at_four_fifths(spark):
         rows.append(" ".join(edited))
     passage = text(60)
     rows += [" ".join(text(90) + passage) for _ in range(40)]  # a common passage, no near copies
-    rows += ["short text", "Short  text", "other text", "", " "]
-    sets = [grams(t) for t in rows]
-    label, far = list(range(len(rows))), 0
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                far += (simhash.fingerprint(rows[a].encode()) ^ simhash.fingerprint(rows[b].encode())).bit_count() > 4
-                low, high = sorted((label[a], label[b]))
-                label = [low if x == high else x for x in label]
-    assert far > 10 and 90 < len(set(label)) < 180
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in _near_duplicates(spark, df, "").collect()) == sorted(set(label))
+    rows += ["short text", "Short  text", "other text", "", " ", "ÄÖ\x0bword " * 30000, "one " * 5000]
+    rows = [(3 * k, t) for k, t in enumerate(rows)]
+    rows += [(9000, None), (9001, rows[0][1]), (None, rows[4][1].upper()), (None, "lonely words"), (None, "lonely words"), (6, rows[2][1]), (7, "seventh"), (7, "seventh"), (7, "Seventh day")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_stage_keeps_one_of_each_group_at_four_fifths(spark, monkeypatch, small):
+    if small:  # many tiles, many blocks, and joins by shuffle
+        monkeypatch.setattr(simhash, "TILE_LEAST", 8)
+        monkeypatch.setattr(simhash, "TILES_AIMED", 1000)
+        monkeypatch.setattr(simhash, "BLOCK_TEXTS", 7)
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    rows = corpus()
+    want, linked = kept_by_brute_force(rows)
+    assert linked > 60 and 90 < len(want) < 180
+    df = spark.createDataFrame([(*r, 1, "a", 2, 3) for r in rows], "doc_id long, text string, _id int, FP0 string, k0 int, value int").repartition(3)
+    kept = _near_duplicates(spark, df, "")
+    assert kept.schema == df.schema
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
