@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import vector
-from siltstone.operators.retrieval import _broadcast, ranked
+from siltstone.operators.retrieval import checked_vectors, in_blocks, ranked
 
 #: Rows that the centroids are fitted on, at most about; picked by a hash of their ids.
 FIT_ROWS = 20_000
@@ -82,21 +82,29 @@ def assign(index: DataFrame, lists: Lists) -> DataFrame:
 
 
 def search(indexed: DataFrame, queries: DataFrame, lists: Lists, k: int, probes: int, metric: str = "COSINE") -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest rows in the probed lists, for queries (query_id, query)."""
+    """(query_id, id, score, rank) of the k nearest rows in the probed lists, for queries (query_id, query).
+
+    Which lists each query probes is broadcast without vectors; a vector is
+    broadcast once.
+    """
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = lists.nearest(np.array(batch.column(1).to_pylist(), np.float64), probes) if batch.num_rows else np.zeros((0, probes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["query_id", "query", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.tolist(), pa.list_(pa.int32()))], ["query_id", "lists"])
 
-    asked = _broadcast(queries.select("query_id", F.col("query").cast("array<double>").alias("query")))
-    each = asked.mapInArrow(probed, f"query_id {queries.schema['query_id'].dataType.simpleString()}, query array<double>, lists array<int>")
-    each = each.select("query_id", "query", F.explode("lists").alias("list_id"))
-    pairs = indexed.join(F.broadcast(each), "list_id")
     score = F.round(vector.score(metric, F.col("embedding"), F.col("query")), 6)
     order = F.col("score").asc() if vector.ascending(metric) else F.col("score").desc()
-    scored = pairs.select("query_id", "id", score.alias("score")).where("score is not null")
-    return ranked(scored, k, order, F.col("id"))
+    asked = checked_vectors(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), None)
+
+    def search_block(block: DataFrame) -> DataFrame:
+        each = block.mapInArrow(probed, f"query_id {queries.schema['query_id'].dataType.simpleString()}, lists array<int>")
+        near = F.broadcast(each.select("query_id", F.explode("lists").alias("list_id")))
+        pairs = indexed.join(near, "list_id").join(block, "query_id")
+        scored = pairs.select("query_id", "id", score.alias("score")).where("score is not null")
+        return ranked(scored, k, order, F.col("id"))
+
+    return in_blocks(search_block, asked)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

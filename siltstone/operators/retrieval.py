@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import vector
 from siltstone.functions.text import is_blank, trim_unicode
+from siltstone.runtime import cut
 
 # Defaults of retrieval and of weighted fusion.
 TOP_K, RRF_K, THRESHOLD, OVERFETCH = 5, 60, 0.0, 4
@@ -22,7 +24,7 @@ WEIGHTS = {"exact": 3.0, "keyword": 1.5, "vector": 1.0}
 CANDIDATES = {"exact": 20, "keyword": 30, "vector": 30}
 MOST_TOP_K, MOST_QUERY_CHARS, MOST_RESULT_BYTES = 10, 2000, 32768
 BM25_K1, BM25_B = 1.2, 0.75
-#: Query vectors broadcast to the index at most.
+#: Queries that are broadcast to the index at a time; larger sets are searched in blocks.
 MOST_QUERIES = 10_000
 
 
@@ -42,25 +44,47 @@ def ranked(df: DataFrame, most: int, *order: Column, per: str = "query_id") -> D
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def _broadcast(queries: DataFrame) -> DataFrame:
-    """The query set as a broadcast side, of checked size; larger sets are to come in blocks."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    return F.broadcast(queries)
-
-
-def knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE") -> DataFrame:
+def in_blocks(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> DataFrame:
+    """search(block) of all queries: one broadcast block, or several of MOST_QUERIES rows at most, dealt by a hash of the whole row."""
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return search(F.broadcast(queries))
+    queries = cut(queries)
+    columns = [F.to_json(F.struct(F.col(c).alias("x"))) for c in queries.columns]
+    blocks = -(-2 * n // MOST_QUERIES)
+    while True:
+        block = F.pmod(F.xxhash64(*columns), F.lit(blocks))
+        most = queries.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
+        if most <= MOST_QUERIES:
+            break
+        if blocks > 16 * n:
+            raise ValueError(f"a query repeats over {MOST_QUERIES} times")
+        blocks *= 2
+    return reduce(DataFrame.unionByName, [search(F.broadcast(queries.where(block == k))) for k in range(blocks)])
+
+
+def checked_vectors(queries: DataFrame, dims: int | None) -> DataFrame:
+    """queries (query_id, query), failing on a vector of another dimension than dims or with a component that isn't finite."""
+    bad = ~vector.is_valid(F.col("query"), F.size("query") if dims is None else dims)
+    return queries.where(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("bad query vector")).cast("boolean")).otherwise(True))
+
+
+def knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", dims: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest in index (id, embedding) for each of queries (query_id, query).
 
-    Vectors without a score (null, or zero under cosine) are no hits.
+    Vectors without a score (null, or zero under cosine) are no hits. A query
+    vector that is null, not finite, or not of dims components is an error.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    pairs = index.select("id", "embedding").join(_broadcast(queries.select("query_id", "query")))
-    score = F.round(vector.score(metric, F.col("embedding"), F.col("query")), 6)
     order = F.col("score").asc() if vector.ascending(metric) else F.col("score").desc()
-    scored = pairs.select("query_id", "id", score.alias("score")).where("score is not null")
-    return ranked(scored, k, order, F.col("id"))
+    score = F.round(vector.score(metric, F.col("embedding"), F.col("query")), 6)
+
+    def search(block: DataFrame) -> DataFrame:
+        scored = index.select("id", "embedding").join(block).select("query_id", "id", score.alias("score")).where("score is not null")
+        return ranked(scored, k, order, F.col("id"))
+
+    return in_blocks(search, checked_vectors(queries.select("query_id", "query"), dims))
 
 
 def terms(text: str | Column) -> Column:
@@ -70,42 +94,73 @@ def terms(text: str | Column) -> Column:
 
 def inverted_index(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(id, field, term, tf, dl): the lexical index as a table."""
-    each = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("terms")) for f in fields])).alias("x"))
-    long = each.select("id", "x.field", F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
+    each = _tokens(docs, fields)
+    long = each.select("id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return long.groupBy("id", "field", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def _tokens(docs: DataFrame, fields: list[str]) -> DataFrame:
+    if not fields:
+        raise ValueError("no field to search")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(terms(f), F.array().cast("array<string>")).alias("terms")) for f in fields]))
+    return docs.select("id", each.alias("x")).select("id", "x.field", "x.terms")
+
+
+def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, dl): how many terms each field has, rows without any too; what BM25 needs beside the inverted index."""
+    return _tokens(docs, fields).select("id", "field", F.size("terms").alias("dl"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, fields: list[str], most: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): Okapi BM25 per field, summed over the fields.
+    """(query_id, id, score, rank): Okapi BM25 per field, summed over the fields, over docs (id, fields...).
 
-    docs (id, fields...) are read once for lengths and once for matches. Only
-    occurrences of query terms are exploded, so what is shuffled follows the
-    matches and not the texts.
+    Only occurrences of the terms asked for are shuffled, so that follows the
+    matches and not the texts. Every search splits all texts; search_terms doesn't.
     """
-    if not fields:
-        raise ValueError("no field to search")
-    wanted = _broadcast(queries.select("query_id", "query")).select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    distinct = wanted.select("term").distinct()
-    tokens = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("terms")) for f in fields])).alias("x")).select("id", "x.field", "x.terms")
-    stats = tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    hits = (
-        tokens.select("id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(F.broadcast(distinct), "term", "left_semi")
-        .groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    # df and stats have a row for each query term and field, and for each field.
-    scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(F.broadcast(wanted), "term")
-    total = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return ranked(total, most, F.col("score").desc(), F.col("id"))
+
+    def hits(wanted: DataFrame) -> DataFrame:
+        each = _tokens(docs, fields).select("id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        kept = each.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+        return kept.groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+
+    return _bm25(hits, lengths(docs, fields), queries, most)
+
+
+def search_terms(index: DataFrame, lengths_: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """bm25 over a stored inverted index and its lengths: only the rows of the terms asked for are read on."""
+    return _bm25(lambda wanted: index.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select("id", "field", "dl", "term", "tf"), lengths_, queries, most)
+
+
+def _bm25(hits_of: Callable[[DataFrame], DataFrame], lengths_: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """Queries of one text are searched once, whatever their number."""
+    stats = lengths_.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    texts = queries.select(F.col("query").alias("query_id")).distinct()
+
+    def search(block: DataFrame) -> DataFrame:
+        wanted = block.select("query_id", F.explode(F.array_distinct(terms("query_id"))).alias("term"))
+        hits = hits_of(wanted)
+        df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+        # df and stats have a row for each term asked for and field, and for each field.
+        scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(F.broadcast(wanted), "term")
+        total = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+        return ranked(total, most, F.col("score").desc(), F.col("id"))
+
+    # `most` rows a text, back to every query that asks it.
+    return in_blocks(search, texts).withColumnRenamed("query_id", "query").join(queries.select("query_id", "query"), "query").select("query_id", "id", "score", "rank")
 
 
 def exact(docs: DataFrame, queries: DataFrame, identifier: str, most: int = CANDIDATES["exact"], pattern: str = r"[A-Za-z]+[0-9]+") -> DataFrame:
     """(query_id, id, score, rank) of docs whose identifier column is named in the query."""
-    named = _broadcast(queries).select("query_id", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(query, '{pattern}', 0)"))).alias("name"))
-    hits = docs.join(F.broadcast(named), F.lower(F.col(identifier)) == F.lower("name")).select("query_id", "id", F.lit(1.0).alias("score")).distinct()
-    return ranked(hits, most, F.col("id"))
+    names = F.explode(F.array_distinct(F.expr(f"regexp_extract_all(query, '{pattern}', 0)"))).alias("name")
+
+    def search(block: DataFrame) -> DataFrame:
+        named = F.broadcast(block.select("query_id", names))
+        hits = docs.join(named, F.lower(F.col(identifier)) == F.lower("name")).select("query_id", "id", F.lit(1.0).alias("score")).distinct()
+        return ranked(hits, most, F.col("id"))
+
+    return in_blocks(search, queries.select("query_id", "query"))
 
 
 def fusion_key(id: str = "id", source: str = "source", content: str = "content") -> Column:
@@ -157,18 +212,20 @@ def top(fused: DataFrame, docs: DataFrame, options: Options, content: str = "con
 
 def checked_queries(queries: DataFrame) -> DataFrame:
     """Trimmed queries; blank ones and those beyond the limit fail."""
-    q = trim_unicode("query")
+    q = F.coalesce(trim_unicode("query"), F.lit(""))
     bad = F.when(q == "", F.raise_error(F.lit("query is blank"))).when(F.length(q) > MOST_QUERY_CHARS, F.raise_error(F.lit("query is too long")))
     return queries.withColumn("query", F.coalesce(bad.cast("string"), q))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: Options = Options(), fields: tuple[str, ...] = ("content",)) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, options: Options = Options(), fields: tuple[str, ...] = ("content",), dims: int | None = None) -> DataFrame:
     """Keyword and vector channels of OVERFETCH * top_k candidates each, fused and cut to top_k.
 
-    queries: (query_id, query, vector).
+    queries: (query_id, query, vector). Queries are trimmed; blank, too long ones
+    and bad vectors fail.
     """
     most = OVERFETCH * options.top_k
-    near = knn(vectors, queries.select("query_id", F.col("vector").alias("query")), most)
+    queries = cut(checked_queries(queries))
+    near = knn(vectors, queries.select("query_id", F.col("vector").alias("query")), most, dims=dims)
     words = bm25(docs, queries, list(fields), most)
     return top(rrf([near, words], options.rrf_k), docs, options)
 

@@ -1,19 +1,18 @@
-"""Retrieval queries: the first embeddings and fixed words as the query set, against whole tables."""
+"""Retrieval queries: every vector whose id is divisible by 50 asks, with one of a few texts, of whole tables."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from siltstone import schema
+from siltstone.operators import annindex as ann
 from siltstone.operators import retrieval as r
-from siltstone.plans.chunks import chunks_cte
 from siltstone.operators.chunking import chunk
-from siltstone.runtime import table
+from siltstone.plans.chunks import chunks_cte
+from siltstone.runtime import cut, table
 
-_TEXTS = {1: "the tion of license", 2: "and password token", 3: "the idiot was in"}
-_VALUES = ", ".join(f"({k}, '{t}')" for k, t in _TEXTS.items())
+_TEXTS = ("src1 the tion of license", "src2 and password token", "src3 the idiot was in")
+_DIMS = 64
 
 
 def _index(spark, d):
@@ -21,10 +20,10 @@ def _index(spark, d):
 
 
 def _queries(spark, d):
-    """query_id 1..3: fixed words, and the vectors 1..3 as what they embed to."""
-    words = spark.createDataFrame(list(_TEXTS.items()), "query_id bigint, query string")
-    vectors = table(spark, d, "embeddings").where(F.col("vec_id").isin(*_TEXTS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return words.join(F.broadcast(vectors), "query_id")
+    """(query_id, query, vector): of each asking vector its id, one of the texts by turns, and itself."""
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.floor(F.col("vec_id") / 50) % len(_TEXTS) + 1).cast("int"))
+    return asked.select(F.col("vec_id").alias("query_id"), text.alias("query"), F.col("embedding").alias("vector"))
 
 
 def _vectors(spark, d):
@@ -36,24 +35,7 @@ def _docs(spark, d):
 
 
 def _knn(metric):
-    return lambda spark, d: r.knn(_index(spark, d), _vectors(spark, d), 10, metric)
-
-
-def _in_blocks(search, queries):
-    """search(queries), of sets too large to be broadcast at once in blocks of about half the bound."""
-    blocks = max(1, -(-2 * queries.count() // r.MOST_QUERIES))
-    parts = [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _knn_every(metric):
-    """Every vector whose id is divisible by 50 asks for its nearest of all."""
-
-    def query(spark, d):
-        asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-        return _in_blocks(lambda queries: r.knn(_index(spark, d), queries, 10, metric), asked)
-
-    return query
+    return lambda spark, d: r.knn(_index(spark, d), _vectors(spark, d), 10, metric, _DIMS)
 
 
 def bm25_search(spark, d):
@@ -65,22 +47,21 @@ def bm25_most_fields(spark, d):
 
 
 def _fused(spark, d, weights=None):
-    near = r.knn(_index(spark, d), _vectors(spark, d), 20)
+    near = r.knn(_index(spark, d), _vectors(spark, d), 20, dims=_DIMS)
     words = r.bm25(_docs(spark, d), _queries(spark, d), ["content"], 20)
     return r.rrf([near, words], weights=weights)
 
 
 def _exact(spark, d):
-    queries = spark.createDataFrame([(k, f"src{k} {t}") for k, t in _TEXTS.items()], "query_id bigint, query string")
-    return r.exact(_docs(spark, d), queries, "source")
+    return r.exact(_docs(spark, d), _queries(spark, d), "source")
 
 
 def rrf_hybrid(spark, d):
-    return r.hybrid(_docs(spark, d), _index(spark, d), _queries(spark, d)).select("query_id", "id", "score", "rank")
+    return r.hybrid(_docs(spark, d), _index(spark, d), _queries(spark, d).withColumn("query", F.concat(F.lit(" "), "query", F.lit("\n"))), dims=_DIMS).select("query_id", "id", "score", "rank")
 
 
 def rrf_weighted(spark, d):
-    near = r.knn(_index(spark, d), _vectors(spark, d), r.CANDIDATES["vector"])
+    near = r.knn(_index(spark, d), _vectors(spark, d), r.CANDIDATES["vector"], dims=_DIMS)
     words = r.bm25(_docs(spark, d), _queries(spark, d), ["content"], r.CANDIDATES["keyword"])
     return r.rrf([_exact(spark, d), words, near], weights=[r.WEIGHTS["exact"], r.WEIGHTS["keyword"], r.WEIGHTS["vector"]])
 
@@ -103,24 +84,28 @@ def granted_search(spark, d):
 
 def recheck_after_vector_search(spark, d):
     """Vector hits are ids only; access is checked again where they meet the documents."""
-    hits = r.knn(_index(spark, d), _vectors(spark, d), 30)
+    hits = r.knn(_index(spark, d), _vectors(spark, d), 30, dims=_DIMS)
     return hits.join(r.within_grants(r.visible(_docs(spark, d), "system"), _grants(spark), "ann").select("id", "dataset_id"), "id").select("query_id", "id", "rank", "dataset_id")
 
 
 def citations(spark, d):
+    """Whole chunks, as many as the limit of a result holds; chunked once."""
     chunks = chunk(_docs(spark, d).select("id", "title", "source", "content"), text="content")
-    keyed = chunks.withColumns({"document_id": F.col("id"), "id": F.concat_ws("#", "id", "chunk_index")})
-    hits = r.bm25(keyed, _queries(spark, d), ["content"], 5)
-    cited = r.citations(hits.join(keyed, "id").withColumn("content", F.left("content", F.lit(80))))
-    return r.within_bytes(cited, 400).select("query_id", "rank", "citation")
+    keyed = cut(chunks.withColumns({"document_id": F.col("id"), "id": F.concat_ws("#", "id", "chunk_index")}))
+    hits = r.bm25(keyed, _queries(spark, d), ["content"], r.CANDIDATES["keyword"])
+    return r.within_bytes(r.citations(hits.join(keyed, "id"))).select("query_id", "rank", "citation")
 
 
-def recall_at_k(spark, d):
-    """Of each label's vectors 1..3, how many of the 20 nearest share the label."""
+def _of_label(spark, d):
+    """(query_id, id): each asking vector's fellows by label."""
     v = table(spark, d, "embeddings")
-    asked = v.where(F.col("vec_id").isin(*_TEXTS)).select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    relevant = v.join(F.broadcast(asked), F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"))
-    return r.recall_at(r.knn(_index(spark, d), _vectors(spark, d), 20), relevant, 20)
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return v.join(asked, "label").select("query_id", F.col("vec_id").alias("id"))
+
+
+def recall_at_k(spark, d):
+    """Of each asking vector's label, how many are among its 20 nearest."""
+    return r.recall_at(r.knn(_index(spark, d), _vectors(spark, d), 20, dims=_DIMS), _of_label(spark, d), 20)
 
 
 def pack_vectors(spark, d):
@@ -132,24 +117,34 @@ def pack_vectors(spark, d):
     return v.select("vec_id", fault.alias("fault"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
-def knn_inverted_lists(spark, d):
-    """Per query, whether the index finds nine tenths of the exact 20 nearest with the probes that tuning chose."""
-    from siltstone.operators import annindex as ann
-    from siltstone.runtime import cut
-
+def _lists(spark, d):
+    """(vectors, lists, vectors by list): every row is indexed."""
     index = _index(spark, d)
     lists = ann.fit(index, 16)
-    indexed = cut(ann.assign(index, lists))
+    return index, lists, cut(ann.assign(index, lists))
+
+
+def knn_inverted_lists(spark, d):
+    """All lists are probed, so the hits are the exact ones: nothing is missing from the index."""
+    _, lists, indexed = _lists(spark, d)
+    return ann.search(indexed, _vectors(spark, d), lists, 20, len(lists.centroids))
+
+
+def knn_inverted_lists_recall(spark, d):
+    """How many of each query's exact 20 nearest the tuned number of probes finds."""
+    index, lists, indexed = _lists(spark, d)
     probes, _ = ann.tune(index, indexed, lists, 20)
-    exact = r.knn(index, _vectors(spark, d), 20)
-    return r.recall_at(ann.search(indexed, _vectors(spark, d), lists, 20, probes), exact, 20).select("query_id", (F.col("recall") >= 0.9).alias("reached"))
+    exact = r.knn(index, _vectors(spark, d), 20, dims=_DIMS)
+    return r.recall_at(ann.search(indexed, _vectors(spark, d), lists, 20, probes), exact, 20)
 
 
 def exact_id_channel(spark, d):
     return _exact(spark, d)
 
 
-_Q = f"q AS (SELECT * FROM (VALUES {_VALUES}) AS t(query_id, query)), qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id IN (1, 2, 3))"
+_TEXT_SQL = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + "]"
+_Q = f"""q AS (SELECT vec_id AS query_id, {_TEXT_SQL}[(vec_id // 50) % {len(_TEXTS)} + 1] AS query FROM embeddings WHERE vec_id % 50 = 0),
+  qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
 def _knn_sql(metric: str, k: int, name: str = "near") -> str:
@@ -182,19 +177,18 @@ def _rrf_sql(channels: list[str], weights: list[float] | None = None, name: str
 _DOCS = f"SELECT *, text AS content FROM ({schema.DOCUMENTS_SQL})"
 _GRANTED = f"SELECT * FROM ({_DOCS}) WHERE dataset_id IN (1, 3)"
 _EXACT = f"""ex AS (SELECT * FROM (SELECT query_id, id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS rank
-  FROM ({_DOCS}) JOIN q ON source = 'src' || query_id) WHERE rank <= 20)"""
+  FROM ({_DOCS}) JOIN q ON source = split_part(query, ' ', 1)) WHERE rank <= 20)"""
 
 QUERIES = {
     "knn_cosine": _knn("cosine"), "knn_ip": _knn("IP"), "knn_l2": _knn("L2"), "bm25_search": bm25_search, "bm25_most_fields": bm25_most_fields,
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
-    "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors, "knn_inverted_lists": knn_inverted_lists,
-    **{f"knn_{m.lower()}_every_50th": _knn_every(m) for m in ("COSINE", "IP", "L2")},
+    "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
+    "knn_inverted_lists": knn_inverted_lists, "knn_inverted_lists_recall": knn_inverted_lists_recall,
 }
 ORACLES = {
-    "knn_inverted_lists": "SELECT vec_id AS query_id, true AS reached FROM embeddings WHERE vec_id IN (1, 2, 3)",
+    "knn_inverted_lists": f"WITH {_Q}, {_knn_sql('COSINE', 20)} SELECT * FROM near",
     **{f"knn_{m.lower()}": f"WITH {_Q}, {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
-    **{f"knn_{m.lower()}_every_50th": f"WITH qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
     "bm25_search": f"WITH {_Q}, {_bm25_sql(_DOCS, 10)} SELECT * FROM words",
     "bm25_most_fields": f"WITH q AS (SELECT 1::BIGINT AS query_id, 'src3 the tion' AS query), {_bm25_sql(_DOCS, 10, fields=('content', 'title'))} SELECT * FROM words",
     "rrf_hybrid": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '') WHERE n <= 5",
@@ -204,12 +198,12 @@ ORACLES = {
     "granted_search": f"WITH {_Q}, {_bm25_sql(_GRANTED, 5)} SELECT * FROM words",
     "recheck_after_vector_search": f"WITH {_Q}, {_knn_sql('COSINE', 30)} SELECT query_id, id, rank, dataset_id FROM near JOIN ({_GRANTED} AND visibility = 'system') USING (id)",
     "exact_id_channel": f"WITH {_Q}, {_EXACT} SELECT * FROM ex",
-    "citations": f"""WITH {chunks_cte(1200)}, q AS (SELECT * FROM (VALUES {_VALUES}) AS t(query_id, query)),
-      {_bm25_sql("SELECT doc_id || '#' || chunk_index AS id, content FROM chunks", 5)},
-      cited AS (SELECT query_id, rank, '[' || source || '#chunk-' || chunk_index || ']' || chr(10) || 'title: ' || source || '-' || c.doc_id || chr(10) || left(content, 80) AS citation
+    "citations": f"""WITH {chunks_cte(1200)}, {_Q},
+      {_bm25_sql("SELECT doc_id || '#' || chunk_index AS id, content FROM chunks", 30)},
+      cited AS (SELECT query_id, rank, '[' || source || '#chunk-' || chunk_index || ']' || chr(10) || 'title: ' || source || '-' || c.doc_id || chr(10) || content AS citation
         FROM words w JOIN chunks c ON w.id = c.doc_id || '#' || c.chunk_index JOIN documents d ON d.doc_id = c.doc_id)
-      SELECT query_id, rank, citation FROM (SELECT *, sum(strlen(citation)) OVER (PARTITION BY query_id ORDER BY rank) AS b FROM cited) WHERE b <= 400""",
-    "recall_at_k": f"""WITH {_Q}, {_knn_sql('COSINE', 20)}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id IN (1, 2, 3))
+      SELECT query_id, rank, citation FROM (SELECT *, sum(strlen(citation)) OVER (PARTITION BY query_id ORDER BY rank) AS b FROM cited) WHERE b <= 32768""",
+    "recall_at_k": f"""WITH {_Q}, {_knn_sql('COSINE', 20)}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0)
       SELECT query_id, count(*) AS relevant, count(near.id) AS found, round(count(near.id) / count(*), 6) AS recall FROM rel LEFT JOIN near USING (query_id, id) GROUP BY query_id""",
     "validate_vectors": """SELECT vec_id, CASE WHEN vec_id <= 0 THEN 'id' WHEN len(embedding) <> 64 OR len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0 THEN 'vector' ELSE 'none' END AS fault,
       round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings""",

@@ -34,7 +34,11 @@ def normal(frame):
     return sorted(tuple(map(one, row)) for row in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+#: Its figures depend on a fit; tests/test_retrieval.py holds them against the exact search.
+BEYOND_SQL = {"knn_inverted_lists_recall"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - BEYOND_SQL))
 def test_query_equals_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     want = duck.sql(catalog.ORACLES[name])
@@ -43,7 +47,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) | BEYOND_SQL
 
 
 def test_entry_module(spark):

@@ -58,9 +58,6 @@ def test_queries_and_limits(spark):
             r.checked_queries(spark.createDataFrame([(1, bad)], "query_id long, query string")).collect()
     hits = spark.createDataFrame([("a", "s", "c"), ("", "s", "c" * 100), (None, "s", "c" * 90), ("", "t", "c" * 90)], "id string, source string, content string")
     assert hits.select(r.fusion_key().alias("k")).distinct().count() == 3
-    many = spark.range(r.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.lit("x").alias("query"))
-    with pytest.raises(ValueError):
-        r.bm25(spark.createDataFrame([(1, "x")], "id long, content string"), many, ["content"])
     with pytest.raises(ValueError):
         r.bm25(q, q, [])
 
@@ -87,13 +84,45 @@ def test_inverted_lists(spark):
         ann.fit(index.where("false"))
 
 
-def test_every_fiftieth_vector_asks(spark, monkeypatch):
+def test_every_fiftieth_vector_asks_in_blocks(spark, monkeypatch):
     from siltstone.plans import catalog
     from siltstone.runtime import table
 
     sf = "/root/testdata/sf0.001"
     want = {r.vec_id for r in table(spark, sf, "embeddings").where("vec_id % 50 = 0").select("vec_id").collect()}
-    whole = {tuple(x) for x in catalog.QUERIES["knn_cosine_every_50th"](spark, sf).collect()}
-    assert len(want) > 1 and {x[0] for x in whole} == want
-    monkeypatch.setattr("siltstone.operators.retrieval.MOST_QUERIES", max(2, len(want) - 1))
-    assert {tuple(x) for x in catalog.QUERIES["knn_cosine_every_50th"](spark, sf).collect()} == whole
+    names = ("knn_cosine", "knn_inverted_lists", "bm25_search", "exact_id_channel")
+    run = lambda: {name: {tuple(x) for x in catalog.QUERIES[name](spark, sf).collect()} for name in names}
+    whole = run()
+    assert len(want) > 5 and all({x[0] for x in whole[name]} == want for name in names)
+    monkeypatch.setattr("siltstone.operators.retrieval.MOST_QUERIES", 2)
+    assert run() == whole
+
+
+def test_bad_query_vectors_fail(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    ask = lambda v: spark.createDataFrame([(1, v)], "query_id long, query array<double>")
+    assert r.knn(index, ask([0.0, 1.0]), 1, dims=2).count() == 1
+    for bad in (None, [1.0], [float("nan"), 1.0], [1.0, None], [1.0, float("inf")]):
+        with pytest.raises(PySparkException):
+            r.knn(index, ask(bad), 1, dims=2).collect()
+    docs = spark.createDataFrame([(1, "a b")], "id long, content string")
+    for query, v in ((" ", [1.0, 0.0]), (None, [1.0, 0.0]), ("x" * 2001, [1.0, 0.0]), ("a", [1.0])):
+        with pytest.raises(PySparkException):
+            r.hybrid(docs, index, spark.createDataFrame([(1, query, v)], "query_id long, query string, vector array<double>"), dims=2).collect()
+
+
+def test_stored_terms_search_as_texts_do(spark):
+    rows = [(1, "a b a", "x"), (2, None, "b"), (3, "", None), (4, "b c", "a a"), (5, "d", "d")]
+    docs = spark.createDataFrame(rows, "id long, content string, title string")
+    queries = spark.createDataFrame([(1, "a b"), (2, "A, b!"), (3, "a b"), (4, "none here")], "query_id long, query string")
+    fields = ["content", "title"]
+    got = r.search_terms(r.inverted_index(docs, fields), r.lengths(docs, fields), queries)
+    want = sorted(map(tuple, r.bm25(docs, queries, fields).collect()))
+    assert sorted(map(tuple, got.collect())) == want and {w[0] for w in want} == {1, 2, 3}
+
+
+def test_recall_of_inverted_lists(spark):
+    from siltstone.plans import search
+
+    rows = search.knn_inverted_lists_recall(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) > 5 and all(x.relevant == 20 for x in rows) and sum(x.found for x in rows) >= 0.9 * sum(x.relevant for x in rows)
