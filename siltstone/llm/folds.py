@@ -15,9 +15,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def chosen(ids: Column, salt: str, share: float) -> Column:
-    """True for a share of all ids, by a hash of the id alone."""
-    return F.pmod(F.xxhash64(F.lit(salt), F.coalesce(ids.cast("string"), F.lit(""))), F.lit(1 << 32)) < F.lit(share * (1 << 32))
+def chosen(salt: str, share: float, *by: Column) -> Column:
+    """True for a share of all rows, by a hash of the columns alone."""
+    return F.pmod(F.xxhash64(F.lit(salt), *[F.coalesce(c.cast("string"), F.lit("")) for c in by]), F.lit(1 << 32)) < F.lit(share * (1 << 32))
 
 
 def share_of(df: DataFrame, most: int) -> float:
@@ -29,10 +29,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, kind: int
     """(text, y) of about most labelled documents outside the held-out fold, all if there are fewer.
 
     The ids are picked by hash first, so the side that is broadcast has about
-    most rows whatever the input, and no text is shuffled.
+    most rows whatever the input, and no text but the picked ones is shuffled.
+    Repeated rows count once; an id of many texts is picked from by their hashes.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out(F.col("_id")) & (F.col("y").isin(0, 1) if kind is None else F.col("y") == kind))
-    picked = cut(known.where(chosen(F.col("_id"), label, share_of(known, most))).dropDuplicates(["_id", "y"]))
-    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return narrow.join(F.broadcast(picked), narrow["doc_id"] == picked["_id"]).select("text", "y")
+    picked = cut(known.where(chosen(label, share_of(known, most), F.col("_id"))).dropDuplicates(["_id", "y"]))
+    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+    found = narrow.join(F.broadcast(picked), narrow["doc_id"] == picked["_id"]).dropDuplicates(["_id", "y", "digest"])
+    found = cut(found.select("_id", "digest", "text", "y"))
+    share = share_of(found, 2 * most)
+    return (found if share == 1.0 else found.where(chosen("rows", share, F.col("_id"), F.col("digest")))).select("text", "y")

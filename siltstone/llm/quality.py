@@ -5,13 +5,16 @@ any label or none. With class prior pi and logistic loss l, the risk is
 
     pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]),
 
-and while the second term is below zero its gradient is reversed. pi is
-estimated as the share of label 1 among labelled documents. As the loss is
-proper, sigmoid(g) estimates the probability of label 1.
+minimised over linear g to a stated gradient norm. As the loss is proper,
+sigmoid(g) estimates the probability of label 1. Labels of other documents are
+never looked at, for pi neither: it is the best-bin estimate, the least ratio of
+unlabelled to positive texts above a score of a classifier that tells these two
+apart, measured on texts it was not fitted on.
 
 Features: a text's word shapes (runs of letters, capitals, digits and each
-symbol, shortened), hashed, as shares of its words; and a few shares such as
-words equal to the one before. g is linear in them.
+symbol), hashed, as shares of its words; and a few shares such as words equal to
+the one before. Their mean and spread are taken over all documents outside the
+held-out fold; the two expectations of the risk over bounded samples.
 
 Defined cases: null and empty texts have all features 0; without positives
 every score is 0; repeated rows get equal scores.
@@ -31,13 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.descent import minimise
 from siltstone.llm.folds import chosen, held_out, sample, share_of
 
 SHAPES = 512
-#: The bounds of the samples that the model is fitted on; documents are picked by a hash of their ids.
+#: The bounds of the samples that the model is fitted on; documents are picked by a hash of their ids and texts.
 FIT_POSITIVES, FIT_UNLABELLED = 8_000, 16_000
 THRESHOLD = 0.3
-ROUNDS, RATE, PENALTY = 250, 0.3, 1e-4
+PENALTY = 1e-4
+#: The risk's maximum with 0 is rounded off by half of this at most, so that it has a gradient where it begins to act.
+ROUNDED = 1e-3
+#: Best-bin estimate: the chance that a bound on its shares fails, and the bound's weight.
+BIN_DELTA, BIN_WEIGHT = 0.1, 1.01
+LEAST_PRIOR, MOST_PRIOR = 0.01, 0.99
 
 _CLASSES = bytes(
     ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("A") if 0x41 <= b <= 0x5A else ord("0") if 0x30 <= b <= 0x39 else b for b in range(256)
@@ -46,10 +55,6 @@ _SHARES = 8
 _AT_ONCE = 1 << 22
 
 
-def _shape_slot(shape: bytes) -> int:
-    return zlib.crc32(shape[:24]) % SHAPES
-
-
 def features(text: bytes | None) -> np.ndarray:
     """float32 of SHAPES + _SHARES values."""
     out = np.zeros(SHAPES + _SHARES, np.float32)
@@ -64,7 +69,7 @@ def features(text: bytes | None) -> np.ndarray:
         classes += np.bincount(part, minlength=256)
         shapes.update(part[np.concatenate(([True], part[1:] != part[:-1]))].tobytes().split())
     for shape, count in shapes.items():
-        out[_shape_slot(shape)] += count
+        out[zlib.crc32(shape) % SHAPES] += count
     out[:SHAPES] = np.sqrt(out[:SHAPES] / n)
     chars = max(1, int(classes.sum()) - (n - 1))
     letters, capitals, digits = int(classes[ord("a")]), int(classes[ord("A")]), int(classes[ord("0")])
@@ -88,34 +93,58 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative unbiased risk of a linear g by full-batch Adam, deterministic."""
-    mean = unlabelled.mean(axis=0, dtype=np.float64)
-    spread = unlabelled.std(axis=0, dtype=np.float64)
-    live = spread > 1e-6
-    scale = np.where(live, 1 / np.maximum(spread, 0.02), 0.0)
-    p, u = ((positive - mean) * scale).astype(np.float32), ((unlabelled - mean) * scale).astype(np.float32)
-    d = p.shape[1]
-    w, b = np.zeros(d), math.log(prior / (1 - prior))
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for t in range(1, ROUNDS + 1):
-        gp, gu = p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b
-        sp, su = sigmoid(gp), sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # d l(-g) = sigmoid(g), d l(g) = sigmoid(g) - 1
-        neg_u, neg_p = su / len(u), -prior * sp / len(p)
-        if negative >= 0:
-            cp, cu = prior * (sp - 1) / len(p) + neg_p, neg_u
-        else:
-            cp, cu = -neg_p, -neg_u
-        g = np.append(p.T @ cp.astype(np.float32) + u.T @ cu.astype(np.float32) + PENALTY * w, cp.sum() + cu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE / (1 + t / 200) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w -= step[:d]
-        b -= step[d]
-    weights = w * scale
-    return Model(prior, float(b - mean @ weights), weights)
+def risk(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk of g = rows @ x[:-1] + x[-1], plus PENALTY / 2 times the weights' squares; and its gradient."""
+    w, b = x[:-1].astype(np.float32), x[-1]
+    gp, gu = (positive @ w + b).astype(np.float64), (unlabelled @ w + b).astype(np.float64)
+    sp, su = (1 / (1 + np.exp(-np.clip(g, -500, 500))) for g in (gp, gu))
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    root = math.hypot(negative, ROUNDED)
+    value, slope = prior * np.logaddexp(0, -gp).mean() + (negative + root) / 2, (1 + negative / root) / 2
+    cp, cu = prior * (sp - 1 - slope * sp) / len(gp), slope * su / len(gu)
+    g = np.append(positive.T @ cp.astype(np.float32) + unlabelled.T @ cu.astype(np.float32), cp.sum() + cu.sum())
+    g[:-1] += PENALTY * x[:-1]
+    return value + PENALTY / 2 * float(x[:-1] @ x[:-1]), g
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, by the scores of both: the least of their shares' ratios above a score, with regard to chance."""
+    at = np.sort(positive)
+    p = 1 - np.arange(len(at)) / len(at)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    chance = np.sqrt(np.log(4 / BIN_DELTA) / 2 / len(positive)) + np.sqrt(np.log(4 / BIN_DELTA) / 2 / len(unlabelled))
+    k = int(np.argmin((u + BIN_WEIGHT * chance) / p))
+    return float(min(MOST_PRIOR, max(LEAST_PRIOR, u[k] / p[k])))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Of standardised rows: every other one fits the classifier that tells the two apart, the others are scored."""
+    p, u = positive[::2], unlabelled[::2]
+    x, _ = minimise(lambda x: _apart(x, p, u), np.zeros(p.shape[1] + 1))
+    w = x[:-1].astype(np.float32)
+    return best_bin(positive[1::2] @ w, unlabelled[1::2] @ w)
+
+
+def _apart(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss of telling positive rows from unlabelled ones, both kinds of equal weight; and its gradient."""
+    w, b = x[:-1].astype(np.float32), x[-1]
+    gp, gu = (positive @ w + b).astype(np.float64), (unlabelled @ w + b).astype(np.float64)
+    cp = (1 / (1 + np.exp(-np.clip(gp, -500, 500))) - 1) / len(gp) / 2
+    cu = 1 / (1 + np.exp(-np.clip(gu, -500, 500))) / len(gu) / 2
+    g = np.append(positive.T @ cp.astype(np.float32) + unlabelled.T @ cu.astype(np.float32), cp.sum() + cu.sum())
+    g[:-1] += PENALTY * x[:-1]
+    return np.logaddexp(0, -gp).mean() / 2 + np.logaddexp(0, gu).mean() / 2 + PENALTY / 2 * float(x[:-1] @ x[:-1]), g
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, spread: np.ndarray, prior: float | None = None) -> Model:
+    """The model of least risk on features standardised by mean and spread; the prior is estimated unless given."""
+    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 0.02), 0.0)
+    p, u = (((rows - mean) * scale).astype(np.float32) for rows in (positive, unlabelled))
+    if prior is None:
+        prior = estimated_prior(p, u) if min(len(p), len(u)) > 1 else MOST_PRIOR
+    x, _ = minimise(lambda x: risk(x, p, u, prior), np.append(np.zeros(p.shape[1]), math.log(prior / (1 - prior))))
+    weights = x[:-1] * scale
+    return Model(prior, float(x[-1] - mean @ weights), weights)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +157,32 @@ def _matrix(texts: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, SHAPES + _SHARES)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums, squares, n = np.zeros(SHAPES + _SHARES), np.zeros(SHAPES + _SHARES), 0
+    for batch in batches:
+        for text in batch.column(0):
+            x = features(text.as_py()).astype(np.float64)
+            sums, squares, n = sums + x, squares + x * x, n + 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(squares), pa.array(np.full(len(sums), n))], ["slot", "x", "xx", "n"])
+
+
+def moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the features over all texts; zero where there are none."""
+    per = texts.select("text").mapInArrow(_summed, "slot int, x double, xx double, n long")
+    rows = per.groupBy("slot").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx"), F.sum("n").alias("n")).orderBy("slot").toArrow()  # a row for each feature
+    if not rows.num_rows or not rows.column(3)[0].as_py():
+        return np.zeros(SHAPES + _SHARES), np.zeros(SHAPES + _SHARES)
+    x, xx, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+    return x / n, np.sqrt(np.maximum(0, xx / n - (x / n) ** 2))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    counts = {r["y"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("quality").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
-    if not counts.get(1):
-        return Model(0.0, -1e6, np.zeros(SHAPES + _SHARES))
-    prior = min(0.99, max(0.01, counts[1] / (counts[1] + counts.get(0, 0))))
     positive = _matrix(sample(docs, labels, "quality", FIT_POSITIVES, kind=1))
-    web = docs.where(~held_out(F.col("doc_id")))
-    unlabelled = _matrix(web.where(chosen(F.col("doc_id"), "web", share_of(web, FIT_UNLABELLED))).select(F.col("text").cast("binary").alias("text")))
     if not len(positive):
         return Model(0.0, -1e6, np.zeros(SHAPES + _SHARES))
-    return fit(positive, unlabelled, prior)
+    web = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("binary").alias("text"))
+    picked = chosen("web", share_of(web, FIT_UNLABELLED), F.col("doc_id"), F.xxhash64("text"))
+    return fit(positive, _matrix(web.where(picked)), *moments(web))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

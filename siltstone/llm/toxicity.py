@@ -2,10 +2,11 @@
 
 The model is fitted on about FIT_ROWS labelled documents outside the held-out
 fold (all, if there are fewer), picked by a hash of their ids. Each hashed
-n-gram gets its smoothed log-count ratio between toxic and other documents;
-n-grams whose ratio cannot be told from zero are left out. A logistic
-regression on presence times ratio gives the weights; scoring reads whole texts
-and adds up the weights of the n-grams present.
+n-gram gets its smoothed log-count ratio between toxic and other documents. A
+logistic regression on presence times ratio gives the weights of all n-grams
+whose ratio can be told from zero, however many; it is minimised to a stated
+gradient norm, each step a pass over the sample's features where they lie.
+Scoring reads whole texts and adds up the weights of the n-grams present.
 
 Defined cases: null and empty texts have no n-grams and get the score of the
 bias; without labels of both kinds every score is the share of label 1 (0 if
@@ -14,6 +15,7 @@ there are none); repeated rows get equal scores.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,28 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.descent import minimise
 from siltstone.llm.folds import held_out, sample
 from siltstone.runtime import cut
 
 ORDERS = (3, 4, 5)
-BITS = 18
+#: Bits of a hashed n-gram; a text of 130 000 characters holds 3 % of the values.
+BITS = 20
 SMOOTHING = 1.0
-#: An n-gram is used if it is in so many documents and its ratio so many standard errors from zero.
-LEAST_DOCS, LEAST_Z = 4, 4.0
-#: Of those, the farthest from zero in standard errors; the regression has so many weights at most.
-FEATURES_MOST = 4096
+#: An n-gram's ratio counts as told from zero at so many standard errors.
+LEAST_Z = 4.0
 #: The bound of the labelled sample that the model is fitted on.
 FIT_ROWS = 16_000
 THRESHOLD = 0.5
-ROUNDS, RATE, PENALTY = 120, 0.05, 1e-3
-
+PENALTY = 1e-3
+#: Partitions of the sample, and so partial sums that the driver adds up at each step.
+FIT_TASKS = 12
 
 #: Code points of a text that are hashed at a time.
 _AT_ONCE = 1 << 20
+_place = np.zeros(1 << BITS, np.int32)
+
+
+def _distinct(grams: np.ndarray) -> np.ndarray:
+    """Each value once: the row that its place remembers, which is the last to have been written there."""
+    rows = np.arange(len(grams), dtype=np.int32)
+    _place[grams] = rows
+    return grams[_place[grams] == rows]
 
 
 def ngrams(text: bytes | None, used: np.ndarray | None = None) -> np.ndarray:
-    """The distinct hashed n-grams (of the used ones) of the lower-cased text's code points."""
+    """The distinct hashed n-grams (of the used ones) of the lower-cased text's code points, in no order."""
     folded = (text or b"").decode("utf-8", "replace").lower()
     parts = []
     for at in range(0, len(folded), _AT_ONCE):
@@ -57,8 +68,8 @@ def ngrams(text: bytes | None, used: np.ndarray | None = None) -> np.ndarray:
             for k in range(n):
                 h = (h + points[k : size + k]) * np.uint64(0x9E3779B97F4A7C15)
             grams = (h >> np.uint64(64 - BITS)).astype(np.int32)
-            parts.append(np.unique(grams if used is None else grams[used[grams]]))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+            parts.append(_distinct(grams if used is None else grams[used[grams]]))
+    return _distinct(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -75,86 +86,77 @@ class Model:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    """One row of a task: numbers of documents, and of documents that hold each n-gram, by label."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
     rows = np.zeros(2, np.int64)
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             counts[y][ngrams(text.as_py())] += 1
             rows[y] += 1
-    used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([[-1], used])), pa.array(np.concatenate([rows[:1], counts[0][used]])), pa.array(np.concatenate([rows[1:], counts[1][used]]))],
-        ["gram", "n0", "n1"],
-    )
-
-
-def _ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ratio by n-gram (0 where unused), which are used, and the two numbers of documents."""
-    per = counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rows = per.where("gram >= 0").where(F.col("n0") + F.col("n1") >= LEAST_DOCS).toArrow()  # 2^BITS rows at most
-    of = per.where("gram < 0").first()
-    docs = np.array([of["n0"], of["n1"]] if of else [0, 0], np.float64)
-    gram, n0, n1 = (rows.column(k).to_numpy() for k in range(3))
-    p, q = (n1 + SMOOTHING) / (docs[1] + 2 * SMOOTHING), (n0 + SMOOTHING) / (docs[0] + 2 * SMOOTHING)
+    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([zlib.compress(counts.tobytes(), 1)])], ["rows", "counts"])
+
+
+def ratios(counts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-count ratio of each n-gram, and whether it can be told from zero; rows of counts and docs are the labels 0 and 1."""
+    q, p = ((n + SMOOTHING) / (d + 2 * SMOOTHING) for n, d in zip(counts, docs, strict=True))
     ratio = np.log(p / q)
-    error = np.sqrt((1 - p) / (n1 + SMOOTHING) + (1 - q) / (n0 + SMOOTHING))
-    z = np.abs(ratio) / error
-    order = np.lexsort((gram, -z))[:FEATURES_MOST]
-    keep = order[z[order] >= LEAST_Z]
-    r, used = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
-    r[gram[keep]], used[gram[keep]] = ratio[keep], True
-    return r, used, docs
-
-
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, dims: int) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression on sparse rows (in row order) by full-batch Adam, deterministic."""
-    by_col = np.argsort(cols, kind="stable")
-    rows_c, values_c, cols_c = rows[by_col], values[by_col], cols[by_col]
-    del by_col
-    # Sums over rows and over columns are sums over consecutive entries.
-    row_at, col_at = (np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1)) if len(k) else np.zeros(0, np.int64) for k in (rows, cols_c))
-    row_of, col_of = rows[row_at], cols_c[col_at]
-    w, b = np.zeros(dims, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
-    z, g = np.zeros(len(y)), np.zeros(dims)
-    for t in range(1, ROUNDS + 1):
-        z[:] = b
-        if len(rows):
-            z[row_of] += np.add.reduceat(values * w[cols], row_at)
-        off = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)).astype(np.float32)
-        g[:] = PENALTY * w
-        if len(rows):
-            g[col_of] += np.add.reduceat(values_c * off[rows_c], col_at)
-        gb = float(off.sum(dtype=np.float64))
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        step = RATE / (1 + t / 60) / (1 - 0.9**t)
-        w -= (step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w.astype(np.float64), float(b)
+    error = np.sqrt((1 - p) / (counts[1] + SMOOTHING) + (1 - q) / (counts[0] + SMOOTHING))
+    return ratio, (np.abs(ratio) >= LEAST_Z * error) & counts.any(axis=0)
+
+
+def partial_loss(x: np.ndarray, ratio: np.ndarray, slots: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Of rows that hold the n-grams at slots: the sum of their logistic losses, and its gradient by weights and bias, x."""
+    total, g = 0.0, np.zeros(len(x))
+    for row, label in zip(slots, y, strict=True):
+        z = x[-1] + (x[row] * ratio[row]).sum()
+        total += np.logaddexp(0, z) - label * z
+        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
+        g[row] += off * ratio[row]
+        g[-1] += off
+    return float(total), g
+
+
+def fit_logistic(rows: DataFrame, ratio: np.ndarray) -> np.ndarray:
+    """Weights and, last, the bias: the least mean loss plus PENALTY / 2 times the weights' squares, over rows (slots, y)."""
+    n = rows.count()
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, g = 0.0, np.zeros(len(x))
+            for batch in batches:
+                part, h = partial_loss(x, ratio, [np.frombuffer(s.as_py(), "<i4") for s in batch.column(0)], batch.column(1).to_numpy())
+                total, g = total + part, g + h
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(g, total).tobytes()])], ["sums"])
+
+        parts = rows.mapInArrow(sums, "sums binary").toArrow().column(0).to_pylist()  # a row for each of FIT_TASKS
+        all_ = np.sum([np.frombuffer(p) for p in parts], axis=0)
+        w = np.append(x[:-1], 0.0)
+        return all_[-1] / n + PENALTY / 2 * float(w @ w), all_[:-1] / n + PENALTY * w
+
+    return minimise(loss, np.zeros(len(ratio) + 1))[0]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    known = cut(sample(docs, labels, "toxic", FIT_ROWS))
-    ratio, used, totals = _ratios(known.mapInArrow(_document_counts, "gram long, n0 long, n1 long"))
+    known = cut(sample(docs, labels, "toxic", FIT_ROWS).coalesce(FIT_TASKS))
+    counted = known.mapInArrow(_document_counts, "rows binary, counts binary").toArrow()  # a row for each of FIT_TASKS
+    totals, counts = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
+    for rows, held in zip(counted.column(0), counted.column(1), strict=True):
+        totals += np.frombuffer(rows.as_py(), np.int64)
+        counts += np.frombuffer(zlib.decompress(held.as_py()), np.int32).reshape(counts.shape)
     if not totals.all():
         return Model(bias=50.0 if totals[1] else -50.0)
+    ratio, used = ratios(counts, totals)
+    slot = (np.cumsum(used) - 1).astype("<i4")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [ngrams(t.as_py(), used).astype("<i4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["grams", "y"])
-
-    fitted = known.mapInArrow(chosen, "grams binary, y int").toArrow()
-    y = fitted.column(1).to_numpy().astype(np.float64)
-    features = fitted.column(0).to_pylist()
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) // 4 for x in features])
-    grams = np.frombuffer(b"".join(features), "<i4")
-    del fitted, features
-    slot = (np.cumsum(used) - 1).astype(np.int32)
-    w, bias = fit_logistic(rows, slot[grams], ratio.astype(np.float32)[grams], y, int(used.sum()))
+            grams = [slot[ngrams(t.as_py(), used)].tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], ["slots", "y"])
+
+    x = fit_logistic(cut(known.mapInArrow(chosen, "slots binary, y int")), ratio[used])
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * ratio[used]
-    return Model(bias, weights, used)
+    weights[used] = x[:-1] * ratio[used]
+    return Model(float(x[-1]), weights, used)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
