@@ -3,7 +3,9 @@
 Attention over a piece of n tokens is estimated to cost LINEAR * n + QUADRATIC
 * n^2. Pieces go in descending order of cost (of tokens, where costs tie), each
 to the sequence of lowest cost that has tokens left; what does not fit there is
-cut off and goes to the next such sequence.
+cut off and goes to the next such sequence. A piece as long as a sequence costs
+the most a sequence can, so long documents are cut, evenly, only as finely as it
+takes for the costs of full sequences to meet.
 
 A group of documents is packed at a time, GROUP_TOKENS tokens or the whole
 partition, so memory is bounded and nothing is shuffled. A group's sequences
@@ -32,6 +34,8 @@ SEQUENCE_TOKENS = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 GROUP_TOKENS = 1 << 22
+#: The largest cost of a full sequence over their mean that is aimed at, and the finest cut, a sequence in so many pieces.
+SPREAD, PARTS_MOST = 1.1, 16
 
 
 def cost(tokens: int) -> float:
@@ -44,26 +48,58 @@ def capacities(tokens: int, most: int = SEQUENCE_TOKENS) -> list[int]:
     return [most] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def assign(lengths: list[int], most: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int, int, int]]:
-    """(document index, start, length, sequence index, offset) of each piece; every token is in exactly one."""
-    room = capacities(sum(lengths), most)
-    filled = [0] * len(room)
-    # Full-length pieces of long documents first; then the rest, which are shorter.
-    pieces = [(i, at, min(most, n - at)) for i, n in enumerate(lengths) for at in range(0, n, most)]
-    pieces.sort(key=lambda p: (-cost(p[2]), p[0], p[1]))
+def cut_at(lengths: list[int], most: int) -> list[tuple[int, int, int]]:
+    """(document index, start, length): each document in as few pieces of at most `most` tokens as will do, of like lengths."""
+    pieces = []
+    for i, n in enumerate(lengths):
+        k = -(-n // most)
+        edges = [n * j // k for j in range(k + 1)]
+        pieces += [(i, a, b - a) for a, b in zip(edges, edges[1:])]
+    return pieces
+
+
+def placed(pieces: list[tuple[int, int, int]], room: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[float]]:
+    """Pieces in descending order of cost, each into the sequence of lowest cost with room; and the sequences' costs."""
+    filled, spent = [0] * len(room), [0.0] * len(room)
     heap = [(0.0, -c, k) for k, c in enumerate(room)]
     heapq.heapify(heap)
     out = []
-    for i, at, n in pieces:
+    for i, at, n in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
         while n:
-            spent, _, k = heapq.heappop(heap)
+            _, _, k = heapq.heappop(heap)
             take = min(n, room[k] - filled[k])
             out.append((i, at, take, k, filled[k]))
             filled[k] += take
+            spent[k] += cost(take)
             at, n = at + take, n - take
             if filled[k] < room[k]:
-                heapq.heappush(heap, (spent + cost(take), -(room[k] - filled[k]), k))
-    return out
+                heapq.heappush(heap, (spent[k], filled[k] - room[k], k))
+    return out, spent
+
+
+def spread(spent: list[float], room: list[int], most: int) -> float:
+    """The largest cost of a full sequence over the mean of such; 1 if there are none."""
+    full = [c for c, r in zip(spent, room, strict=True) if r == most]
+    return max(full) * len(full) / sum(full) if full else 1.0
+
+
+def assign(lengths: list[int], most: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int, int, int]]:
+    """(document index, start, length, sequence index, offset) of each piece; every token is in exactly one.
+
+    Cuts are as few as balance allows: pieces of up to `most` tokens, else of a
+    half, a third and so on, until the spread is SPREAD at most; the best of all
+    if none is.
+    """
+    room = capacities(sum(lengths), most)
+    best: tuple | None = None
+    for parts in range(1, PARTS_MOST + 1):
+        out, spent = placed(cut_at(lengths, max(1, most // parts)), room)
+        now = spread(spent, room, most)
+        if best is None or now < best[0]:
+            best = now, out
+        if now <= SPREAD:
+            break
+    return best[1]
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -27,7 +28,8 @@ def default_path() -> str:
 class Encoder:
     """text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them."""
 
-    LIMIT = 600_000
+    #: Pieces in each of the cache's two generations, and characters of a piece that is kept.
+    LIMIT, LONGEST = 300_000, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,16 +44,24 @@ class Encoder:
         self._whole = (lambda text: (not text.isascii() and beyond(text)) or any(s in text for s in named)) if cached else lambda text: True
         self._pieces = re.compile(_PIECES).findall
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self._known) + len(pieces) > self.LIMIT:
-            self._known.clear()
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
         got = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-        edges = np.searchsorted(owner, np.arange(len(pieces) + 1))
-        data = ids.tobytes()
-        for k, piece in enumerate(pieces):
-            self._known[piece] = data[4 * edges[k] : 4 * edges[k + 1]]
+        edges = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1)).tolist()
+        data = np.array(got.ids, "<u4").tobytes()
+        return (data[4 * a : 4 * b] for a, b in zip(edges, edges[1:]))
+
+    def _learnt(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't known; those of reasonable length are from now on."""
+        out = {p: self._before[p] for p in pieces if p in self._before}
+        new = list(pieces.difference(out))
+        if new:
+            out.update(zip(new, self._encoded(new)))
+        if len(self._known) + len(out) > self.LIMIT:
+            self._before, self._known = self._known, {}
+        self._known.update((p, ids) for p, ids in out.items() if len(p) <= self.LONGEST)
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -59,14 +69,11 @@ class Encoder:
         if self._whole(text):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = self._pieces(text)
-        distinct = set(pieces)
-        new = distinct.difference(self._known)
-        if new:
-            if len(self._known) + len(new) > self.LIMIT:
-                self._known.clear()
-                new = distinct
-            self._learn(list(new))
-        return b"".join(map(self._known.__getitem__, pieces))
+        ids = list(map(self._known.get, pieces))
+        if None in ids:
+            learnt = self._learnt({p for p, known in zip(pieces, ids) if known is None})
+            ids = [learnt[p] if known is None else known for p, known in zip(pieces, ids)]
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
