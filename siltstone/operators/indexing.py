@@ -1,7 +1,10 @@
-"""From documents to an index: embed chunks, and write chunks, vectors and terms.
+"""From documents to an index: embed chunks, and write chunks, vectors, terms and lengths.
 
-The three stores are tables. A document's rows are replaced together by
-document, so running an index job again ends in the same state.
+The stores are folders of Parquet, each in parts by a hash of the document. A
+document's rows are replaced together, by document, in every store; only the
+parts that hold one of the documents are written. So running an index job again
+ends in the same state, and a document that has become shorter leaves nothing
+behind.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.vector import narrow
 from siltstone.operators.chunking import DEFAULT_CHARS, chunk
-from siltstone.operators.mutations import replace_table, upsert_by
-from siltstone.operators.retrieval import inverted_index, validated
+from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, inverted_index, knn, lengths, rrf, search_terms, top, validated
+from siltstone.runtime import cut, exists, remove
 
 # Texts an embedding call takes, and the form of a collection's name.
 EMBED_BATCH = 32
@@ -63,13 +66,50 @@ def embed(df: DataFrame, column: str, embedder: Embedder, dims: int) -> DataFram
     return df.mapInArrow(lambda batches: _embedded(batches, column, embedder, dims), schema).withColumn("embedding", narrow(F.col("embedding")))
 
 
-@dataclass
+#: What names a chunk, in every store.
+CHUNK = ("document_id", "chunk_index")
+_KEY = "document_id bigint, chunk_index int"
+STORES = {
+    "chunks": f"{_KEY}, title string, heading_path string, content string",
+    "terms": f"{_KEY}, field string, term string, tf bigint, dl int",
+    "lengths": f"{_KEY}, field string, dl int",
+    "vectors": f"{_KEY}, embedding array<float>",
+}
+
+
+@dataclass(frozen=True)
 class Stores:
-    """Names of the tables of one index."""
+    """The folders of one index below root, each in so many parts; a part is read and written whole."""
+
+    root: str
+    parts: int = 64
+
+    def path(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    def _stored(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.schema(f"{STORES[name]}, part int").parquet(self.path(name))
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return self._stored(spark, name).drop("part")
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("document_id"), F.lit(self.parts)).cast("int")
 
-    chunks: str
-    vectors: str
-    terms: str
+    def replace(self, rows: DataFrame, name: str, documents: DataFrame) -> None:
+        """Rows of the documents (document_id) give way to the new ones. One writer at a time is assumed."""
+        spark = rows.sparkSession
+        touched = documents.select(self.part().alias("part")).distinct()
+        rows = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in STORES[name].split(", "))])
+        state = rows.withColumn("part", self.part())
+        if exists(spark, self.path(name)):
+            old = self._stored(spark, name).join(F.broadcast(touched), "part", "left_semi")  # `parts` rows at most
+            state = state.unionByName(old.join(documents.select("document_id").distinct(), "document_id", "left_anti"))
+        state = cut(state)  # the folder that is read is written to
+        writer = state.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(self.path(name))
+        for r in touched.join(state.select("part").distinct(), "part", "left_anti").collect():
+            remove(spark, f"{self.path(name)}/part={r['part']}")
 
 
 def ensure_collection(spark: SparkSession, name: str, dims: int) -> None:
@@ -83,25 +123,35 @@ def ensure_collection(spark: SparkSession, name: str, dims: int) -> None:
         raise ValueError(f"{name} is not a collection of {dims} dimensions")
 
 
-def _replaced(spark: SparkSession, name: str, rows: DataFrame, key: str) -> None:
-    """The table's rows of the same key give way to new ones; the table is created with the first."""
-    if spark.catalog.tableExists(name):
-        rows = upsert_by(spark.table(name), rows, [key]).state
-    replace_table(spark, rows, name)
+def chunk_id() -> Column:
+    """A chunk's name as one string."""
+    return F.concat_ws("#", *CHUNK)
 
 
 def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: int, model: str, most: int = DEFAULT_CHARS) -> DataFrame:
-    """Chunk, embed and write docs (id, title, text): chunks first, then terms, then vectors. Gives the chunks."""
-    spark = docs.sparkSession
-    pieces = chunk(docs.select(F.col("id").alias("document_id"), "title", "text"), most=most)
-    pieces = pieces.withColumn("chunk_id", F.xxhash64("document_id", "chunk_index").bitwiseAND(F.lit((1 << 62) - 1)) + 1)
-    _replaced(spark, stores.chunks, pieces, "document_id")
-    mine = spark.table(stores.chunks).join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    terms = inverted_index(mine.withColumn("id", F.col("chunk_id")), ["content", "title"])
-    _replaced(spark, stores.terms, terms, "id")
-    vectors = validated(embed(mine.select("chunk_id", "content"), "content", embedder, dims).select("chunk_id", "embedding"), dims, model)
-    _replaced(spark, stores.vectors, vectors, "chunk_id")
-    return mine
+    """Chunk, embed and write docs (id, title, text): chunks first, then terms and lengths, then vectors. Gives the chunks written."""
+    mine = docs.select(F.col("id").alias("document_id"))
+    pieces = cut(chunk(docs.select(F.col("id").alias("document_id"), "title", "text"), most=most))
+    stores.replace(pieces, "chunks", mine)
+    named = pieces.withColumn("id", F.struct(*CHUNK))
+    fields = ["content", "title"]
+    for name, rows in (("terms", inverted_index(named, fields)), ("lengths", lengths(named, fields))):
+        stores.replace(rows.select("id.*", *[c for c in rows.columns if c != "id"]), name, mine)
+    vectors = embed(pieces.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding")
+    stores.replace(validated(vectors, dims, model, CHUNK), "vectors", mine)
+    return pieces
+
+
+def search_index(spark: SparkSession, stores: Stores, queries: DataFrame, dims: int, options: Options = Options(), vectors: bool = True) -> DataFrame:
+    """(query_id, id, score, rank) over the stores, id as chunk_id() gives it: the fused channels, or the keyword one alone."""
+    most = OVERFETCH * options.top_k
+    asked = cut(checked_queries(queries))
+    named = lambda name: stores.read(spark, name).withColumn("id", chunk_id())
+    words = search_terms(named("terms"), named("lengths"), asked, most)
+    if not vectors:
+        return words
+    near = knn(named("vectors"), asked.select("query_id", F.col("vector").alias("query")), most, dims=dims)
+    return top(rrf([near, words], options.rrf_k), named("chunks"), options)
 
 
 def upload(documents: DataFrame, files: DataFrame, dataset_id: int, now) -> DataFrame:

@@ -37,10 +37,23 @@ def first_of(df: DataFrame, predicate: Column, limit: int, *order: Column) -> Da
     return df.where(predicate).orderBy(*order).limit(limit).select("id")
 
 
-def audit(events: DataFrame, before_: DataFrame, after_: DataFrame, now: Column) -> DataFrame:
-    """Events with one more for each row whose status changed."""
-    changed = before_.select("id", F.col("status").alias("_was")).join(after_.select("id", "status"), "id").where("_was <> status")
-    return events.unionByName(changed.select(F.col("id").alias("subject"), F.concat(F.lit("approval."), F.lower("status")).alias("event_type"), now.alias("created_at")), allowMissingColumns=True)
+#: What an audit row takes from the approval, by the approval's column.
+AUDITED = {"approval_id": "id", "session_id": "session_id", "tool": "tool", "payload": "arguments", "actor_subject": "requester"}
+
+
+def audit(events: DataFrame, before_: DataFrame, after_: DataFrame, now: Column, actor: Column | None = None) -> DataFrame:
+    """events with one more for each approval that is new or changed its status: approval, session, tool, arguments and actor.
+
+    The actor is the requester unless another is given; what an approval has no column for is null.
+    """
+    was = before_.select(F.col("id").alias("_id"), F.col("status").alias("_was"))
+    joined = after_.join(was, after_["id"] == F.col("_id"), "left")
+    changed = joined.where(F.col("_id").isNull() | (F.col("_was") != F.col("status")))
+    taken = {to: F.col(c) if c in after_.columns else F.lit(None).cast("string") for to, c in AUDITED.items()}
+    if actor is not None:
+        taken["actor_subject"] = actor
+    kind = F.concat(F.lit("approval."), F.when(F.col("_id").isNull(), "created").otherwise(F.lower("status")))
+    return events.unionByName(changed.select(*[c.alias(n) for n, c in taken.items()], kind.alias("event_type"), now.alias("created_at")), allowMissingColumns=True)
 
 
 def create_approvals(df: DataFrame, requests: DataFrame, now: Column, ttl: int = APPROVAL_TTL_SECONDS) -> DataFrame:
@@ -60,26 +73,37 @@ def decide(df: DataFrame, which: Column, approve: Column, by: str, now: Column)
     return update(df, which & (F.col("status") == "PENDING") & (F.col("expires_at") > now), **values)
 
 
-def consume(df: DataFrame, calls: DataFrame, keys: tuple[str, ...] = ("session_id", "tool", "arguments_hash", "requester")) -> DataFrame:
-    """RESUMING approvals whose keys match a call are EXECUTED."""
-    hit = df.where("status = 'RESUMING'").join(calls.select(*keys).distinct(), list(keys), "left_semi").select(F.col("id").alias("_hit"))
-    return df.join(hit, df["id"] == F.col("_hit"), "left").withColumn("status", F.when(F.col("_hit").isNotNull(), "EXECUTED").otherwise(F.col("status"))).drop("_hit")
+def consume(df: DataFrame, calls: DataFrame, now: Column, keys: tuple[str, ...] = ("session_id", "tool", "arguments_hash", "requester")) -> DataFrame:
+    """The RESUMING approvals that calls name by id, with equal keys, are EXECUTED, and get executed_at."""
+    named = calls.select(F.col("id").alias("_hit"), *[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    match = (df["id"] == F.col("_hit")) & (df["status"] == "RESUMING")
+    for k in keys:
+        match = match & (df[k] == F.col(f"_{k}"))
+    have = F.col("executed_at") if "executed_at" in df.columns else F.lit(None).cast("timestamp")
+    hit = F.col("_hit").isNotNull()
+    out = df.join(named, match, "left").withColumns({"status": F.when(hit, "EXECUTED").otherwise(F.col("status")), "executed_at": F.when(hit, now).otherwise(have)})
+    return out.drop("_hit", *[f"_{k}" for k in keys])
 
 
 def claim(df: DataFrame, which: Column, owner: Column, now: Column) -> Change:
-    """APPROVED, owned, unexpired approvals with checkpoint, interrupt and run are taken up."""
+    """APPROVED, owned approvals with checkpoint, interrupt and run are taken up unless they have expired; without an expiry they never do."""
     whole = F.col("checkpoint_id").isNotNull() & F.col("interrupt_id").isNotNull() & F.col("run_id").isNotNull()
-    return transition(df, ("APPROVED",), "RESUMING", which & (F.col("requester") == owner) & (F.col("expires_at") > now) & whole)
+    live = F.col("expires_at").isNull() | (F.col("expires_at") > now)
+    return transition(df, ("APPROVED",), "RESUMING", which & (F.col("requester") == owner) & live & whole)
 
 
 def release(df: DataFrame, which: Column) -> Change:
     return transition(df, ("RESUMING",), "APPROVED", which)
 
 
+def due(df: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
+    """Ids of the first `limit` PENDING rows strictly past their expiry: those that expire() returns as EXPIRED."""
+    return first_of(df, (F.col("status") == "PENDING") & (F.col("expires_at") < now), limit, F.col("expires_at"), F.col("id"))
+
+
 def expire(df: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
-    """The first `limit` PENDING rows strictly past their expiry become EXPIRED; decided_at stays."""
-    due = first_of(df, (F.col("status") == "PENDING") & (F.col("expires_at") < now), limit, F.col("expires_at"), F.col("id"))
-    hit = F.broadcast(due.select(F.col("id").alias("_due")))  # `limit` rows
+    """The due rows become EXPIRED; decided_at stays."""
+    hit = F.broadcast(due(df, now, limit).select(F.col("id").alias("_due")))  # `limit` rows
     out = df.join(hit, df["id"] == F.col("_due"), "left")
     return out.withColumn("status", F.when(F.col("_due").isNotNull(), "EXPIRED").otherwise(F.col("status"))).drop("_due")
 

@@ -250,15 +250,18 @@ def recall_at(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return per.withColumn("recall", F.round(F.col("found") / F.col("relevant"), 6))
 
 
-def validated(vectors: DataFrame, dim: int, model: str) -> DataFrame:
-    """vectors (chunk_id, embedding), failing on a bad id, dimension, value or repeated id, and on a blank model."""
+def validated(vectors: DataFrame, dim: int, model: str, key: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """vectors (key, embedding), failing on a bad id, dimension, value or repeated key, and on a blank model.
+
+    The first column of the key is an id; any others are places, from 0.
+    """
     if not model.strip():
         raise ValueError("embedding model is blank")
-    twice = F.count("*").over(Window.partitionBy("chunk_id")) > 1
-    fault = (
-        F.when(F.col("chunk_id").isNull() | (F.col("chunk_id") <= 0), "id must be positive")
-        .when(~vector.is_valid(F.col("embedding"), dim), "bad vector").when(twice, "id repeats")
-    )
+    twice = F.count("*").over(Window.partitionBy(*key)) > 1
+    bad = F.coalesce(F.col(key[0]) <= 0, F.lit(True))
+    for k in key[1:]:
+        bad = bad | F.coalesce(F.col(k) < 0, F.lit(True))
+    fault = F.when(bad, "id must be positive").when(~vector.is_valid(F.col("embedding"), dim), "bad vector").when(twice, "id repeats")
     marked = vectors.withColumn("_fault", fault)
     return marked.where(F.when(F.col("_fault").isNull(), True).otherwise(F.raise_error(F.col("_fault")).cast("boolean"))).drop("_fault")
 

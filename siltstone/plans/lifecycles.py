@@ -35,15 +35,21 @@ def approval_decide(spark, d):
 
 
 def approval_claim_release(spark, d):
-    a = _approvals(spark, d).withColumns({"checkpoint_id": F.lit("c"), "interrupt_id": F.when(F.col("id") % 4 != 0, F.lit("i")), "run_id": F.lit("r")})
+    a = _approvals(spark, d).withColumns({"checkpoint_id": F.lit("c"), "interrupt_id": F.when(F.col("id") % 4 != 0, F.lit("i")), "run_id": F.lit("r"),
+                                          "expires_at": F.when(F.col("id") % 7 != 0, F.col("expires_at"))})
     claimed = lc.claim(a, F.col("id") % 2 == 0, F.col("requester"), F.lit("1995-01-01").cast("timestamp")).state
     return lc.release(claimed, F.col("id") % 5 == 0).state.groupBy("status").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def approval_consume(spark, d):
+    """Every approval is called once by id; every third call comes from another requester, every fifth for another tool."""
     a = _approvals(spark, d).withColumn("status", F.when(F.col("status") == "APPROVED", "RESUMING").otherwise(F.col("status")))
-    calls = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("requester"))
-    return lc.consume(a, calls, ("requester",)).groupBy("status").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    calls = a.select("id", F.when(F.col("id") % 3 == 0, F.col("requester") + 1).otherwise(F.col("requester")).alias("requester"), F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("tool")).alias("tool"))
+    return lc.consume(a, calls, _now(), ("requester", "tool")).select("id", "status", "executed_at")
+
+
+def approval_due(spark, d):
+    return lc.due(_approvals(spark, d), _now())
 
 
 def retention_delete(spark, d):
@@ -71,10 +77,13 @@ def audit_timeline(spark, d):
 
 
 def audit_append(spark, d):
-    before = _approvals(spark, d).select("id", "status", "expires_at")
-    after = lc.transition(before, ("PENDING",), "EXPIRED", F.col("expires_at") < _now()).state
-    empty = before.select(F.col("id").alias("subject"), F.lit("").alias("event_type"), _now().alias("created_at")).where("false")
-    return lc.audit(empty, before, after, _now())
+    """Rows for approvals that expire, and for new ones."""
+    before = _approvals(spark, d)
+    requests = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000_000).alias("id"), F.col("s_nationkey").cast("bigint").alias("requester"), F.col("s_name").alias("tool"), F.concat(F.lit("{"), "s_suppkey", F.lit("}")).alias("arguments"))
+    expired = lc.transition(before, ("PENDING",), "EXPIRED", F.col("expires_at") < _now()).state
+    after = lc.create_approvals(expired, requests, _now())
+    none = spark.createDataFrame([], "approval_id bigint, session_id string, tool string, payload string, actor_subject bigint, event_type string, created_at timestamp")
+    return lc.audit(none, before, after, _now()).fillna("", ["session_id", "payload"])
 
 
 def _turns(spark, d):
@@ -162,9 +171,9 @@ def vector_delete(spark, d):
 
 def doc_upsert_by_title(spark, d):
     p = table(spark, d, "part")
-    have = p.where("p_partkey <= 100").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("old").alias("text"))
+    have = p.where("p_size <= 25").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("old").alias("text"))
     have = have.groupBy("title").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "title", "text")
-    products = p.where("p_partkey > 50").select(F.lit(None).cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("content"))
+    products = p.where("p_size > 10").select(F.lit(None).cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("content"))
     return m.upsert_documents(have, products)
 
 
@@ -220,12 +229,6 @@ def embed_documents(spark, d):
 
 
 def lexical_index(spark, d):
-    docs = schema.documents(spark, d).select("id", "text", "title")
-    return r.inverted_index(docs, ["text", "title"]).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").cast("bigint").alias("longest")).where("df >= 20")
-
-
-def lexical_index_all(spark, d):
-    """Every term, however rare."""
     docs = schema.documents(spark, d).select("id", "text", "title")
     return r.inverted_index(docs, ["text", "title"]).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").cast("bigint").alias("longest"))
 
@@ -239,13 +242,6 @@ def reindex_summary(spark, d):
 def chunk_report(spark, d):
     from siltstone.operators.indexing import chunk_report as report
 
-    return report(schema.documents(spark, d), _chunk_states(spark, d).where("document_id % 4 = 0"))
-
-
-def chunk_report_all(spark, d):
-    """The chunks of all documents."""
-    from siltstone.operators.indexing import chunk_report as report
-
     return report(schema.documents(spark, d), _chunk_states(spark, d))
 
 
@@ -278,7 +274,7 @@ def retrieval_evaluation(spark, d):
 
 _A = schema.APPROVALS_SQL
 QUERIES = {q.__name__: q for q in (
-    approval_expire, approval_decide, approval_claim_release, approval_consume, retention_delete, retention_null_trap, audit_timeline, audit_append, turn_complete_once, turn_retention,
+    approval_expire, approval_decide, approval_claim_release, approval_consume, approval_due, retention_delete, retention_null_trap, audit_timeline, audit_append, turn_complete_once, turn_retention,
     checkpoint_set, session_history, session_get_or_create, grants_state, orm_update, orm_delete, orm_create_bulk, vector_upsert, vector_delete, doc_upsert_by_title, chunk_replace,
     chunk_counts_by_status, doc_status_rollup, run_states, dataset_list, embed_documents, lexical_index, reindex_summary, chunk_report, upload_documents, retrieval_evaluation,
 )}
@@ -297,9 +293,9 @@ ORACLES = {
       SELECT doc_id, round((v[1] / greatest(norm, 1))::FLOAT::DOUBLE, 5) AS first, round((v[16] / greatest(norm, 1))::FLOAT::DOUBLE, 5) AS last FROM s""",
     "lexical_index": f"""WITH e AS (SELECT id, 'text' AS field, {_TERMS.format('text')} AS ts FROM ({schema.DOCUMENTS_SQL}) UNION ALL SELECT id, 'title', {_TERMS.format('title')} FROM ({schema.DOCUMENTS_SQL})),
       l AS (SELECT id, field, len(ts) AS dl, unnest(ts) AS term FROM e), p AS (SELECT id, field, term, dl, count(*) AS tf FROM l GROUP BY ALL)
-      SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl) AS longest FROM p GROUP BY field, term HAVING count(*) >= 20""",
+      SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl) AS longest FROM p GROUP BY field, term""",
     "reindex_summary": f"SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(*) FILTER (vector_status = 'failed') AS failed FROM ({_CHUNK_STATES})",
-    "chunk_report": f"SELECT id, title, chunk_id, vector_status FROM ({schema.DOCUMENTS_SQL}) JOIN ({_CHUNK_STATES}) ON id = document_id WHERE document_id % 4 = 0",
+    "chunk_report": f"SELECT id, title, chunk_id, vector_status FROM ({schema.DOCUMENTS_SQL}) JOIN ({_CHUNK_STATES}) ON id = document_id",
     "upload_documents": "SELECT r_name AS title, 'ready' AS status, 0::BIGINT AS dataset_id, '' AS source FROM region UNION ALL SELECT 'page ' || page_id, 'indexing', 3, url FROM pages",
     "retrieval_evaluation": f"""WITH d AS ({schema.DOCUMENTS_SQL}) SELECT 'leaks' AS what, (count(*) FILTER (dataset_id NOT IN (1, 3)))::DOUBLE AS v FROM d
       UNION ALL SELECT 'no_answer', round(avg(((id % 3 <> 0) = (id % 4 <> 0))::INT), 6) FROM d
@@ -308,16 +304,18 @@ ORACLES = {
     "approval_expire": f"WITH a AS ({_A}), due AS (SELECT id FROM a WHERE status = 'PENDING' AND expires_at < {_NOW_SQL} ORDER BY expires_at, id LIMIT 100) SELECT id, CASE WHEN id IN (FROM due) THEN 'EXPIRED' ELSE status END AS status, expires_at, decided_at FROM a",
     "approval_decide": f"""WITH a AS (SELECT *, id % 3 <> 0 AND status = 'PENDING' AND expires_at > {_NOW_SQL} AS hit FROM ({_A}))
       SELECT id, CASE WHEN hit THEN CASE WHEN id % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END ELSE status END AS status, expires_at, CASE WHEN hit THEN {_NOW_SQL} ELSE decided_at END AS decided_at, (SELECT count(*) FROM a WHERE hit) AS affected FROM a""",
-    "approval_claim_release": f"""WITH a AS (SELECT id, CASE WHEN status = 'APPROVED' AND id % 2 = 0 AND expires_at > TIMESTAMP '1995-01-01' AND id % 4 <> 0 AND id % 5 <> 0 THEN 'RESUMING' ELSE status END AS status FROM ({_A}))
+    "approval_claim_release": f"""WITH a AS (SELECT id, CASE WHEN status = 'APPROVED' AND id % 2 = 0 AND (id % 7 = 0 OR expires_at > TIMESTAMP '1995-01-01') AND id % 4 <> 0 AND id % 5 <> 0 THEN 'RESUMING' ELSE status END AS status FROM ({_A}))
       SELECT status, count(*) AS n, sum(id)::BIGINT AS ids FROM a GROUP BY status""",
-    "approval_consume": f"""SELECT CASE WHEN status = 'APPROVED' THEN CASE WHEN requester IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'EXECUTED' ELSE 'RESUMING' END ELSE status END AS status,
-      count(*) AS n, sum(id)::BIGINT AS ids FROM ({_A}) GROUP BY 1""",
+    "approval_consume": f"""WITH a AS (SELECT *, status = 'APPROVED' AND id % 3 <> 0 AND id % 5 <> 0 AS hit FROM ({_A}))
+      SELECT id, CASE WHEN hit THEN 'EXECUTED' WHEN status = 'APPROVED' THEN 'RESUMING' ELSE status END AS status, CASE WHEN hit THEN {_NOW_SQL} END AS executed_at FROM a""",
+    "approval_due": f"SELECT id FROM ({_A}) WHERE status = 'PENDING' AND expires_at < {_NOW_SQL} ORDER BY expires_at, id LIMIT 100",
     "retention_delete": f"SELECT id, status, expires_at, decided_at FROM ({_A}) WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND decided_at < {_NOW_SQL} - INTERVAL 168 HOUR, false)",
     "retention_null_trap": f"""WITH a AS (SELECT id, CASE WHEN status = 'PENDING' AND expires_at < {_NOW_SQL} THEN 'EXPIRED' ELSE status END AS status, decided_at, expires_at FROM ({_A})), k AS (SELECT {_NOW_SQL} - INTERVAL 168 HOUR AS cutoff)
       SELECT status, count(*) AS n, 'faithful' AS rule FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND decided_at < cutoff, false) GROUP BY status
       UNION ALL SELECT status, count(*), 'fixed' FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND coalesce(decided_at, expires_at) < cutoff, false) GROUP BY status""",
     "audit_timeline": "SELECT event_id, lag(event_type) OVER w AS before, coalesce(epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000, -1) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-    "audit_append": f"SELECT id AS subject, 'approval.expired' AS event_type, {_NOW_SQL} AS created_at FROM ({_A}) WHERE status = 'PENDING' AND expires_at < {_NOW_SQL}",
+    "audit_append": f"""SELECT id AS approval_id, '' AS session_id, tool, '' AS payload, requester AS actor_subject, 'approval.expired' AS event_type, {_NOW_SQL} AS created_at FROM ({_A}) WHERE status = 'PENDING' AND expires_at < {_NOW_SQL}
+      UNION ALL SELECT s_suppkey + 10000000000, '', s_name, '{{' || s_suppkey || '}}', s_nationkey, 'approval.created', {_NOW_SQL} FROM supplier""",
     "turn_complete_once": f"""WITH t AS (SELECT *, status IN ('RUNNING', 'INTERRUPTED') AND id % 3 = 0 AS won FROM ({_TURNS}))
       SELECT CASE WHEN won THEN 'COMPLETED' ELSE status END AS what, count(*) AS n, count(*) FILTER (won OR status = 'COMPLETED') AS timed FROM t GROUP BY 1
       UNION ALL SELECT 'assistant', count(*), count(*) FROM t WHERE won HAVING count(*) > 0""",
@@ -335,7 +333,7 @@ ORACLES = {
     "vector_upsert": """SELECT vec_id AS chunk_id, round(CASE WHEN vec_id % 3 = 0 AND vec_id > 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings
       UNION ALL SELECT vec_id + 1000000, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id < 5""",
     "vector_delete": "SELECT vec_id AS chunk_id, label FROM embeddings WHERE NOT coalesce(label = 3 AND vec_id > 0, false)",
-    "doc_upsert_by_title": """WITH have AS (SELECT min(p_partkey) AS id, p_name AS title FROM part WHERE p_partkey <= 100 GROUP BY p_name), new AS (SELECT p_name AS title, max(p_brand) AS text FROM part WHERE p_partkey > 50 GROUP BY p_name)
+    "doc_upsert_by_title": """WITH have AS (SELECT min(p_partkey) AS id, p_name AS title FROM part WHERE p_size <= 25 GROUP BY p_name), new AS (SELECT p_name AS title, max(p_brand) AS text FROM part WHERE p_size > 10 GROUP BY p_name)
       SELECT id, title, coalesce(new.text, 'old') AS text FROM have LEFT JOIN new USING (title)
       UNION ALL SELECT (SELECT max(id) FROM have) + row_number() OVER (ORDER BY encode(title)), title, text FROM new WHERE title NOT IN (SELECT title FROM have)""",
     "chunk_replace": "SELECT conv_id AS document_id, turn AS chunk_index, md5(text) AS content FROM conversations WHERE conv_id % 10 <> 0 UNION ALL SELECT DISTINCT conv_id, 0, 'new' FROM conversations WHERE conv_id % 10 = 0",
@@ -344,8 +342,3 @@ ORACLES = {
       SELECT d.doc_id AS id, count(c.document_id) AS chunks, count(*) FILTER (vector_status = 'indexed') AS indexed, count(*) FILTER (vector_status = 'failed') AS failed
       FROM documents d LEFT JOIN ({_CHUNK_STATES}) c ON c.document_id = d.doc_id GROUP BY d.doc_id)""",
 }
-QUERIES |= {"lexical_index_all": lexical_index_all, "chunk_report_all": chunk_report_all}
-ORACLES |= {
-    "lexical_index_all": ORACLES["lexical_index"].removesuffix(" HAVING count(*) >= 20"),
-    "chunk_report_all": ORACLES["chunk_report"].removesuffix(" WHERE document_id % 4 = 0"),
-}

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from siltstone import schema
 from siltstone.operators import annindex as ann
+from siltstone.operators import indexing as ix
 from siltstone.operators import retrieval as r
 from siltstone.operators.chunking import chunk
 from siltstone.plans.chunks import chunks_cte
-from siltstone.runtime import cut, table
+from siltstone.runtime import cut, scratch, table
 
 _TEXTS = ("src1 the tion of license", "src2 and password token", "src3 the idiot was in")
 _DIMS = 64
@@ -138,6 +139,30 @@ def knn_inverted_lists_recall(spark, d):
     return r.recall_at(ann.search(indexed, _vectors(spark, d), lists, 20, probes), exact, 20)
 
 
+def _indexed(spark, docs):
+    """Stores of docs; ids start at 1 there, as the vector store wants them."""
+    stores = ix.Stores(scratch(spark, "index"), parts=8)
+    ix.index_documents(docs, stores, ix.hash_embedder(), 16, "hash")
+    return stores
+
+
+def index_search(spark, d):
+    """From documents to stores to hits: the keyword channel over the stored terms of all chunks."""
+    stores = _indexed(spark, _docs(spark, d).select((F.col("id") + 1).alias("id"), F.lit(None).cast("string").alias("title"), "text"))
+    return ix.search_index(spark, stores, _queries(spark, d), 16, r.Options(top_k=5), vectors=False)
+
+
+def reindex_shrinks(spark, d):
+    """Private documents are indexed again with their titles alone: rows of each document in each store."""
+    docs = _docs(spark, d).select((F.col("id") + 1).alias("id"), "title", "text", "visibility")
+    stores = _indexed(spark, docs)
+    private = docs.where("visibility = 'private'").withColumn("text", F.col("title"))
+    ix.index_documents(private, stores, ix.hash_embedder(), 16, "hash")
+    per = lambda name, count: stores.read(spark, name).groupBy("document_id").agg(count.alias(name))
+    out = per("chunks", F.count("*")).join(per("vectors", F.count("*")), "document_id", "full").join(per("terms", F.sum("tf")), "document_id", "full")
+    return out.join(per("lengths", F.sum("dl")), "document_id", "full")
+
+
 def exact_id_channel(spark, d):
     return _exact(spark, d)
 
@@ -174,6 +199,7 @@ def _rrf_sql(channels: list[str], weights: list[float] | None = None, name: str
       SELECT query_id, id, round(sum(part), 12) AS score, min({{'c': channel, 'a': pos}}) AS seen FROM ({union}) GROUP BY query_id, id))"""
 
 
+_COUNT = "len(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
 _DOCS = f"SELECT *, text AS content FROM ({schema.DOCUMENTS_SQL})"
 _GRANTED = f"SELECT * FROM ({_DOCS}) WHERE dataset_id IN (1, 3)"
 _EXACT = f"""ex AS (SELECT * FROM (SELECT query_id, id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS rank
@@ -184,7 +210,7 @@ QUERIES = {
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
     "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
-    "knn_inverted_lists": knn_inverted_lists, "knn_inverted_lists_recall": knn_inverted_lists_recall,
+    "index_search": index_search, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_inverted_lists_recall": knn_inverted_lists_recall,
 }
 ORACLES = {
     "knn_inverted_lists": f"WITH {_Q}, {_knn_sql('COSINE', 20)} SELECT * FROM near",
@@ -203,6 +229,10 @@ ORACLES = {
       cited AS (SELECT query_id, rank, '[' || source || '#chunk-' || chunk_index || ']' || chr(10) || 'title: ' || source || '-' || c.doc_id || chr(10) || content AS citation
         FROM words w JOIN chunks c ON w.id = c.doc_id || '#' || c.chunk_index JOIN documents d ON d.doc_id = c.doc_id)
       SELECT query_id, rank, citation FROM (SELECT *, sum(strlen(citation)) OVER (PARTITION BY query_id ORDER BY rank) AS b FROM cited) WHERE b <= 32768""",
+    "index_search": f"""WITH {chunks_cte(1200)}, {_Q}, {_bm25_sql("SELECT (doc_id + 1) || '#' || chunk_index AS id, content FROM chunks", 20)} SELECT * FROM words""",
+    "reindex_shrinks": f"""WITH {chunks_cte(1200)}, now AS (SELECT doc_id, content FROM chunks WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, source || '-' || doc_id FROM documents WHERE doc_id % 3 = 0),
+      n AS (SELECT now.doc_id, {_COUNT.format('content')} + {_COUNT.format("source || '-' || now.doc_id")} AS terms FROM now JOIN documents USING (doc_id))
+      SELECT doc_id + 1 AS document_id, count(*) AS chunks, count(*) AS vectors, sum(terms)::BIGINT AS terms, sum(terms)::BIGINT AS lengths FROM n GROUP BY doc_id""",
     "recall_at_k": f"""WITH {_Q}, {_knn_sql('COSINE', 20)}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0)
       SELECT query_id, count(*) AS relevant, count(near.id) AS found, round(count(near.id) / count(*), 6) AS recall FROM rel LEFT JOIN near USING (query_id, id) GROUP BY query_id""",
     "validate_vectors": """SELECT vec_id, CASE WHEN vec_id <= 0 THEN 'id' WHEN len(embedding) <> 64 OR len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0 THEN 'vector' ELSE 'none' END AS fault,

@@ -30,25 +30,36 @@ def test_collections(spark):
     spark.sql("DROP TABLE vecs_t")
 
 
-def test_index_and_search(spark):
-    stores = ix.Stores("ix_chunks", "ix_vectors", "ix_terms")
-    docs = spark.createDataFrame([(1, "one", "# A\nalpha beta"), (2, "two", "gamma " * 300)], "id long, title string, text string")
+def counts(spark, stores):
+    return {n: stores.read(spark, n).count() for n in ("chunks", "vectors", "terms", "lengths")}
+
+
+def test_index_and_search(spark, tmp_path):
+    stores = ix.Stores(f"file://{tmp_path}/index", parts=4)
+    make = lambda *rows: spark.createDataFrame(list(rows), "id long, title string, text string")
+    docs = make((1, "one", "# A\nalpha beta"), (2, "two", "gamma " * 300), *[(k, "more", f"word{k}") for k in range(10, 30)])
     embedder = ix.hash_embedder(16)
-    try:
-        ix.index_documents(docs, stores, embedder, 16, "hash")
-        first = {n: spark.table(n).count() for n in ("ix_chunks", "ix_vectors", "ix_terms")}
+    ix.index_documents(docs, stores, embedder, 16, "hash")
+    first = counts(spark, stores)
+    assert first == {"chunks": 23, "vectors": 23, "terms": 49, "lengths": 46}
+    ix.index_documents(docs, stores, embedder, 16, "hash")
+    assert counts(spark, stores) == first
+    untouched = {f for f in (tmp_path / "index").rglob("*.parquet") if f.parent.name != f"part={docs.where('id = 2').select(F.col('id').alias('document_id')).select(stores.part()).first()[0]}"}
+    ix.index_documents(make((2, "two", "delta")), stores, embedder, 16, "hash")
+    assert counts(spark, stores) == {"chunks": 22, "vectors": 22, "terms": 46, "lengths": 44}  # nothing stale anywhere
+    assert untouched <= set((tmp_path / "index").rglob("*.parquet"))
+    assert stores.read(spark, "terms").where("term = 'gamma'").count() == 0
+    queries = spark.createDataFrame([(1, " delta ", [float(x) for x in embedder(["delta"])[0]])], "query_id long, query string, vector array<double>")
+    hits = ix.search_index(spark, stores, queries, 16).orderBy("rank").collect()
+    assert hits[0].content == "delta" and hits[0].id == "2#0"
+    assert [x.id for x in ix.search_index(spark, stores, queries, 16, vectors=False).collect()] == ["2#0"]
+    for gone in ("", None):
+        ix.index_documents(make(*[(k, "t", gone) for k in (1, 2, *range(10, 30))]), stores, embedder, 16, "hash")
+        assert not list((tmp_path / "index").glob("*/part=*"))
         ix.index_documents(docs, stores, embedder, 16, "hash")
-        assert {n: spark.table(n).count() for n in first} == first and first["ix_chunks"] == first["ix_vectors"] == 3
-        ix.index_documents(spark.createDataFrame([(2, "two", "delta")], "id long, title string, text string"), stores, embedder, 16, "hash")
-        chunks = spark.table("ix_chunks").withColumn("id", F.col("chunk_id"))
-        assert sorted(x.content for x in chunks.collect()) == ["# A\n\nalpha beta", "delta"]
-        queries = spark.createDataFrame([(1, "delta", [float(x) for x in embedder(["delta"])[0]])], "query_id long, query string, vector array<double>")
-        vectors = spark.table("ix_vectors").join(chunks.select("chunk_id"), "chunk_id").select(F.col("chunk_id").alias("id"), "embedding")
-        hits = r.hybrid(chunks, vectors, queries).orderBy("rank").collect()
-        assert hits[0].content == "delta"
-    finally:
-        for name in ("ix_chunks", "ix_vectors", "ix_terms"):
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        assert counts(spark, stores) == first
+    with pytest.raises(PySparkException):
+        ix.index_documents(make((0, "t", "x")), stores, embedder, 16, "hash")
 
 
 def test_evaluation(spark):
@@ -94,11 +105,3 @@ def test_runs(spark):
     assert lc.release_runs(taken.state, F.lit(True), now).count() == 1
     done = lc.finish_runs(taken.state, F.lit(True), now, "boom").state
     assert sorted((x.id, x.status, x.error_code) for x in done.collect()) == [(1, "FAILED", "boom"), (2, "COMPLETED", None)]
-
-
-def test_index_and_report_of_everything(spark):
-    from siltstone.plans import catalog
-
-    sf = "/root/testdata/sf0.001"
-    assert catalog.QUERIES["lexical_index_all"](spark, sf).where("df < 20").count() > 0
-    assert catalog.QUERIES["chunk_report_all"](spark, sf).where("chunk_id div 1000 % 4 <> 0").count() > 0

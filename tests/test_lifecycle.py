@@ -28,6 +28,7 @@ def test_expire_and_decide(spark, now):
     expired = lc.expire(df, now)
     assert states(expired) == ["EXPIRED", "PENDING", "PENDING", "APPROVED"] and expired.where("decided_at is not null").count() == 0
     assert states(lc.expire(df, now, 0)) == ["PENDING", "PENDING", "PENDING", "APPROVED"]
+    assert [r.id for r in lc.due(df, now).collect()] == [0]
     decided = lc.decide(df, F.lit(True), F.col("id") % 2 == 1, "ann", now)
     assert states(decided.state) == ["PENDING", "PENDING", "REJECTED", "APPROVED"] and decided.count() == 1
 
@@ -37,14 +38,26 @@ def test_resume_cycle(spark, now):
     claimed = lc.claim(df, F.lit(True), F.lit("ann"), now).state
     assert states(claimed) == ["RESUMING", "APPROVED", "APPROVED", "APPROVED", "PENDING"]
     assert states(lc.release(claimed, F.lit(True)).state) == states(df)
-    calls = spark.createDataFrame([("ann",), ("ann",)], "requester string")
-    assert states(lc.consume(claimed, calls, ("requester",))) == ["EXECUTED", "APPROVED", "APPROVED", "APPROVED", "PENDING"]
+    both = approvals(spark, *[("RESUMING", AHEAD, None, "ann", "c", "i", "r")] * 3)
+    for calls, want in (([(0, "ann"), (0, "ann")], ["EXECUTED", "RESUMING", "RESUMING"]), ([(1, "bob"), (2, "ann"), (9, "ann")], ["RESUMING", "RESUMING", "EXECUTED"])):
+        done = lc.consume(both, spark.createDataFrame(calls, "id long, requester string"), now, ("requester",))
+        assert states(done) == want and [r.executed_at for r in done.where("status = 'EXECUTED'").collect()] == [NOW]
+    assert states(lc.claim(approvals(spark, ("APPROVED", None, None, "ann", "c", "i", "r")), F.lit(True), F.lit("ann"), now).state) == ["RESUMING"]
     attached = lc.attach_checkpoint(df, F.lit(True), "c9", "i9")
     assert attached.count() == 1 and attached.state.where("checkpoint_id = 'c9'").first().id == 4
     created = lc.create_approvals(df, spark.createDataFrame([(9,)], "id long"), now).where("id = 9").first()
     assert created.status == "PENDING" and created.expires_at == NOW + dt.timedelta(minutes=30)
 
 
+def test_audit_rows_are_whole(spark, now):
+    df = approvals(spark, ("APPROVED", AHEAD, None, "ann", "c", "i", "r"), ("PENDING", AHEAD)).withColumns({"session_id": F.lit("s"), "tool": F.lit("shell"), "arguments": F.lit("{}")})
+    none = spark.createDataFrame([], "event_type string, created_at timestamp")
+    after = lc.create_approvals(lc.claim(df, F.lit(True), F.lit("ann"), now).state, spark.createDataFrame([(9, "bob", "t", "{1}", "z")], "id long, requester string, tool string, arguments string, session_id string"), now)
+    rows = {(r.approval_id, r.event_type, r.session_id, r.tool, r.payload, r.actor_subject, r.created_at) for r in lc.audit(none, df, after, now).collect()}
+    assert rows == {(0, "approval.resuming", "s", "shell", "{}", "ann", NOW), (9, "approval.created", "z", "t", "{1}", "bob", NOW)}
+    assert lc.audit(none, df, after, now, F.lit("eve")).select("actor_subject").distinct().first()[0] == "eve"
+
+
 def test_retention(spark, now):
     df = approvals(spark, ("REJECTED", AGO, AGO), ("EXPIRED", AGO), ("EXECUTED", AGO, NOW), ("PENDING", AGO, AGO))
     cutoff = lc.before(now, 168)
