@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import simhash, vecdedup
 from siltstone.llm.components import connected_components
@@ -115,16 +116,24 @@ def test_vectors_against_brute_force(spark, monkeypatch, tile):
     for r, k in zip(root, rows, strict=True):
         least[r] = min(least.get(r, k[0]), k[0])
     want = [(k[0], d, least[r], k[0] == least[r]) for k, d, r in zip(rows, degree, root, strict=True)]
-    df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, label int, n int").repartition(3)
+    df = spark.createDataFrame([(*r, 3, "x") for r in rows], "vec_id long, embedding array<float>, label int, n int, cid string").repartition(3)
     assert sorted(map(repr, map(tuple, vecdedup.near_duplicates(df).collect()))) == sorted(map(repr, want))
+    assert vecdedup.near_duplicates(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).exceptAll(vecdedup.near_duplicates(df)).count() == 0
 
 
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(5)
-    a, b = vecdedup.Tile(rng.normal(size=(300, 64))), vecdedup.Tile(rng.normal(size=(200, 64)) ** 3)
+    a, b = vecdedup.Tile.of(rng.normal(size=(300, 64))), vecdedup.Tile.of(rng.normal(size=(200, 64)) ** 3)
     true = a.unit @ b.unit.T
+    least, most = vecdedup.bounds(a, b)
+    assert (least <= true).all() and (true <= most).all() and (most - least).max() < 0.1
     for threshold in (0.0, 0.2, 0.5):
-        i, j = vecdedup.candidates(a, b, threshold, slice(0, 300))
-        hit = np.zeros(true.shape, bool)
-        hit[i, j] = True
-        assert hit[true >= threshold].all() and hit.sum() < (true >= threshold - 0.1).sum()
+        hit, links = np.zeros(true.shape, bool), np.zeros(true.shape, bool)
+        for i, j, sure in vecdedup.judged(a, b, threshold):
+            hit[i, j] = True
+            links[i[sure], j[sure]] = True
+        assert hit[true >= threshold].all() and hit.sum() < (true >= threshold - 0.1).sum() and (true[links] >= threshold).all() and links.any()
+        for i, j in vecdedup.linked(a, b, threshold):
+            assert not links[i, j].any()
+            links[i, j] = True
+        assert (links == (true >= threshold)).all()
