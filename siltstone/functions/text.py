@@ -168,5 +168,22 @@ def fingerprint(c: str | Column) -> Column:
     return F.sha2(canonical_json(_col(c)), 256)
 
 
+def new_uuid() -> Column:
+    """A random UUID (version 4) for each row; another one when the row is computed again, so write it before it is used."""
+    return F.expr("uuid()")
+
+
+def is_skill_name(c: str | Column) -> Column:
+    """ASCII letters, digits, hyphens and underscores, at least one; null is no name."""
+    return F.coalesce(_col(c).rlike(r"\A[A-Za-z0-9_-]+\z"), F.lit(False))
+
+
+def is_host_port(c: str | Column) -> Column:
+    """host:port after trimming: no white space within, a host (in brackets if it has colons), a port from 1 to 65535."""
+    trimmed = trim_unicode(c)
+    port = F.regexp_extract(trimmed, r"\A(?:\[[^\[\]\s]+\]|[^:\[\]\s]+):(\+?[0-9]+)\z", 1)
+    return F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False))
+
+
 def base36(c: str | Column) -> Column:
     return F.lower(F.conv(_col(c).cast("string"), 10, 36))

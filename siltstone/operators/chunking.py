@@ -96,6 +96,19 @@ def chunk(docs: DataFrame, text: str = "text", most: int = DEFAULT_CHARS) -> Dat
     return docs.mapInArrow(lambda batches: _chunked(batches, text, most), schema)
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, n, path, body) for k, text in enumerate(batch.column(1)) for n, (path, body) in enumerate(sections(text.as_py() or ""))]
+        at, number, path, body = zip(*rows, strict=True) if rows else ((),) * 4
+        keys = batch.column(0).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(number, pa.int64()), pa.array(path, pa.string()), pa.array(body, pa.string())], [batch.schema.names[0], "section", "heading_path", "text"])
+
+
+def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section, heading_path, text) of each section, where the text is read."""
+    return docs.select(key, text).mapInArrow(_split, f"`{key}` {docs.schema[key].dataType.simpleString()}, section long, heading_path string, text string")
+
+
 def sections_by_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section, heading_path, text): the same sections by windows over exploded lines."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("bare", trim_unicode("line"))

@@ -35,40 +35,43 @@ def blocks(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _scalar(raw: str):
-    raw = raw.strip()
-    if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
-        return raw[1:-1]
-    return None if raw in ("", "~", "null") else raw
+def _value(node):
+    """A YAML node as text, None, a list or a dict; scalars keep the form they are written in."""
+    import yaml
+
+    if isinstance(node, yaml.MappingNode):
+        out = {}
+        for key, value in node.value:
+            if key.value in out:
+                raise ValueError(f"{key.value!r} is there twice")
+            out[key.value] = _value(value)
+        return out
+    if isinstance(node, yaml.SequenceNode):
+        return [_value(x) for x in node.value]
+    return None if node.tag == "tag:yaml.org,2002:null" else node.value
 
 
 def front_matter(text: str) -> dict:
-    """The subset of YAML that front matter uses: scalars, one level of nesting, and lists of scalars."""
-    out: dict = {}
-    inner = None
-    for line in text.split("\n"):
-        bare = line.split(" #")[0].rstrip()
-        if not bare.strip() or bare.lstrip().startswith("#"):
-            continue
-        indented, item = bare[0] in " \t", bare.strip()
-        if item.startswith("- ") and inner is not None:
-            if not isinstance(out[inner], list):
-                out[inner] = []
-            out[inner].append(_scalar(item[2:]))
-            continue
-        name, colon, value = item.partition(":")
-        if not colon:
-            raise ValueError(f"not a field: {item!r}")
-        if indented and inner is not None:
-            if not isinstance(out[inner], dict):
-                out[inner] = {}
-            out[inner][name.strip()] = _scalar(value)
-        elif value.strip().startswith("["):
-            out[name] = [_scalar(v) for v in value.strip()[1:-1].split(",") if v.strip()]
-        else:
-            inner = name if not value.strip() else None
-            out[name] = _scalar(value)
-    return out
+    """YAML's mapping; no text is an empty one."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("product files are read with PyYAML") from e
+    try:
+        node = yaml.compose(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except yaml.YAMLError as e:
+        raise ValueError(f"bad front matter: {e}") from e
+    if node is None:
+        return {}
+    if not isinstance(node, yaml.MappingNode):
+        raise ValueError("front matter isn't a mapping")
+    return _value(node)
+
+
+def _text(fields: dict, name: str) -> str | None:
+    if isinstance(fields.get(name), list | dict):
+        raise ValueError(f"{name} isn't a text")
+    return fields.get(name)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +84,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fields = front_matter(head)
                 spec = fields.get("specs_from_doc") or {}
                 rows.append(
-                    {f: fields.get(f) for f in TEXT_FIELDS}
-                    | {"specs_from_doc": {f: spec.get(f) for f in SPEC_TEXT} | {f: None if spec.get(f) is None else int(spec[f]) for f in SPEC_INT}}
+                    {f: _text(fields, f) for f in TEXT_FIELDS}
+                    | {"specs_from_doc": {f: _text(spec, f) for f in SPEC_TEXT} | {f: None if spec.get(f) is None else int(_text(spec, f)) for f in SPEC_INT}}
                     | {"variants": fields.get("variants") or [], "content": body, "_source": source}
                 )
         yield pa.RecordBatch.from_pylist(rows, schema)

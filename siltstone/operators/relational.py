@@ -179,6 +179,12 @@ class Query:
         joined = self.df.join(lists, F.col(e.here) == F.col("_there"), "left").drop("_there")
         return self._with(joined.withColumn(into, F.coalesce(into, F.array().cast(joined.schema[into].dataType))))
 
+    def pairs(self, edge: str, columns: list[str], *predicates: Column) -> DataFrame:
+        """(id, columns...) a row for each neighbour: what load gives, for hubs whose neighbours are too many for one row."""
+        e = self._edge(edge)
+        side = self.schema.query(e.table).where(*predicates).df.select(F.col(e.there).alias("_there"), *columns)
+        return self.df.select("id", F.col(e.here).alias("_here")).join(side.withColumnsRenamed({"id": "_id"}), F.col("_here") == F.col("_there")).drop("_here", "_there")
+
     def neighbour_count(self, edge: str, into: str) -> Query:
         e = self._edge(edge)
         counts = self.schema.query(e.table).df.groupBy(F.col(e.there).alias("_there")).agg(F.count("*").alias(into))
@@ -206,6 +212,9 @@ class Query:
     def select(self, *columns: str) -> DataFrame:
         return self.df.select(*columns)
 
+    def select_unique(self, *columns: str) -> DataFrame:
+        return self._with(self.df.select(*columns)).unique().df
+
     def group_by(self, *columns: str) -> Grouped:
         return Grouped(self.df, columns)
 
@@ -259,16 +268,20 @@ def numbered_page(df: DataFrame, number: int, size: int, key: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumns({"page": F.lit(number), "size": F.lit(size)})
 
 
-def tree_paths(folders: DataFrame, separator: str = "/", most_levels: int = 100) -> DataFrame:
-    """(id, path, depth) of folders (id, parent_id, name), level by level from the roots."""
+def tree_paths(folders: DataFrame, separator: str = "/") -> DataFrame:
+    """(id, path, depth) of folders (id, parent_id, name), level by level from the roots, however deep.
+
+    Folders that no root leads to, as in a cycle, have no path. A folder has one
+    parent, so every level is of new ones and there is a last.
+    """
     level = folders.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_levels + 1):
+    out, depth = level, 0
+    while True:
+        depth += 1
         level = cut(folders.alias("f").join(level.alias("p"), F.col("f.parent_id") == F.col("p.id")).select("f.id", F.concat_ws(separator, "p.path", "f.name").alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def newest(df: DataFrame, per: str, n: int, *by: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators.chunking import chunk, sections_by_lines
+from siltstone.operators.chunking import chunk, split_sections
 from siltstone.runtime import table
 
 _W = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -61,7 +61,7 @@ def _markdown(spark, d):
 
 
 def markdown_sections(spark, d):
-    out = sections_by_lines(_markdown(spark, d))
+    out = split_sections(_markdown(spark, d))
     return out.groupBy("doc_id", "heading_path").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("texts_md5"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -9,7 +11,7 @@ from siltstone.operators import lifecycle as lc
 from siltstone.operators import mutations as m
 from siltstone.operators import retrieval as r
 from siltstone.operators.relational import newest
-from siltstone.runtime import table
+from siltstone.runtime import cut, table
 
 _NOW, _NOW_SQL = "1996-06-15 00:00:00", "TIMESTAMP '1996-06-15 00:00:00'"
 
@@ -177,6 +179,56 @@ def doc_upsert_by_title(spark, d):
     return m.upsert_documents(have, products)
 
 
+def table_replaced(spark, d):
+    """A stored table gives way to a new state whole, twice."""
+    name = f"replaced_{uuid.uuid4().hex[:12]}"
+    have = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    new = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    try:
+        m.replace_table(spark, have, name)
+        m.replace_table(spark, m.upsert_by(spark.table(name), new.where("id > 2"), ["id"]).state, name)
+        return cut(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def vector_collection(spark, d):
+    """A collection is made once, and refused under another dimension or a bad name."""
+    from siltstone.operators.indexing import ensure_collection
+
+    name, rows = f"vectors_{uuid.uuid4().hex[:12]}", []
+    try:
+        for case, dims in ((name, 64), (name, 64), (name, 32), (f"1{name}", 64)):
+            try:
+                ensure_collection(spark, case, dims)
+                rows.append((len(rows), "ready"))
+            except ValueError:
+                rows.append((len(rows), "refused"))
+        table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").write.insertInto(name)
+        rows.append((len(rows), str(spark.table(name).count())))
+        return spark.createDataFrame(rows, "step int, result string")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def guarded_writes(spark, d):
+    """Named operators behind an allow-list and a trace; rows that pass the hooks, per operator."""
+    from siltstone.operators.registry import Hooks, Registry, only, traced, wrapped
+
+    registry, log = Registry(), []
+    registry.register("open", lambda df: df.where("status = 'PENDING'"))
+    registry.register("closed", lambda df: df.where("status in ('REJECTED', 'EXECUTED')"))
+    hooks = Hooks().on("approvals", "id is negative", F.col("id") >= 0).on(None, "status is missing", F.col("status").isNotNull())
+    out = []
+    for name in registry.names():
+        try:
+            rows = wrapped(name, registry.require(name), only("open"), traced(log))(_approvals(spark, d))
+            out.append((name, hooks.apply("approvals", rows).count()))
+        except PermissionError:
+            out.append((name, -1))
+    return spark.createDataFrame([*out, ("traced", len(log))], "operator string, n bigint")
+
+
 def chunk_replace(spark, d):
     """Chunks of every tenth document are replaced by one new chunk each."""
     chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("bigint").alias("chunk_index"), F.md5("text").alias("content"))
@@ -276,7 +328,7 @@ _A = schema.APPROVALS_SQL
 QUERIES = {q.__name__: q for q in (
     approval_expire, approval_decide, approval_claim_release, approval_consume, approval_due, retention_delete, retention_null_trap, audit_timeline, audit_append, turn_complete_once, turn_retention,
     checkpoint_set, session_history, session_get_or_create, grants_state, orm_update, orm_delete, orm_create_bulk, vector_upsert, vector_delete, doc_upsert_by_title, chunk_replace,
-    chunk_counts_by_status, doc_status_rollup, run_states, dataset_list, embed_documents, lexical_index, reindex_summary, chunk_report, upload_documents, retrieval_evaluation,
+    table_replaced, vector_collection, guarded_writes, chunk_counts_by_status, doc_status_rollup, run_states, dataset_list, embed_documents, lexical_index, reindex_summary, chunk_report, upload_documents, retrieval_evaluation,
 )}
 _TURNS = "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'RUNNING' WHEN o_orderstatus = 'P' THEN 'INTERRUPTED' WHEN o_orderkey % 2 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_orderdate AS at_ FROM orders"
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -337,6 +389,9 @@ ORACLES = {
       SELECT id, title, coalesce(new.text, 'old') AS text FROM have LEFT JOIN new USING (title)
       UNION ALL SELECT (SELECT max(id) FROM have) + row_number() OVER (ORDER BY encode(title)), title, text FROM new WHERE title NOT IN (SELECT title FROM have)""",
     "chunk_replace": "SELECT conv_id AS document_id, turn AS chunk_index, md5(text) AS content FROM conversations WHERE conv_id % 10 <> 0 UNION ALL SELECT DISTINCT conv_id, 0, 'new' FROM conversations WHERE conv_id % 10 = 0",
+    "table_replaced": "SELECT r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 2) UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 2",
+    "vector_collection": "SELECT k::INTEGER AS step, r AS result FROM (VALUES (0, 'ready'), (1, 'ready'), (2, 'refused'), (3, 'refused')) t(k, r) UNION ALL SELECT 4, count(*)::VARCHAR FROM embeddings",
+    "guarded_writes": f"SELECT 'open' AS operator, count(*) AS n FROM ({_A}) WHERE status = 'PENDING' UNION ALL SELECT 'closed', -1 UNION ALL SELECT 'traced', 1",
     "chunk_counts_by_status": f"SELECT vector_status, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM ({_CHUNK_STATES}) GROUP BY vector_status",
     "doc_status_rollup": f"""SELECT id, chunks, indexed, failed, CASE WHEN failed > 0 THEN 'failed' WHEN chunks > 0 AND indexed = chunks THEN 'ready' ELSE 'indexing' END AS status FROM (
       SELECT d.doc_id AS id, count(c.document_id) AS chunks, count(*) FILTER (vector_status = 'indexed') AS indexed, count(*) FILTER (vector_status = 'failed') AS failed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone import schema
-from siltstone.operators.relational import Edge, P, Schema, any_of, differences, newest, none_of, numbered_page, ordering, tree_paths
+from siltstone.operators.relational import Edge, NotFound, NotSingular, P, Schema, any_of, differences, newest, none_of, numbered_page, ordering, tree_paths
 from siltstone.runtime import table
 
 
@@ -53,6 +53,24 @@ def newest_n_history(spark, d):
     return newest(table(spark, d, "conversations"), "conv_id", 2, "turn").select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
+def exist_flags(spark, d):
+    orders = _schema(spark, d).query("orders")
+    return spark.createDataFrame([(s, orders.where(P("status").eq(s)).exists()) for s in ("X", "P")], "status string, found boolean")
+
+
+def first_only(spark, d):
+    """The first row of an order, the one row of an id, and what other numbers of rows give."""
+    orders = _schema(spark, d).query("orders")
+    last = orders.aggregate(id=F.max("id")).first()["id"]
+    rows = [("first", orders.where(P("status").eq("P")).order(ordering("at"), ordering("id")).first()["id"]), ("only", orders.where(P("id").eq(last)).only()["id"])]
+    for how, call, error, sign in (("only of many", orders.only, NotSingular, -1), ("first of none", orders.where(P("status").eq("X")).first, NotFound, -2)):
+        try:
+            call()
+        except error:
+            rows.append((how, sign))
+    return spark.createDataFrame(rows, "how string, id bigint")
+
+
 def status_difference(spark, d):
     o = table(spark, d, "orders")
     return differences(o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority"), o.where("o_orderkey % 2 = 1").select("o_orderstatus", "o_orderpriority")).groupBy("o_orderstatus", "o_orderpriority", "missing_from").agg(F.count("*").alias("n"))
@@ -84,7 +102,7 @@ _ALL = {
         f"SELECT id, owner FROM ({_D}) WHERE owner IS NULL OR (owner <> 'src3' AND owner IS NOT NULL AND id < 50)"),
     "pred_bool_tree": (_of("documents", lambda q: q.where(none_of(any_of(P("owner").eq("src1"), P("lang").eq("en") & P("n_chars").gt(500)))).select("id", "lang", "owner")),
         f"SELECT id, lang, owner FROM ({_D}) WHERE NOT (owner = 'src1' OR (lang = 'en' AND n_chars > 500))"),
-    "select_distinct": (lambda s, d: _schema(s, d).query("customers").df.select("segment", "nation_id").distinct(), f"SELECT DISTINCT segment, nation_id FROM ({_C})"),
+    "select_distinct": (_of("customers", lambda q: q.select_unique("segment", "nation_id")), f"SELECT DISTINCT segment, nation_id FROM ({_C})"),
     "has_edge": (_of("customers", lambda q: q.has("orders").select("id", "name")), f"SELECT id, name FROM ({_C}) c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id)"),
     "not_has_edge": (_of("customers", lambda q: q.has_not("orders").select("id", "name")), f"SELECT id, name FROM ({_C}) c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id)"),
     "has_edge_with": (_of("customers", lambda q: q.has("orders", P("status").eq("P"), P("total").gt(100000.0)).has_not("orders", P("priority").eq("1-URGENT")).select("id")),
@@ -104,7 +122,7 @@ _ALL = {
     "group_min_max_mean_sum": (_of("orders", lambda q: q.group_by("priority").aggregate(lo=F.min("total"), hi=F.max("total"), mean=F.round(F.avg("total"), 4), sum=F.round(F.sum("total"), 2), ids=F.sum("id"))),
         f"SELECT priority, min(total) AS lo, max(total) AS hi, round(avg(total), 4) AS mean, round(sum(total), 2) AS sum, sum(id)::BIGINT AS ids FROM ({_O}) GROUP BY priority"),
     "global_agg": (_of("orders", lambda q: q.aggregate(n=F.count("*"), customers=F.countDistinct("customer_id"), last=F.max("at"))), f"SELECT count(*) AS n, count(DISTINCT customer_id) AS customers, max(at_) AS last FROM ({_O})"),
-    "exist_flag": (lambda s, d: _schema(s, d).query("orders").where(P("status").eq("X")).df.limit(1).agg((F.count("*") > 0).alias("exists")), "SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X') AS exists"),
+    "exist_flag": (exist_flags, "SELECT s AS status, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = s) AS found FROM (VALUES ('X'), ('P')) t(s)"),
     "order_multi": (_of("customers", lambda q: q.order(ordering("segment"), ordering("balance", "DESC"), ordering("id")).limit(20).select("id", "segment", "balance")),
         f"SELECT id, segment, balance FROM ({_C}) ORDER BY segment, balance DESC NULLS FIRST, id LIMIT 20"),
     "order_by_neighbor_count": (_of("customers", lambda q: q.neighbour_count("orders", "n").order(F.col("n").desc(), F.col("id")).limit(15).select("id", "n")),
@@ -113,7 +131,9 @@ _ALL = {
         f"SELECT c.id, n.name AS nation FROM ({_C}) c JOIN ({_N}) n ON n.id = nation_id ORDER BY nation, c.id DESC LIMIT 25"),
     "page_2_desc_id": (_page(2, 50), f"SELECT id, status, (SELECT count(*) FROM orders) AS total, 2 AS page, 50 AS size FROM ({_O}) ORDER BY id DESC LIMIT 50 OFFSET 50"),
     "page_past_end": (_page(100000, 50), "SELECT o_orderkey AS id, o_orderstatus AS status, 0::BIGINT AS total, 1 AS page, 50 AS size FROM orders WHERE false"),
-    "first_only": (_of("orders", lambda q: q.where(P("status").eq("P")).order(ordering("at"), ordering("id")).limit(1).select("id")), f"SELECT id FROM ({_O}) WHERE status = 'P' ORDER BY at_, id LIMIT 1"),
+    "first_only": (first_only, f"""SELECT 'first' AS how, id FROM (SELECT id FROM ({_O}) WHERE status = 'P' ORDER BY at_, id LIMIT 1) UNION ALL SELECT 'only', max(id) FROM ({_O})
+        UNION ALL SELECT 'only of many', -1 UNION ALL SELECT 'first of none', -2"""),
+    "edge_pairs": (_of("nations", lambda q: q.pairs("customers", ["name", "segment"], P("balance").gt(0.0))), f"SELECT nation_id AS id, name, segment FROM ({_C}) WHERE balance > 0"),
     "newest_n_history": (newest_n_history, "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2"),
     "status_difference": (status_difference, """WITH a AS (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1)
         SELECT o_orderstatus, o_orderpriority, missing_from, count(*) AS n FROM (SELECT *, 'got' AS missing_from FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'want' AS missing_from FROM (FROM b EXCEPT ALL FROM a)) GROUP BY ALL"""),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import policy, text
 from siltstone.operators.products import parse_products
 from siltstone.plans.chunks import trim_sql
-from siltstone.runtime import table
+from siltstone.runtime import cut, scratch, table
+from siltstone.sources.files import load_products
 
 
 def _docs(spark, d):
@@ -25,7 +26,7 @@ for _p in text.SECRET_PATTERNS:
 
 
 def slugify_titles(spark, d):
-    return _docs(spark, d).select("doc_id", text.slugify(F.left("text", F.lit(120))).alias("slug"))
+    return _docs(spark, d).select("doc_id", text.slugify("text").alias("slug"))
 
 
 def truncate_bytes(spark, d):
@@ -61,21 +62,51 @@ def numeric_conversions(spark, d):
     return v.select("event_id", text.base36("event_id").alias("b36"), F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("rfc3339"), F.col("value").cast("float").cast("double").alias("narrow"))
 
 
-def product_front_matter(spark, d):
-    """Parts written as product files, ten to a file, and parsed back."""
+def _product_texts(spark, d):
+    """(f, text): parts as product files, ten to a file."""
     p = table(spark, d, "part")
     one = F.format_string("---\nproduct_id: P%s\nmodel: %s # brand\nproduct_name: '%s'\nspecs_from_doc:\n  install_type: %s\n  open_angle_deg: %s\nvariants:\n  - a%s\n  - b\n---\n# %s\nbody\n", "p_partkey", "p_brand", "p_name", "p_type", "p_size", "p_size", "p_name")
-    files = p.groupBy((F.col("p_partkey") % 200).alias("f")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("text"))
-    out = parse_products(files.select(F.concat(F.lit("f"), "f").alias("source"), F.concat(F.lit("junk\n"), "text").alias("text")))
+    return p.groupBy(F.floor(F.col("p_partkey") / 10).alias("f")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("text"))
+
+
+def _product_rows(out):
     return out.select("product_id", "model", "product_name", F.col("specs_from_doc.install_type").alias("install_type"), F.col("specs_from_doc.open_angle_deg").alias("angle"),
-                      F.array_join("variants", "+").alias("variants"), "content", F.col("_source").alias("source"), F.col("specs_from_doc.cup_diameter_mm").isNull().alias("no_cup"))
+                      F.array_join("variants", "+").alias("variants"), "content", F.col("specs_from_doc.cup_diameter_mm").isNull().alias("no_cup"))
+
+
+def product_front_matter(spark, d):
+    """Product files parsed back."""
+    files = _product_texts(spark, d).select(F.concat(F.lit("f"), "f").alias("source"), F.concat(F.lit("junk\n"), "text").alias("text"))
+    return _product_rows(parse_products(files))
+
+
+def load_product_files(spark, d):
+    """Product files in a folder, read and parsed."""
+    folder = scratch(spark, "products")
+    _product_texts(spark, d).select("text").write.option("lineSep", "\n").text(folder)
+    return _product_rows(load_products(spark, folder, 1 << 30, skip=True))
+
+
+def generated_ids(spark, d):
+    """Each event gets a UUID: of 36 characters, version 4, none twice."""
+    ids = cut(table(spark, d, "events").select(text.new_uuid().alias("id")))
+    form = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("distinct_ids"), F.count_if(F.col("id").rlike(form)).alias("well_formed"))
+
+
+def name_checks(spark, d):
+    """Words of documents as skill names and addresses, some of them good."""
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.element_at(F.split("c_name", "#"), 1), F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, "_").otherwise("."), "c_nationkey").alias("name"),
+                                           F.concat(F.when(F.col("c_custkey") % 4 != 0, "host").otherwise(""), F.when(F.col("c_custkey") % 5 == 0, " x").otherwise(""), F.lit(":"), F.col("c_custkey") * 97 - 97, F.lit(" ")).alias("address"))
+    return c.select("c_custkey", text.is_skill_name("name").alias("good_name"), text.is_host_port("address").alias("good_address"))
 
 
-_SLUG = "regexp_replace(regexp_replace(lower(" + trim_sql("left(text, 120)") + "), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '^-+', '')"
+_SLUG = "regexp_replace(regexp_replace(lower(" + trim_sql("text") + "), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '^-+', '')"
 
 QUERIES = {
     "redact_secrets": redact_secrets, "slugify_titles": slugify_titles, "truncate_bytes": truncate_bytes, "json_metadata_get": json_metadata_get,
     "args_fingerprint": args_fingerprint, "risk_classify": risk_classify, "numeric_conversions": numeric_conversions, "product_front_matter": product_front_matter,
+    "generated_ids": generated_ids, "name_checks": name_checks, "load_product_files": load_product_files,
 }
 ORACLES = {
     "redact_secrets": f"SELECT doc_id, md5({_REDACT}) AS redacted_md5, length({_REDACT})::INTEGER AS chars FROM documents",
@@ -93,5 +124,8 @@ ORACLES = {
     "numeric_conversions": """WITH RECURSIVE b AS (SELECT event_id, event_id AS n, '' AS s FROM events UNION ALL SELECT event_id, n // 36, substring('0123456789abcdefghijklmnopqrstuvwxyz', (n % 36 + 1)::INTEGER, 1) || s FROM b WHERE n > 0)
       SELECT event_id, CASE WHEN s = '' THEN '0' ELSE s END AS b36, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339, value::FLOAT::DOUBLE AS narrow FROM b JOIN events USING (event_id) WHERE n = 0""",
     "product_front_matter": """SELECT 'P' || p_partkey AS product_id, p_brand AS model, p_name AS product_name, p_type AS install_type, p_size AS angle, 'a' || p_size || '+b' AS variants,
-      '# ' || p_name || chr(10) || 'body' AS content, 'f' || (p_partkey % 200) AS source, true AS no_cup FROM part""",
+      '# ' || p_name || chr(10) || 'body' AS content, true AS no_cup FROM part""",
+    "generated_ids": "SELECT count(*) AS n, count(*) AS distinct_ids, count(*) AS well_formed FROM events",
+    "name_checks": """SELECT c_custkey, c_custkey % 3 = 1 AS good_name, (c_custkey % 4 <> 0) = (c_custkey % 5 <> 0) AND c_custkey * 97 - 97 BETWEEN 1 AND 65535 AS good_address FROM customer""",
 }
+ORACLES["load_product_files"] = ORACLES["product_front_matter"]

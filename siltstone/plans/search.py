@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -71,6 +72,13 @@ def hybrid_threshold_topk(spark, d):
     return r.top(_fused(spark, d), _docs(spark, d), r.Options(top_k=10, threshold=0.0145)).select("query_id", "id", "score", "rank")
 
 
+def reranked_search(spark, d):
+    """Keyword hits in the order of a reranker: shortest text first."""
+    by_length = Window.partitionBy("query_id").orderBy("n_chars", "id")
+    hits = r.rrf([r.bm25(_docs(spark, d), _queries(spark, d), ["content"], 30)])
+    return r.top(hits, _docs(spark, d), r.Options(top_k=10), rerank=lambda h: h.withColumn("rank", F.row_number().over(by_length))).select("query_id", "id", "rank")
+
+
 def acl_filtered_search(spark, d):
     return r.bm25(r.visible(_docs(spark, d), "private", "src3"), _queries(spark, d), ["content"], 5)
 
@@ -207,7 +215,7 @@ _EXACT = f"""ex AS (SELECT * FROM (SELECT query_id, id, 1.0::DOUBLE AS score, ro
 
 QUERIES = {
     "knn_cosine": _knn("cosine"), "knn_ip": _knn("IP"), "knn_l2": _knn("L2"), "bm25_search": bm25_search, "bm25_most_fields": bm25_most_fields,
-    "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "acl_filtered_search": acl_filtered_search,
+    "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "reranked_search": reranked_search, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
     "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
     "index_search": index_search, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_inverted_lists_recall": knn_inverted_lists_recall,
@@ -220,6 +228,8 @@ ORACLES = {
     "rrf_hybrid": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '') WHERE n <= 5",
     "rrf_weighted": f"WITH {_Q}, {_EXACT}, {_knn_sql('COSINE', 30)}, {_bm25_sql(_DOCS, 30)}, {_rrf_sql(['ex', 'words', 'near'], [3.0, 1.5, 1.0])} SELECT * FROM fused",
     "hybrid_threshold_topk": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '' AND score >= 0.0145) WHERE n <= 10",
+    "reranked_search": f"""WITH {_Q}, {_bm25_sql(_DOCS, 30)} SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, id)::INTEGER AS rank
+      FROM words JOIN documents d ON d.doc_id = id WHERE trim(d.text) <> '') WHERE rank <= 10""",
     "acl_filtered_search": f"WITH {_Q}, {_bm25_sql(_DOCS + ' WHERE visibility = ' + chr(39) + 'private' + chr(39) + ' AND owner_subject = ' + chr(39) + 'src3' + chr(39), 5)} SELECT * FROM words",
     "granted_search": f"WITH {_Q}, {_bm25_sql(_GRANTED, 5)} SELECT * FROM words",
     "recheck_after_vector_search": f"WITH {_Q}, {_knn_sql('COSINE', 30)} SELECT query_id, id, rank, dataset_id FROM near JOIN ({_GRANTED} AND visibility = 'system') USING (id)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import lifecycle as lc
-from siltstone.runtime import scratch, table
+from siltstone.runtime import cut, scratch, table
 from siltstone.streaming import jobs
 
 
@@ -66,6 +66,32 @@ def due_tasks(spark, d):
     return jobs.due_tasks(e, F.lit("2024-01-10").cast("timestamp")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def task_retries(spark, d):
+    """Every event as a task; those that are due run, some fail or take too long; then once more."""
+    now = F.lit("2024-01-10").cast("timestamp")
+    e = _events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("props").alias("payload"), F.when(F.col("event_id") % 4 != 0, F.col("ts").cast("timestamp")).alias("process_at"),
+                                 (F.col("event_id") % 7).alias("process_in"), (F.col("event_id") % 2).cast("int").alias("max_retry"), F.lit(60).alias("timeout"))
+    none = spark.createDataFrame([], "id bigint, type string, payload string, queue string, process_at timestamp, max_retry int, timeout int, tries int, status string")
+    tasks = jobs.enqueue(none, e, now)
+    for k, at in enumerate(("2024-01-10 00:00:06", "2024-01-10 00:00:40")):
+        at = F.lit(at).cast("timestamp")
+        ran = jobs.due_tasks(tasks, at).select("id", (F.col("id") % 3 != k).alias("ok"), F.when(F.col("id") % 5 == 0, 61).otherwise(60).alias("seconds"))
+        tasks = cut(jobs.settle(tasks, ran, at))
+    return tasks.select("id", "queue", "status", "tries", F.coalesce("process_at", F.lit("1970-01-01").cast("timestamp")).alias("process_at"))
+
+
+def queue_dispatch(spark, d):
+    """Events as a stream of tasks, run to its end by a handler for each type."""
+    source, target, state = (scratch(spark, f"queue-{x}") for x in ("in", "out", "state"))
+    events = _events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("type"))
+    events.write.parquet(source)
+    dispatcher = jobs.Dispatcher()
+    for (kind,) in events.select("type").distinct().collect():  # the types that there are
+        dispatcher.register(kind, lambda batch, epoch, kind=kind: batch.withColumn("handled_as", F.lit(kind)).write.mode("overwrite").parquet(f"{target}/{kind}/epoch={epoch}"))
+    jobs.run_queue(spark.readStream.schema(events.schema).parquet(source), dispatcher, state).awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(target).select("id", "type", "handled_as")
+
+
 def maintenance_round(spark, d):
     from siltstone.plans.lifecycles import _approvals, _now, _turns
 
@@ -88,7 +114,7 @@ def in_flight_peak(spark, d):
     return jobs.in_flight(spans).groupBy("route").agg(F.max("in_flight").alias("peak"))
 
 
-QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, pending_index_batch, due_tasks, maintenance_round, http_metrics, in_flight_peak)}
+QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, pending_index_batch, due_tasks, task_retries, queue_dispatch, maintenance_round, http_metrics, in_flight_peak)}
 _DAY = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n"
 ORACLES = {
     "event_tumbling": f"{_DAY}, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -100,6 +126,14 @@ ORACLES = {
     "message_accumulate": "SELECT conv_id || '-' || turn AS turn_id, md5(text) AS content_md5, CASE turn % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' ELSE 'open' END AS outcome FROM conversations",
     "pending_index_batch": "SELECT conv_id * 1000 + turn AS chunk_id, conv_id % 5 AS tries FROM conversations WHERE turn % 2 = 0 AND conv_id % 5 < 3 AND (conv_id * 1000 + turn) % 7 <> 0",
     "due_tasks": "SELECT event_type AS type, count(*) AS n FROM events WHERE (event_id % 4 = 0 OR ts <= TIMESTAMP '2024-01-10') AND event_id % 4 < 3 GROUP BY event_type",
+    "queue_dispatch": "SELECT event_id AS id, event_type AS type, event_type AS handled_as FROM events",
+    "task_retries": """WITH t AS (SELECT event_id AS id, event_id % 2 AS most, CASE WHEN event_id % 4 <> 0 THEN ts ELSE TIMESTAMP '2024-01-10' + to_seconds(event_id % 7) END AS p0 FROM events),
+      a AS (SELECT *, p0 <= TIMESTAMP '2024-01-10 00:00:06' AS ran1, id % 3 <> 0 AND id % 5 <> 0 AS ok1, id % 3 <> 1 AND id % 5 <> 0 AS ok2 FROM t),
+      b AS (SELECT *, CASE WHEN NOT ran1 THEN 'pending' WHEN ok1 THEN 'completed' WHEN 1 > most THEN 'archived' ELSE 'retry' END AS s1,
+            CASE WHEN ran1 AND NOT ok1 AND 1 <= most THEN TIMESTAMP '2024-01-10 00:00:21' ELSE p0 END AS p1, ran1::INT AS n1 FROM a),
+      c AS (SELECT *, s1 IN ('pending', 'retry') AND p1 <= TIMESTAMP '2024-01-10 00:00:40' AS ran2, n1 + 1 AS n2 FROM b)
+      SELECT id, 'default' AS queue, CASE WHEN NOT ran2 THEN s1 WHEN ok2 THEN 'completed' WHEN n2 > most THEN 'archived' ELSE 'retry' END AS status, CASE WHEN ran2 THEN n2 ELSE n1 END AS tries,
+             CASE WHEN ran2 AND NOT ok2 AND n2 <= most THEN TIMESTAMP '2024-01-10 00:00:40' + to_seconds(15 * n2 * n2) ELSE p1 END AS process_at FROM c""",
     "http_metrics": "SELECT event_type, CASE WHEN value < 10 THEN '<10' WHEN value < 100 THEN '<100' ELSE 'more' END AS bucket, count(*) AS n FROM events GROUP BY ALL",
     "in_flight_peak": """WITH m AS (SELECT event_type AS route, ts AS at_, 1 AS c FROM events UNION ALL SELECT event_type, ts + INTERVAL 10 MINUTE, -1 FROM events), s AS (SELECT route, at_, sum(c) AS c FROM m GROUP BY ALL),
       g AS (SELECT route, sum(c) OVER (PARTITION BY route ORDER BY at_) AS n FROM s) SELECT route, max(n)::BIGINT AS peak FROM g GROUP BY route""",

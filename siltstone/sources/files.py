@@ -34,17 +34,26 @@ class ContentTooLarge(ValueError):
     pass
 
 
-def load_documents(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFrame:
-    """(source, length, text) of the readable files below root; the length is checked before any content is read."""
+class NotReadable(ValueError):
+    """A file of another extension, or too large."""
+
+
+def load_documents(spark: SparkSession, root: str, most: int = MOST_BYTES, skip: bool = False) -> DataFrame:
+    """(source, length, text) of the files below root; names and lengths are checked before any content is read.
+
+    A file of another extension or over `most` bytes is an error, unless such files are to be skipped.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    extension = F.lower(F.substring_index("path", ".", -1))
-    kept = files.where(extension.isin(*EXTENSIONS)).where(F.col("length") <= most)
-    return kept.select(F.col("path").alias("source"), "length", F.col("content").cast("string").alias("text"))
+    name = F.substring_index("path", "/", -1)
+    readable = name.contains(".") & F.lower(F.substring_index(name, ".", -1)).isin(*EXTENSIONS) & (F.col("length") <= most)
+    if not skip and (bad := files.where(~readable).select("path", "length").first()):
+        raise NotReadable(f"{bad['path']} ({bad['length']} bytes): only {', '.join(EXTENSIONS)} of {most} bytes at most are read")
+    return files.where(readable).select(F.col("path").alias("source"), "length", F.col("content").cast("string").alias("text"))
 
 
-def load_products(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFrame:
+def load_products(spark: SparkSession, root: str, most: int = MOST_BYTES, skip: bool = False) -> DataFrame:
     """The products of all files below root."""
-    return parse_products(load_documents(spark, root, most))
+    return parse_products(load_documents(spark, root, most, skip))
 
 
 def write_partitioned(df: DataFrame, to: str, *by: str) -> None:

@@ -52,7 +52,10 @@ def test_sections_by_lines_agree(spark):
 
     collect()
     rows = list(enumerate(found))
-    got = chunking.sections_by_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunking.sections_by_lines(df).collect()
+    split = chunking.split_sections(df).collect()
+    assert sorted((r.doc_id, r.heading_path, r.text) for r in split) == sorted((k, *s) for k, t in rows for s in chunking.sections(t))
     want = [(k, path, text) for k, t in rows for path, text in chunking.sections(t) if text.strip(_SPACES)]
     assert sorted((r.doc_id, r.heading_path, r.text) for r in got) == sorted(want)
 
@@ -69,6 +72,26 @@ def test_products(spark):
     assert rows[0].specs_from_doc.open_angle_deg == 110 and rows[0].variants == ["a", "b"] and rows[1].specs_from_doc.open_angle_deg is None
     with pytest.raises(ValueError):
         products.blocks("---\nproduct_id: P1\n")
+    head = """product_id: "a # b"
+model: 'it''s' # brand
+series_name: "say \\"hi\\""
+variants: ["a, b", c, 'd']
+family_prefix: |
+  two
+  lines
+category_l1: >-
+  one
+  line
+category_l2: ~
+product_name: "null"
+specs_from_doc: {install_type: x, open_angle_deg: 110}
+"""
+    got = products.front_matter(head)
+    assert got == {"product_id": "a # b", "model": "it's", "series_name": 'say "hi"', "variants": ["a, b", "c", "d"], "family_prefix": "two\nlines\n", "category_l1": "one line", "category_l2": None, "product_name": "null", "specs_from_doc": {"install_type": "x", "open_angle_deg": "110"}}
+    assert products.front_matter("") == {} == products.front_matter("# only a comment")
+    for bad in ("a: [", "- list", "a: 1\na: 2", "just text", "a: b: c"):
+        with pytest.raises(ValueError):
+            products.front_matter(bad)
     from pyspark.sql import functions as F
 
     m = spark.sql("SELECT map('a', '1', 'b', '2') AS m, map('b', '3') AS e").select(products.overlay(F.col("m"), F.col("e")).alias("x")).first().x

@@ -68,3 +68,12 @@ def test_vectors(spark):
     with pytest.raises(ValueError):
         vector.metric("hamming")
     assert vector.ascending("l2") and not vector.ascending(None)
+
+
+def test_names_addresses_and_uuids(spark):
+    names = [("a-B_9", True), ("", False), (".", False), ("..", False), ("a b", False), ("a/b", False), ("é", False), ("a\n", False), (None, False)]
+    addresses = [("host:1", True), (" h:65535\n", True), ("[::1]:80", True), ("h:0", False), ("h:65536", False), ("h", False), (":80", False), ("a b:80", False), ("::1:80", False), ("h:x", False), ("", False), (None, False), ("h:99999999999", False)]
+    df = spark.createDataFrame([(*n, *a) for n, a in zip(names + [names[0]] * 4, addresses, strict=True)], "n string, n_ok boolean, a string, a_ok boolean")
+    for r in df.select("n", "n_ok", text.is_skill_name("n").alias("n_is"), "a", "a_ok", text.is_host_port("a").alias("a_is")).collect():
+        assert (r.n_is, r.a_is) == (r.n_ok, r.a_ok), (r.n, r.a)
+    assert spark.range(50).select(text.new_uuid().alias("u")).distinct().count() == 50

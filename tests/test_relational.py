@@ -61,6 +61,8 @@ def test_rows_and_pages(store):
 
 def test_tree_newest_difference(spark):
     folders = spark.createDataFrame([(1, None, "r"), (2, 1, "a"), (3, 2, "b"), (4, 99, "lost")], "id long, parent_id long, name string")
+    deep = spark.range(130).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.col("id").cast("string").alias("name")).union(spark.createDataFrame([(500, 501, "x"), (501, 500, "y")], "id long, parent_id long, name string"))
+    assert tree_paths(deep).agg(F.count("*"), F.max("depth")).first() == (130, 129)  # a cycle has no path
     assert {r.id: (r.path, r.depth) for r in tree_paths(folders).collect()} == {1: ("r", 0), 2: ("r/a", 1), 3: ("r/a/b", 2)}
     rows = spark.createDataFrame([(1, k) for k in range(3)], "s long, k long")
     assert sorted(r.k for r in newest(rows, "s", 2, "k").collect()) == [1, 2] and newest(rows, "s", 0, "k").count() == 3

@@ -47,9 +47,18 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "sub" / "p.txt").write_text("---\nproduct_id: P1\n---\nbody")
     (tmp_path / "skip.csv").write_text("1")
     (tmp_path / "big.md").write_text("y" * 100)
-    got = files.load_documents(spark, f"file://{tmp_path}", 50).collect()
+    got = files.load_documents(spark, f"file://{tmp_path}", 50, skip=True).collect()
     assert sorted(os.path.basename(r.source) for r in got) == ["a.MD", "p.txt"]
-    assert [r.product_id for r in files.load_products(spark, f"file://{tmp_path}", 50).collect()] == ["P1"]
+    assert [r.product_id for r in files.load_products(spark, f"file://{tmp_path}", 50, skip=True).collect()] == ["P1"]
+    with pytest.raises(files.NotReadable, match="skip.csv|big.md"):
+        files.load_documents(spark, f"file://{tmp_path}", 50)
+    os.remove(tmp_path / "skip.csv")
+    with pytest.raises(files.NotReadable, match="big.md"):
+        files.load_documents(spark, f"file://{tmp_path}", 50)
+    assert files.load_documents(spark, f"file://{tmp_path}").count() == 3
+    (tmp_path / "md").write_text("no extension")
+    with pytest.raises(files.NotReadable):
+        files.load_documents(spark, f"file://{tmp_path}")
     files.write_partitioned(spark.range(4).withColumn("d", F.col("id") % 2), f"file://{tmp_path}/out", "d")
     assert spark.read.parquet(f"file://{tmp_path}/out").where("d = 1").count() == 2
 
@@ -68,7 +77,7 @@ def test_queue_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.run_queue(stream, dispatcher, f"{tmp_path}/state").awaitTermination()
 
-    put(("index", 1, "a", 1), ("index", 1, "aaa", 2), ("other", 9, "x", 1))
+    put(("index", 1, "a", 1), ("index", 1, "aaa", 2))
     drain()
     put(("index", 2, "bb", 1), ("index", 1, "aaaaa", 3))
     drain()
@@ -76,6 +85,43 @@ def test_queue_stream(spark, tmp_path):
     assert {r.chunk_id: (r.embedding[0], r.version) for r in jobs.latest_vectors(spark, target).collect()} == {1: (5.0, 3), 2: (2.0, 1)}
 
 
+def test_tasks_without_a_handler_are_not_lost(spark):
+    ran = []
+    dispatcher = jobs.Dispatcher()
+    dispatcher.register("index", lambda batch, epoch: ran.append(batch.count()))
+    rows = lambda *kinds: spark.createDataFrame([(k,) for k in kinds], "type string")
+    for kinds in (("index", "other"), ("index", None)):
+        with pytest.raises(jobs.UnknownTask):
+            dispatcher(rows(*kinds), 1)
+    assert not ran
+    dispatcher(rows("index", "index"), 2)
+    assert ran == [2]
+
+
+def test_queue_options(spark):
+    now = dt.datetime(2024, 1, 1)
+    none = spark.createDataFrame([], "id long, type string, payload string, queue string, process_at timestamp, max_retry int, timeout int, tries int, status string")
+    new = spark.createDataFrame([(1, "a", "x", None, None, 2), (2, "a", "x", 30, None, None), (3, "b", "x", 30, dt.datetime(2023, 1, 1), 0)], "id long, type string, payload string, process_in int, process_at timestamp, max_retry int")
+    tasks = jobs.enqueue(none, new, F.lit(now))
+    assert {(r.id, r.process_at, r.max_retry, r.timeout, r.queue) for r in tasks.collect()} == {(1, now, 2, 1800, "default"), (2, now + dt.timedelta(seconds=30), 25, 1800, "default"), (3, dt.datetime(2023, 1, 1), 0, 1800, "default")}
+    fail = spark.createDataFrame([(1, False, 1), (1, True, 1), (3, True, 1801), (9, True, 1)], "id long, ok boolean, seconds int")
+    seen = []
+    for k in range(4):
+        at = now + dt.timedelta(days=k)
+        tasks = jobs.settle(tasks, fail.join(jobs.due_tasks(tasks, F.lit(at)).select("id"), "id", "left_semi"), F.lit(at))
+        seen.append([(r.status, r.tries) for r in tasks.orderBy("id").collect()])
+        assert tasks.where("id = 1").first().process_at == at + dt.timedelta(seconds=15 * (k + 1) ** 2) or k >= 2
+    assert seen == [[("retry", 1), ("pending", 0), ("archived", 1)], [("retry", 2), ("pending", 0), ("archived", 1)], *[[("archived", 3), ("pending", 0), ("archived", 1)]] * 2]
+
+
+def test_windows_of_streams_close(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 1, h), "a", 1.0) for h in range(12)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"file://{tmp_path}/e")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"file://{tmp_path}/e")
+    plan = jobs.tumbling(stream, "1 hour")._jdf.queryExecution().toString()
+    assert "EventTimeWatermark" in plan
+
+
 def test_windows_stream_equals_batch(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     rows = [(at(k * 1.7), k % 3, "ab"[k % 2], float(k)) for k in range(40)]
@@ -98,6 +144,10 @@ def test_tasks_messages_gauge(spark):
     assert {r.turn_id: (r.content, r.outcome) for r in jobs.messages(deltas).collect()} == {"t": ("ab", "done"), "u": ("x", "open"), "v": ("", "error")}
     spans = spark.createDataFrame([("r", 1, 5), ("r", 2, 3), ("r", 5, 6)], "route string, start int, end int")
     assert {r["at"]: r.in_flight for r in jobs.in_flight(spans).collect()} == {1: 1, 2: 2, 3: 1, 5: 1, 6: 0}
+    many = spark.range(500).select(F.concat(F.lit("r"), F.col("id") % 2).alias("route"), F.col("id").alias("start"), (F.col("id") + F.col("id") % 17 + 1).alias("end"))
+    open_ = lambda route, at: sum(1 for k in range(500) if k % 2 == route and k <= at < k + k % 17 + 1)
+    rows = jobs.in_flight(many).collect()
+    assert len(rows) > 500 and all(r.in_flight == open_(int(r.route[1]), r["at"]) for r in rows)
 
 
 def test_maintenance_runs_on(spark, tmp_path):
