@@ -68,4 +68,5 @@ QUERIES = {
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
     "op5_embedding_dedup": vecdedup.ORACLE,
+    "op6_substring_dedup": superkmer.ORACLE,
 }

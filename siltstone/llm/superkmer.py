@@ -37,10 +37,13 @@ from siltstone.llm.names import fresh
 from siltstone.runtime import cut
 
 WINDOW, MINIMISER = 20, 2
-#: Minimisers are counted in so many bins; a bin is heavy if it has over HEAVY times the mean of all bins.
-BINS, HEAVY = 4096, 8
 #: Packed words that a bucket is to hold.
 BUCKET_WORDS = 1 << 18
+#: Minimisers are counted in bins, so many that a bin holds about a quarter of a bucket, between these two; a bin is
+#: heavy if it has over HEAVY buckets' words, or, past the most bins, over four HEAVY times the mean of all.
+BINS_LEAST, BINS_MOST, HEAVY = 1 << 12, 1 << 20, 2
+#: Bytes of a word that are packed; a longer one travels as its SHA-256 digest, after a byte that no UTF-8 text has.
+LONGEST_WORD = 1 << 12
 #: Bytes of text that a map task packs at a time.
 GATHERED_BYTES = 8 << 20
 #: Windows in a packed string at most; more of one minimiser make several strings.
@@ -87,6 +90,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mix(out)
 
 
+def shortened(text: bytes) -> bytes:
+    """The text, or its words one blank apart with digests for those over LONGEST_WORD bytes."""
+    if len(text) <= LONGEST_WORD:
+        return text
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return text
+    return b" ".join(w if len(w) <= LONGEST_WORD else b"\xff" + hashlib.sha256(w).hexdigest().encode() for w in words)
+
+
 class Words:
     """Texts' words in one buffer, single blanks between them: byte spans, and the text each is in."""
 
@@ -154,24 +167,35 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    strings, windows = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+def _counted(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
+    strings, windows = np.zeros(bins, np.int64), np.zeros(bins, np.int64)
     for rows in _gathered(batches):
-        _, m, edges = _runs(Words([text for text, in rows]))
-        bins = (m[edges[:-1]] % np.uint64(BINS)).astype(np.int64)
-        strings += np.bincount(bins, minlength=BINS)
-        windows += np.bincount(bins, np.diff(edges), BINS).astype(np.int64)
+        _, m, edges = _runs(Words([shortened(text) for text, in rows]))
+        at = (m[edges[:-1]] % np.uint64(bins)).astype(np.int64)
+        np.add.at(strings, at, 1)
+        np.add.at(windows, at, np.diff(edges))
     used = np.flatnonzero(strings)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(strings[used]), pa.array(windows[used])], ["bin", "strings", "windows"])
 
 
-def plan(docs: DataFrame) -> tuple[list[int], int]:
-    """Heavy bins (at most BINS / HEAVY) and the number of buckets; counted over all documents."""
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "bin int, strings long, windows long")
-    per = counted.groupBy("bin").agg(F.sum("strings").alias("strings"), F.sum("windows").alias("windows")).collect()  # BINS rows at most
-    most = HEAVY * max(1.0, sum(r["strings"] for r in per) / BINS)
-    heavy = sorted(r["bin"] for r in per if r["strings"] > most)
-    packed = sum(r["windows"] * WINDOW if r["strings"] > most else r["windows"] + r["strings"] * (WINDOW - 1) for r in per)
+def bins_for(text_bytes: int) -> int:
+    """A power of two; words are taken to have six bytes, and to travel about three times."""
+    wanted = text_bytes // 2 // (BUCKET_WORDS // 4)
+    return min(BINS_MOST, max(BINS_LEAST, 1 << max(0, wanted - 1).bit_length()))
+
+
+def plan(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Whether each bin is heavy, and the number of buckets; counted over all documents."""
+    text = F.col("text").cast("binary")
+    bins = bins_for(docs.agg(F.sum(F.length(text))).first()[0] or 0)
+    counted = docs.select(text.alias("text")).mapInArrow(lambda batches: _counted(batches, bins), "bin int, strings long, windows long")
+    per = cut(counted.groupBy("bin").agg(F.sum("strings").alias("strings"), F.sum("windows").alias("windows")))
+    words = F.col("windows") + F.col("strings") * (WINDOW - 1)
+    total = per.agg(F.sum(words)).first()[0] or 0
+    is_heavy = words > HEAVY * max(BUCKET_WORDS, 4 * total // bins if bins == BINS_MOST else 0)
+    heavy = np.zeros(bins, bool)
+    heavy[[r["bin"] for r in per.where(is_heavy).select("bin").collect()]] = True  # total / (HEAVY * BUCKET_WORDS) rows, and BINS_MOST / (4 * HEAVY) past the most bins, at most
+    packed = per.agg(F.sum(F.when(is_heavy, F.col("windows") * WINDOW).otherwise(words))).first()[0] or 0
     return heavy, max(1, -(-packed // BUCKET_WORDS))
 
 
@@ -182,7 +206,7 @@ _SENT = "bucket int, packed binary, doc binary, spans binary"
 def _strings(words: Words, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
     """Key, first and past-last word of each packed string."""
     at, m, edges = _runs(words)
-    which = heavy[(m[edges[:-1]] % np.uint64(BINS)).astype(np.int64)]
+    which = heavy[(m[edges[:-1]] % np.uint64(len(heavy))).astype(np.int64)]
     key = m
     if which.any():  # windows of a heavy bin go one by one
         single = np.repeat(which, np.diff(edges))
@@ -204,7 +228,7 @@ def _sent(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, buckets: int) ->
     for rows in _gathered(batches):
         by_doc = dict(sorted(rows))
         docs = list(by_doc)
-        words = Words(list(by_doc.values()))
+        words = Words([shortened(text) for text in by_doc.values()])
         key, lo, hi = _strings(words, heavy)
         data = words.data.tobytes()
         del rows, by_doc
@@ -360,9 +384,7 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with the text compressed, and a further column: the parts of it to remove, null where there are none; and that column's name."""
     spans_name, of_name, doc_name = fresh(docs, "_spans", "_of", "_doc")
     ident = _identity(docs["doc_id"], docs["text"])
-    bins, buckets = plan(docs)
-    heavy = np.zeros(BINS, bool)
-    heavy[bins] = True
+    heavy, buckets = plan(docs)
     narrow = docs.select(ident.alias("doc"), F.col("text").cast("binary").alias("text"))
     sent = narrow.mapInArrow(lambda batches: _sent(batches, heavy, buckets), _SENT)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged, "doc binary, spans binary")
@@ -407,3 +429,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs whose texts have lost their repeated words; texts that lose none stay as they are."""
     spanned, name = with_spans(docs)
     return spanned.mapInArrow(lambda batches: _cleaned(batches, name), docs.schema)
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 19], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)
+), again AS (
+  SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM again
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
