@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -114,14 +115,18 @@ def _key(name: str) -> str:
     return name.lower().replace("-", "").replace("_", "").strip(_SPACES)
 
 
+_SENSITIVE = frozenset(map(_key, SENSITIVE_KEYS))
+_SCRUBBED = [re.compile(pattern.replace("(?iu)", "(?i)")) for pattern in SECRET_PATTERNS]
+
+
 def _scrub(value, keys: frozenset):
     if isinstance(value, dict):
         return {k: REDACTED if _key(k) in keys else _scrub(v, keys) for k, v in value.items()}
     if isinstance(value, list):
         return [_scrub(v, keys) for v in value]
     if isinstance(value, str) and not isinstance(value, _Number):
-        for pattern in SECRET_PATTERNS:
-            value = re.sub(pattern.replace("(?iu)", "(?i)"), lambda m: m.group(1) + REDACTED, value)
+        for pattern in _SCRUBBED:
+            value = pattern.sub(lambda m: m.group(1) + REDACTED, value)
     return value
 
 
@@ -140,27 +145,29 @@ def _decoded(text: str):
     return json.JSONDecoder(parse_int=_Number, parse_float=_Number).raw_decode(text.strip(_SPACES))[0]
 
 
-def _each(s: pd.Series, make) -> pd.Series:
-    def one(text):
-        try:
-            return None if text is None else make(_decoded(text))
-        except ValueError:
-            return None
+@lru_cache(maxsize=4096)
+def _canonical(text: str, shown: bool) -> str | None:
+    try:
+        value = _decoded(text)
+    except ValueError:
+        return None
+    return _written(_scrub(value, _SENSITIVE) if shown else value)
+
 
-    return s.map(one)
+def _each(texts: pa.Array, shown: bool) -> pa.Array:
+    return pa.array([None if t is None else _canonical(t, shown) for t in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def canonical_json(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def canonical_json(texts: pa.Array) -> pa.Array:
     """Canonical form; null for what isn't JSON. Exact numbers rule out VARIANT here."""
-    return _each(s, _written)
+    return _each(texts, False)
 
 
-@F.pandas_udf(StringType())
-def redacted_json(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def redacted_json(texts: pa.Array) -> pa.Array:
     """Canonical form with sensitive members and secrets in strings replaced."""
-    keys = frozenset(map(_key, SENSITIVE_KEYS))
-    return _each(s, lambda value: _written(_scrub(value, keys)))
+    return _each(texts, True)
 
 
 def fingerprint(c: str | Column) -> Column:

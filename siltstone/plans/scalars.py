@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import policy, text
-from siltstone.operators.products import parse_products
+from siltstone.operators.products import overlay, parse_products
 from siltstone.plans.chunks import trim_sql
 from siltstone.runtime import cut, scratch, table
 from siltstone.sources.files import load_products
@@ -87,6 +87,14 @@ def load_product_files(spark, d):
     return _product_rows(load_products(spark, folder, 1 << 30, skip=True))
 
 
+def metadata_overlay(spark, d):
+    """Each document's metadata with a caller's entries over it."""
+    known = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")
+    extra = F.create_map(F.lit("source"), F.concat(F.lit("own-"), "lang"), F.lit("chars"), F.col("n_chars").cast("string"))
+    m = _docs(spark, d).select("doc_id", overlay(known, extra).alias("m"))
+    return m.select("doc_id", *[F.col("m")[k].alias(k) for k in ("lang", "source", "chars")], F.size("m").alias("entries"))
+
+
 def generated_ids(spark, d):
     """Each event gets a UUID: of 36 characters, version 4, none twice."""
     ids = cut(table(spark, d, "events").select(text.new_uuid().alias("id")))
@@ -106,7 +114,7 @@ _SLUG = "regexp_replace(regexp_replace(lower(" + trim_sql("text") + "), '[^\\p{L
 QUERIES = {
     "redact_secrets": redact_secrets, "slugify_titles": slugify_titles, "truncate_bytes": truncate_bytes, "json_metadata_get": json_metadata_get,
     "args_fingerprint": args_fingerprint, "risk_classify": risk_classify, "numeric_conversions": numeric_conversions, "product_front_matter": product_front_matter,
-    "generated_ids": generated_ids, "name_checks": name_checks, "load_product_files": load_product_files,
+    "generated_ids": generated_ids, "name_checks": name_checks, "metadata_overlay": metadata_overlay, "load_product_files": load_product_files,
 }
 ORACLES = {
     "redact_secrets": f"SELECT doc_id, md5({_REDACT}) AS redacted_md5, length({_REDACT})::INTEGER AS chars FROM documents",
@@ -125,6 +133,7 @@ ORACLES = {
       SELECT event_id, CASE WHEN s = '' THEN '0' ELSE s END AS b36, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339, value::FLOAT::DOUBLE AS narrow FROM b JOIN events USING (event_id) WHERE n = 0""",
     "product_front_matter": """SELECT 'P' || p_partkey AS product_id, p_brand AS model, p_name AS product_name, p_type AS install_type, p_size AS angle, 'a' || p_size || '+b' AS variants,
       '# ' || p_name || chr(10) || 'body' AS content, true AS no_cup FROM part""",
+    "metadata_overlay": "SELECT doc_id, lang, 'own-' || lang AS source, n_chars::VARCHAR AS chars, 3 AS entries FROM documents",
     "generated_ids": "SELECT count(*) AS n, count(*) AS distinct_ids, count(*) AS well_formed FROM events",
     "name_checks": """SELECT c_custkey, c_custkey % 3 = 1 AS good_name, (c_custkey % 4 <> 0) = (c_custkey % 5 <> 0) AND c_custkey * 97 - 97 BETWEEN 1 AND 65535 AS good_address FROM customer""",
 }

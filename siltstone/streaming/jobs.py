@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators import lifecycle
-from siltstone.runtime import cut
+from siltstone.runtime import cut, remove
 
 # Terminal events of a message stream; a chunk's tries; a task's queue, retries and seconds.
 TERMINAL_EVENTS = ("done", "error")
@@ -139,6 +139,18 @@ def latest_vectors(spark: SparkSession, target: str) -> DataFrame:
     return every.groupBy("chunk_id").agg(F.max_by(F.struct("embedding", "version"), F.struct("version", "epoch")).alias("x")).select("chunk_id", "x.embedding", "x.version")
 
 
+def compact_vectors(spark: SparkSession, target: str) -> None:
+    """Fold all folders into that of the last epoch, so that reads don't grow with time; to be called between runs of the sink.
+
+    The others go only when the new folder is written, and hold nothing newer, so a stop in between does no harm.
+    """
+    every = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
+    epochs = sorted(r["epoch"] for r in every.select("epoch").distinct().collect())  # since the last call
+    cut(latest_vectors(spark, target)).write.mode("overwrite").parquet(f"{target}/epoch={epochs[-1]}")
+    for epoch in epochs[:-1]:
+        remove(spark, f"{target}/epoch={epoch}")
+
+
 def maintain(approvals: DataFrame, checkpoints: DataFrame, turns: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: expire approvals, then drop old checkpoints, approvals and turns."""
     approvals = lifecycle.expire(approvals, now)

@@ -82,7 +82,13 @@ def test_queue_stream(spark, tmp_path):
     put(("index", 2, "bb", 1), ("index", 1, "aaaaa", 3))
     drain()
     drain()  # nothing new: nothing changes
-    assert {r.chunk_id: (r.embedding[0], r.version) for r in jobs.latest_vectors(spark, target).collect()} == {1: (5.0, 3), 2: (2.0, 1)}
+    latest = lambda: {r.chunk_id: (r.embedding[0], r.version) for r in jobs.latest_vectors(spark, target).collect()}
+    assert latest() == {1: (5.0, 3), 2: (2.0, 1)}
+    jobs.compact_vectors(spark, target)
+    assert latest() == {1: (5.0, 3), 2: (2.0, 1)} and [p.name for p in (tmp_path / "vectors").iterdir()] == ["epoch=1"]
+    put(("index", 2, "bbb", 2))
+    drain()
+    assert latest() == {1: (5.0, 3), 2: (3.0, 2)}
 
 
 def test_tasks_without_a_handler_are_not_lost(spark):
