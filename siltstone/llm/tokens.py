@@ -3,6 +3,8 @@
 A byte-level BPE encodes each piece of its pre-tokenizer on its own, so ids of
 known pieces are looked up and only new pieces go to the tokenizers library.
 Texts beyond the Latin blocks, or with a special token's string, go to it whole.
+
+Defined cases: a null or empty text has no ids.
 """
 
 from __future__ import annotations
