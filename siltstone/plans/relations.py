@@ -71,6 +71,14 @@ def first_only(spark, d):
     return spark.createDataFrame(rows, "how string, id bigint")
 
 
+def intercepted_queries(spark, d):
+    """Rows that an interceptor hides are hidden from queries of their table and of its neighbours."""
+    s = _schema(spark, d)
+    s.interceptors["orders"] = [lambda df: df.where(P("status").neq("F")), lambda df: df.where(P("total").lt(200000.0))]
+    counted = s.query("customers").has("orders").neighbour_count("orders", "orders").df
+    return counted.select("id", "orders").unionByName(s.query("orders").aggregate(id=F.lit(-1).cast("bigint"), orders=F.count("*")))
+
+
 def status_difference(spark, d):
     o = table(spark, d, "orders")
     return differences(o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority"), o.where("o_orderkey % 2 = 1").select("o_orderstatus", "o_orderpriority")).groupBy("o_orderstatus", "o_orderpriority", "missing_from").agg(F.count("*").alias("n"))
@@ -134,6 +142,8 @@ _ALL = {
     "first_only": (first_only, f"""SELECT 'first' AS how, id FROM (SELECT id FROM ({_O}) WHERE status = 'P' ORDER BY at_, id LIMIT 1) UNION ALL SELECT 'only', max(id) FROM ({_O})
         UNION ALL SELECT 'only of many', -1 UNION ALL SELECT 'first of none', -2"""),
     "edge_pairs": (_of("nations", lambda q: q.pairs("customers", ["name", "segment"], P("balance").gt(0.0))), f"SELECT nation_id AS id, name, segment FROM ({_C}) WHERE balance > 0"),
+    "intercepted_queries": (intercepted_queries, """WITH o AS (SELECT * FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice < 200000)
+        SELECT o_custkey AS id, count(*) AS orders FROM o JOIN customer ON c_custkey = o_custkey GROUP BY 1 UNION ALL SELECT -1, count(*) FROM o"""),
     "newest_n_history": (newest_n_history, "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2"),
     "status_difference": (status_difference, """WITH a AS (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1)
         SELECT o_orderstatus, o_orderpriority, missing_from, count(*) AS n FROM (SELECT *, 'got' AS missing_from FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'want' AS missing_from FROM (FROM b EXCEPT ALL FROM a)) GROUP BY ALL"""),
