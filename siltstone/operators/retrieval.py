@@ -114,31 +114,37 @@ def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, fields: list[str], most: int = 10) -> DataFrame:
     """(query_id, id, score, rank): Okapi BM25 per field, summed over the fields, over docs (id, fields...).
 
-    Only occurrences of the terms asked for are shuffled, so that follows the
-    matches and not the texts. Every search splits all texts; search_terms doesn't.
+    Only occurrences of the terms asked for, and each field's length, leave the
+    texts, which are split once a block of queries; search_terms splits none.
     """
 
-    def hits(wanted: DataFrame) -> DataFrame:
-        each = _tokens(docs, fields).select("id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        kept = each.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-        return kept.groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    def found(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # No text has the empty term, so it can stand for the field itself.
+        asked = wanted.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        each = _tokens(docs, fields).select("id", "field", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+        kept = cut(each.join(F.broadcast(asked), "term", "left_semi").groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf")))
+        return kept.where("term <> ''"), kept.where("term = ''")
 
-    return _bm25(hits, lengths(docs, fields), queries, most)
+    return _bm25(found, queries, most)
 
 
 def search_terms(index: DataFrame, lengths_: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """bm25 over a stored inverted index and its lengths: only the rows of the terms asked for are read on."""
-    return _bm25(lambda wanted: index.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select("id", "field", "dl", "term", "tf"), lengths_, queries, most)
 
+    def found(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return index.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select("id", "field", "dl", "term", "tf"), lengths_
 
-def _bm25(hits_of: Callable[[DataFrame], DataFrame], lengths_: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """Queries of one text are searched once, whatever their number."""
-    stats = lengths_.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _bm25(found, queries, most)
+
+
+def _bm25(found: Callable[[DataFrame], tuple[DataFrame, DataFrame]], queries: DataFrame, most: int) -> DataFrame:
+    """found(wanted terms) gives their hits, and all lengths. Queries of one text are searched once, whatever their number."""
     texts = queries.select(F.col("query").alias("query_id")).distinct()
 
     def search(block: DataFrame) -> DataFrame:
         wanted = block.select("query_id", F.explode(F.array_distinct(terms("query_id"))).alias("term"))
-        hits = hits_of(wanted)
+        hits, lengths_ = found(wanted)
+        stats = lengths_.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
