@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from siltstone.runtime import cut
 
 
+#: Pairs that a partition of a round's result is to hold.
+PAIRS_A_TASK = 200_000
 #: A node's neighbours are dealt to so many groups when they learn its least one, however many they are.
 SALTS = 8
 
@@ -54,7 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(pairs)
     while mark[0]:
-        pairs = cut(_small_star(_large_star(pairs)))
+        # No more partitions, and so files, than the pairs of the round before ask for; a round makes twice as many at most.
+        pairs = cut(_small_star(_large_star(pairs)).coalesce(-(-2 * mark[0] // PAIRS_A_TASK)))
         before, mark = mark, _mark(pairs)
         if mark == before:
             break

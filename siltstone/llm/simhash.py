@@ -43,8 +43,9 @@ SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_RADIUS = 5, 2, 30
 SIMILARITY = 0.8
 #: Fingerprints in a tile: this at least, and a share of all so that the number of pairs levels off.
 TILE_LEAST, TILE_MOST, TILES_AIMED = 2048, 1 << 18, 32
-#: What a block of texts to be checked holds, in texts and in bytes.
-BLOCK_TEXTS, BLOCK_BYTES = 4096, 32 << 20
+#: What a block of texts to be checked holds at most, in texts and in bytes; a group is in so many blocks before they
+#: fill, of so many texts at least, as several tasks are faster than one.
+BLOCK_TEXTS, BLOCK_BYTES, SPLIT_BLOCKS, SPLIT_TEXTS = 4096, 32 << 20, 6, 256
 #: Candidates' keys are broadcast up to so many rows of some 30 bytes; beyond it texts are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Shingles of a text that are hashed at a time.
@@ -311,7 +312,8 @@ def _similar(docs: DataFrame, classes: DataFrame, candidates: DataFrame, radius:
     names = ("last", "id", "digest")
     keyed = cut(classes.join(every, classes["cid"] == every["node"]).select("cid", "component", "bytes", *(c.alias(n) for c, n in zip(_row("w.doc_id", F.col("w.digest")), names, strict=True))))
     sizes = keyed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    split = F.least(F.ceil(F.col("n") / SPLIT_TEXTS), F.lit(SPLIT_BLOCKS))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), split).cast("int")
     large = cut(sizes.select("component", blocks.alias("blocks")).where("blocks > 1"))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     keyed = keyed.drop("bytes").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -63,6 +63,7 @@ def test_stage_keeps_one_of_each_group_at_four_fifths(spark, monkeypatch, small)
         monkeypatch.setattr(simhash, "TILE_LEAST", 8)
         monkeypatch.setattr(simhash, "TILES_AIMED", 1000)
         monkeypatch.setattr(simhash, "BLOCK_TEXTS", 7)
+        monkeypatch.setattr(simhash, "SPLIT_TEXTS", 3)
         monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     rows = corpus()
     want, linked = kept_by_brute_force(rows)
