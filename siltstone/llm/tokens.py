@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 
@@ -21,6 +21,16 @@ _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t
 _PIECES = rf" ?[{_LETTER}]++|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]++| ?[^{_SPACE}{_LETTER}{_NUMBER}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
+def _shown() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -38,6 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -48,18 +59,15 @@ class Encoder:
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
-    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
-        got = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        edges = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1)).tolist()
-        data = np.array(got.ids, "<u4").tobytes()
-        return (data[4 * a : 4 * b] for a, b in zip(edges, edges[1:]))
+    def _encoded(self, piece: str) -> bytes:
+        """By the library's model alone: what its pipeline adds, offsets and words, isn't needed."""
+        ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learnt(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces that aren't known; those of reasonable length are from now on."""
         out = {p: self._before[p] for p in pieces if p in self._before}
-        new = list(pieces.difference(out))
-        if new:
-            out.update(zip(new, self._encoded(new)))
+        out.update((p, self._encoded(p)) for p in pieces.difference(out))
         if len(self._known) + len(out) > self.LIMIT:
             self._before, self._known = self._known, {}
         self._known.update((p, ids) for p, ids in out.items() if len(p) <= self.LONGEST)
