@@ -79,7 +79,9 @@ def redact(c: str | Column) -> Column:
 
 def slugify(c: str | Column) -> Column:
     """Letters and digits in lower case, a hyphen for each run of others, cut at SLUG_BYTES bytes; 'document' if nothing is left."""
-    raw = F.regexp_replace(F.lower(trim_unicode(c)), r"[^\p{L}\p{Nd}]+", "-")
+    # What follows more letters and digits than the slug has bytes can't be in it; a few more keep the case rules' context.
+    ahead = F.regexp_extract(_col(c), r"^(?:[^\p{L}\p{Nd}]*+[\p{L}\p{Nd}]){0,%d}+" % (SLUG_BYTES + 16), 0)
+    raw = F.regexp_replace(F.lower(ahead), r"[^\p{L}\p{Nd}]+", "-")
     raw = F.regexp_replace(raw, "^-+", "")
     # The cut falls after the character that reaches the limit; bytes are counted only for the texts that need it.
     short = F.when(F.octet_length(raw) <= SLUG_BYTES, raw).otherwise(_cut_slug(raw))

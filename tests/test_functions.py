@@ -77,3 +77,20 @@ def test_names_addresses_and_uuids(spark):
     for r in df.select("n", "n_ok", text.is_skill_name("n").alias("n_is"), "a", "a_ok", text.is_host_port("a").alias("a_is")).collect():
         assert (r.n_is, r.a_is) == (r.n_ok, r.a_ok), (r.n, r.a)
     assert spark.range(50).select(text.new_uuid().alias("u")).distinct().count() == 50
+
+
+def test_slug_of_long_texts(spark):
+    texts = ["!?" * 100_000 + "Ab c", "x " * 50_000, "ΑΣ" * 40, "é" * 200, "- " * 5, "İ" * 70, "a" * 63 + "ß" + "b" * 90, "日 本" * 60]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.slugify("t").alias("s")).collect()
+
+    def slow(t):
+        out = []
+        for ch in t.lower():
+            word = ch.isalpha() or ch.isdecimal()
+            if word or (out and out[-1] != "-"):
+                out.append(ch if word else "-")
+            if len("".join(out).encode()) >= 64:
+                break
+        return "".join(out).strip("-") or "document"
+
+    assert [r.s for r in rows] == [slow(t) for t in texts]
