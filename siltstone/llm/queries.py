@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import license, mixing, orderminhash, packing, quality, simhash, superkmer, tokenio, toxicity, vecdedup
+from siltstone.llm import filteraudit, fim, license, mixing, orderminhash, packing, quality, simhash, superkmer, tokenio, toxicity, vecdedup, warc
 from siltstone.runtime import scratch, shared_dir, table
 
 
@@ -53,6 +53,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.digest(warc.salvage(spark, folder, with_payload=False))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
@@ -64,9 +78,15 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
     "op5_embedding_dedup": vecdedup.ORACLE,
     "op6_substring_dedup": superkmer.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_filter_audit": filteraudit.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
