@@ -8,11 +8,8 @@ both tiles are skipped when the counts of their quarters differ by more than the
 radius together; the rest is compared exactly with exclusive-or and bit counts.
 A task returns a spanning forest of its links, not the links.
 
-``near_duplicates`` links by the radius alone. ``keep_one`` can ask for more: then
-classes are texts of equal words, a wide radius gives candidates, and a candidate
-pair counts only if the Jaccard similarity of its shingle sets is as asked. The
-pairs are checked where the texts of one group of candidates meet, a block of
-texts against another, so no pair is ever a row.
+``near_duplicates`` links by the radius alone; ``similar`` has the stage that holds
+candidates against the Jaccard similarity of their shingle sets.
 
 Defined cases: null or blank text has no words and fingerprint 0, which links
 like any other; fewer words than the shingle size give one shingle of all of
@@ -27,31 +24,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import Forest, connected_components, least_of
-from siltstone.llm.names import fresh
 from siltstone.runtime import cut
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 RADIUS = 4
-#: Similarity search: shingles of so many words, fingerprints of so many lanes, and the radius that has 0.8 inside.
-#: Sets of Jaccard similarity 0.8 differ in 19.4 +- 4.1 of 128 bits, unlike ones in 64 +- 5.7.
-SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_RADIUS = 5, 2, 30
-SIMILARITY = 0.8
 #: Fingerprints in a tile: this at least, and a share of all so that the number of pairs levels off.
 TILE_LEAST, TILE_MOST, TILES_AIMED = 2048, 1 << 18, 32
-#: What a block of texts to be checked holds at most, in texts and in bytes; a group is in so many blocks before they
-#: fill, of so many texts at least, as several tasks are faster than one.
-BLOCK_TEXTS, BLOCK_BYTES, SPLIT_BLOCKS, SPLIT_TEXTS = 4096, 32 << 20, 6, 256
-#: Candidates' keys are broadcast up to so many rows of some 30 bytes; beyond it texts are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Shingles of a text that are hashed at a time.
 _AT_ONCE = 1 << 14
-#: 0.8 isn't a binary fraction; whole numbers must still meet it exactly.
-_ROUNDING = 1e-9
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -87,32 +72,18 @@ def fingerprint(text: bytes | None) -> int:
     return int(majority(shingle_hashes(words_of(text), SHINGLE_WORDS))[0])
 
 
-def _prints(batches: Iterator[pa.RecordBatch], size: int, lanes: int, by_words: bool) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
+def _prints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, keys = np.zeros((batch.num_rows, lanes), np.uint64), np.zeros((batch.num_rows, 2), np.uint64)
+        fps = np.zeros(batch.num_rows, np.uint64)
         for k, text in enumerate(batch.column(1)):
-            words = words_of(text.as_py())
-            fps[k] = majority(shingle_hashes(words, size, lanes), lanes)
-            if by_words:
-                keys[k] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<u8")
-            else:
-                keys[k, 0] = fps[k, 0]
-        columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(x.view(np.int64).copy()) for x in (*keys.T.copy(), *fps.T.copy()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bytes", "k0", "k1", *_fps(lanes)])
+            fps[k] = majority(shingle_hashes(words_of(text.as_py()), size))[0]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp0"])
 
 
-def _fps(lanes: int) -> list[str]:
-    return [f"fp{k}" for k in range(lanes)]
-
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, lanes: int = 1, by_words: bool = False) -> DataFrame:
-    """(doc_id, digest, bytes, k0, k1, fp0, ...): of the text as it is a hash and its size, the key of its class, and its fingerprint, as signed longs."""
-    text = F.col("text").cast("binary")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("bytes"))
-    schema = ", ".join(f"{c} long" for c in ["doc_id", "digest", "bytes", "k0", "k1", *_fps(lanes)])
-    return narrow.mapInArrow(lambda batches: _prints(batches, size, lanes, by_words), schema)
+def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, digest, fp0): a hash of the text as it is, and its fingerprint, as signed longs."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+    return narrow.mapInArrow(lambda batches: _prints(batches, size), "doc_id long, digest long, fp0 long")
 
 
 def _bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]:
@@ -192,22 +163,23 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
                 held = (a, b, node, tile)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
-    """classes (cid, fp0, ...) -> (u, v): edges of cids whose components are those of all pairs within the radius."""
-    pop = sum((F.bit_count(c) for c in _fps(lanes)), F.lit(0))
-    counts = {int(r["pop"]): int(r["n"]) for r in classes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # 64 rows a lane, and one
+def tile_pairs(classes: DataFrame, radius: int, fps: list[str], *carried: str) -> DataFrame:
+    """classes (cid, fingerprint columns, carried ones) -> (a, b, xs): for each pair of tiles within reach two rows, of a tile with itself one.
+
+    xs are a tile's structs of cid, carried columns and fingerprint; a task has the rows of a pair side by side.
+    """
+    pop = sum((F.bit_count(c) for c in fps), F.lit(0))
+    counts = {int(r["pop"]): int(r["n"]) for r in classes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # 64 rows a word, and one
     total = sum(counts.values())
-    bands = _bands(counts, min(TILE_MOST, max(TILE_LEAST * lanes, total // TILES_AIMED)))
-    if not bands:
-        return classes.select(F.col("cid").alias("u"), F.col("cid").alias("v"))
+    bands = _bands(counts, min(TILE_MOST, max(TILE_LEAST * len(fps), total // TILES_AIMED))) or [(0, 64 * len(fps), 1)]
     band = F.lit(0)
     for k, (lo, _, _) in enumerate(bands):
         band = F.when(pop >= lo, F.lit(k)).otherwise(band)
     firsts = np.cumsum([0] + [n for _, _, n in bands]).tolist()
-    placed = classes.select("cid", *_fps(lanes), band.alias("band"))
+    placed = classes.select("cid", *carried, *fps, band.alias("band"))
     at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("band") + 1)
     tiles = placed.select(
-        "band", (at(firsts[:-1]) + F.pmod(F.xxhash64("cid"), at([n for _, _, n in bands]))).cast("int").alias("tile"), F.struct("cid", *_fps(lanes)).alias("x")
+        "band", (at(firsts[:-1]) + F.pmod(F.xxhash64("cid"), at([n for _, _, n in bands]))).cast("int").alias("tile"), F.struct("cid", *carried, *fps).alias("x")
     ).groupBy("band", "tile").agg(F.collect_list("x").alias("xs"))
     # The tiles within reach of a band are consecutive: bands are in order of their counts.
     reach = [[k for k, (lo, hi, _) in enumerate(bands) if lo - bands[j][1] <= radius and bands[j][0] - hi <= radius] for j in range(len(bands))]
@@ -215,15 +187,18 @@ def links(classes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame
     pairs = tiles.select("tile", "xs", F.explode(F.sequence(first, last)).alias("other")).select(
         F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "xs"
     )
-    dealt = pairs.repartition("a", "b").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(lambda batches: _compared(batches, radius), "u long, v long")
+    return pairs.repartition("a", "b").sortWithinPartitions("a", "b")
+
+
+def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """classes (cid, fp0) -> (u, v): edges of cids whose components are those of all pairs within the radius."""
+    return tile_pairs(classes, radius, ["fp0"]).mapInArrow(lambda batches: _compared(batches, radius), "u long, v long")
 
 
-def _classes(prints: DataFrame, lanes: int = 1) -> DataFrame:
-    """(cid, k0, k1, w, bytes, fp0, ...), a row for each class: w is its least row, by id, null last, then by digest."""
+def _classes(prints: DataFrame) -> DataFrame:
+    """(cid, fp0, w), a row for each class: w is its least row, by id, null last, then by digest."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("w")
-    per = prints.groupBy("k0", "k1").agg(least, F.max("bytes").alias("bytes"), *[F.first(c).alias(c) for c in _fps(lanes)])
-    return cut(per).withColumn("cid", F.monotonically_increasing_id())
+    return cut(prints.groupBy("fp0").agg(least)).withColumn("cid", F.monotonically_increasing_id())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -232,117 +207,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = _classes(prints)
     labels = connected_components(links(classes, radius))
     least = least_of(labels, classes.select(F.col("cid").alias("node"), F.col("w").alias("value")))
-    by_class = classes.join(least, classes["cid"] == least["node"], "left").select(F.col("k0").alias("fp"), F.coalesce("value", "w")["doc_id"].alias("component_id"))
-    return prints.select("doc_id", F.col("k0").alias("fp")).join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
+    by_class = classes.join(least, classes["cid"] == least["node"], "left").select(F.col("fp0").alias("fp"), F.coalesce("value", "w")["doc_id"].alias("component_id"))
+    return prints.select("doc_id", F.col("fp0").alias("fp")).join(by_class, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets, as ascending arrays, have that Jaccard similarity."""
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    if len(a) < len(b):
-        a, b = b, a
-    both = int((a.take(a.searchsorted(b), mode="clip") == b).sum())
-    return both >= similarity * (len(a) + len(b) - both) - _ROUNDING
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each cid, the first column, in the task."""
-    seen: set[int] = set()
-    for batch in batches:
-        new = []
-        for cid in batch.column(0).to_pylist():
-            new.append(cid not in seen)
-            seen.add(cid)
-        yield batch.filter(pa.array(new, pa.bool_()))
-
-
-def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (component, a, b, side, cid, text) come sorted by the first four; a group is one block of texts, or two.
-
-    Out: a spanning forest (u, v) of the similar pairs among the group's candidates.
-    """
-    held: dict[int, tuple] = {}
-    key = None
-
-    def result() -> pa.RecordBatch:
-        split = sum(1 for side, _, _ in held.values() if side == 0)
-        cids = np.array(list(held), np.int64)
-        fps = np.stack([fp for _, fp, _ in held.values()])
-        sets = [values for _, _, values in held.values()]
-        sizes = np.array([len(s) for s in sets])
-        forest = Forest(len(sets))
-        same = key[1] == key[2]
-        for i, j in _pairs(fps if same else fps[:split], None if same else fps[split:], radius) if same or 0 < split < len(sets) else ():
-            alike = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - _ROUNDING
-            for x, y in np.stack([i, j], axis=1)[alike & (forest.label[i] != forest.label[j])].tolist():
-                if forest.label[x] != forest.label[y] and similar(sets[x], sets[y], similarity):
-                    forest.link(np.array([x]), np.array([y]))
-        child, root = forest.edges()
-        return pa.RecordBatch.from_arrays([pa.array(cids[child]), pa.array(cids[root])], ["u", "v"])
-
-    for batch in batches:
-        fields = [batch.column(k).to_pylist() for k in range(5)]
-        for k, text in enumerate(batch.column(5)):
-            if (now := (fields[0][k], fields[1][k], fields[2][k])) != key:
-                if len(held) > 1:
-                    yield result()
-                held, key = {}, now
-            if fields[4][k] not in held:
-                parts = list(shingle_hashes(words_of(text.as_py()), SIMILAR_WORDS, SIMILAR_LANES))
-                values = np.unique(np.concatenate([p[:, 0] for p in parts])) if parts else np.zeros(0, np.uint64)
-                held[fields[4][k]] = (fields[3][k], majority(parts, SIMILAR_LANES), values)
-    if len(held) > 1:
-        yield result()
-
-
-def _row(doc_id: str | Column, digest_: Column) -> list[Column]:
-    """What tells rows apart in a join, without nulls."""
-    doc = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return [doc.isNull(), F.coalesce(doc.cast("long"), F.lit(0)), digest_]
-
-
-def _similar(docs: DataFrame, classes: DataFrame, candidates: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(u, v): edges of cids whose components are those of all candidate pairs that are similar."""
-    every = candidates.union(candidates.select("component", "component").distinct()).toDF("node", "component")
-    names = ("last", "id", "digest")
-    keyed = cut(classes.join(every, classes["cid"] == every["node"]).select("cid", "component", "bytes", *(c.alias(n) for c, n in zip(_row("w.doc_id", F.col("w.digest")), names, strict=True))))
-    sizes = keyed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    split = F.least(F.ceil(F.col("n") / SPLIT_TEXTS), F.lit(SPLIT_BLOCKS))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), split).cast("int")
-    large = cut(sizes.select("component", blocks.alias("blocks")).where("blocks > 1"))
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    keyed = keyed.drop("bytes").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed
-    texts = docs.select(*(c.alias(n) for c, n in zip(_row("doc_id", F.xxhash64("text")), names, strict=True)), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    # A row that repeats without limit leaves a task once.
-    found = texts.join(keyed, list(names)).select("cid", "component", "blocks", "text").mapInArrow(_once, "cid long, component long, blocks int, text binary")
-    placed = found.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = F.least("block", "other"), F.greatest("block", "other")
-    rows = paired.select("component", a.alias("a"), b.alias("b"), (F.col("block") > a).cast("int").alias("side"), "cid", "text")
-    dealt = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "side")
-    return dealt.mapInArrow(lambda batches: _verified(batches, radius, similarity), "u long, v long")
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """docs with one row of each group linked by shingle sets of that Jaccard similarity, as far as the radius finds them.
-
-    The row of the least id stays, null last, then that of the least hash of its text; rows equal in both are one.
-    """
-    prints = cut(fingerprints(docs, SIMILAR_WORDS, SIMILAR_LANES, by_words=True))
-    classes = _classes(prints, SIMILAR_LANES)
-    candidates = connected_components(links(classes, radius, SIMILAR_LANES))
-    labels = connected_components(_similar(docs, classes, candidates, radius, similarity))
-    least = least_of(labels, classes.select(F.col("cid").alias("node"), F.col("w").alias("value")))
-    known = classes.join(least, classes["cid"] == least["node"], "left")
-    winners = known.where("value is null or value = w").select(*(c.alias(n) for c, n in zip(_row("w.doc_id", F.col("w.digest")), ("last", "id", "digest"), strict=True)))
-    names = fresh(docs, "_last", "_id", "_digest")
-    kept = cut(winners).toDF(*names)
-    marked = docs.select("*", *(c.alias(n) for c, n in zip(_row(docs["doc_id"], F.xxhash64(docs["text"])), names, strict=True)))
-    # Made distinct map-side first and joined by the same keys, so each text is shuffled once.
-    return marked.dropDuplicates(names).join(kept, names, "left_semi").select(*docs.columns)
