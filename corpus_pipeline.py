@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, packing, simhash, superkmer, toxicity
+from siltstone.llm import mixing, packing, similar, superkmer, toxicity
 from siltstone.runtime import prepare, scratch, table
 
 
@@ -23,7 +23,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word Jaccard 0.8 or more, the document of the least id stays; SimHash finds the candidates."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
