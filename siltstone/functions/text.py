@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -24,6 +24,8 @@ TOOL_SUFFIX = "\n...[tool output truncated by harness]"
 SKILL_SUFFIX = "\n...[skill content truncated by harness]"
 COMMAND_SUFFIX = "\n...[command output truncated by harness]"
 SLUG_BYTES = 64
+#: What tool arguments may have in bytes.
+ARGUMENT_BYTES = 65536
 _SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -143,11 +145,16 @@ def _written(value) -> str:
     return re.sub("[<>&\u2028\u2029]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
 
 
-def _decoded(text: str):
-    return json.JSONDecoder(parse_int=_Number, parse_float=_Number).raw_decode(text.strip(_SPACES))[0]
+def _decoded(text: str, alone: bool = False):
+    """The JSON value that text begins with; alone: nothing but another JSON value may follow."""
+    decoder = json.JSONDecoder(parse_int=_Number, parse_float=_Number)
+    text = text.strip(_SPACES)
+    value, end = decoder.raw_decode(text)
+    if alone and text[end:].strip(_SPACES):
+        decoder.raw_decode(text[end:].strip(_SPACES))
+    return value
 
 
-@lru_cache(maxsize=4096)
 def _canonical(text: str, shown: bool) -> str | None:
     try:
         value = _decoded(text)
@@ -172,6 +179,32 @@ def redacted_json(texts: pa.Array) -> pa.Array:
     return _each(texts, True)
 
 
+_PREPARED = "struct<arguments_hash: string, display_arguments: string, error: string>"
+
+
+def _prepared(text: str | None, most: int) -> dict:
+    if text is None or len(text.encode()) > most:
+        return {"error": "no arguments" if text is None else f"over {most} bytes"}
+    try:
+        value = _decoded(text, alone=True)
+    except ValueError:
+        return {"error": "not a JSON value"}
+    return {"arguments_hash": hashlib.sha256(_written(value).encode()).hexdigest(), "display_arguments": _written(_scrub(value, _SENSITIVE))}
+
+
+def prepared_arguments(c: str | Column, most: int = ARGUMENT_BYTES) -> Column:
+    """Tool arguments as a struct: the canonical form's SHA-256 and the redacted form, from one decoding; or else why they are refused."""
+    if most <= 0:
+        raise ValueError("most must be greater than 0")
+    kind = pa.struct([(n, pa.string()) for n in ("arguments_hash", "display_arguments", "error")])
+
+    @F.arrow_udf(_PREPARED)
+    def prepared(texts: pa.Array) -> pa.Array:
+        return pa.array([_prepared(t, most) for t in texts.to_pylist()], kind)
+
+    return prepared(_col(c))
+
+
 def fingerprint(c: str | Column) -> Column:
     """SHA-256 of the canonical form, before redaction."""
     return F.sha2(canonical_json(_col(c)), 256)

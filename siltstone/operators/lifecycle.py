@@ -7,10 +7,14 @@ parameter. Comparison with NULL is unknown, and unknown never deletes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.mutations import Change, delete, update
+from siltstone.functions import text
+from siltstone.operators.mutations import Change, delete, numbered_rows, update
+from siltstone.runtime import cut
 
 # Retention in hours, batch size, lifetimes in seconds.
 RETENTION_HOURS = {"approvals": 168, "checkpoints": 24, "turns": 720}
@@ -32,38 +36,87 @@ def transition(df: DataFrame, allowed: tuple[str, ...], to: str, guard: Column |
     return update(df, F.col("status").isin(*allowed) & (F.lit(True) if guard is None else guard), status=to, **values)
 
 
-def first_of(df: DataFrame, predicate: Column, limit: int, *order: Column) -> DataFrame:
-    """Ids of the first `limit` rows under the predicate."""
-    return df.where(predicate).orderBy(*order).limit(limit).select("id")
+def first_of(df: DataFrame, predicate: Column, limit: int, *order: Column, key: str = "id") -> DataFrame:
+    """Keys of the first `limit` rows under the predicate."""
+    return df.where(predicate).orderBy(*order).limit(limit).select(key)
+
+
+@dataclass(frozen=True)
+class Removed:
+    """A table after a batch of deletions, and the keys of the rows that went."""
+
+    state: DataFrame
+    ids: DataFrame
+
+    def count(self) -> int:
+        return self.ids.count()
+
+
+def _without_first(df: DataFrame, predicate: Column, limit: int, key: str, *order: Column) -> Removed:
+    """The first `limit` rows under the predicate go; in the order given, then of the key, so that a run that is repeated takes the same."""
+    if limit <= 0:
+        raise ValueError("delete limit must be greater than zero")
+    ids = first_of(df, predicate, limit, *order, F.col(key), key=key)
+    return Removed(df.join(F.broadcast(ids), key, "left_anti").select(*df.columns), ids)  # `limit` keys
 
 
 #: What an audit row takes from the approval, by the approval's column.
-AUDITED = {"approval_id": "id", "session_id": "session_id", "tool": "tool", "payload": "arguments", "actor_subject": "requester"}
+AUDITED = {"approval_id": "id", "session_id": "session_id", "tool": "tool", "actor_subject": "requester"}
+#: States that leave an audit row when they are reached, and those whose row shows the arguments. Expiry and release leave none.
+AUDITED_STATES, SHOWN_STATES = ("APPROVED", "REJECTED", "RESUMING", "EXECUTED"), ("EXECUTED",)
 
 
 def audit(events: DataFrame, before_: DataFrame, after_: DataFrame, now: Column, actor: Column | None = None) -> DataFrame:
-    """events with one more for each approval that is new or changed its status: approval, session, tool, arguments and actor.
+    """events with one more for each approval that is new, or was decided, taken up or executed: approval, session, tool, payload and actor.
 
-    The actor is the requester unless another is given; what an approval has no column for is null.
+    The payload is the redacted form of the arguments when they are new or executed, else empty. The actor is the
+    requester unless another is given; what an approval has no column for is null.
     """
     was = before_.select(F.col("id").alias("_id"), F.col("status").alias("_was"))
     joined = after_.join(was, after_["id"] == F.col("_id"), "left")
-    changed = joined.where(F.col("_id").isNull() | (F.col("_was") != F.col("status")))
+    new = F.col("_id").isNull()
+    released = (F.col("_was") == "RESUMING") & (F.col("status") == "APPROVED")
+    changed = joined.where(new | ((F.col("_was") != F.col("status")) & F.col("status").isin(*AUDITED_STATES) & ~released))
     taken = {to: F.col(c) if c in after_.columns else F.lit(None).cast("string") for to, c in AUDITED.items()}
+    shown = F.col("display_arguments") if "display_arguments" in after_.columns else F.lit(None).cast("string")
+    taken["payload"] = F.when(new | F.col("status").isin(*SHOWN_STATES), shown).otherwise(F.lit(""))
     if actor is not None:
         taken["actor_subject"] = actor
-    kind = F.concat(F.lit("approval."), F.when(F.col("_id").isNull(), "created").otherwise(F.lower("status")))
+    kind = F.concat(F.lit("approval."), F.when(new, "created").otherwise(F.lower("status")))
     return events.unionByName(changed.select(*[c.alias(n) for n, c in taken.items()], kind.alias("event_type"), now.alias("created_at")), allowMissingColumns=True)
 
 
-def create_approvals(df: DataFrame, requests: DataFrame, now: Column, ttl: int = APPROVAL_TTL_SECONDS) -> DataFrame:
-    rows = requests.withColumns({"status": F.lit("PENDING"), "created_at": now, "expires_at": after(now, ttl)})
+def _prepared(requests: DataFrame, most: int) -> DataFrame:
+    return requests.withColumn("_prepared", text.prepared_arguments("arguments", most))
+
+
+def refused_approvals(requests: DataFrame, most: int = text.ARGUMENT_BYTES) -> DataFrame:
+    """requests whose arguments can't be kept, without them, and why: (..., error)."""
+    return _prepared(requests, most).where("_prepared.error is not null").withColumn("error", F.col("_prepared.error")).drop("_prepared", "arguments")
+
+
+def create_approvals(df: DataFrame, requests: DataFrame, now: Column, ttl: int = APPROVAL_TTL_SECONDS, most: int = text.ARGUMENT_BYTES) -> DataFrame:
+    """df with a PENDING approval for each request (tool, arguments, requester, and what else df has) that isn't refused.
+
+    Of the arguments only their hash and redacted form are kept. A request without an
+    approval_id gets a random one, one without an id the next free number; both are
+    written before they are used, so they stay what they are.
+    """
+    rows = _prepared(requests, most).where("_prepared.error is null").withColumns({c: F.col(f"_prepared.{c}") for c in ("arguments_hash", "display_arguments")}).drop("_prepared", "arguments")
+    rows = rows.withColumns({"status": F.lit("PENDING"), "created_at": now, "expires_at": after(now, ttl)})
+    named = F.coalesce(F.col("approval_id"), text.new_uuid()) if "approval_id" in rows.columns else text.new_uuid()
+    rows = cut(rows.withColumn("approval_id", named))
+    if "id" not in rows.columns:
+        top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+        rows = numbered_rows(rows, "approval_id").join(F.broadcast(top)).withColumn("id", F.col("_n") + F.col("_top")).drop("_n", "_top")
     return df.unionByName(rows, allowMissingColumns=True)
 
 
-def attach_checkpoint(df: DataFrame, id: Column, checkpoint: str, interrupt: str) -> Change:
+def attach_checkpoint(df: DataFrame, id: Column, checkpoint: Column | str, interrupt: Column | str, run: Column | str) -> Change:
+    """PENDING approvals without a checkpoint and interrupt get both, and their run; rows whose new checkpoint or interrupt is empty are left alone."""
+    checkpoint, interrupt, run = (c if isinstance(c, Column) else F.lit(c) for c in (checkpoint, interrupt, run))
     free = F.col("checkpoint_id").isNull() & F.col("interrupt_id").isNull()
-    return update(df, id & (F.col("status") == "PENDING") & free, checkpoint_id=checkpoint, interrupt_id=interrupt)
+    return update(df, id & (F.col("status") == "PENDING") & free & (checkpoint != "") & (interrupt != ""), checkpoint_id=checkpoint, interrupt_id=interrupt, run_id=run)
 
 
 def decide(df: DataFrame, which: Column, approve: Column, by: str, now: Column) -> Change:
@@ -108,10 +161,18 @@ def expire(df: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_due").isNotNull(), "EXPIRED").otherwise(F.col("status"))).drop("_due")
 
 
+def _terminal(cutoff: Column, states: tuple[str, ...], at: str, fixed: str | None) -> Column:
+    return F.col("status").isin(*states) & ((F.col(at) if fixed is None else F.coalesce(at, fixed)) < cutoff)
+
+
 def delete_terminal(df: DataFrame, cutoff: Column, states: tuple[str, ...], at: str, fixed: str | None = None) -> Change:
     """Terminal rows decided before the cutoff go. Rows that never got the time stay, unless `fixed` names a stand-in."""
-    when = F.col(at) if fixed is None else F.coalesce(at, fixed)
-    return delete(df, F.col("status").isin(*states) & (when < cutoff))
+    return delete(df, _terminal(cutoff, states, at, fixed))
+
+
+def delete_terminal_turns(df: DataFrame, cutoff: Column, limit: int = BATCH) -> Removed:
+    """The first `limit` turns that completed or failed before the cutoff go; turns that never got the time stay."""
+    return _without_first(df, _terminal(cutoff, TERMINAL_TURNS, "completed_at", None), limit, "id", F.col("completed_at"))
 
 
 def complete_turns(turns: DataFrame, messages: DataFrame, done: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +208,9 @@ def finish_runs(df: DataFrame, which: Column, now: Column, error: str | None = N
     return transition(df, ("RUNNING", "RESUMING"), "FAILED" if error else "COMPLETED", which, **values)
 
 
-def interrupt_runs(df: DataFrame, which: Column, checkpoint: Column, now: Column) -> Change:
-    return transition(df, ("RUNNING", "RESUMING"), "INTERRUPTED", which, checkpoint_id=checkpoint, updated_at=now)
+def interrupt_runs(df: DataFrame, which: Column, approval: Column, now: Column) -> Change:
+    """RUNNING runs wait for an approval; a run that is being resumed isn't interrupted."""
+    return transition(df, ("RUNNING",), "INTERRUPTED", which, approval_id=approval, updated_at=now)
 
 
 def release_runs(df: DataFrame, which: Column, now: Column) -> Change:
@@ -174,8 +236,9 @@ def live_checkpoints(df: DataFrame, now: Column) -> DataFrame:
     return df.where(F.col("expires_at") > now)
 
 
-def delete_expired_checkpoints(df: DataFrame, now: Column) -> Change:
-    return delete(df, F.col("expires_at") < now)
+def delete_expired_checkpoints(df: DataFrame, cutoff: Column, limit: int = BATCH) -> Removed:
+    """The first `limit` checkpoints that expired before the cutoff go."""
+    return _without_first(df, F.col("expires_at") < cutoff, limit, "checkpoint_id", F.col("expires_at"))
 
 
 def history(sessions: DataFrame, messages: DataFrame, session: Column, owner: Column) -> DataFrame:

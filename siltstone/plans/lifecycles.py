@@ -79,15 +79,37 @@ def audit_timeline(spark, d):
 
 
 def audit_append(spark, d):
-    """Rows for approvals that expire, and for new ones."""
+    """Rows for approvals that are decided and for new ones, with their secrets redacted; none for those that expire or whose arguments are refused."""
     before = _approvals(spark, d)
-    requests = table(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000_000).alias("id"), F.col("s_nationkey").cast("bigint").alias("requester"), F.col("s_name").alias("tool"), F.concat(F.lit("{"), "s_suppkey", F.lit("}")).alias("arguments"))
-    expired = lc.transition(before, ("PENDING",), "EXPIRED", F.col("expires_at") < _now()).state
+    key = F.col("s_suppkey")
+    arguments = F.when(key % 7 == 0, F.lit("not JSON")).otherwise(F.format_string('{ "n": %s, "Api-Key": "k%s", "note": "token=t%s"}', key, key, key))
+    requests = table(spark, d, "supplier").select((key + 10_000_000_000).alias("id"), F.col("s_nationkey").cast("bigint").alias("requester"), F.col("s_name").alias("tool"), arguments.alias("arguments"))
+    decided = lc.decide(before, F.col("id") % 3 == 0, F.col("id") % 2 == 0, "ann", _now()).state
+    expired = lc.transition(decided, ("PENDING",), "EXPIRED", F.col("expires_at") < _now()).state
     after = lc.create_approvals(expired, requests, _now())
     none = spark.createDataFrame([], "approval_id bigint, session_id string, tool string, payload string, actor_subject bigint, event_type string, created_at timestamp")
     return lc.audit(none, before, after, _now()).fillna("", ["session_id", "payload"])
 
 
+def approval_refused(spark, d):
+    """Requests by customers, of which some have arguments that are no JSON, too long or missing; the rest as approvals."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    arguments = F.when(key % 5 == 0, F.concat(F.lit('"'), F.repeat(F.lit("x"), 100), F.lit('"'))).when(key % 5 == 1, F.lit("{} {")).when(key % 5 == 2, F.concat(F.lit('{"name": "'), "c_name", F.lit('"} {}'))).when(key % 5 == 3, F.format_string("[%s, 1.50]", key))
+    requests = c.select(key.alias("id"), F.concat(F.lit("a"), key).alias("approval_id"), F.lit("shell").alias("tool"), F.col("c_mktsegment").alias("requester"), arguments.alias("arguments"))
+    none = spark.createDataFrame([], "id bigint, approval_id string, status string, tool string, requester string, arguments_hash string, display_arguments string, created_at timestamp, expires_at timestamp")
+    made = lc.create_approvals(none, requests, _now(), most=100).select("approval_id", F.col("status").alias("result"), F.col("arguments_hash").alias("detail"), "display_arguments")
+    return made.unionByName(lc.refused_approvals(requests, 100).select("approval_id", F.lit("refused").alias("result"), F.col("error").alias("detail"), F.lit("").alias("display_arguments")))
+
+
+def approval_checkpoint(spark, d):
+    """Checkpoints attached to approvals by customers, twice; some have no interrupt."""
+    none = F.lit(None).cast("string")
+    a = _approvals(spark, d).withColumns({"checkpoint_id": F.when(F.col("id") % 5 == 0, F.lit("old")), "interrupt_id": none, "run_id": none})
+    change = lc.attach_checkpoint(a, F.col("id") % 3 != 0, F.concat(F.lit("c"), "id"), F.when(F.col("id") % 4 == 0, "").otherwise(F.concat(F.lit("i"), "id")), F.concat(F.lit("r"), "id"))
+    again = lc.attach_checkpoint(change.state, F.col("id") % 2 == 0, F.lit("late"), F.lit("late"), F.lit("late"))
+    return again.state.select("id", "status", *[F.coalesce(c, F.lit("")).alias(c) for c in ("checkpoint_id", "interrupt_id", "run_id")])
+
+
 def _turns(spark, d):
     o = table(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "P", "INTERRUPTED").when(F.col("o_orderkey") % 2 == 0, "COMPLETED").otherwise("FAILED")
@@ -106,8 +128,11 @@ def turn_complete_once(spark, d):
 
 
 def turn_retention(spark, d):
+    """Turns after a batch of deletions, with those that went."""
     failed = lc.fail_turns(_turns(spark, d), F.col("id") % 4 == 1, "boom").state
-    return lc.delete_terminal(failed, lc.before(_now(), lc.RETENTION_HOURS["turns"]), lc.TERMINAL_TURNS, "completed_at").state.groupBy("status").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+    removed = lc.delete_terminal_turns(failed, lc.before(_now(), lc.RETENTION_HOURS["turns"]))
+    kept = removed.state.select("id", "status", F.coalesce("error", F.lit("")).alias("error"))
+    return kept.unionByName(removed.ids.select("id", F.lit("deleted").alias("status"), F.lit("").alias("error")))
 
 
 def checkpoint_set(spark, d):
@@ -118,8 +143,15 @@ def checkpoint_set(spark, d):
     return lc.live_checkpoints(state, F.lit("1996-06-13").cast("timestamp")).select("checkpoint_id", F.md5("payload").alias("payload_md5"), "expires_at")
 
 
+def checkpoint_retention(spark, d):
+    """Checkpoints after a batch of deletions, with those that went."""
+    have = table(spark, d, "part").select(F.col("p_partkey").alias("checkpoint_id"), F.encode("p_name", "utf-8").alias("payload"), (F.lit("1996-06-01").cast("timestamp") + F.make_dt_interval(F.col("p_size"))).alias("expires_at"))
+    removed = lc.delete_expired_checkpoints(have, lc.before(_now(), lc.RETENTION_HOURS["checkpoints"]))
+    return removed.state.select("checkpoint_id", F.lit("kept").alias("result")).unionByName(removed.ids.select("checkpoint_id", F.lit("deleted").alias("result")))
+
+
 def session_history(spark, d):
-    """Messages of every session whose owner asks for it (sessions of even ids), newest ten each, oldest first."""
+    """Messages of every session whose owner asks for it (sessions of even ids), newest three each."""
     c = table(spark, d, "conversations")
     messages = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), "role", "text", F.timestamp_seconds(F.col("turn")).alias("created_at"))
     sessions = c.select(F.col("conv_id").alias("id")).distinct().withColumn("owner", F.when(F.col("id") % 2 == 0, "ann").otherwise("bob"))
@@ -256,16 +288,16 @@ def doc_status_rollup(spark, d):
 
 
 def run_states(spark, d):
-    """Runs interrupted, claimed by their owner, some released, the rest finished or failed."""
-    o = table(spark, d, "orders")
+    """Runs interrupted for an approval, claimed by their owner where they have a checkpoint, some released, the rest finished or failed."""
+    o, none = table(spark, d, "orders"), F.lit(None).cast("string")
     runs = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "P", "RESUMING").otherwise("COMPLETED").alias("status"),
-                    F.col("o_custkey").cast("string").alias("requested_by"), F.lit(None).cast("string").alias("checkpoint_id"), F.lit(None).cast("string").alias("error_code"), _now().alias("updated_at"))
-    runs = lc.interrupt_runs(runs, F.col("id") % 2 == 0, F.concat(F.lit("c"), "id"), _now()).state
+                    F.col("o_custkey").cast("string").alias("requested_by"), F.when(F.col("o_orderkey") % 8 != 4, F.concat(F.lit("c"), "o_orderkey")).alias("checkpoint_id"), none.alias("approval_id"), none.alias("error_code"), _now().alias("updated_at"))
+    runs = lc.interrupt_runs(runs, F.col("id") % 2 == 0, F.concat(F.lit("a"), "id"), _now()).state
     runs = lc.claim_runs(runs, F.col("id") % 3 != 0, F.col("requested_by"), _now()).state
     runs = lc.release_runs(runs, F.col("id") % 5 == 0, _now()).state
     runs = lc.finish_runs(runs, F.col("id") % 7 == 1, _now(), "boom").state
     runs = lc.finish_runs(runs, F.col("id") % 7 == 2, _now()).state
-    return runs.groupBy("status").agg(F.count("*").alias("n"), F.count("checkpoint_id").alias("checkpoints"), F.count("error_code").alias("errors"))
+    return runs.select("id", "status", F.coalesce("approval_id", F.lit("")).alias("approval_id"), F.coalesce("error_code", F.lit("")).alias("error_code"))
 
 
 def dataset_list(spark, d):
@@ -326,18 +358,18 @@ def retrieval_evaluation(spark, d):
 
 _A = schema.APPROVALS_SQL
 QUERIES = {q.__name__: q for q in (
-    approval_expire, approval_decide, approval_claim_release, approval_consume, approval_due, retention_delete, retention_null_trap, audit_timeline, audit_append, turn_complete_once, turn_retention,
-    checkpoint_set, session_history, session_get_or_create, grants_state, orm_update, orm_delete, orm_create_bulk, vector_upsert, vector_delete, doc_upsert_by_title, chunk_replace,
+    approval_expire, approval_decide, approval_claim_release, approval_consume, approval_due, retention_delete, retention_null_trap, audit_timeline, audit_append, approval_refused, approval_checkpoint, turn_complete_once, turn_retention,
+    checkpoint_set, checkpoint_retention, session_history, session_get_or_create, grants_state, orm_update, orm_delete, orm_create_bulk, vector_upsert, vector_delete, doc_upsert_by_title, chunk_replace,
     table_replaced, vector_collection, guarded_writes, chunk_counts_by_status, doc_status_rollup, run_states, dataset_list, embed_documents, lexical_index, reindex_summary, chunk_report, upload_documents, retrieval_evaluation,
 )}
 _TURNS = "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'RUNNING' WHEN o_orderstatus = 'P' THEN 'INTERRUPTED' WHEN o_orderkey % 2 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_orderdate AS at_ FROM orders"
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 ORACLES = {
-    "run_states": """WITH a AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'P' THEN 'RESUMING' ELSE 'COMPLETED' END AS s FROM orders),
-      b AS (SELECT id, CASE WHEN s <> 'COMPLETED' AND id % 2 = 0 THEN 'INTERRUPTED' ELSE s END AS s, s <> 'COMPLETED' AND id % 2 = 0 AS c FROM a),
-      e AS (SELECT id, c, CASE WHEN s = 'INTERRUPTED' AND id % 3 <> 0 THEN 'RESUMING' ELSE s END AS s FROM b), f AS (SELECT id, c, CASE WHEN s = 'RESUMING' AND id % 5 = 0 THEN 'INTERRUPTED' ELSE s END AS s FROM e),
-      g AS (SELECT id, c, CASE WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 1 THEN 'FAILED' WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 2 THEN 'COMPLETED' ELSE s END AS s FROM f)
-      SELECT s AS status, count(*) AS n, count(*) FILTER (c) AS checkpoints, count(*) FILTER (s = 'FAILED') AS errors FROM g GROUP BY s""",
+    "run_states": """WITH a AS (SELECT o_orderkey AS id, o_orderkey % 8 <> 4 AS checkpoint, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'P' THEN 'RESUMING' ELSE 'COMPLETED' END AS s FROM orders),
+      b AS (SELECT id, checkpoint, CASE WHEN s = 'RUNNING' AND id % 2 = 0 THEN 'INTERRUPTED' ELSE s END AS s, s = 'RUNNING' AND id % 2 = 0 AS asked FROM a),
+      e AS (SELECT id, asked, CASE WHEN s = 'INTERRUPTED' AND checkpoint AND id % 3 <> 0 THEN 'RESUMING' ELSE s END AS s FROM b), f AS (SELECT id, asked, CASE WHEN s = 'RESUMING' AND id % 5 = 0 THEN 'INTERRUPTED' ELSE s END AS s FROM e)
+      SELECT id, CASE WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 1 THEN 'FAILED' WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 2 THEN 'COMPLETED' ELSE s END AS status,
+        CASE WHEN asked THEN 'a' || id ELSE '' END AS approval_id, CASE WHEN s IN ('RUNNING', 'RESUMING') AND id % 7 = 1 THEN 'boom' ELSE '' END AS error_code FROM f""",
     "dataset_list": "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') AND p_type = 'ECONOMY'",
     "embed_documents": f"""WITH t AS (SELECT doc_id, [md5(x)[1] for x in {_TERMS.format('text')}] AS h FROM documents),
       n AS (SELECT doc_id, h, [len([x for x in h if x = d]) for d in ['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f']] AS v FROM t),
@@ -366,13 +398,25 @@ ORACLES = {
       SELECT status, count(*) AS n, 'faithful' AS rule FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND decided_at < cutoff, false) GROUP BY status
       UNION ALL SELECT status, count(*), 'fixed' FROM a, k WHERE NOT coalesce(status IN ('REJECTED', 'EXPIRED', 'EXECUTED') AND coalesce(decided_at, expires_at) < cutoff, false) GROUP BY status""",
     "audit_timeline": "SELECT event_id, lag(event_type) OVER w AS before, coalesce(epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000, -1) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-    "audit_append": f"""SELECT id AS approval_id, '' AS session_id, tool, '' AS payload, requester AS actor_subject, 'approval.expired' AS event_type, {_NOW_SQL} AS created_at FROM ({_A}) WHERE status = 'PENDING' AND expires_at < {_NOW_SQL}
-      UNION ALL SELECT s_suppkey + 10000000000, '', s_name, '{{' || s_suppkey || '}}', s_nationkey, 'approval.created', {_NOW_SQL} FROM supplier""",
+    "audit_append": f"""SELECT id AS approval_id, '' AS session_id, tool, '' AS payload, requester AS actor_subject, CASE WHEN id % 2 = 0 THEN 'approval.approved' ELSE 'approval.rejected' END AS event_type, {_NOW_SQL} AS created_at
+      FROM ({_A}) WHERE status = 'PENDING' AND expires_at > {_NOW_SQL} AND id % 3 = 0
+      UNION ALL SELECT s_suppkey + 10000000000, '', s_name, '{{"Api-Key":"[REDACTED]","n":' || s_suppkey || ',"note":"token=[REDACTED]"}}', s_nationkey, 'approval.created', {_NOW_SQL} FROM supplier WHERE s_suppkey % 7 <> 0""",
+    "approval_refused": """SELECT 'a' || c_custkey AS approval_id, CASE WHEN c_custkey % 5 IN (2, 3) THEN 'PENDING' ELSE 'refused' END AS result,
+      CASE c_custkey % 5 WHEN 0 THEN 'over 100 bytes' WHEN 1 THEN 'not a JSON value' WHEN 2 THEN sha256('{"name":"' || c_name || '"}') WHEN 3 THEN sha256('[' || c_custkey || ',1.50]') ELSE 'no arguments' END AS detail,
+      CASE c_custkey % 5 WHEN 2 THEN '{"name":"' || c_name || '"}' WHEN 3 THEN '[' || c_custkey || ',1.50]' ELSE '' END AS display_arguments FROM customer""",
+    "approval_checkpoint": f"""WITH a AS (SELECT id, status, id % 5 = 0 AS had, status = 'PENDING' AND id % 5 <> 0 AS free FROM ({_A})),
+      b AS (SELECT *, free AND id % 3 <> 0 AND id % 4 <> 0 AS one FROM a), c AS (SELECT *, free AND NOT one AND id % 2 = 0 AS two FROM b)
+      SELECT id, status, CASE WHEN had THEN 'old' WHEN one THEN 'c' || id WHEN two THEN 'late' ELSE '' END AS checkpoint_id, CASE WHEN one THEN 'i' || id WHEN two THEN 'late' ELSE '' END AS interrupt_id,
+        CASE WHEN one THEN 'r' || id WHEN two THEN 'late' ELSE '' END AS run_id FROM c""",
+    "checkpoint_retention": f"""WITH p AS (SELECT p_partkey AS id, TIMESTAMP '1996-06-01' + to_days(p_size) AS at_ FROM part),
+      d AS (SELECT id FROM p WHERE at_ < {_NOW_SQL} - INTERVAL 24 HOUR ORDER BY at_, id LIMIT 100)
+      SELECT id AS checkpoint_id, CASE WHEN id IN (FROM d) THEN 'deleted' ELSE 'kept' END AS result FROM p""",
     "turn_complete_once": f"""WITH t AS (SELECT *, status IN ('RUNNING', 'INTERRUPTED') AND id % 3 = 0 AS won FROM ({_TURNS}))
       SELECT CASE WHEN won THEN 'COMPLETED' ELSE status END AS what, count(*) AS n, count(*) FILTER (won OR status = 'COMPLETED') AS timed FROM t GROUP BY 1
       UNION ALL SELECT 'assistant', count(*), count(*) FROM t WHERE won HAVING count(*) > 0""",
-    "turn_retention": f"""WITH t AS (SELECT id, at_, CASE WHEN status IN ('RUNNING', 'INTERRUPTED') AND id % 4 = 1 THEN 'FAILED' ELSE status END AS now_, status FROM ({_TURNS}))
-      SELECT now_ AS status, count(*) AS n, count(*) FILTER (now_ <> status) AS errors FROM t WHERE NOT (now_ = 'COMPLETED' AND at_ < {_NOW_SQL} - INTERVAL 720 HOUR) GROUP BY now_""",
+    "turn_retention": f"""WITH t AS (SELECT id, at_, CASE WHEN status IN ('RUNNING', 'INTERRUPTED') AND id % 4 = 1 THEN 'FAILED' ELSE status END AS now_, status FROM ({_TURNS})),
+      d AS (SELECT id FROM t WHERE now_ = 'COMPLETED' AND at_ < {_NOW_SQL} - INTERVAL 720 HOUR ORDER BY at_, id LIMIT 100)
+      SELECT id, CASE WHEN id IN (FROM d) THEN 'deleted' ELSE now_ END AS status, CASE WHEN now_ <> status AND id NOT IN (FROM d) THEN 'boom' ELSE '' END AS error FROM t""",
     "checkpoint_set": f"""SELECT p_partkey AS checkpoint_id, md5(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END) AS payload_md5,
       CASE WHEN p_partkey % 2 = 0 THEN TIMESTAMP '1996-06-14' ELSE {_NOW_SQL} + INTERVAL 24 HOUR END AS expires_at FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""",
     "session_history": "SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, role, length(text)::INTEGER AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE conv_id % 2 = 0) WHERE n <= 3",

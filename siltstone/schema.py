@@ -20,7 +20,7 @@ def _struct(required: dict, optional: dict | None = None) -> T.StructType:
 TABLES: dict[str, T.StructType] = {
     "agent_datasets": _struct({"id": _L, "subject": _S, "dataset_id": _L, "created_at": _TS}),
     "agent_runs": _struct({"id": _L, "run_id": _S, "session_id": _S, "requested_by": _S, "user_message": _S, "status": _S, "created_at": _TS, "updated_at": _TS}, {"checkpoint_id": _S, "approval_id": _S, "error_code": _S, "turn_id": _S}),
-    "approvals": _struct({"id": _L, "approval_id": _S, "status": _S, "tool": _S, "arguments": _S, "arguments_hash": _S, "requester": _S, "expires_at": _TS, "created_at": _TS}, {"session_id": _S, "checkpoint_id": _S, "interrupt_id": _S, "run_id": _S, "decided_by": _S, "decided_at": _TS, "executed_at": _TS}),
+    "approvals": _struct({"id": _L, "approval_id": _S, "status": _S, "tool": _S, "requester": _S, "created_at": _TS}, {"session_id": _S, "turn_id": _S, "arguments_hash": _S, "display_arguments": _S, "expires_at": _TS, "checkpoint_id": _S, "interrupt_id": _S, "run_id": _S, "decided_by": _S, "decided_at": _TS, "executed_at": _TS}),
     "audit_events": _struct({"id": _L, "event_type": _S, "created_at": _TS}, {"session_id": _S, "approval_id": _S, "tool": _S, "payload": _S, "actor_subject": _S}),
     "chat_turns": _struct({"id": _L, "turn_id": _S, "session_id": _S, "status": _S, "created_at": _TS}, {"approval_id": _S, "error": _S, "completed_at": _TS}),
     "checkpoints": _struct({"id": _L, "checkpoint_id": _S, "payload": _B, "expires_at": _TS}),

@@ -152,11 +152,11 @@ def compact_vectors(spark: SparkSession, target: str) -> None:
 
 
 def maintain(approvals: DataFrame, checkpoints: DataFrame, turns: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round: expire approvals, then drop old checkpoints, approvals and turns."""
+    """One round: expire approvals, then drop old checkpoints, approvals and turns. All but the approvals' deletion stop at a batch."""
     approvals = lifecycle.expire(approvals, now)
     checkpoints = lifecycle.delete_expired_checkpoints(checkpoints, lifecycle.before(now, lifecycle.RETENTION_HOURS["checkpoints"])).state
     approvals = lifecycle.delete_terminal(approvals, lifecycle.before(now, lifecycle.RETENTION_HOURS["approvals"]), lifecycle.TERMINAL_APPROVALS, "decided_at").state
-    turns = lifecycle.delete_terminal(turns, lifecycle.before(now, lifecycle.RETENTION_HOURS["turns"]), lifecycle.TERMINAL_TURNS, "completed_at").state
+    turns = lifecycle.delete_terminal_turns(turns, lifecycle.before(now, lifecycle.RETENTION_HOURS["turns"])).state
     return approvals, checkpoints, turns
 
 

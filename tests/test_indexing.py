@@ -97,8 +97,11 @@ def test_runs(spark):
     import datetime as dt
 
     now = F.lit(dt.datetime(2026, 1, 1))
-    runs = spark.createDataFrame([(1, "RUNNING", "ann", None, None, None), (2, "COMPLETED", "ann", None, None, None)], "id long, status string, requested_by string, checkpoint_id string, error_code string, updated_at timestamp")
-    stopped = lc.interrupt_runs(runs, F.lit(True), F.lit("c"), now).state
+    runs = spark.createDataFrame([(1, "RUNNING", "ann", "c", None, None, None), (2, "COMPLETED", "ann", "c", None, None, None), (3, "RESUMING", "ann", "c", None, None, None), (4, "RUNNING", "ann", None, None, None, None)], "id long, status string, requested_by string, checkpoint_id string, approval_id string, error_code string, updated_at timestamp")
+    stopped = lc.interrupt_runs(runs, F.col("id") < 4, F.lit("a"), now).state
+    assert {(x.id, x.status, x.approval_id) for x in stopped.collect()} == {(1, "INTERRUPTED", "a"), (2, "COMPLETED", None), (3, "RESUMING", None), (4, "RUNNING", None)}
+    assert lc.claim_runs(lc.interrupt_runs(runs, F.col("id") == 4, F.lit("a"), now).state, F.lit(True), F.lit("ann"), now).count() == 0  # no checkpoint
+    stopped = stopped.where("id < 3")
     assert lc.claim_runs(stopped, F.lit(True), F.lit("eve"), now).count() == 0
     taken = lc.claim_runs(stopped, F.lit(True), F.lit("ann"), now)
     assert taken.count() == 1 and lc.claim_runs(taken.state, F.lit(True), F.lit("ann"), now).count() == 0

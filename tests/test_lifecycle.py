@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,21 +44,43 @@ def test_resume_cycle(spark, now):
         done = lc.consume(both, spark.createDataFrame(calls, "id long, requester string"), now, ("requester",))
         assert states(done) == want and [r.executed_at for r in done.where("status = 'EXECUTED'").collect()] == [NOW]
     assert states(lc.claim(approvals(spark, ("APPROVED", None, None, "ann", "c", "i", "r")), F.lit(True), F.lit("ann"), now).state) == ["RESUMING"]
-    attached = lc.attach_checkpoint(df, F.lit(True), "c9", "i9")
-    assert attached.count() == 1 and attached.state.where("checkpoint_id = 'c9'").first().id == 4
-    created = lc.create_approvals(df, spark.createDataFrame([(9,)], "id long"), now).where("id = 9").first()
-    assert created.status == "PENDING" and created.expires_at == NOW + dt.timedelta(minutes=30)
+    attached = lc.attach_checkpoint(df, F.lit(True), "c9", "i9", "r9")
+    assert attached.count() == 1 and (row := attached.state.where("checkpoint_id = 'c9'").first()).id == 4 and row.run_id == "r9"
+    assert lc.attach_checkpoint(df, F.lit(True), "", "i9", "r9").count() == 0 and lc.attach_checkpoint(attached.state, F.lit(True), "c", "i", "r").count() == 0
+    created = lc.create_approvals(df, spark.createDataFrame([(9, "{}")], "id long, arguments string"), now).where("id = 9").first()
+    assert created.status == "PENDING" and created.expires_at == NOW + dt.timedelta(minutes=30) and re.fullmatch(r"[0-9a-f-]{36}", created.approval_id)
 
 
 def test_audit_rows_are_whole(spark, now):
-    df = approvals(spark, ("APPROVED", AHEAD, None, "ann", "c", "i", "r"), ("PENDING", AHEAD)).withColumns({"session_id": F.lit("s"), "tool": F.lit("shell"), "arguments": F.lit("{}")})
+    df = approvals(spark, ("APPROVED", AHEAD, None, "ann", "c", "i", "r"), ("PENDING", AHEAD), ("RESUMING", AHEAD), ("RESUMING", AHEAD), ("PENDING", AGO)).withColumns({"session_id": F.lit("s"), "tool": F.lit("shell"), "display_arguments": F.lit("{}")})
     none = spark.createDataFrame([], "event_type string, created_at timestamp")
-    after = lc.create_approvals(lc.claim(df, F.lit(True), F.lit("ann"), now).state, spark.createDataFrame([(9, "bob", "t", "{1}", "z")], "id long, requester string, tool string, arguments string, session_id string"), now)
+    requests = spark.createDataFrame([(9, "bob", "t", '{"b": 1.0, "a": "x password=hunter2", "Secret": ["deep"]}', "z")], "id long, requester string, tool string, arguments string, session_id string")
+    after = lc.create_approvals(lc.claim(lc.expire(df, now), F.lit(True), F.lit("ann"), now).state, requests, now)
+    after = after.withColumn("status", F.when(F.col("id") == 2, "EXECUTED").when(F.col("id") == 3, "APPROVED").otherwise(F.col("status")))
     rows = {(r.approval_id, r.event_type, r.session_id, r.tool, r.payload, r.actor_subject, r.created_at) for r in lc.audit(none, df, after, now).collect()}
-    assert rows == {(0, "approval.resuming", "s", "shell", "{}", "ann", NOW), (9, "approval.created", "z", "t", "{1}", "bob", NOW)}
+    shown = '{"Secret":"[REDACTED]","a":"x password=[REDACTED]","b":1.0}'
+    assert rows == {(0, "approval.resuming", "s", "shell", "", "ann", NOW), (2, "approval.executed", "s", "shell", "{}", None, NOW), (9, "approval.created", "z", "t", shown, "bob", NOW)}
     assert lc.audit(none, df, after, now, F.lit("eve")).select("actor_subject").distinct().first()[0] == "eve"
 
 
+def test_no_secret_is_kept(spark, now):
+    have = approvals(spark, ("PENDING", AHEAD))
+    rows = [('{"password": "hunter2"}',), ('["Authorization: hunter2", "db://u:hunter2@h"]',), ("hunter2",), ('{"a": "' + "hunter2" * 20 + '"}',), (None,), ('"hunter2" trailing',), ('{"q": "token = hunter2"} {"second": 1}',)]
+    requests = spark.createDataFrame(rows, "arguments string").withColumns({"tool": F.lit("shell"), "requester": F.lit("ann")})
+    made = lc.create_approvals(have, requests, now, most=100)
+    new = made.where("id > 0").collect()
+    assert len(new) == 3 and sorted(r.id for r in new) == [1, 2, 3] and len({r.approval_id for r in new}) == 3 and len({r.arguments_hash for r in new}) == 3
+    assert [tuple(r) for r in made.where("id > 0").collect()] == [tuple(r) for r in new]  # ids stay
+    refused = lc.refused_approvals(requests, 100)
+    assert sorted(r.error for r in refused.collect()) == ["no arguments", "not a JSON value", "not a JSON value", "over 100 bytes"]
+    trail = lc.audit(spark.createDataFrame([], "event_type string, created_at timestamp"), have, made, now)
+    assert trail.count() == 3
+    for kept in (made, refused, trail):
+        assert "arguments" not in kept.columns and "hunter2" not in repr(kept.collect())
+    with pytest.raises(ValueError, match="most"):
+        lc.create_approvals(have, requests, now, most=0)
+
+
 def test_retention(spark, now):
     df = approvals(spark, ("REJECTED", AGO, AGO), ("EXPIRED", AGO), ("EXECUTED", AGO, NOW), ("PENDING", AGO, AGO))
     cutoff = lc.before(now, 168)
@@ -72,7 +95,14 @@ def test_turns(spark, now):
     turns, messages = lc.complete_turns(turns, none, done, now)
     turns, messages = lc.complete_turns(turns, messages, done, now)
     assert states(turns) == ["COMPLETED", "COMPLETED", "COMPLETED", "FAILED"] and sorted(r.content for r in messages.collect()) == ["x", "z"]
-    assert states(lc.delete_terminal(turns, lc.before(now, 720 - 24), lc.TERMINAL_TURNS, "completed_at").state) == ["COMPLETED", "COMPLETED", "FAILED"]
+    removed = lc.delete_terminal_turns(turns, lc.before(now, 720 - 24))
+    assert states(removed.state) == ["COMPLETED", "COMPLETED", "FAILED"] and [r.id for r in removed.ids.collect()] == [2]
+    many = spark.createDataFrame([(k, "COMPLETED", AGO - dt.timedelta(hours=k % 3)) for k in range(9)], "id long, status string, completed_at timestamp")
+    removed = lc.delete_terminal_turns(many, now, 4)
+    assert sorted(r.id for r in removed.ids.collect()) == [1, 2, 5, 8] and removed.count() == 4 and removed.state.count() == 5
+    for limit in (0, -1):
+        with pytest.raises(ValueError, match="limit"):
+            lc.delete_terminal_turns(many, now, limit)
 
 
 def test_checkpoints_sessions_grants(spark, now):
@@ -80,7 +110,9 @@ def test_checkpoints_sessions_grants(spark, now):
     new = spark.createDataFrame([("a", b"9"), ("c", b"3")], "checkpoint_id string, payload binary")
     state = {r.checkpoint_id: (bytes(r.payload), r.expires_at) for r in lc.set_checkpoints(have, new, now).collect()}
     assert state == {"a": (b"9", AHEAD), "b": (b"2", AGO), "c": (b"3", AHEAD)}
-    assert lc.live_checkpoints(have, now).count() == 1 and lc.delete_expired_checkpoints(have, now).count() == 1
+    removed = lc.delete_expired_checkpoints(have, now)
+    assert lc.live_checkpoints(have, now).count() == 1 and [r.checkpoint_id for r in removed.ids.collect()] == ["b"] and [r.checkpoint_id for r in removed.state.collect()] == ["a"]
+    assert removed.state.columns == have.columns
     sessions = spark.createDataFrame([(1, "s1", "ann", NOW)], "id long, session_id string, owner string, created_at timestamp")
     more = lc.get_or_create_sessions(sessions, spark.createDataFrame([("s1", "eve"), ("s2", "bob")], "session_id string, owner string"), now)
     assert {r.session_id: r.owner for r in more.collect()} == {"s1": "ann", "s2": "bob"}
