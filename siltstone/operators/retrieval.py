@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vector
 from siltstone.functions.text import is_blank, trim_unicode
+from siltstone.operators import nearest
 from siltstone.runtime import cut
 
 # Defaults of retrieval and of weighted fusion.
@@ -45,22 +46,17 @@ def ranked(df: DataFrame, most: int, *order: Column, per: str = "query_id") -> D
 
 
 def in_blocks(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> DataFrame:
-    """search(block) of all queries: one broadcast block, or several of MOST_QUERIES rows at most, dealt by a hash of the whole row."""
+    """search(block) of all queries: one broadcast block, or several of MOST_QUERIES rows at most, dealt row by row, so that equal ones are no burden."""
     n = queries.count()
     if n <= MOST_QUERIES:
         return search(F.broadcast(queries))
-    queries = cut(queries)
-    columns = [F.to_json(F.struct(F.col(c).alias("x"))) for c in queries.columns]
+    placed = cut(cut(queries).withColumn("_at", F.monotonically_increasing_id()))
     blocks = -(-2 * n // MOST_QUERIES)
-    while True:
-        block = F.pmod(F.xxhash64(*columns), F.lit(blocks))
-        most = queries.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
-        if most <= MOST_QUERIES:
-            break
-        if blocks > 16 * n:
-            raise ValueError(f"a query repeats over {MOST_QUERIES} times")
+    block = F.pmod(F.col("_at"), F.lit(blocks))
+    while placed.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] > MOST_QUERIES:
         blocks *= 2
-    return reduce(DataFrame.unionByName, [search(F.broadcast(queries.where(block == k))) for k in range(blocks)])
+        block = F.pmod(F.col("_at"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(F.broadcast(placed.where(block == k).drop("_at"))) for k in range(blocks)])
 
 
 def checked_vectors(queries: DataFrame, dims: int | None) -> DataFrame:
@@ -70,21 +66,13 @@ def checked_vectors(queries: DataFrame, dims: int | None) -> DataFrame:
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", dims: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest in index (id, embedding) for each of queries (query_id, query).
+    """(query_id, id, score, rank) of the k nearest in index (id, embedding) for each of queries (query_id, query), as nearest.knn has them.
 
-    Vectors without a score (null, or zero under cosine) are no hits. A query
-    vector that is null, not finite, or not of dims components is an error.
+    A query vector that is null, not finite, or not of dims components is an error.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    order = F.col("score").asc() if vector.ascending(metric) else F.col("score").desc()
-    score = F.round(vector.score(metric, F.col("embedding"), F.col("query")), 6)
-
-    def search(block: DataFrame) -> DataFrame:
-        scored = index.select("id", "embedding").join(block).select("query_id", "id", score.alias("score")).where("score is not null")
-        return ranked(scored, k, order, F.col("id"))
-
-    return in_blocks(search, checked_vectors(queries.select("query_id", "query"), dims))
+    return nearest.knn(index, checked_vectors(queries.select("query_id", "query"), dims), k, metric)
 
 
 def terms(text: str | Column) -> Column:
