@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
+from siltstone.functions import vector
 from siltstone.operators import annindex as ann
 from siltstone.operators import indexing as ix
 from siltstone.operators import retrieval as r
@@ -119,32 +120,41 @@ def recall_at_k(spark, d):
 
 def pack_vectors(spark, d):
     """Which vectors the store would take: positive id, dimension 64, finite values."""
-    from siltstone.functions import vector
-
     v = table(spark, d, "embeddings")
     fault = F.when(F.col("vec_id") <= 0, "id").when(~vector.is_valid(F.col("embedding"), 64), "vector").otherwise("none")
     return v.select("vec_id", fault.alias("fault"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
-def _lists(spark, d):
-    """(vectors, lists, vectors by list): every row is indexed."""
-    index = _index(spark, d)
-    lists = ann.fit(index, 16)
-    return index, lists, cut(ann.assign(index, lists))
+def _stored(spark, d, metric):
+    stored = ann.StoredIndex(scratch(spark, "vectors"))
+    stored.create(_index(spark, d), 16, metric, 20)
+    return stored
 
 
 def knn_inverted_lists(spark, d):
-    """All lists are probed, so the hits are the exact ones: nothing is missing from the index."""
-    _, lists, indexed = _lists(spark, d)
-    return ann.search(indexed, _vectors(spark, d), lists, 20, len(lists.centroids))
+    """All lists are probed, so the hits are the exact ones: nothing is missing from the index, nor lost by its codes."""
+    stored = _stored(spark, d, "COSINE")
+    return stored.search(_vectors(spark, d), 20, 16)
+
+
+def knn_index_updates(spark, d):
+    """Of a stored index (L2), every third vector is replaced by its negative, every fifth deleted, then all is compacted; all lists are probed."""
+    stored, index = _stored(spark, d, "L2"), _index(spark, d)
+    stored.add(index.where("id % 3 = 0").select("id", F.transform("embedding", lambda x: -x).alias("embedding")))
+    stored.delete(index.where("id % 5 = 1").select("id"))
+    stored.compact(spark)
+    return stored.search(_vectors(spark, d), 10, 16)
 
 
 def knn_inverted_lists_recall(spark, d):
-    """How many of each query's exact 20 nearest the tuned number of probes finds."""
-    index, lists, indexed = _lists(spark, d)
-    probes, _ = ann.tune(index, indexed, lists, 20)
-    exact = r.knn(index, _vectors(spark, d), 20, dims=_DIMS)
-    return r.recall_at(ann.search(indexed, _vectors(spark, d), lists, 20, probes), exact, 20)
+    """By metric: queries, their exact 20 nearest, how many of these the tuned number of probes finds, and whether that is enough."""
+    out = None
+    for metric in vector.METRICS:
+        exact = r.knn(_index(spark, d), _vectors(spark, d), 20, metric, _DIMS)
+        per = r.recall_at(_stored(spark, d, metric).search(_vectors(spark, d), 20), exact, 20)
+        one = per.agg(F.lit(metric).alias("metric"), F.count("*").alias("queries"), F.sum("relevant").alias("relevant"), (F.sum("found") >= 0.95 * F.sum("relevant")).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _indexed(spark, docs):
@@ -180,12 +190,12 @@ _Q = f"""q AS (SELECT vec_id AS query_id, {_TEXT_SQL}[(vec_id // 50) % {len(_TEX
   qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
-def _knn_sql(metric: str, k: int, name: str = "near") -> str:
+def _knn_sql(metric: str, k: int, name: str = "near", source: str = "embeddings") -> str:
     a, b = "embedding::DOUBLE[]", "v::DOUBLE[]"
     score = {"COSINE": f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))", "IP": f"list_dot_product({a}, {b})", "L2": f"list_distance({a}, {b})"}[metric]
     down = "" if metric == "L2" else "DESC"
     return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score {down}, id)::INTEGER AS rank
-      FROM (SELECT query_id, vec_id AS id, round({score}, 6) AS score FROM embeddings, qv)) WHERE rank <= {k})"""
+      FROM (SELECT query_id, vec_id AS id, round({score}, 6) AS score FROM {source}, qv)) WHERE rank <= {k})"""
 
 
 def _bm25_sql(docs: str, k: int, name: str = "words", fields: tuple[str, ...] = ("content",), q: str = "q") -> str:
@@ -218,9 +228,12 @@ QUERIES = {
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "reranked_search": reranked_search, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
     "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
-    "index_search": index_search, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_inverted_lists_recall": knn_inverted_lists_recall,
+    "index_search": index_search, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_index_updates": knn_index_updates, "knn_inverted_lists_recall": knn_inverted_lists_recall,
 }
 ORACLES = {
+    "knn_inverted_lists_recall": f"""WITH {_Q}, n AS (SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM embeddings)) AS relevant FROM q)
+      SELECT unnest(['COSINE', 'IP', 'L2']) AS metric, queries, relevant::BIGINT AS relevant, true AS enough FROM n""",
+    "knn_index_updates": f"""WITH {_Q}, {_knn_sql('L2', 10, source="(SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 5 <> 1)")} SELECT * FROM near""",
     "knn_inverted_lists": f"WITH {_Q}, {_knn_sql('COSINE', 20)} SELECT * FROM near",
     **{f"knn_{m.lower()}": f"WITH {_Q}, {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
     "bm25_search": f"WITH {_Q}, {_bm25_sql(_DOCS, 10)} SELECT * FROM words",
