@@ -45,6 +45,8 @@ LANES, RADIUS, FIRST_RADIUS = 4, 56, 22
 #: What a block of texts to be checked holds at most, in texts and in bytes; a group is in so many blocks before they
 #: fill, of so many texts at least, as several tasks are faster than one.
 BLOCK_TEXTS, BLOCK_BYTES, SPLIT_BLOCKS, SPLIT_TEXTS = 4096, 16 << 20, 6, 256
+#: Texts that meet one copy of a hub's text.
+HUB_TEXTS = 128
 #: Candidates' keys are broadcast up to so many rows of some 40 bytes; beyond it texts are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Shingles of a set that are spread to bits at a time, and fingerprints compared at a time.
@@ -222,7 +224,7 @@ def _to_hubs(batches: Iterator[pa.RecordBatch], size: int, similarity: float) ->
 def _near_hubs(docs: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
     """(u, v): the classes that are similar to the least of their candidates, a row each."""
     own = cut(found.where("hub").groupBy("u").agg(F.min("v").alias("v")))
-    hubs = cut(own.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks")))
+    hubs = cut(own.groupBy("v").agg(F.ceil(F.count("*") / HUB_TEXTS).cast("int").alias("blocks")))
     large = hubs.where("blocks > 1").select("v", F.col("blocks").alias("parts"))
     placed = own.join(_sized(large), "v", "left").select(F.col("u").alias("cid"), F.col("v").alias("hub"), F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int").alias("block"))
     wanted = placed.join(hubs.select(F.col("v").alias("cid"), "blocks"), "cid", "full").select("cid", "hub", "block", "blocks")

@@ -65,6 +65,7 @@ def test_stage_keeps_one_of_each_group_at_four_fifths(spark, monkeypatch, small)
         monkeypatch.setattr(simhash, "TILES_AIMED", 1000)
         monkeypatch.setattr(similar, "BLOCK_TEXTS", 7)
         monkeypatch.setattr(similar, "SPLIT_TEXTS", 3)
+        monkeypatch.setattr(similar, "HUB_TEXTS", 4)
         monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
     rows = corpus()
     want, linked = kept_by_brute_force(rows)
@@ -115,8 +116,8 @@ def test_recall_and_chance_links_at_three_sizes(sf, times):
 
 
 def test_a_dense_group_is_done_by_its_hub(spark, monkeypatch):
-    """Near copies of one text, more than a block holds, need no comparison of blocks."""
-    monkeypatch.setattr(similar, "BLOCK_TEXTS", 20)
+    """Near copies of one text, more than meet one copy of it, need no comparison of blocks."""
+    monkeypatch.setattr(similar, "HUB_TEXTS", 20)
     monkeypatch.setattr(similar, "_in_blocks", None)
     rng = random.Random(8)
     hub = [f"w{k}" for k in range(300)]
