@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +28,16 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vector
 from siltstone.operators import nearest
-from siltstone.operators.generations import State, current, publish
+from siltstone.operators.generations import Segments, State
 from siltstone.operators.retrieval import checked_vectors
-from siltstone.runtime import cut, exists, remove
+from siltstone.runtime import cut
 
 #: Rows that the centroids are fitted on, at most about; picked by a hash of their ids.
 FIT_ROWS = 20_000
 ROUNDS = 12
 #: Queries that recall is measured with.
 TUNE_QUERIES, TARGET_RECALL = 200, 0.98
-#: Rows about deletions and candidates that are broadcast; more are joined by a shuffle.
+#: Candidates that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of a row group, so that a list is read without its neighbours.
 GROUP_BYTES = 8 << 20
@@ -257,82 +256,52 @@ class StoredIndex:
 
     root: str
 
-    def _path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+    def _segments(self) -> Segments:
+        return Segments(self.root, "id")
 
     def create(self, index: DataFrame, lists: int = 64, metric: str = "COSINE", k: int = 10) -> float:
         """Fit, assign, write and tune; the recall that was measured."""
-        spark, fitted = index.sparkSession, fit(index, lists, metric)
-        self._write(index, fitted, 0)
-        tuned, got = tune(index, spark.read.parquet(self._path("vectors/segment=0")), fitted, k)
+        spark, fitted, segments = index.sparkSession, fit(index, lists, metric), self._segments()
+        state = segments.next(spark, "vectors")
+        self._write(index, fitted, state)
+        tuned, got = tune(index, spark.read.parquet(segments.path(f"vectors/segment={state.n}")), fitted, k)
         rows = [(at, c.tolist(), tuned.metric, tuned.dims, tuned.longest, tuned.probes) for at, c in enumerate(tuned.centroids)]  # a row for each list
-        spark.createDataFrame(rows, "list_id int, centroid array<double>, metric string, dims int, longest double, probes int").coalesce(1).write.mode("overwrite").parquet(self._path("lists"))
-        publish(spark, self.root, State(0, 0))
+        spark.createDataFrame(rows, "list_id int, centroid array<double>, metric string, dims int, longest double, probes int").coalesce(1).write.mode("overwrite").parquet(segments.path("lists"))
+        segments.publish(spark, state)
         return got
 
     def lists(self, spark: SparkSession) -> Lists:
-        rows = sorted(spark.read.parquet(self._path("lists")).collect(), key=lambda r: r["list_id"])
+        rows = sorted(spark.read.parquet(self._segments().path("lists")).collect(), key=lambda r: r["list_id"])
         return Lists(np.array([r["centroid"] for r in rows]), rows[0]["metric"], rows[0]["dims"], rows[0]["longest"], rows[0]["probes"])
 
-    def _write(self, index: DataFrame, lists: Lists, segment: int) -> None:
-        rows = assign(index, lists)
+    def _write(self, index: DataFrame, lists: Lists, state: State) -> None:
         # The second key deals a list of many rows to several tasks.
-        rows = rows.repartitionByRange("list_id", F.xxhash64("id")).sortWithinPartitions("list_id")
-        rows.write.option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(self._path(f"vectors/segment={segment}"))
-
-    def _state(self, spark: SparkSession) -> State:
-        state = current(spark, self.root)
-        if state is None:
-            raise LookupError(f"no index at {self.root}")
-        return state
-
-    def _each(self, spark: SparkSession, name: str, first: int, last: int) -> list[tuple[int, DataFrame]]:
-        """The numbered folders of a table; there are as many as writes since the last compaction."""
-        paths = [(n, self._path(f"{name}={n}")) for n in range(first, last + 1)]
-        return [(n, spark.read.parquet(path)) for n, path in paths if exists(spark, path)]
+        rows = assign(index, lists).repartitionByRange("list_id", F.xxhash64("id")).sortWithinPartitions("list_id")
+        self._segments().put(rows, "vectors", state, **{"parquet.block.size": GROUP_BYTES})
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """What the index holds: rows that no later write replaced or deleted."""
-        state = self._state(spark)
-        segments = [df.withColumn("_segment", F.lit(n)) for n, df in self._each(spark, "vectors/segment", state.base, state.n)]
-        rows = reduce(DataFrame.unionByName, segments)
-        gone = [df.withColumn("_before", F.lit(n)) for n, df in self._each(spark, "gone/before", state.base + 1, state.n)]
-        if not gone:
-            return rows.drop("_segment")
-        latest = cut(reduce(DataFrame.unionByName, gone).groupBy(F.col("id").alias("_id")).agg(F.max("_before").alias("_before")))
-        latest = F.broadcast(latest) if latest.count() <= BROADCAST_ROWS else latest
-        return rows.join(latest, (rows["id"] == F.col("_id")) & (F.col("_segment") < F.col("_before")), "left_anti").drop("_segment")
-
-    def _next(self, spark: SparkSession) -> State:
-        """The state that is written now; what a failed try left in its folders goes."""
-        state = self._state(spark)
-        for name in ("vectors/segment", "gone/before"):
-            if exists(spark, path := self._path(f"{name}={state.n + 1}")):
-                remove(spark, path)
-        return State(state.n + 1, state.base)
+        return self._segments().read(spark, "vectors")
 
     def add(self, vectors: DataFrame) -> None:
         """New vectors (id, embedding), each id once, join the index or replace those of the same id; the lists stay as they were fitted."""
-        spark = vectors.sparkSession
-        vectors, state = cut(vectors.select("id", "embedding")), self._next(spark)
-        self._write(vectors, self.lists(spark), state.n)
-        vectors.select("id").write.parquet(self._path(f"gone/before={state.n}"))
-        publish(spark, self.root, state)
+        spark, segments = vectors.sparkSession, self._segments()
+        vectors, state = cut(vectors.select("id", "embedding")), segments.next(vectors.sparkSession, "vectors")
+        self._write(vectors, self.lists(spark), state)
+        segments.take(vectors, state)
+        segments.publish(spark, state)
 
     def delete(self, ids: DataFrame) -> None:
         """The ids go; ids that aren't there do no harm."""
-        state = self._next(ids.sparkSession)
-        ids.select("id").distinct().write.parquet(self._path(f"gone/before={state.n}"))
-        publish(ids.sparkSession, self.root, state)
+        segments, state = self._segments(), self._segments().next(ids.sparkSession, "vectors")
+        segments.take(ids, state)
+        segments.publish(ids.sparkSession, state)
 
     def compact(self, spark: SparkSession) -> None:
         """All segments become one and deletions are forgotten, so that reads don't grow with the writes; the old ones go once the new one is published."""
-        old, state = self._state(spark), self._next(spark)
-        self._write(self.rows(spark).select("id", "embedding"), self.lists(spark), state.n)
-        publish(spark, self.root, State(state.n, state.n))
-        for n in range(old.base, state.n):
-            for name in ("vectors/segment", "gone/before"):
-                remove(spark, self._path(f"{name}={n}"))
+        state = self._segments().next(spark, "vectors")
+        self._write(self.rows(spark).select("id", "embedding"), self.lists(spark), state)
+        self._segments().rebase(spark, state, "vectors")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         spark = queries.sparkSession

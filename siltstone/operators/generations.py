@@ -8,11 +8,17 @@ the oldest number that still counts. One writer at a time is assumed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.runtime import _in_store, remove
+from siltstone.runtime import _in_store, cut, exists, remove
+
+#: Keys that are gone, of some 20 bytes each, which are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class State(NamedTuple):
@@ -37,3 +43,74 @@ def publish(spark: SparkSession, root: str, state: State) -> None:
         raise OSError(f"state {state.n} of {root} can't be published")
     if before and before != state:
         remove(spark, f"{root.rstrip('/')}/published/{before.n}-{before.base}")
+
+
+@dataclass(frozen=True)
+class Segments:
+    """Tables of one root, a folder for each write: rows of a key are those of its last write, unless a later one took the key away.
+
+    A write puts rows into <table>/segment=n and the keys that it replaces or deletes into
+    gone/before=n. Reads union the segments, as many as writes since the last compaction.
+    """
+
+    root: str
+    key: str
+
+    def path(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    def state(self, spark: SparkSession) -> State | None:
+        return current(spark, self.root)
+
+    def next(self, spark: SparkSession, *names: str) -> State:
+        """The state that is written now. What a failed try left in its folders goes."""
+        state = self.state(spark)
+        n, base = (state.n + 1, state.base) if state else (0, 0)
+        for path in (*(self.path(f"{name}/segment={n}") for name in names), self.path(f"gone/before={n}")):
+            if exists(spark, path):
+                remove(spark, path)
+        return State(n, base)
+
+    def put(self, rows: DataFrame, name: str, state: State, **options: object) -> None:
+        rows.write.options(**options).parquet(self.path(f"{name}/segment={state.n}"))
+
+    def take(self, keys: DataFrame, state: State) -> None:
+        """The keys' rows of earlier segments are dead from this state on."""
+        keys.select(self.key).distinct().write.parquet(self.path(f"gone/before={state.n}"))
+
+    def _each(self, spark: SparkSession, name: str, column: str, first: int, last: int) -> DataFrame | None:
+        paths = [(n, self.path(f"{name}={n}")) for n in range(first, last + 1)]
+        found = [spark.read.parquet(path).withColumn(column, F.lit(n)) for n, path in paths if exists(spark, path)]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def every(self, spark: SparkSession, name: str) -> DataFrame:
+        """All rows of a table, dead ones too, with _segment."""
+        state = self.state(spark)
+        found = state and self._each(spark, f"{name}/segment", "_segment", state.base, state.n)
+        if found is None:
+            raise LookupError(f"nothing is published at {self.root}")
+        return found
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows (key, _segment, ...) that no later write replaced or deleted."""
+        spark, state = rows.sparkSession, self.state(rows.sparkSession)
+        gone = self._each(spark, "gone/before", "_before", state.base + 1, state.n)
+        if gone is None:
+            return rows
+        latest = cut(gone.groupBy(F.col(self.key).alias("_gone")).agg(F.max("_before").alias("_before")))
+        latest = F.broadcast(latest) if latest.count() <= BROADCAST_ROWS else latest
+        return rows.join(latest, (rows[self.key] == F.col("_gone")) & (F.col("_segment") < F.col("_before")), "left_anti")
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return self.live(self.every(spark, name)).drop("_segment")
+
+    def publish(self, spark: SparkSession, state: State) -> None:
+        publish(spark, self.root, state)
+
+    def rebase(self, spark: SparkSession, state: State, *names: str) -> None:
+        """Publish a state whose segments hold everything, and drop the older ones."""
+        old = self.state(spark)
+        publish(spark, self.root, State(state.n, state.n))
+        for n in range(old.base, state.n):
+            for path in (*(self.path(f"{name}/segment={n}") for name in names), self.path(f"gone/before={n}")):
+                remove(spark, path)

@@ -1,10 +1,9 @@
 """From documents to an index: embed chunks, and write chunks, vectors, terms and lengths.
 
-The stores are folders of Parquet, each in parts by a hash of the document. A
-document's rows are replaced together, by document, in every store; only the
-parts that hold one of the documents are written. So running an index job again
-ends in the same state, and a document that has become shorter leaves nothing
-behind.
+The stores are folders of Parquet with a segment for each run. A run writes the rows of
+its documents alone, and what it writes to all stores is published in one step, so
+running it again ends in the same state, a document that has become shorter leaves
+nothing behind, and a run that fails leaves what was there.
 """
 
 from __future__ import annotations
@@ -21,11 +20,15 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vector import narrow
 from siltstone.operators.chunking import DEFAULT_CHARS, chunk
-from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, inverted_index, knn, lengths, rrf, search_terms, top, validated
-from siltstone.runtime import cut, exists, remove
+from siltstone.operators import postings
+from siltstone.operators.generations import Segments
+from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, inverted_index, knn, lengths, rrf, terms, top, validated
+from siltstone.runtime import cut
 
 # Texts an embedding call takes, and the form of a collection's name.
 EMBED_BATCH = 32
+#: Row groups of the stores, small so that a term is read without its neighbours.
+GROUP_BYTES = 8 << 20
 COLLECTION_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,254}$"
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -69,47 +72,57 @@ def embed(df: DataFrame, column: str, embedder: Embedder, dims: int) -> DataFram
 #: What names a chunk, in every store.
 CHUNK = ("document_id", "chunk_index")
 _KEY = "document_id bigint, chunk_index int"
+FIELDS = ("content", "title")
+#: The stores of an index; a document's attributes are what searches can be narrowed by.
 STORES = {
-    "chunks": f"{_KEY}, title string, heading_path string, content string",
-    "terms": f"{_KEY}, field string, term string, tf bigint, dl int",
-    "lengths": f"{_KEY}, field string, dl int",
+    "documents": "document_id bigint, title string, visibility string, owner_subject string, dataset_id bigint",
+    "chunks": f"{_KEY}, title string, heading_path string, content string, digest string, terms int",
     "vectors": f"{_KEY}, embedding array<float>",
+    "postings": f"{postings.BLOCKS}, block bigint",
+    "statistics": "field string, term string, n bigint, total bigint",
 }
+#: Documents that a search is narrowed to are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_DOCUMENTS = 200_000
 
 
 @dataclass(frozen=True)
 class Stores:
-    """The folders of one index below root, each in so many parts; a part is read and written whole."""
+    """The stores of one index below root. Every run adds a segment to each and publishes them together, so a reader sees all of a run or nothing."""
 
     root: str
-    parts: int = 64
 
-    def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def _stored(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.schema(f"{STORES[name]}, part int").parquet(self.path(name))
+    def segments(self) -> Segments:
+        return Segments(self.root, "document_id")
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return self._stored(spark, name).drop("part")
-
-    def part(self) -> Column:
-        return F.pmod(F.xxhash64("document_id"), F.lit(self.parts)).cast("int")
-
-    def replace(self, rows: DataFrame, name: str, documents: DataFrame) -> None:
-        """Rows of the documents (document_id) give way to the new ones. One writer at a time is assumed."""
-        spark = rows.sparkSession
-        touched = documents.select(self.part().alias("part")).distinct()
-        rows = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in STORES[name].split(", "))])
-        state = rows.withColumn("part", self.part())
-        if exists(spark, self.path(name)):
-            old = self._stored(spark, name).join(F.broadcast(touched), "part", "left_semi")  # `parts` rows at most
-            state = state.unionByName(old.join(documents.select("document_id").distinct(), "document_id", "left_anti"))
-        state = cut(state)  # the folder that is read is written to
-        writer = state.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("part").parquet(self.path(name))
-        for r in touched.join(state.select("part").distinct(), "part", "left_anti").collect():
-            remove(spark, f"{self.path(name)}/part={r['part']}")
+        """The live rows of documents, chunks or vectors; terms gives the postings'."""
+        return self.segments().read(spark, name)
+
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """(document_id, chunk_index, field, term, tf, dl), live."""
+        return self.segments().live(postings.opened(self.segments().every(spark, "postings"))).drop("_segment")
+
+    def write(self, tables: dict[str, DataFrame], documents: DataFrame) -> None:
+        """Rows of the documents (document_id) give way to new ones, in all stores at once. One writer at a time is assumed."""
+        spark, segments = documents.sparkSession, self.segments()
+        state = segments.next(spark, *STORES)
+        for name, columns in STORES.items():
+            typed = [F.col(c).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in columns.split(", "))]
+            segments.put(tables[name].select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
+        segments.take(documents, state)
+        segments.publish(spark, state)
+
+    def compact(self, spark: SparkSession) -> None:
+        """All segments become one, so that reads don't grow with the runs."""
+        segments = self.segments()
+        state = segments.next(spark, *STORES)
+        for name in ("documents", "chunks", "vectors"):
+            segments.put(self.read(spark, name), name, state)
+        terms = cut(self.terms(spark))
+        segments.put(postings.blocks(terms), "postings", state, **{"parquet.block.size": GROUP_BYTES})
+        totals = segments.every(spark, "statistics").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+        segments.put(totals.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
+        segments.rebase(spark, state, *STORES)
 
 
 def ensure_collection(spark: SparkSession, name: str, dims: int) -> None:
@@ -128,28 +141,70 @@ def chunk_id() -> Column:
     return F.concat_ws("#", *CHUNK)
 
 
-def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: int, model: str, most: int = DEFAULT_CHARS) -> DataFrame:
-    """Chunk, embed and write docs (id, title, text): chunks first, then terms and lengths, then vectors. Gives the chunks written."""
-    mine = docs.select(F.col("id").alias("document_id"))
-    pieces = cut(chunk(docs.select(F.col("id").alias("document_id"), "title", "text"), most=most))
-    stores.replace(pieces, "chunks", mine)
-    named = pieces.withColumn("id", F.struct(*CHUNK))
-    fields = ["content", "title"]
-    for name, rows in (("terms", inverted_index(named, fields)), ("lengths", lengths(named, fields))):
-        stores.replace(rows.select("id.*", *[c for c in rows.columns if c != "id"]), name, mine)
-    vectors = embed(pieces.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding")
-    stores.replace(validated(vectors, dims, model, CHUNK), "vectors", mine)
-    return pieces
-
-
-def search_index(spark: SparkSession, stores: Stores, queries: DataFrame, dims: int, options: Options = Options(), vectors: bool = True) -> DataFrame:
-    """(query_id, id, score, rank) over the stores, id as chunk_id() gives it: the fused channels, or the keyword one alone."""
+def _found(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, lengths) of chunks, with the chunk's columns."""
+    named = chunks.withColumn("id", F.struct(*CHUNK))
+    spread = lambda df: df.select("id.*", *[c for c in df.columns if c != "id"])
+    return spread(inverted_index(named, list(FIELDS))), spread(lengths(named, list(FIELDS)))
+
+
+def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: int, model: str, most: int = DEFAULT_CHARS) -> dict[str, int]:
+    """Chunk, embed and write docs (id, title, text, and what else of STORES["documents"] there is) as one state of the stores.
+
+    A chunk whose document had one of the same content before keeps that one's vector; only the others are
+    embedded. Gives how many chunks there are, and how many were embedded. A failure anywhere leaves the state before.
+    """
+    spark = docs.sparkSession
+    kept = [c for c in ("title", "visibility", "owner_subject", "dataset_id") if c in docs.columns]
+    named = cut(docs.select(F.col("id").alias("document_id"), "text", *kept))
+    mine = named.select("document_id").distinct()
+    every = chunk(named.select("document_id", "title", "text"), most=most).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    pieces = cut(every.withColumn("terms", F.size(terms(F.coalesce("content", F.lit("")))) + F.size(terms(F.coalesce("title", F.lit(""))))))
+    have, old = None, None
+    if stores.segments().state(spark):
+        old = cut(stores.read(spark, "chunks").join(mine, "document_id", "left_semi"))
+        vectors = stores.read(spark, "vectors").join(old.select(*CHUNK, "digest"), list(CHUNK))
+        have = vectors.groupBy("document_id", "digest").agg(F.min_by("embedding", "chunk_index").alias("embedding"))
+        known = pieces.join(have, ["document_id", "digest"], "left").select(*CHUNK, "content", "embedding")
+    else:
+        known = pieces.select(*CHUNK, "content", F.lit(None).cast("array<float>").alias("embedding"))
+    known = cut(known)
+    fresh = known.where("embedding is null")
+    added = cut(embed(fresh.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding"))
+    vectors = validated(known.where("embedding is not null").select(*CHUNK, "embedding").unionByName(added), dims, model, CHUNK)
+    found, sizes = map(cut, _found(pieces))
+    changes = postings.statistics(sizes, found)
+    if old is not None:  # what the documents had before no longer counts
+        was, were = _found(old)
+        changes = changes.unionByName(postings.statistics(were, was, -1)).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
+    missing = [F.lit(None).cast(t).alias(c) for c, t in (("visibility", "string"), ("owner_subject", "string"), ("dataset_id", "bigint")) if c not in kept]
+    stores.write({
+        "documents": named.drop("text").select("*", *missing), "chunks": pieces, "vectors": vectors, "postings": postings.blocks(found),
+        "statistics": changes.repartitionByRange("term", "field").sortWithinPartitions("term"),
+    }, mine)
+    return {"chunks": pieces.count(), "embedded": added.count()}
+
+
+def search_index(spark: SparkSession, stores: Stores, queries: DataFrame, dims: int, options: Options = Options(), vectors: bool = True, where: Column | None = None) -> DataFrame:
+    """(query_id, query, id, score, rank) over the stores, id as chunk_id() gives it: the fused channels, or the keyword one alone.
+
+    where narrows both channels to the chunks of documents whose attributes it holds for, before either is cut to its best;
+    terms weigh what they weigh in the whole index.
+    """
     most = OVERFETCH * options.top_k
     asked = cut(checked_queries(queries))
-    named = lambda name: stores.read(spark, name).withColumn("id", chunk_id())
-    words = search_terms(named("terms"), named("lengths"), asked, most)
+    segments = stores.segments()
+    if where is None:
+        within = lambda df: df
+    else:
+        allowed = cut(stores.read(spark, "documents").where(where).select("document_id").distinct())
+        allowed = F.broadcast(allowed) if allowed.count() <= BROADCAST_DOCUMENTS else allowed
+        within = lambda df: df.join(allowed, "document_id", "left_semi")
+    hits = postings.search(segments.every(spark, "postings"), segments.every(spark, "statistics"), lambda df: within(segments.live(df)), asked, most)
+    words = hits.select("query_id", chunk_id().alias("id"), "score", "rank")
     if not vectors:
         return words
+    named = lambda name: within(stores.read(spark, name)).withColumn("id", chunk_id())
     near = knn(named("vectors"), asked.select("query_id", F.col("vector").alias("query")), most, dims=dims)
     return top(rrf([near, words], options.rrf_k), named("chunks"), options)
 

@@ -159,26 +159,55 @@ def knn_inverted_lists_recall(spark, d):
 
 def _indexed(spark, docs):
     """Stores of docs; ids start at 1 there, as the vector store wants them."""
-    stores = ix.Stores(scratch(spark, "index"), parts=8)
+    stores = ix.Stores(scratch(spark, "index"))
     ix.index_documents(docs, stores, ix.hash_embedder(), 16, "hash")
     return stores
 
 
+def _untitled(spark, d):
+    return _docs(spark, d).select((F.col("id") + 1).alias("id"), F.lit(None).cast("string").alias("title"), "text", "visibility", "owner_subject", "dataset_id")
+
+
 def index_search(spark, d):
-    """From documents to stores to hits: the keyword channel over the stored terms of all chunks."""
-    stores = _indexed(spark, _docs(spark, d).select((F.col("id") + 1).alias("id"), F.lit(None).cast("string").alias("title"), "text"))
+    """From documents to stores to hits: the keyword channel over the stored postings of all chunks."""
+    stores = _indexed(spark, _untitled(spark, d))
     return ix.search_index(spark, stores, _queries(spark, d), 16, r.Options(top_k=5), vectors=False)
 
 
+def index_search_filtered(spark, d):
+    """Both channels of a stored index within the private documents of two datasets: words and vectors of whole chunks, fused."""
+    stores = _indexed(spark, _untitled(spark, d))
+    embedder = ix.hash_embedder()
+    texts = _queries(spark, d).select("query_id", "query")
+    asked = ix.embed(texts, "query", embedder, 16).withColumn("vector", F.col("embedding").cast("array<double>")).drop("embedding")
+    where = (F.col("visibility") == "private") & F.col("dataset_id").isin(1, 3)
+    return ix.search_index(spark, stores, asked, 16, r.Options(top_k=5), where=where).select("query_id", "id", "score", "rank")
+
+
+def reindex_one_percent(spark, d):
+    """Every hundredth document is indexed again with one more sentence: the chunks that were embedded, and what the stores hold then."""
+    docs = _untitled(spark, d)
+    stores = _indexed(spark, docs)
+    again = docs.where("id % 100 = 1").withColumn("text", F.concat("text", F.lit("\nOne more sentence.")))
+    ran = ix.index_documents(again, stores, ix.hash_embedder(), 16, "hash")
+    same = ix.index_documents(docs.where("id % 100 = 2"), stores, ix.hash_embedder(), 16, "hash")
+    stores.compact(spark)
+    chunks = stores.read(spark, "chunks").agg(F.count("*").alias("chunks"), F.sum("terms").alias("terms"))
+    weights = stores.segments().every(spark, "statistics").agg(F.sum(F.when(F.col("term").isNull(), F.col("total"))).alias("total"), F.sum(F.when(F.col("term").isNotNull(), F.col("n"))).alias("df"))
+    rows = stores.terms(spark).agg(F.count("*").alias("postings"))
+    return chunks.crossJoin(F.broadcast(weights)).crossJoin(F.broadcast(rows)).withColumns({"written": F.lit(ran["chunks"]), "embedded": F.lit(ran["embedded"]), "embedded_same": F.lit(same["embedded"])})
+
+
 def reindex_shrinks(spark, d):
     """Private documents are indexed again with their titles alone: rows of each document in each store."""
     docs = _docs(spark, d).select((F.col("id") + 1).alias("id"), "title", "text", "visibility")
     stores = _indexed(spark, docs)
     private = docs.where("visibility = 'private'").withColumn("text", F.col("title"))
     ix.index_documents(private, stores, ix.hash_embedder(), 16, "hash")
-    per = lambda name, count: stores.read(spark, name).groupBy("document_id").agg(count.alias(name))
-    out = per("chunks", F.count("*")).join(per("vectors", F.count("*")), "document_id", "full").join(per("terms", F.sum("tf")), "document_id", "full")
-    return out.join(per("lengths", F.sum("dl")), "document_id", "full")
+    per = lambda df, *counts: df.groupBy("document_id").agg(*counts)
+    out = per(stores.read(spark, "chunks"), F.count("*").alias("chunks"), F.sum("terms").alias("lengths"))
+    out = out.join(per(stores.read(spark, "vectors"), F.count("*").alias("vectors")), "document_id", "full")
+    return out.join(per(stores.terms(spark), F.sum("tf").alias("terms")), "document_id", "full")
 
 
 def exact_id_channel(spark, d):
@@ -217,6 +246,15 @@ def _rrf_sql(channels: list[str], weights: list[float] | None = None, name: str
       SELECT query_id, id, round(sum(part), 12) AS score, min({{'c': channel, 'a': pos}}) AS seen FROM ({union}) GROUP BY query_id, id))"""
 
 
+def _hashed_sql(name: str, texts: str) -> str:
+    """The stand-in embedding of texts (id, content), in single precision."""
+    terms = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    digits = ", ".join(f"'{x:x}'" for x in range(16))
+    return f"""{name}_h AS (SELECT id, list_transform({terms}, lambda x: md5(x)[1]) AS h FROM ({texts})),
+      {name}_n AS (SELECT id, list_transform([{digits}], lambda d: len(list_filter(h, lambda x: x = d))) AS c FROM {name}_h),
+      {name} AS (SELECT id, list_transform(c, lambda x: (x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-300))::FLOAT::DOUBLE) AS v FROM {name}_n)"""
+
+
 _COUNT = "len(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
 _DOCS = f"SELECT *, text AS content FROM ({schema.DOCUMENTS_SQL})"
 _GRANTED = f"SELECT * FROM ({_DOCS}) WHERE dataset_id IN (1, 3)"
@@ -228,7 +266,7 @@ QUERIES = {
     "rrf_hybrid": rrf_hybrid, "rrf_weighted": rrf_weighted, "hybrid_threshold_topk": hybrid_threshold_topk, "reranked_search": reranked_search, "acl_filtered_search": acl_filtered_search,
     "granted_search": granted_search, "recheck_after_vector_search": recheck_after_vector_search, "exact_id_channel": exact_id_channel,
     "citations": citations, "recall_at_k": recall_at_k, "validate_vectors": pack_vectors,
-    "index_search": index_search, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_index_updates": knn_index_updates, "knn_inverted_lists_recall": knn_inverted_lists_recall,
+    "index_search": index_search, "index_search_filtered": index_search_filtered, "reindex_one_percent": reindex_one_percent, "reindex_shrinks": reindex_shrinks, "knn_inverted_lists": knn_inverted_lists, "knn_index_updates": knn_index_updates, "knn_inverted_lists_recall": knn_inverted_lists_recall,
 }
 ORACLES = {
     "knn_inverted_lists_recall": f"""WITH {_Q}, n AS (SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM embeddings)) AS relevant FROM q)
@@ -253,6 +291,19 @@ ORACLES = {
         FROM words w JOIN chunks c ON w.id = c.doc_id || '#' || c.chunk_index JOIN documents d ON d.doc_id = c.doc_id)
       SELECT query_id, rank, citation FROM (SELECT *, sum(strlen(citation)) OVER (PARTITION BY query_id ORDER BY rank) AS b FROM cited) WHERE b <= 32768""",
     "index_search": f"""WITH {chunks_cte(1200)}, {_Q}, {_bm25_sql("SELECT (doc_id + 1) || '#' || chunk_index AS id, content FROM chunks", 20)} SELECT * FROM words""",
+    "index_search_filtered": f"""WITH {chunks_cte(1200)}, q AS (SELECT vec_id AS query_id, {_TEXT_SQL}[(vec_id // 50) % {len(_TEXTS)} + 1] AS query FROM embeddings WHERE vec_id % 50 = 0),
+      k AS (SELECT (doc_id + 1) || '#' || chunk_index AS id, content, doc_id % 3 = 0 AND doc_id % 5 IN (0, 2) AS may FROM chunks),
+      {_bm25_sql("SELECT id, content FROM k", 1 << 40, name="every")}, words AS (SELECT query_id, id, score, nth AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS nth FROM every JOIN k USING (id) WHERE may) WHERE nth <= 20),
+      {_hashed_sql("qv", "SELECT query_id AS id, query AS content FROM q")}, {_hashed_sql("kv", "SELECT id, content FROM k WHERE may")},
+      near AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (
+        SELECT qv.id AS query_id, kv.id AS id, round(list_dot_product(qv.v, kv.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(kv.v, kv.v))), 6) AS score FROM qv, kv
+        WHERE list_sum(qv.v) > 0 AND list_sum(kv.v) > 0) QUALIFY rank <= 20),
+      {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, rank FROM fused WHERE rank <= 5""",
+    "reindex_one_percent": f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN text || chr(10) || 'One more sentence.' ELSE text END AS text FROM documents), was AS (WITH {chunks_cte(1200)} SELECT * FROM chunks),
+      now AS (WITH {chunks_cte(1200).replace("FROM documents", "FROM docs")} SELECT * FROM chunks),
+      t AS (SELECT {_COUNT.format('content')} AS n, len(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS u FROM now),
+      m AS (SELECT count(*)::INTEGER AS written, (count(*) FILTER (NOT EXISTS (SELECT 1 FROM was WHERE was.doc_id = now.doc_id AND was.content = now.content)))::INTEGER AS embedded FROM now WHERE doc_id % 100 = 0)
+      SELECT count(*) AS chunks, sum(n)::BIGINT AS terms, sum(n)::BIGINT AS total, sum(u)::BIGINT AS df, sum(u)::BIGINT AS postings, max(written) AS written, max(embedded) AS embedded, 0 AS embedded_same FROM t, m""",
     "reindex_shrinks": f"""WITH {chunks_cte(1200)}, now AS (SELECT doc_id, content FROM chunks WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, source || '-' || doc_id FROM documents WHERE doc_id % 3 = 0),
       n AS (SELECT now.doc_id, {_COUNT.format('content')} + {_COUNT.format("source || '-' || now.doc_id")} AS terms FROM now JOIN documents USING (doc_id))
       SELECT doc_id + 1 AS document_id, count(*) AS chunks, count(*) AS vectors, sum(terms)::BIGINT AS terms, sum(terms)::BIGINT AS lengths FROM n GROUP BY doc_id""",

@@ -31,35 +31,118 @@ def test_collections(spark):
 
 
 def counts(spark, stores):
-    return {n: stores.read(spark, n).count() for n in ("chunks", "vectors", "terms", "lengths")}
+    return {"chunks": stores.read(spark, "chunks").count(), "vectors": stores.read(spark, "vectors").count(), "terms": stores.terms(spark).count(), "documents": stores.read(spark, "documents").count()}
 
 
-def test_index_and_search(spark, tmp_path):
-    stores = ix.Stores(f"file://{tmp_path}/index", parts=4)
+def true_statistics(spark, stores):
+    terms, chunks = stores.terms(spark), stores.read(spark, "chunks")
+    df = {(r.field, r.term): r["count"] for r in terms.groupBy("field", "term").count().collect()}
+    total = {(r.field, None): r.n for r in terms.groupBy("field").agg(F.sum("tf").alias("n")).collect()}
+    return df, total, chunks.count()
+
+
+def test_index_and_search(spark, tmp_path, monkeypatch):
+    stores = ix.Stores(f"file://{tmp_path}/index")
     make = lambda *rows: spark.createDataFrame(list(rows), "id long, title string, text string")
     docs = make((1, "one", "# A\nalpha beta"), (2, "two", "gamma " * 300), *[(k, "more", f"word{k}") for k in range(10, 30)])
     embedder = ix.hash_embedder(16)
-    ix.index_documents(docs, stores, embedder, 16, "hash")
+    assert ix.index_documents(docs, stores, embedder, 16, "hash") == {"chunks": 23, "embedded": 23}
     first = counts(spark, stores)
-    assert first == {"chunks": 23, "vectors": 23, "terms": 49, "lengths": 46}
-    ix.index_documents(docs, stores, embedder, 16, "hash")
+    assert first == {"chunks": 23, "vectors": 23, "terms": 49, "documents": 22}
+    assert ix.index_documents(docs, stores, embedder, 16, "hash") == {"chunks": 23, "embedded": 0}
     assert counts(spark, stores) == first
-    untouched = {f for f in (tmp_path / "index").rglob("*.parquet") if f.parent.name != f"part={docs.where('id = 2').select(F.col('id').alias('document_id')).select(stores.part()).first()[0]}"}
+    before = set((tmp_path / "index").rglob("*.parquet"))
     ix.index_documents(make((2, "two", "delta")), stores, embedder, 16, "hash")
-    assert counts(spark, stores) == {"chunks": 22, "vectors": 22, "terms": 46, "lengths": 44}  # nothing stale anywhere
-    assert untouched <= set((tmp_path / "index").rglob("*.parquet"))
-    assert stores.read(spark, "terms").where("term = 'gamma'").count() == 0
+    assert counts(spark, stores) == {"chunks": 22, "vectors": 22, "terms": 46, "documents": 22}  # nothing stale anywhere
+    assert before <= set((tmp_path / "index").rglob("*.parquet"))  # and nothing of others written
+    assert stores.terms(spark).where("term = 'gamma'").count() == 0
     queries = spark.createDataFrame([(1, " delta ", [float(x) for x in embedder(["delta"])[0]])], "query_id long, query string, vector array<double>")
-    hits = ix.search_index(spark, stores, queries, 16).orderBy("rank").collect()
-    assert hits[0].content == "delta" and hits[0].id == "2#0"
-    assert [x.id for x in ix.search_index(spark, stores, queries, 16, vectors=False).collect()] == ["2#0"]
+    for _ in range(2):
+        hits = ix.search_index(spark, stores, queries, 16).orderBy("rank").collect()
+        assert hits[0].content == "delta" and hits[0].id == "2#0"
+        assert [x.id for x in ix.search_index(spark, stores, queries, 16, vectors=False).collect()] == ["2#0"]
+        df, total, chunks = true_statistics(spark, stores)
+        kept = {(r.field, r.term): (r.n, r.total) for r in stores.segments().every(spark, "statistics").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0").collect()}
+        assert {k: v[0] for k, v in kept.items() if k[1]} == df and {k: v[1] for k, v in kept.items() if not k[1]} == total and all(v[0] == chunks for k, v in kept.items() if not k[1])
+        state = counts(spark, stores)
+        stores.compact(spark)
+        assert counts(spark, stores) == state
+    # A failure between the stores leaves the state before readable, and the next run clears what is left of it.
+    put = ix.Segments.put
+
+    def fails(self, rows, name, *rest, **options):
+        if name == "vectors":
+            raise OSError("disk")
+        put(self, rows, name, *rest, **options)
+
+    monkeypatch.setattr(ix.Segments, "put", fails)
+    with pytest.raises(OSError, match="disk"):
+        ix.index_documents(make((2, "two", "epsilon")), stores, embedder, 16, "hash")
+    monkeypatch.undo()
+    assert counts(spark, stores) == state and [x.id for x in ix.search_index(spark, stores, queries, 16, vectors=False).collect()] == ["2#0"]
     for gone in ("", None):
         ix.index_documents(make(*[(k, "t", gone) for k in (1, 2, *range(10, 30))]), stores, embedder, 16, "hash")
-        assert not list((tmp_path / "index").glob("*/part=*"))
+        assert counts(spark, stores) == {"chunks": 0, "vectors": 0, "terms": 0, "documents": 22}
+        assert ix.search_index(spark, stores, queries, 16).count() == 0
         ix.index_documents(docs, stores, embedder, 16, "hash")
         assert counts(spark, stores) == first
     with pytest.raises(PySparkException):
         ix.index_documents(make((0, "t", "x")), stores, embedder, 16, "hash")
+    assert counts(spark, stores) == first
+
+
+def test_block_search_equals_bm25(spark, tmp_path, monkeypatch):
+    import random
+
+    from siltstone.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rng = random.Random(5)
+    words = [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(4000)]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(1, 60)))
+    rows = [(k, rng.choice(["w1 title", "other", None]), text(), rng.choice(["private", "system"])) for k in range(1, 300)]
+    docs = spark.createDataFrame(rows, "id long, title string, text string, visibility string").repartition(3)
+    stores = ix.Stores(f"file://{tmp_path}/index")
+    ix.index_documents(docs, stores, ix.hash_embedder(4), 4, "hash")
+    new = [(k, "w2", text(), "private") for k in range(1, 300, 7)]
+    ix.index_documents(spark.createDataFrame(new, docs.schema), stores, ix.hash_embedder(4), 4, "hash")
+    last = {r[0]: r for r in rows} | {r[0]: r for r in new}
+    asked = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for k in range(12)] + [(20, "w0 w1"), (21, "w0 w1"), (22, "nowhere")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    state = spark.createDataFrame([(f"{k}#0", t, x, v) for k, t, x, v in last.values()], "id string, title string, content string, visibility string")
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(postings, "PUSHED_TERMS", 0)
+            monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
+        got = {tuple(x) for x in ix.search_index(spark, stores, queries, 4, r.Options(top_k=2), vectors=False).collect()}
+        assert got == {tuple(x) for x in r.bm25(state, queries, ["content", "title"], 8).collect()}
+    # Within a filter, hits are those of the whole index that it holds for.
+    private = {x.id for x in state.where("visibility = 'private'").collect()}
+    every = sorted((x for x in r.bm25(state, queries, ["content", "title"], 1000).collect() if x.id in private), key=lambda x: (x.query_id, x.rank))
+    want, seen = set(), {}
+    for x in every:
+        seen[x.query_id] = seen.get(x.query_id, 0) + 1
+        if seen[x.query_id] <= 8:
+            want.add((x.query_id, x.id, x.score, seen[x.query_id]))
+    assert {tuple(x) for x in ix.search_index(spark, stores, queries, 4, r.Options(top_k=2), vectors=False, where=F.col("visibility") == "private").collect()} == want
+
+
+def test_a_search_skips_blocks(spark, tmp_path, monkeypatch):
+    """Of a frequent term's blocks only the first are read, when a rare term decides; of other terms none."""
+    from siltstone.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    docs = spark.range(1, 2001).select("id", F.lit(None).cast("string").alias("title"), F.concat(F.when(F.col("id") <= 4, F.lit("rare common common common ")).otherwise(F.lit("common ")), F.repeat(F.lit("filler "), F.when(F.col("id") <= 4, 4).otherwise((F.col("id") % 7 + 6)).cast("int")), F.concat(F.lit("x"), "id")).alias("text"))
+    stores = ix.Stores(f"file://{tmp_path}/index")
+    ix.index_documents(docs, stores, ix.hash_embedder(4), 4, "hash")
+    opened, counted = postings.opened, []
+    monkeypatch.setattr(postings, "opened", lambda df: counted.append(df.count()) or opened(df))
+    queries = spark.createDataFrame([(1, "rare common")], "query_id long, query string")
+    assert len(ix.search_index(spark, stores, queries, 4, r.Options(top_k=1), vectors=False).collect()) == 4
+    every = stores.segments().every(spark, "postings").where("term = 'common'").count()
+    assert every >= 200 and max(counted) < every / 10
+    scan = stores.segments().every(spark, "postings").where(F.col("term") == "rare")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,rare)" in scan
 
 
 def test_evaluation(spark):

@@ -82,7 +82,7 @@ def _same(found, exact):
 @pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
 def test_stored_index(spark, vectors, tmp_path, metric, monkeypatch):
     from siltstone.operators import annindex as ann
-    from siltstone.operators import nearest
+    from siltstone.operators import generations, nearest
 
     stored = ann.StoredIndex(f"file://{tmp_path}/index")
     with pytest.raises(LookupError):
@@ -98,6 +98,7 @@ def test_stored_index(spark, vectors, tmp_path, metric, monkeypatch):
     assert ann.recall(stored.search(queries, 10), exact) >= 0.95
     monkeypatch.setattr(nearest, "MOST_QUERIES", 15)
     monkeypatch.setattr(ann, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(generations, "BROADCAST_ROWS", 0)
     _same(stored.search(queries, 10, 20), exact)
     monkeypatch.undo()
     new = vectors.where("id % 4 = 0 and id < 2000").select("id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
@@ -112,7 +113,7 @@ def test_stored_index(spark, vectors, tmp_path, metric, monkeypatch):
         stored.compact(spark)
     # What a failed write left behind is never seen.
     vectors.where("id < 9").select("id").write.parquet(f"file://{tmp_path}/index/gone/before=9")
-    at = ann.current(spark, stored.root).n + 1
+    at = generations.current(spark, stored.root).n + 1
     vectors.where("id < 9").select("id").write.parquet(f"file://{tmp_path}/index/gone/before={at}")
     assert stored.rows(spark).count() == state.count()
     stored.delete(spark.createDataFrame([(2,)], "id long"))
