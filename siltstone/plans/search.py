@@ -1,4 +1,4 @@
-"""Retrieval queries: every vector whose id is divisible by 50 asks, with one of a few texts, of whole tables."""
+"""Retrieval queries: every vector whose id is divisible by 50 asks, with words of its document, of whole tables."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from siltstone.operators.chunking import chunk
 from siltstone.plans.chunks import chunks_cte
 from siltstone.runtime import cut, scratch, table
 
-_TEXTS = ("src1 the tion of license", "src2 and password token", "src3 the idiot was in")
 _DIMS = 64
+_NO_DOCUMENT = "src1 the tion"
 
 
 def _index(spark, d):
@@ -23,14 +23,16 @@ def _index(spark, d):
 
 
 def _queries(spark, d):
-    """(query_id, query, vector): of each asking vector its id, one of the texts by turns, and itself."""
+    """(query_id, query, vector): of each asking vector its id, the source and three longest words of the document of that id, if there is one, and itself."""
     asked = table(spark, d, "embeddings").where("vec_id % 50 = 0")
-    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.floor(F.col("vec_id") / 50) % len(_TEXTS) + 1).cast("int"))
-    return asked.select(F.col("vec_id").alias("query_id"), text.alias("query"), F.col("embedding").alias("vector"))
+    words = F.sort_array(F.transform(F.array_distinct(r.terms("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    docs = table(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", F.concat_ws(" ", F.concat_ws(" ", "source"), F.concat_ws(" ", F.slice(words, 1, 3)["w"])).alias("query"))
+    joined = asked.join(docs, asked["vec_id"] == docs["doc_id"], "left")
+    return joined.select(F.col("vec_id").alias("query_id"), F.coalesce("query", F.lit(_NO_DOCUMENT)).alias("query"), F.col("embedding").alias("vector"))
 
 
 def _vectors(spark, d):
-    return _queries(spark, d).select("query_id", F.col("vector").alias("query"))
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _docs(spark, d):
@@ -46,7 +48,7 @@ def bm25_search(spark, d):
 
 
 def bm25_most_fields(spark, d):
-    return r.bm25(_docs(spark, d), spark.createDataFrame([(1, "src3 the tion")], "query_id bigint, query string"), ["content", "title"])
+    return r.bm25(_docs(spark, d), _queries(spark, d), ["content", "title"])
 
 
 def _fused(spark, d, weights=None):
@@ -214,8 +216,10 @@ def exact_id_channel(spark, d):
     return _exact(spark, d)
 
 
-_TEXT_SQL = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + "]"
-_Q = f"""q AS (SELECT vec_id AS query_id, {_TEXT_SQL}[(vec_id // 50) % {len(_TEXTS)} + 1] AS query FROM embeddings WHERE vec_id % 50 = 0),
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_ASKED = f"""SELECT vec_id AS query_id, CASE WHEN doc_id IS NULL THEN '{_NO_DOCUMENT}' ELSE concat_ws(' ', source, array_to_string(list_transform(list_sort(list_transform(list_distinct({_WORDS_SQL.format('text')}), lambda w: {{'n': -length(w), 'w': encode(w)}}))[1:3], lambda x: decode(x.w)), ' ')) END AS query
+  FROM embeddings LEFT JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0"""
+_Q = f"""q AS ({_ASKED}),
   qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
@@ -275,7 +279,7 @@ ORACLES = {
     "knn_inverted_lists": f"WITH {_Q}, {_knn_sql('COSINE', 20)} SELECT * FROM near",
     **{f"knn_{m.lower()}": f"WITH {_Q}, {_knn_sql(m, 10)} SELECT * FROM near" for m in ("COSINE", "IP", "L2")},
     "bm25_search": f"WITH {_Q}, {_bm25_sql(_DOCS, 10)} SELECT * FROM words",
-    "bm25_most_fields": f"WITH q AS (SELECT 1::BIGINT AS query_id, 'src3 the tion' AS query), {_bm25_sql(_DOCS, 10, fields=('content', 'title'))} SELECT * FROM words",
+    "bm25_most_fields": f"WITH {_Q}, {_bm25_sql(_DOCS, 10, fields=('content', 'title'))} SELECT * FROM words",
     "rrf_hybrid": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '') WHERE n <= 5",
     "rrf_weighted": f"WITH {_Q}, {_EXACT}, {_knn_sql('COSINE', 30)}, {_bm25_sql(_DOCS, 30)}, {_rrf_sql(['ex', 'words', 'near'], [3.0, 1.5, 1.0])} SELECT * FROM fused",
     "hybrid_threshold_topk": f"WITH {_Q}, {_knn_sql('COSINE', 20)}, {_bm25_sql(_DOCS, 20)}, {_rrf_sql(['near', 'words'])} SELECT query_id, id, score, n AS rank FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS n FROM fused f JOIN documents d ON d.doc_id = f.id WHERE trim(d.text) <> '' AND score >= 0.0145) WHERE n <= 10",
@@ -291,7 +295,7 @@ ORACLES = {
         FROM words w JOIN chunks c ON w.id = c.doc_id || '#' || c.chunk_index JOIN documents d ON d.doc_id = c.doc_id)
       SELECT query_id, rank, citation FROM (SELECT *, sum(strlen(citation)) OVER (PARTITION BY query_id ORDER BY rank) AS b FROM cited) WHERE b <= 32768""",
     "index_search": f"""WITH {chunks_cte(1200)}, {_Q}, {_bm25_sql("SELECT (doc_id + 1) || '#' || chunk_index AS id, content FROM chunks", 20)} SELECT * FROM words""",
-    "index_search_filtered": f"""WITH {chunks_cte(1200)}, q AS (SELECT vec_id AS query_id, {_TEXT_SQL}[(vec_id // 50) % {len(_TEXTS)} + 1] AS query FROM embeddings WHERE vec_id % 50 = 0),
+    "index_search_filtered": f"""WITH {chunks_cte(1200)}, q AS ({_ASKED}),
       k AS (SELECT (doc_id + 1) || '#' || chunk_index AS id, content, doc_id % 3 = 0 AND doc_id % 5 IN (0, 2) AS may FROM chunks),
       {_bm25_sql("SELECT id, content FROM k", 1 << 40, name="every")}, words AS (SELECT query_id, id, score, nth AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS nth FROM every JOIN k USING (id) WHERE may) WHERE nth <= 20),
       {_hashed_sql("qv", "SELECT query_id AS id, query AS content FROM q")}, {_hashed_sql("kv", "SELECT id, content FROM k WHERE may")},
