@@ -102,13 +102,19 @@ class Stores:
         """(document_id, chunk_index, field, term, tf, dl), live."""
         return self.segments().live(postings.opened(self.segments().every(spark, "postings"))).drop("_segment")
 
-    def write(self, tables: dict[str, DataFrame], documents: DataFrame) -> None:
-        """Rows of the documents (document_id) give way to new ones, in all stores at once. One writer at a time is assumed."""
+    def write(self, tables: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], documents: DataFrame) -> None:
+        """Rows of the documents (document_id) give way to new ones, in all stores at once. One writer at a time is assumed.
+
+        A function in place of rows gets the postings as they were written.
+        """
         spark, segments = documents.sparkSession, self.segments()
         state = segments.next(spark, *STORES)
         for name, columns in STORES.items():
+            rows = tables[name]
+            if not isinstance(rows, DataFrame):
+                rows = rows(spark.read.parquet(segments.path(f"postings/segment={state.n}")))
             typed = [F.col(c).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in columns.split(", "))]
-            segments.put(tables[name].select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
+            segments.put(rows.select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
         segments.take(documents, state)
         segments.publish(spark, state)
 
@@ -160,7 +166,7 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
     mine = named.select("document_id").distinct()
     every = chunk(named.select("document_id", "title", "text"), most=most).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
     pieces = cut(every.withColumn("terms", F.size(terms(F.coalesce("content", F.lit("")))) + F.size(terms(F.coalesce("title", F.lit(""))))))
-    have, old = None, None
+    old = None
     if stores.segments().state(spark):
         old = cut(stores.read(spark, "chunks").join(mine, "document_id", "left_semi"))
         vectors = stores.read(spark, "vectors").join(old.select(*CHUNK, "digest"), list(CHUNK))
@@ -172,15 +178,18 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
     fresh = known.where("embedding is null")
     added = cut(embed(fresh.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding"))
     vectors = validated(known.where("embedding is not null").select(*CHUNK, "embedding").unionByName(added), dims, model, CHUNK)
-    found, sizes = map(cut, _found(pieces))
-    changes = postings.statistics(sizes, found)
-    if old is not None:  # what the documents had before no longer counts
-        was, were = _found(old)
-        changes = changes.unionByName(postings.statistics(were, was, -1)).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
+    found, sizes = _found(pieces)
+
+    def changes(blocks: DataFrame) -> DataFrame:
+        out = postings.statistics(sizes, blocks)
+        if old is not None:  # what the documents had before no longer counts
+            was, were = _found(old)
+            out = out.unionByName(postings.statistics(were, was.withColumn("n", F.lit(1)), -1)).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
+        return out.repartitionByRange("term", "field").sortWithinPartitions("term")
+
     missing = [F.lit(None).cast(t).alias(c) for c, t in (("visibility", "string"), ("owner_subject", "string"), ("dataset_id", "bigint")) if c not in kept]
     stores.write({
-        "documents": named.drop("text").select("*", *missing), "chunks": pieces, "vectors": vectors, "postings": postings.blocks(found),
-        "statistics": changes.repartitionByRange("term", "field").sortWithinPartitions("term"),
+        "documents": named.drop("text").select("*", *missing), "chunks": pieces, "vectors": vectors, "postings": postings.blocks(found), "statistics": changes,
     }, mine)
     return {"chunks": pieces.count(), "embedded": added.count()}
 

@@ -69,10 +69,13 @@ def opened(blocks_: DataFrame) -> DataFrame:
     return blocks_.select(*rest, each).select(*rest, F.col("p.documents").alias("document_id"), F.col("p.chunks").alias("chunk_index"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
 
 
-def statistics(lengths: DataFrame, found: DataFrame, sign: int = 1) -> DataFrame:
-    """(field, term, n, total): for each field (term null) its rows and their length together, and for each term in how many it is."""
+def statistics(lengths: DataFrame, per_term: DataFrame, sign: int = 1) -> DataFrame:
+    """(field, term, n, total): for each field (term null) its rows and their length together, and for each term in how many it is.
+
+    per_term (field, term, n, ...) may have several rows for a term: blocks, or single postings with n = 1.
+    """
     fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("total")).withColumn("term", F.lit(None).cast("string"))
-    per = found.groupBy("field", "term").agg(F.count("*").alias("n")).withColumn("total", F.lit(0).cast("long"))
+    per = per_term.groupBy("field", "term").agg(F.sum("n").cast("long").alias("n")).withColumn("total", F.lit(0).cast("long"))
     return fields.unionByName(per).select("field", "term", (F.col("n") * sign).alias("n"), (F.col("total") * sign).alias("total"))
 
 
