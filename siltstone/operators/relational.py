@@ -261,27 +261,78 @@ class Grouped:
         return self.df.groupBy(*self.columns).agg(*[c.alias(n) for n, c in fns.items()])
 
 
+#: Rows before a page's end up to which the page is simply the last of the first rows, and ranges of keys of a deeper one at least.
+SHALLOW, RANGES = 10_000, 64
+
+
 def numbered_page(df: DataFrame, number: int, size: int, key: str) -> DataFrame:
-    """A page with the total on each of its rows, as one plan: no window over all rows."""
+    """A page with the total on each of its rows, no window over all rows; the largest keys come first, null last.
+
+    Of a deep page the keys alone are counted by ranges, a row a range to the driver, and only the
+    range that holds the page is then read and sorted.
+    """
     total = df.agg(F.count("*").alias("total"))
-    rows = df.orderBy(F.col(key).desc()).offset((number - 1) * size).limit(size)
+    skip = (number - 1) * size
+    rows = df
+    if skip + size > SHALLOW:
+        rows, skip = _range_of(df, key, skip, size)
+    rows = rows.orderBy(F.col(key).desc()).offset(skip).limit(size)
     return rows.crossJoin(F.broadcast(total)).withColumns({"page": F.lit(number), "size": F.lit(size)})
 
 
+def _range_of(df: DataFrame, key: str, skip: int, size: int) -> tuple[DataFrame, int]:
+    """The rows of the ranges of keys that hold a page, and how many of them come before it."""
+    n = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(n, F.col("k").desc())  # equal keys are in one range
+    ranges = dealt.groupBy(F.spark_partition_id()).agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).collect()
+    before, low, high, first = 0, None, None, skip
+    for r in sorted(ranges, key=lambda r: r["high"], reverse=True):
+        if before < skip + size and before + r["n"] > skip:
+            if high is None:
+                high, first = r["high"], skip - before
+            low = r["low"]
+        before += r["n"]
+    held = F.lit(False) if high is None else F.col(key).between(F.lit(low), F.lit(high))
+    if skip + size > before:  # the page reaches into the rows without a key
+        held = held | F.col(key).isNull()
+        first = first if high is not None else skip - before
+    return df.where(held), first
+
+
+def _climbed(folders: DataFrame, separator: str) -> DataFrame:
+    """(id, up, path, depth) of the ids that occur once, after each row has jumped over as many ancestors as it could: up is null if a root was reached.
+
+    Every round doubles how far a row has come, so there are as many as the depth has binary digits. It
+    ends when a round brings no row to its end: what is left goes in circles. Rows whose ancestor isn't there go.
+    """
+    once = folders.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.first("parent_id").alias("up"), F.first("name").alias("path")).where("n = 1")
+    state = cut(once.select("id", "up", "path", F.lit(0).alias("depth")))
+    open_, before = state.where("up is not null").count(), -1
+    while open_ and open_ != before:
+        above = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        hit = F.col("_id").isNotNull()
+        joined = state.join(above, F.col("up") == F.col("_id"), "left").where(F.col("up").isNull() | hit)
+        state = cut(joined.select("id", F.col("_up").alias("up"), F.when(hit, F.concat_ws(separator, "_path", "path")).otherwise(F.col("path")).alias("path"), F.when(hit, F.col("depth") + F.col("_depth") + 1).otherwise(F.col("depth")).alias("depth")))
+        before, open_ = open_, state.where("up is not null").count()
+    return state
+
+
 def tree_paths(folders: DataFrame, separator: str = "/") -> DataFrame:
-    """(id, path, depth) of folders (id, parent_id, name), level by level from the roots, however deep.
+    """(id, path, depth) of folders (id, parent_id, name), by pointer doubling, however deep.
 
-    Folders that no root leads to, as in a cycle, have no path. A folder has one
-    parent, so every level is of new ones and there is a last.
+    Folders that no root leads to, as in a cycle or below a missing one, have no path; nor have ids that
+    occur more than once, which are not followed. tree_faults names them.
     """
-    level = folders.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        level = cut(folders.alias("f").join(level.alias("p"), F.col("f.parent_id") == F.col("p.id")).select("f.id", F.concat_ws(separator, "p.path", "f.name").alias("path"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    return _climbed(folders, separator).where("up is null").select("id", "path", "depth")
+
+
+def tree_faults(folders: DataFrame) -> DataFrame:
+    """(id, fault) of the folders without a path: repeated, cycle (in one or below it), or lost (below a missing, null or repeated one)."""
+    climbed = _climbed(folders.withColumn("name", F.lit("")), "").select(F.col("id").alias("_id"), "up")
+    per = folders.groupBy("id").agg(F.count("*").alias("n"))
+    joined = per.join(climbed, F.col("id") == F.col("_id"), "left")
+    fault = F.when(F.col("n") > 1, "repeated").when(F.col("_id").isNull(), "lost").when(F.col("up").isNotNull(), "cycle")
+    return joined.select("id", fault.alias("fault")).where("fault is not null")
 
 
 def newest(df: DataFrame, per: str, n: int, *by: str) -> DataFrame:

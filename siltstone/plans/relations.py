@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone import schema
-from siltstone.operators.relational import Edge, NotFound, NotSingular, P, Schema, any_of, differences, newest, none_of, numbered_page, ordering, tree_paths
+from siltstone.operators.relational import Edge, NotFound, NotSingular, P, Schema, any_of, differences, newest, none_of, numbered_page, ordering, tree_faults, tree_paths
 from siltstone.runtime import table
 
 
@@ -45,6 +45,13 @@ _FOLDERS = """SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent_id, r_nam
   UNION ALL SELECT n_nationkey + 1000, n_regionkey, n_name FROM nation UNION ALL SELECT c_custkey + 1000000, c_nationkey + 1000, c_name FROM customer"""
 
 
+def _chains(spark, d):
+    """Customers as chains of a hundred folders, each below the one before; the last of every tenth chain is below itself."""
+    key = F.col("c_custkey")
+    parent = F.when(key % 1000 == 599, key).when(key % 100 != 0, key - 1)
+    return table(spark, d, "customer").select(key.alias("id"), parent.alias("parent_id"), (key % 10).cast("string").alias("name"))
+
+
 def _page(number, size):
     return lambda spark, d: numbered_page(_schema(spark, d).tables["orders"].select("id", "status"), number, size, "id")
 
@@ -125,6 +132,9 @@ _ALL = {
         f"SELECT n.id, r_name AS region, (SELECT count(*) FROM customer WHERE c_nationkey = n.id) AS customers FROM ({_N}) n LEFT JOIN region ON r_regionkey = region_id"),
     "folder_tree_paths": (lambda s, d: tree_paths(_folders(s, d)),
         f"WITH RECURSIVE f AS ({_FOLDERS}), t AS (SELECT id, name AS path, 0 AS depth FROM f WHERE parent_id IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM f JOIN t ON f.parent_id = t.id) SELECT * FROM t"),
+    "folder_chains": (lambda s, d: tree_paths(_chains(s, d)).unionByName(tree_faults(_chains(s, d)).select("id", F.col("fault").alias("path"), F.lit(-1).alias("depth"))),
+        """SELECT c_custkey AS id, CASE WHEN c_custkey % 1000 = 599 THEN 'cycle' ELSE array_to_string(list_transform(range(c_custkey // 100 * 100, c_custkey + 1), lambda k: (k % 10)::VARCHAR), '/') END AS path,
+        CASE WHEN c_custkey % 1000 = 599 THEN -1 ELSE (c_custkey % 100)::INTEGER END AS depth FROM customer"""),
     "granted_datasets": (granted_datasets, "SELECT s_name AS subject, s_nationkey AS dataset_id, n_name AS dataset FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "group_count": (_of("orders", lambda q: q.group_by("status", "priority").aggregate(n=F.count("*"))), f"SELECT status, priority, count(*) AS n FROM ({_O}) GROUP BY ALL"),
     "group_min_max_mean_sum": (_of("orders", lambda q: q.group_by("priority").aggregate(lo=F.min("total"), hi=F.max("total"), mean=F.round(F.avg("total"), 4), sum=F.round(F.sum("total"), 2), ids=F.sum("id"))),
@@ -138,6 +148,7 @@ _ALL = {
     "order_by_neighbor_field": (_of("customers", lambda q: q.neighbour_field("nation", "name", "nation").order(ordering("nation"), ordering("id", "DESC")).limit(25).select("id", "nation")),
         f"SELECT c.id, n.name AS nation FROM ({_C}) c JOIN ({_N}) n ON n.id = nation_id ORDER BY nation, c.id DESC LIMIT 25"),
     "page_2_desc_id": (_page(2, 50), f"SELECT id, status, (SELECT count(*) FROM orders) AS total, 2 AS page, 50 AS size FROM ({_O}) ORDER BY id DESC LIMIT 50 OFFSET 50"),
+    "page_deep": (_page(250, 50), f"SELECT id, status, (SELECT count(*) FROM orders) AS total, 250 AS page, 50 AS size FROM ({_O}) ORDER BY id DESC LIMIT 50 OFFSET 12450"),
     "page_past_end": (_page(100000, 50), "SELECT o_orderkey AS id, o_orderstatus AS status, 0::BIGINT AS total, 1 AS page, 50 AS size FROM orders WHERE false"),
     "first_only": (first_only, f"""SELECT 'first' AS how, id FROM (SELECT id FROM ({_O}) WHERE status = 'P' ORDER BY at_, id LIMIT 1) UNION ALL SELECT 'only', max(id) FROM ({_O})
         UNION ALL SELECT 'only of many', -1 UNION ALL SELECT 'first of none', -2"""),

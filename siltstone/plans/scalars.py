@@ -83,8 +83,8 @@ def product_front_matter(spark, d):
 def load_product_files(spark, d):
     """Product files in a folder, read and parsed."""
     folder = scratch(spark, "products")
-    _product_texts(spark, d).select("text").write.option("lineSep", "\n").text(folder)
-    return _product_rows(load_products(spark, folder, 1 << 30, skip=True))
+    _product_texts(spark, d).select("text").write.option("lineSep", "\n").option("maxRecordsPerFile", 10_000).text(folder)
+    return _product_rows(load_products(spark, folder))
 
 
 def metadata_overlay(spark, d):

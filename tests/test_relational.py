@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,39 @@ def test_tree_newest_difference(spark):
     assert sorted(map(tuple, differences(a, b).collect())) == [(1, "got"), (2, "got"), (3, "want")]
 
 
+def test_paths_by_pointer_doubling(spark, monkeypatch):
+    from siltstone.operators import relational
+
+    rounds = []
+    monkeypatch.setattr(relational, "cut", lambda df: rounds.append(1) or df.checkpoint())
+    chain = spark.range(4096).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("x").alias("name"))
+    assert tree_paths(chain).agg(F.count("*"), F.max("depth"), F.max(F.length("path"))).first() == (4096, 4095, 8191)
+    assert len(rounds) <= 1 + 13
+    rows = [(1, None, "r"), (2, 1, "a"), (2, 1, "again"), (3, 2, "below"), (4, 3, "deeper"), (5, 5, "self"), (6, 7, "p"), (7, 6, "q"), (8, 7, "tail"), (9, 1, None), (10, 99, "lost"), (None, 1, "no id"), (11, 9, "")]
+    odd = spark.createDataFrame(rows, "id long, parent_id long, name string")
+    assert {r.id: r.path for r in tree_paths(odd).collect()} == {1: "r", 9: "r", 11: "r/"}
+    faults = {r.id: r.fault for r in relational.tree_faults(odd).collect()}
+    assert faults == {2: "repeated", 3: "lost", 4: "lost", 5: "cycle", 6: "cycle", 7: "cycle", 8: "cycle", 10: "lost", None: "lost"}
+    assert tree_paths(odd.where("false")).count() == 0
+
+
+def test_deep_pages(spark, monkeypatch):
+    from siltstone.operators import relational
+
+    monkeypatch.setattr(relational, "SHALLOW", 5)
+    keys = [k // 2 for k in range(60)] + [None] * 7
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, n long")
+    order = sorted((k for k in keys if k is not None), reverse=True) + [None] * 7
+    for number in range(1, 13):
+        got = relational.numbered_page(df, number, 6, "k").collect()
+        assert [r.k for r in sorted(got, key=lambda r: (r.k is None, -(r.k or 0)))] == order[(number - 1) * 6 : number * 6] and {r.total for r in got} <= {67}
+    many = spark.range(100_000).select(F.col("id").alias("k"))
+    plan = relational.numbered_page(many, 1500, 50, "k")
+    assert [r.k for r in plan.orderBy(F.desc("k")).collect()] == list(range(99_999 - 1499 * 50, 99_999 - 1500 * 50, -1))
+    limits = [int(x) for x in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan._jdf.queryExecution().executedPlan().toString())]
+    assert limits and max(limits) < 20_000
+
+
 def test_mutations(spark, store):
     docs = store.tables["docs"]
     change = m.update(docs, F.col("title") > "a", title="z")
