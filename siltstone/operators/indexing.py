@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.vector import narrow
 from siltstone.operators.chunking import DEFAULT_CHARS, chunk
 from siltstone.operators import postings
-from siltstone.operators.generations import Segments
-from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, inverted_index, knn, lengths, rrf, terms, top, validated
+from siltstone.operators.generations import Segments, State
+from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, knn, lengths, rrf, terms, top, validated
 from siltstone.runtime import cut
 
 # Texts an embedding call takes, and the form of a collection's name.
@@ -102,21 +102,20 @@ class Stores:
         """(document_id, chunk_index, field, term, tf, dl), live."""
         return self.segments().live(postings.opened(self.segments().every(spark, "postings"))).drop("_segment")
 
-    def write(self, tables: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], documents: DataFrame) -> None:
-        """Rows of the documents (document_id) give way to new ones, in all stores at once. One writer at a time is assumed.
+    def begin(self, spark: SparkSession) -> State:
+        """The state that is written now. One writer at a time is assumed."""
+        return self.segments().next(spark, *STORES)
 
-        A function in place of rows gets the postings as they were written.
-        """
-        spark, segments = documents.sparkSession, self.segments()
-        state = segments.next(spark, *STORES)
-        for name, columns in STORES.items():
-            rows = tables[name]
-            if not isinstance(rows, DataFrame):
-                rows = rows(spark.read.parquet(segments.path(f"postings/segment={state.n}")))
-            typed = [F.col(c).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in columns.split(", "))]
-            segments.put(rows.select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
-        segments.take(documents, state)
-        segments.publish(spark, state)
+    def put(self, rows: DataFrame, name: str, state: State) -> DataFrame:
+        """Write a store's rows of the state; gives them as they were written, so nothing need be computed or kept twice."""
+        typed = [F.col(c).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in STORES[name].split(", "))]
+        self.segments().put(rows.select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
+        return rows.sparkSession.read.parquet(self.segments().path(f"{name}/segment={state.n}"))
+
+    def finish(self, documents: DataFrame, state: State) -> None:
+        """What the documents (document_id) had before gives way to the state's rows, in all stores at once."""
+        self.segments().take(documents, state)
+        self.segments().publish(documents.sparkSession, state)
 
     def compact(self, spark: SparkSession) -> None:
         """All segments become one, so that reads don't grow with the runs."""
@@ -147,11 +146,8 @@ def chunk_id() -> Column:
     return F.concat_ws("#", *CHUNK)
 
 
-def _found(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terms, lengths) of chunks, with the chunk's columns."""
-    named = chunks.withColumn("id", F.struct(*CHUNK))
-    spread = lambda df: df.select("id.*", *[c for c in df.columns if c != "id"])
-    return spread(inverted_index(named, list(FIELDS))), spread(lengths(named, list(FIELDS)))
+def _lengths(chunks: DataFrame) -> DataFrame:
+    return lengths(chunks.withColumn("id", F.struct(*CHUNK)), list(FIELDS)).select("id.*", "field", "dl")
 
 
 def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: int, model: str, most: int = DEFAULT_CHARS) -> dict[str, int]:
@@ -161,36 +157,29 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
     embedded. Gives how many chunks there are, and how many were embedded. A failure anywhere leaves the state before.
     """
     spark = docs.sparkSession
-    kept = [c for c in ("title", "visibility", "owner_subject", "dataset_id") if c in docs.columns]
-    named = cut(docs.select(F.col("id").alias("document_id"), "text", *kept))
-    mine = named.select("document_id").distinct()
+    named = docs.withColumnRenamed("id", "document_id")
+    mine = cut(named.select("document_id").distinct())
+    had = bool(stores.segments().state(spark))
+    state = stores.begin(spark)
+    known = [c if c in docs.columns else F.lit(None).alias(c) for c in ("title", "visibility", "owner_subject", "dataset_id")]
+    stores.put(named.select("document_id", *known), "documents", state)
     every = chunk(named.select("document_id", "title", "text"), most=most).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    pieces = cut(every.withColumn("terms", F.size(terms(F.coalesce("content", F.lit("")))) + F.size(terms(F.coalesce("title", F.lit(""))))))
-    old = None
-    if stores.segments().state(spark):
-        old = cut(stores.read(spark, "chunks").join(mine, "document_id", "left_semi"))
-        vectors = stores.read(spark, "vectors").join(old.select(*CHUNK, "digest"), list(CHUNK))
-        have = vectors.groupBy("document_id", "digest").agg(F.min_by("embedding", "chunk_index").alias("embedding"))
-        known = pieces.join(have, ["document_id", "digest"], "left").select(*CHUNK, "content", "embedding")
-    else:
-        known = pieces.select(*CHUNK, "content", F.lit(None).cast("array<float>").alias("embedding"))
-    known = cut(known)
-    fresh = known.where("embedding is null")
+    pieces = stores.put(every.withColumn("terms", F.size(terms(F.coalesce("content", F.lit("")))) + F.size(terms(F.coalesce("title", F.lit(""))))), "chunks", state)
+    keyed, old, fresh = pieces.select(*CHUNK, "digest"), None, pieces
+    if had:
+        old = stores.read(spark, "chunks").join(mine, "document_id", "left_semi")
+        have = stores.read(spark, "vectors").join(old.select(*CHUNK, "digest"), list(CHUNK)).groupBy("document_id", "digest").agg(F.min_by("embedding", "chunk_index").alias("embedding"))
+        kept = cut(keyed.join(have, ["document_id", "digest"]).select(*CHUNK, "embedding"))
+        fresh = pieces.join(kept.select(*CHUNK), list(CHUNK), "left_anti")
     added = cut(embed(fresh.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding"))
-    vectors = validated(known.where("embedding is not null").select(*CHUNK, "embedding").unionByName(added), dims, model, CHUNK)
-    found, sizes = _found(pieces)
-
-    def changes(blocks: DataFrame) -> DataFrame:
-        out = postings.statistics(sizes, blocks)
-        if old is not None:  # what the documents had before no longer counts
-            was, were = _found(old)
-            out = out.unionByName(postings.statistics(were, was.withColumn("n", F.lit(1)), -1)).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
-        return out.repartitionByRange("term", "field").sortWithinPartitions("term")
-
-    missing = [F.lit(None).cast(t).alias(c) for c, t in (("visibility", "string"), ("owner_subject", "string"), ("dataset_id", "bigint")) if c not in kept]
-    stores.write({
-        "documents": named.drop("text").select("*", *missing), "chunks": pieces, "vectors": vectors, "postings": postings.blocks(found), "statistics": changes,
-    }, mine)
+    stores.put(validated(added.unionByName(kept) if had else added, dims, model, CHUNK), "vectors", state)
+    blocks = stores.put(postings.blocks(postings.counted(pieces, FIELDS)), "postings", state)
+    changes = postings.statistics(_lengths(pieces), blocks)
+    if had:  # what the documents had before no longer counts
+        gone = postings.statistics(_lengths(old), postings.counted(old, FIELDS).withColumn("n", F.lit(1)), -1)
+        changes = changes.unionByName(gone).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
+    stores.put(changes.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
+    stores.finish(mine, state)
     return {"chunks": pieces.count(), "embedded": added.count()}
 
 

@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,27 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*heads, *lists], ["field", "term", "n", "most_tf", "least_dl", "documents", "chunks", "tfs", "dls"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Of rows (document_id, chunk_index, a list of terms for each field): a row for each chunk, field and term."""
+    for batch in batches:
+        for field, lists in zip(fields, batch.columns[2:], strict=True):
+            each = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
+            found = each.group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+            if not found.num_rows:
+                continue
+            row, term, tf = (found.column(c).combine_chunks() for c in ("row", "term", "count_all"))
+            dl = pc.list_value_length(lists).take(row).cast(pa.int32())
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array([field] * len(row)), term, tf.cast(pa.int64()), dl]
+            yield pa.RecordBatch.from_arrays(columns, ["document_id", "chunk_index", "field", "term", "tf", "dl"])
+
+
+def counted(chunks_: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(document_id, chunk_index, field, term, tf, dl) of chunks: the inverted index, counted where a chunk is, without a shuffle."""
+    none = F.array().cast("array<string>")
+    rows = chunks_.select(F.col("document_id").cast("long").alias("document_id"), F.col("chunk_index").cast("int").alias("chunk_index"), *[F.coalesce(terms(f), none).alias(f) for f in fields])
+    return rows.mapInArrow(lambda batches: _counted(batches, fields), "document_id long, chunk_index int, field string, term string, tf long, dl int")
+
+
 def blocks(found: DataFrame) -> DataFrame:
     """(document_id, chunk_index, field, term, tf, dl) -> blocks, with a number each; a term that is everywhere is dealt to several tasks."""
     order = ["term", "field", F.col("tf").desc(), "dl", F.xxhash64("document_id", "chunk_index")]
