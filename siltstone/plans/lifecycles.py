@@ -338,7 +338,7 @@ def upload_documents(spark, d):
 
 
 def retrieval_evaluation(spark, d):
-    """Leaks and answers of every twentieth document as a hit for its source, judged by grants on odd datasets."""
+    """Leaks and answers of every document as a hit of its own query, judged by grants on two datasets."""
     from siltstone.operators import evaluation as ev
 
     docs = schema.documents(spark, d)

@@ -102,7 +102,7 @@ def maintenance_round(spark, d):
 
 
 def http_metrics(spark, d):
-    """Requests by type as counter, histogram of their value, and the gauge's peak."""
+    """Requests by type and bucket of their value; in_flight_peak has the gauge."""
     e = _events(spark, d)
     bucket = F.when(F.col("value") < 10, "<10").when(F.col("value") < 100, "<100").otherwise("more")
     return e.groupBy("event_type", bucket.alias("bucket")).agg(F.count("*").alias("n"))
