@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.sources import files
-from siltstone.streaming import jobs
+from siltstone.streaming import jobs, stateful
 
 
 def test_content_store(tmp_path):
@@ -167,3 +167,54 @@ def test_maintenance_runs_on(spark, tmp_path):
     query.awaitTermination(6)
     assert query.isActive and len(rounds) >= 2
     query.stop()
+
+
+def _stream_of(spark, folder, schema, step, tmp_path, name):
+    """Puts rows into a folder and runs the stream over it to its end, from where the last call stopped; gives its last progress."""
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{folder}")
+        query = stateful.run_into(step(spark.readStream.schema(schema).parquet(f"file://{folder}")), f"file://{tmp_path}/{name}-out", f"{tmp_path}/{name}-state")
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    return put
+
+
+def test_tasks_with_timers(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "id long, kind string, at timestamp, process_at timestamp, max_retry int, timeout int, attempt int, ok boolean"
+    task = lambda id, s, start=None, retries=1, timeout=10: (id, "task", at(s), start and at(start), retries, timeout, None, None)
+    result = lambda id, s, attempt, ok: (id, "result", at(s), None, None, None, attempt, ok)
+    clock = lambda s: (-1, "clock", at(s), None, None, None, None, None)
+    put = _stream_of(spark, tmp_path / "in", schema, lambda s: stateful.task_moves(s, "0 seconds"), tmp_path, "t")
+    open_after = [
+        put([task(1, 0), task(2, 0, 50), task(3, 0, retries=0), task(4, 0), task(1, 1), result(1, 10, 1, True), result(4, 5, 1, False), result(4, 6, 1, True), clock(12)]),
+        put([result(2, 55, 1, False), result(4, 21, 2, True), task(5, 13, 14), clock(60)]),  # the stream starts again from its state
+        put([result(2, 70, 1, True), result(2, 75, 2, True), result(5, 60, 1, True), clock(200)]),
+        put([clock(300)]),
+    ]
+    moves = {}
+    for r in spark.read.parquet(f"file://{tmp_path}/t-out").orderBy("at", "tries").collect():
+        moves.setdefault(r.id, []).append((r.status, r.tries, (r["at"] - at(0)).total_seconds()))
+    assert moves == {
+        1: [("active", 1, 0), ("completed", 1, 10)],  # just in time; the second task of its id changes nothing
+        2: [("active", 1, 50), ("retry", 1, 55), ("active", 2, 70), ("completed", 2, 75)],  # a result of the first try comes too late
+        3: [("active", 1, 0), ("archived", 1, 10)],
+        4: [("active", 1, 0), ("retry", 1, 5), ("active", 2, 20), ("completed", 2, 21)],
+        5: [("active", 1, 14), ("retry", 1, 24), ("active", 2, 39), ("archived", 2, 49)],
+    }
+    assert open_after[0] >= 2 and open_after[-1] == 0
+
+
+def test_stream_of_messages_equals_batch_and_drops_its_state(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "turn_id string, seq long, type string, content string, at timestamp"
+    first = [("a", 2, "message", "y", at(3)), ("a", 1, "message", "x", at(2)), ("b", 1, "message", "lost", at(2)), ("c", 1, "message", "p", at(4)), ("e", 1, "done", None, at(5)), ("f", 1, "message", None, at(5))]
+    second = [("a", 3, "message", "z", at(6)), ("a", 4, "done", None, at(7)), ("c", 3, "error", "boom", at(8)), ("c", 2, "message", "q", at(7)), ("f", 2, "done", None, at(9))]
+    put = _stream_of(spark, tmp_path / "in", schema, lambda s: stateful.assembled(s, "1 second", 60), tmp_path, "m")
+    clock = lambda s: ("", 0, "clock", None, at(s))
+    left = [put(first), put(second), put([clock(30)]), put([clock(100)]), put([clock(101)])]
+    got = {r.turn_id: (r.content, r.outcome) for r in spark.read.parquet(f"file://{tmp_path}/m-out").collect()}
+    batch = {r.turn_id: (r.content, r.outcome) for r in jobs.messages(spark.createDataFrame(first + second, schema)).collect()}
+    assert got == batch == {"a": ("xyz", "done"), "b": ("lost", "open"), "c": ("pq", "error"), "e": ("", "done"), "f": ("", "done")}
+    assert left[0] >= 4 and left[2] == 1 and left[-1] == 0
