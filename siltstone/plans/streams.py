@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import lifecycle as lc
 from siltstone.runtime import cut, scratch, table
-from siltstone.streaming import jobs
+from siltstone.streaming import jobs, stateful
 
 
 def _events(spark, d):
@@ -48,12 +48,58 @@ def _is_folder(spark, d) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
-def message_accumulate(spark, d):
-    """Words of conversations as stream deltas, joined back into messages."""
+def _tasks(events):
+    """Every event as a task (id, process_at, max_retry) of up to three tries of 60 seconds: how long a try takes and whether it is good go by id and try."""
+    return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("process_at"), (F.col("event_id") % 3).cast("int").alias("max_retry"))
+
+
+def _results(tasks):
+    """The result of each try as a worker would report it, were there a retry after every failure."""
+    start, tries = F.col("process_at"), []
+    for k in (1, 2, 3):
+        seconds, good = (F.col("id") * k) % 80, (F.col("id") + k) % 4 == 0
+        tries.append(F.struct((start + F.make_dt_interval(secs=seconds)).alias("at"), F.lit(k).alias("attempt"), good.alias("ok")))
+        start = start + F.make_dt_interval(secs=F.least(seconds, F.lit(60)) + stateful.BACKOFF_SECONDS * k * k)
+    return tasks.select("id", F.explode(F.array(*tries)).alias("r")).select("id", "r.*")
+
+
+def task_timers(spark, d):
+    """Tasks and their tries' results as one stream, run to its end by timers: each task's last change and how many there were."""
+    source, target, state = (scratch(spark, f"timers-{x}") for x in ("in", "out", "state"))
+    tasks = _tasks(_events(spark, d))
+    put = tasks.select("id", F.lit("task").alias("kind"), F.col("process_at").alias("at"), "process_at", "max_retry", F.lit(60).alias("timeout"))
+    ran = _results(tasks).withColumn("kind", F.lit("result"))
+    clock = tasks.agg((F.max("process_at") + F.expr("INTERVAL 2 DAYS")).alias("at")).select(F.lit(-1).cast("long").alias("id"), F.lit("clock").alias("kind"), "at")
+    put.unionByName(ran, allowMissingColumns=True).unionByName(clock, allowMissingColumns=True).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    stateful.run_into(stateful.task_moves(stream), target, state).awaitTermination()
+    moves = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
+    last = F.max_by(F.struct("status", "tries", "at"), F.struct("at", "tries", F.col("status") != "active"))
+    return moves.groupBy("id").agg(last.alias("m"), F.count("*").alias("moves")).select("id", "m.status", "m.tries", "m.at", "moves")
+
+
+def message_stream(spark, d):
+    """As message_accumulate, from a stream whose state goes when a message has ended or stayed open too long."""
+    source, target, state = (scratch(spark, f"messages-{x}") for x in ("in", "out", "state"))
+    start = F.lit("2024-01-01").cast("timestamp")
+    deltas = _deltas(spark, d).withColumn("at", start + F.make_dt_interval(secs=F.least("seq", F.lit(600))))
+    clock = spark.range(1).select(F.lit("").alias("turn_id"), F.lit("clock").alias("type"), (start + F.expr("INTERVAL 2 DAYS")).alias("at"))
+    deltas.unionByName(clock, allowMissingColumns=True).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    stateful.run_into(stateful.assembled(stream), target, state).awaitTermination()
+    return spark.read.option("basePath", target).parquet(f"{target}/epoch=*").select("turn_id", F.md5("content").alias("content_md5"), "outcome")
+
+
+def _deltas(spark, d):
     c = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text", "turn")
     words = c.select("turn_id", F.posexplode(F.split("text", " ")).alias("seq", "w")).select("turn_id", "seq", F.lit("message").alias("type"), F.concat(F.when(F.col("seq") > 0, " ").otherwise(""), "w").alias("content"))
     ends = c.where("turn % 3 <> 2").select("turn_id", F.lit(1_000_000).alias("seq"), F.when(F.col("turn") % 3 == 0, "done").otherwise("error").alias("type"), F.lit(None).cast("string").alias("content"))
-    return jobs.messages(words.unionByName(ends)).select("turn_id", F.md5("content").alias("content_md5"), "outcome")
+    return words.unionByName(ends)
+
+
+def message_accumulate(spark, d):
+    """Words of conversations as stream deltas, joined back into messages."""
+    return jobs.messages(_deltas(spark, d)).select("turn_id", F.md5("content").alias("content_md5"), "outcome")
 
 
 def pending_index_batch(spark, d):
@@ -114,7 +160,7 @@ def in_flight_peak(spark, d):
     return jobs.in_flight(spans).groupBy("route").agg(F.max("in_flight").alias("peak"))
 
 
-QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, pending_index_batch, due_tasks, task_retries, queue_dispatch, maintenance_round, http_metrics, in_flight_peak)}
+QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, message_stream, pending_index_batch, due_tasks, task_retries, task_timers, queue_dispatch, maintenance_round, http_metrics, in_flight_peak)}
 _DAY = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n"
 ORACLES = {
     "event_tumbling": f"{_DAY}, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -151,4 +197,17 @@ def _maintenance_sql() -> str:
       UNION ALL SELECT 'expired', least(100, count(*)) FROM a WHERE status = 'PENDING' AND expires_at < {now}"""
 
 
+def _timers_sql() -> str:
+    """Three tries, each with its start, end, and whether it is good; the next starts only after a failure that leaves retries."""
+    ctes, start = ["t AS (SELECT event_id AS id, event_id % 3 AS most, ts::TIMESTAMP AS s1, true AS run1 FROM events)"], "t"
+    for k in (1, 2, 3):
+        ctes.append(f"""e{k} AS (SELECT *, run{k} AND (id + {k}) % 4 = 0 AND (id * {k}) % 80 <= 60 AS ok{k}, s{k} + to_seconds(least((id * {k}) % 80, 60)) AS end{k} FROM {start})""")
+        ctes.append(f"n{k} AS (SELECT *, run{k} AND NOT ok{k} AND {k} <= most AS run{k + 1}, end{k} + to_seconds({15 * k * k}) AS s{k + 1} FROM e{k})")
+        start = f"n{k}"
+    return f"""WITH {", ".join(ctes)}, f AS (SELECT *, run1::INT + run2::INT + run3::INT AS tries FROM n3)
+      SELECT id, CASE WHEN ok1 OR ok2 OR ok3 THEN 'completed' ELSE 'archived' END AS status, tries, CASE tries WHEN 1 THEN end1 WHEN 2 THEN end2 ELSE end3 END AS at, 2 * tries AS moves FROM f"""
+
+
+ORACLES["task_timers"] = _timers_sql()
+ORACLES["message_stream"] = ORACLES["message_accumulate"]
 ORACLES["maintenance_round"] = _maintenance_sql()
