@@ -7,9 +7,10 @@ new; ``replace_table`` makes it durable.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,13 +18,30 @@ from pyspark.sql import functions as F
 class Change:
     state: DataFrame
     affected: DataFrame  # one row: affected
+    #: Of an update or delete: the rows before it, which of them it touches, and what it makes of them.
+    step: tuple[DataFrame, Column, Callable[[DataFrame], DataFrame]] | None = None
 
     def count(self) -> int:
         return self.affected.first()["affected"]
 
+    def write(self, path: str) -> int:
+        """Write the state to a new folder and say how many rows were touched.
 
-def _counted(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.agg(F.count_if(predicate).alias("affected"))
+        Updates and deletes are counted while they are written, in one pass: they
+        move no rows, so each task counts what it writes, and Spark takes the count of a
+        task once, repeated or not. Other changes are counted by a pass of their own.
+        """
+        if not self.step:
+            self.state.write.parquet(path)
+            return self.count()
+        source, hit, becomes = self.step
+        seen = Observation()
+        becomes(source.observe(seen, F.count_if(hit).alias("affected"))).write.parquet(path)
+        return seen.get["affected"]
+
+
+def _changed(df: DataFrame, hit: Column, becomes: Callable[[DataFrame], DataFrame]) -> Change:
+    return Change(becomes(df), df.agg(F.count_if(hit).alias("affected")), (df, hit, becomes))
 
 
 def update(df: DataFrame, predicate: Column, now: Column | None = None, **values) -> Change:
@@ -32,7 +50,8 @@ def update(df: DataFrame, predicate: Column, now: Column | None = None, **values
     if now is not None and "updated_at" in df.columns:
         values.setdefault("updated_at", now)
     hit = F.coalesce(predicate, F.lit(False))
-    return Change(df.withColumns({n: F.when(hit, v.cast(df.schema[n].dataType)).otherwise(F.col(n)) for n, v in values.items()}), _counted(df, hit))
+    new = {n: F.when(hit, v.cast(df.schema[n].dataType)).otherwise(F.col(n)) for n, v in values.items()}
+    return _changed(df, hit, lambda rows: rows.withColumns(new))
 
 
 def set_not_nil(df: DataFrame, predicate: Column, **values) -> Change:
@@ -43,7 +62,7 @@ def set_not_nil(df: DataFrame, predicate: Column, **values) -> Change:
 def delete(df: DataFrame, predicate: Column) -> Change:
     """Rows whose predicate is unknown stay."""
     hit = F.coalesce(predicate, F.lit(False))
-    return Change(df.where(~hit), _counted(df, hit))
+    return _changed(df, hit, lambda rows: rows.where(~hit))
 
 
 def insert(df: DataFrame, rows: DataFrame, defaults: dict | None = None, required: tuple[str, ...] = ()) -> Change:

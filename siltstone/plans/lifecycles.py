@@ -11,7 +11,7 @@ from siltstone.operators import lifecycle as lc
 from siltstone.operators import mutations as m
 from siltstone.operators import retrieval as r
 from siltstone.operators.relational import newest
-from siltstone.runtime import cut, table
+from siltstone.runtime import cut, scratch, table
 
 _NOW, _NOW_SQL = "1996-06-15 00:00:00", "TIMESTAMP '1996-06-15 00:00:00'"
 
@@ -31,9 +31,16 @@ def approval_expire(spark, d):
     return lc.expire(_approvals(spark, d), _now(), lc.BATCH).select(*_COLS)
 
 
+def _written(spark, change):
+    """The state as written, and how many rows were touched on the way."""
+    path = scratch(spark, "change")
+    touched = change.write(path)
+    return spark.read.parquet(path).withColumn("affected", F.lit(touched).cast("long"))
+
+
 def approval_decide(spark, d):
     change = lc.decide(_approvals(spark, d), F.col("id") % 3 != 0, F.col("id") % 2 == 0, "ann", _now())
-    return change.state.crossJoin(F.broadcast(change.affected)).select(*_COLS, "affected")
+    return _written(spark, change).select(*_COLS, "affected")
 
 
 def approval_claim_release(spark, d):
@@ -182,7 +189,7 @@ def orm_update(spark, d):
 
 def orm_delete(spark, d):
     change = m.delete(_approvals(spark, d), ~(F.col("decided_at") < _now()))
-    return change.state.crossJoin(F.broadcast(change.affected)).select("id", "decided_at", "affected")
+    return _written(spark, change).select("id", "decided_at", "affected")
 
 
 def orm_create_bulk(spark, d):

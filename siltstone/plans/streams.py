@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import evaluation as ev
 from siltstone.operators import lifecycle as lc
 from siltstone.runtime import cut, scratch, table
 from siltstone.streaming import jobs, stateful
 
 
+_BOUNDS, _SHARES = (10.0, 25.0, 50.0, 100.0), (0.5, 0.95, 0.99)
+
+
 def _events(spark, d):
     return table(spark, d, "events")
 
@@ -72,7 +76,8 @@ def task_timers(spark, d):
     clock = tasks.agg((F.max("process_at") + F.expr("INTERVAL 2 DAYS")).alias("at")).select(F.lit(-1).cast("long").alias("id"), F.lit("clock").alias("kind"), "at")
     put.unionByName(ran, allowMissingColumns=True).unionByName(clock, allowMissingColumns=True).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    stateful.run_into(stateful.task_moves(stream), target, state).awaitTermination()
+    groups = max(stateful.TASK_GROUPS, tasks.count() // 1000)  # as all are open at once here
+    stateful.run_into(stateful.task_moves(stream, groups=groups), target, state).awaitTermination()
     moves = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
     last = F.max_by(F.struct("status", "tries", "at"), F.struct("at", "tries", F.col("status") != "active"))
     return moves.groupBy("id").agg(last.alias("m"), F.count("*").alias("moves")).select("id", "m.status", "m.tries", "m.at", "moves")
@@ -154,13 +159,36 @@ def http_metrics(spark, d):
     return e.groupBy("event_type", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _requests(spark, d):
+    return _events(spark, d).select("event_type", F.to_date("ts").alias("day"), F.col("value").cast("double").alias("millis"))
+
+
+def http_histogram(spark, d):
+    """Cumulative histograms of requests, stored a day and merged by type."""
+    stored = scratch(spark, "histogram")
+    ev.histogram(_requests(spark, d), _BOUNDS, "event_type", "day").write.parquet(stored)
+    return ev.merged_histogram(spark.read.parquet(stored), "event_type").select("event_type", F.col("le").cast("string").alias("le"), "n", F.round("total", 4).alias("total"))
+
+
+def latency_sketches(spark, d):
+    """Quantiles from sketches stored a day and merged by type: how many values, the peak, and whether the estimates' true ranks are within the bound."""
+    stored = scratch(spark, "sketches")
+    requests = _requests(spark, d)
+    ev.sketches(requests, "event_type", "day").write.parquet(stored)
+    got = cut(ev.merged_quantiles(spark.read.parquet(stored), _SHARES, "event_type"))  # a row for each type
+    at = [F.struct(F.lit(share).alias("share"), F.col("quantiles")[k].alias("q")) for k, share in enumerate(_SHARES)]
+    each = got.select("event_type", "n", "peak", F.explode(F.array(*at)).alias("x")).select("event_type", "n", "peak", "x.*")
+    ranks = requests.join(each, "event_type").groupBy("event_type", "share").agg(F.any_value("n").alias("n"), F.any_value("peak").alias("peak"), F.avg((F.col("millis") < F.col("q")).cast("double")).alias("lo"), F.avg((F.col("millis") <= F.col("q")).cast("double")).alias("hi"))
+    return ranks.select("event_type", "share", "n", F.round("peak", 6).alias("peak"), ((F.col("lo") <= F.col("share") + ev.RANK_ERROR) & (F.col("hi") >= F.col("share") - ev.RANK_ERROR)).alias("within"))
+
+
 def in_flight_peak(spark, d):
     e = _events(spark, d)
     spans = e.select(F.col("event_type").alias("route"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("end"))
     return jobs.in_flight(spans).groupBy("route").agg(F.max("in_flight").alias("peak"))
 
 
-QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, message_stream, pending_index_batch, due_tasks, task_retries, task_timers, queue_dispatch, maintenance_round, http_metrics, in_flight_peak)}
+QUERIES = {q.__name__: q for q in (event_tumbling, event_sliding, event_session, event_tumbling_stream, message_accumulate, message_stream, pending_index_batch, due_tasks, task_retries, task_timers, queue_dispatch, maintenance_round, http_metrics, http_histogram, latency_sketches, in_flight_peak)}
 _DAY = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n"
 ORACLES = {
     "event_tumbling": f"{_DAY}, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -208,6 +236,10 @@ def _timers_sql() -> str:
       SELECT id, CASE WHEN ok1 OR ok2 OR ok3 THEN 'completed' ELSE 'archived' END AS status, tries, CASE tries WHEN 1 THEN end1 WHEN 2 THEN end2 ELSE end3 END AS at, 2 * tries AS moves FROM f"""
 
 
+ORACLES["http_histogram"] = f"""SELECT event_type, le, count(*) FILTER (le = 'Infinity' OR value <= le::DOUBLE) AS n, round(sum(value) FILTER (le = 'Infinity' OR value <= le::DOUBLE), 4) AS total
+  FROM events, (VALUES {", ".join(f"('{b}')" for b in _BOUNDS)}, ('Infinity')) t(le) GROUP BY event_type, le"""
+ORACLES["latency_sketches"] = f"""SELECT event_type, share::DOUBLE AS share, count(value) AS n, round(max(value), 6) AS peak, true AS within
+  FROM events, (VALUES {", ".join(f"({x})" for x in _SHARES)}) t(share) GROUP BY event_type, share"""
 ORACLES["task_timers"] = _timers_sql()
 ORACLES["message_stream"] = ORACLES["message_accumulate"]
 ORACLES["maintenance_round"] = _maintenance_sql()

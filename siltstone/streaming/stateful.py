@@ -2,9 +2,9 @@
 
 Both go by event time. The rows of a key are taken in time order, and every timer
 that is due before a row goes off before it, so results don't depend on how rows
-fall into batches, as long as none comes later than the watermark allows. A key
-holds one timer and its state is dropped when the key has ended, so state grows
-with what is open, not with what has been. Sinks are keyed by epoch: a batch
+fall into batches, as long as none comes later than the watermark allows. State
+is dropped when a key has ended, so it grows with what is open, not with what
+has been. Sinks are keyed by epoch: a batch
 that is retried overwrites itself.
 """
 
@@ -21,12 +21,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.streaming.jobs import BACKOFF_SECONDS, LATE, TASK_RETRIES, TASK_SECONDS, TERMINAL_EVENTS
 
+#: Rows that the state of open tasks is dealt to.
+TASK_GROUPS = 1024
 #: Seconds after its last piece at which an unfinished message is let go.
 OPEN_SECONDS = 3600
 _SECOND = 1_000_000
 
-_MOVES = "id long, status string, tries int, at timestamp"
-_TASK = "due long, running boolean, tries int, max_retry int, timeout long"
+_MOVES = "id long, status string, tries int, micros long"
+_TASK = "ids array<long>, due array<long>, running array<boolean>, tries array<int>, max_retry array<int>, timeout array<long>"
 _MESSAGES = "turn_id string, content string, outcome string"
 _TURN = "seqs array<long>, pieces array<string>, last long, end_seq long, end_at long, outcome string"
 
@@ -58,9 +60,9 @@ def _wind(task: _Task | None, until: int, moves: list, late: bool) -> _Task | No
     return task
 
 
-def _rows(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator:
-    frames = [f for f in frames if len(f)]
-    return pd.concat(frames).sort_values(by, kind="stable").itertuples(index=False) if frames else iter(())
+def _rows(frames: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """These columns of all rows, sorted by the first three. Lists, as most keys have few rows, for which frames are slow."""
+    return sorted((row for f in frames for row in zip(*(f[c].tolist() for c in columns), strict=True)), key=lambda row: row[:3])
 
 
 def _keep(state: GroupState, value: tuple, due: int, mark: int) -> None:
@@ -70,28 +72,33 @@ def _keep(state: GroupState, value: tuple, due: int, mark: int) -> None:
 
 def _task_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     moves: list[tuple] = []
-    task = _Task(*state.get) if state.exists else None
+    tasks = {id_: _Task(*rest) for id_, *rest in zip(*state.get, strict=True)} if state.exists else {}
     mark = state.getCurrentWatermarkMs() * 1000
-    for row in _rows(frames, ["at", "rank", "attempt"]):
-        task = _wind(task, row.at, moves, False)
-        if row.kind == "task" and task is None:
-            task = _Task(row.due, False, 0, row.max_retry, row.timeout * _SECOND)
-            task = _wind(task, row.at, moves, False)
-        elif row.kind == "result" and task and task.running and task.tries == row.attempt:
-            status = "completed" if row.ok else task.failed(row.at)
-            moves.append((status, task.tries, row.at))
+    for at, _, attempt, id_, kind, due, max_retry, timeout, ok in _rows(frames, "at", "rank", "attempt", "id", "kind", "due", "max_retry", "timeout", "ok"):
+        mine: list[tuple] = []
+        task = _wind(tasks.get(id_), at, mine, False)
+        if kind == "task" and task is None:
+            task = _wind(_Task(due, False, 0, max_retry, timeout * _SECOND), at, mine, False)
+        elif kind == "result" and task and task.running and task.tries == attempt:
+            status = "completed" if ok else task.failed(at)
+            mine.append((status, task.tries, at))
             task = task if status == "retry" else None
-    task = _wind(task, mark, moves, True)
-    if task:
-        _keep(state, astuple(task), task.due, mark)
+        tasks[id_] = task
+        moves += [(id_, *move) for move in mine]
+    for id_, task in tasks.items():
+        mine = []
+        tasks[id_] = _wind(task, mark, mine, True)
+        moves += [(id_, *move) for move in mine]
+    left = [(id_, *astuple(task)) for id_, task in tasks.items() if task]
+    if left:
+        _keep(state, tuple(map(list, zip(*left, strict=True))), min(row[1] for row in left), mark)
     elif state.exists:
         state.remove()
-    out = pd.DataFrame(moves, columns=["status", "tries", "at"])
-    out.insert(0, "id", key[0])
-    yield out.assign(at=pd.to_datetime(out["at"], unit="us"))
+    if moves:
+        yield pd.DataFrame(moves, columns=["id", "status", "tries", "micros"])
 
 
-def task_moves(rows: DataFrame, late: str = LATE) -> DataFrame:
+def task_moves(rows: DataFrame, late: str = LATE, groups: int = TASK_GROUPS) -> DataFrame:
     """(id, status, tries, at) for each change of a task, from a stream of rows
 
     (id, kind, at, process_at, max_retry, timeout, attempt, ok): a `task` is put in at `at` to start at
@@ -99,15 +106,21 @@ def task_moves(rows: DataFrame, late: str = LATE) -> DataFrame:
     A try starts as `active`. It is `completed` by a good result within timeout seconds; a bad one, or none in
     time, makes it `retry` after BACKOFF_SECONDS times the square of its tries, or `archived` - the dead letters -
     once it has been retried max_retry times. Results of other tries, and tasks of an id that is open, change nothing.
+    Rows without id or time are left out. Every task has its own timer; the state of open tasks is kept in `groups` rows
+    by a hash of the id, with the earliest timer as the row's, since a call of Python a task costs
+    far more than the task: choose groups for some thousands of open tasks a row. `groups` belongs to the checkpoint and can't change over its life.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    marked = rows.withColumn("_at", F.col("at").cast("timestamp")).withWatermark("_at", late)
+    known = rows.where(F.col("id").isNotNull() & F.col("at").isNotNull())
+    marked = known.withColumn("_at", F.col("at").cast("timestamp")).withWatermark("_at", late)
     narrow = marked.select(
-        F.col("id").cast("long").alias("id"), "_at", "kind", micros("at").alias("at"), F.coalesce(micros("process_at"), micros("at")).alias("due"),
+        F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(groups)).alias("slot"), F.col("id").cast("long").alias("id"), "_at", F.coalesce("kind", F.lit("")).alias("kind"), micros("at").alias("at"),
+        F.coalesce(micros("process_at"), micros("at")).alias("due"),
         F.coalesce(F.col("max_retry"), F.lit(TASK_RETRIES)).cast("int").alias("max_retry"), F.coalesce(F.col("timeout"), F.lit(TASK_SECONDS)).cast("long").alias("timeout"),
         F.coalesce(F.col("attempt"), F.lit(0)).cast("int").alias("attempt"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"), F.when(F.col("kind") == "task", 0).otherwise(1).alias("rank"),
     )
-    return narrow.groupBy("id").applyInPandasWithState(_task_step, _MOVES, _TASK, "append", GroupStateTimeout.EventTimeTimeout)
+    moves = narrow.groupBy("slot").applyInPandasWithState(_task_step, _MOVES, _TASK, "append", GroupStateTimeout.EventTimeTimeout)
+    return moves.select("id", "status", "tries", F.timestamp_micros("micros").alias("at"))
 
 
 @dataclass
@@ -129,16 +142,16 @@ def _message_step(limit: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn = _restored(state.get) if state.exists else None
         mark = state.getCurrentWatermarkMs() * 1000
-        for row in _rows(frames, ["seq"]):
-            if row.type != "message" and row.type not in TERMINAL_EVENTS:
+        for at, seq, kind, content in _rows(frames, "at", "seq", "type", "content"):
+            if kind != "message" and kind not in TERMINAL_EVENTS:
                 continue
-            turn = turn or _Turn([], [], row.at, None, None, "open")
-            turn.last = max(turn.last, row.at)
-            if row.type == "message":
-                turn.seqs.append(row.seq)
-                turn.pieces.append(row.content or "")
-            elif turn.end_seq is None or row.seq >= turn.end_seq:
-                turn.end_seq, turn.end_at, turn.outcome = row.seq, row.at, row.type
+            turn = turn or _Turn([], [], at, None, None, "open")
+            turn.last = max(turn.last, at)
+            if kind == "message":
+                turn.seqs.append(seq)
+                turn.pieces.append(content or "")
+            elif turn.end_seq is None or seq >= turn.end_seq:
+                turn.end_seq, turn.end_at, turn.outcome = seq, at, kind
         if not turn:
             return
         due = turn.last + limit if turn.end_at is None else turn.end_at
@@ -157,10 +170,11 @@ def assembled(deltas: DataFrame, late: str = LATE, open_seconds: int = OPEN_SECO
     """What `jobs.messages` gives, from a stream of deltas (turn_id, seq, type, content, at).
 
     A turn comes out, and its state goes, when it has ended and the watermark is past its end, so that no
-    earlier piece can follow; or, `open`, when open_seconds have gone by since its last piece. Other types only move the clock.
+    earlier piece can follow; or, `open`, when open_seconds have gone by since its last piece. Other types only move the clock;
+    rows without a time are left out, and pieces without a number come first.
     """
-    marked = deltas.withColumn("_at", F.col("at").cast("timestamp")).withWatermark("_at", late)
-    narrow = marked.select("turn_id", "_at", F.col("seq").cast("long").alias("seq"), "type", "content", F.unix_micros("_at").alias("at"))
+    marked = deltas.where(F.col("at").isNotNull()).withColumn("_at", F.col("at").cast("timestamp")).withWatermark("_at", late)
+    narrow = marked.select("turn_id", "_at", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), F.coalesce("type", F.lit("")).alias("type"), "content", F.unix_micros("_at").alias("at"))
     return narrow.groupBy("turn_id").applyInPandasWithState(_message_step(open_seconds * _SECOND), _MESSAGES, _TURN, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siltstone.operators import evaluation as ev
+from siltstone.operators import mutations
 from siltstone.operators import indexing as ix
 from siltstone.operators import lifecycle as lc
 from siltstone.operators import retrieval as r
@@ -157,6 +158,47 @@ def test_evaluation(spark):
     assert [x.id for x in leaks.collect()] == ["b"]
 
 
+def test_sketches_and_histograms_merge(spark):
+    rows = spark.range(20000).select((F.col("id") % 2).alias("route"), (F.col("id") % 7).alias("day"), F.when(F.col("id") % 100 != 99, (F.col("id") * 7919 % 20011).cast("double")).alias("millis"))
+    windows = ev.sketches(rows, "route", "day")
+    assert windows.count() == 14 and windows.select(F.max(F.length("sketch"))).first()[0] < 20000
+    for r in ev.merged_quantiles(windows, (0.05, 0.5, 0.95), "route").collect():
+        mine = sorted(x.millis for x in rows.where((F.col("route") == r.route) & F.col("millis").isNotNull()).collect())
+        assert r.n == len(mine) and r.peak == mine[-1]
+        for share, q in zip((0.05, 0.5, 0.95), r.quantiles, strict=True):
+            assert abs(sum(x <= q for x in mine) / len(mine) - share) <= ev.RANK_ERROR
+    parts = ev.histogram(rows, (0.0, 100.0, 10000.0), "route", "day")
+    merged = {(r.route, r.le): (r.n, r.total) for r in ev.merged_histogram(parts, "route").collect()}
+    whole = {(r.route, r.le): (r.n, r.total) for r in ev.histogram(rows, (0.0, 100.0, 10000.0), "route").collect()}
+    assert merged == whole and len(whole) == 8 and whole[(1, float("inf"))][0] == rows.where("route = 1 AND millis IS NOT NULL").count()
+    assert all(merged[(k, 100.0)][0] <= merged[(k, 10000.0)][0] <= merged[(k, float("inf"))][0] for k in (0, 1))
+    nothing = rows.where("millis IS NULL")
+    assert ev.merged_quantiles(ev.sketches(nothing, "route"), (0.5,), "route").count() == ev.histogram(nothing, (1.0,), "route").count() == 0
+
+
+def test_writes_count_in_one_pass(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    over = sum(k % 3 != 0 and k > 50 for k in range(100))
+    noted = F.udf(seen, "long").asNondeterministic()
+    rows = spark.range(0, 100, 1, 4).select(noted("id").alias("id"), (F.col("id") % 10).alias("kind"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("maybe"))
+    for name, change, touched, left in (
+        ("u", mutations.update(rows, F.col("maybe") > 50, kind=99), over, 100), ("d", mutations.delete(rows, F.col("maybe") > 50), over, 100 - over),
+        ("none", mutations.delete(rows, F.lit(None).cast("boolean")), 0, 100),
+    ):
+        calls.value = 0
+        assert change.write(f"file://{tmp_path}/{name}") == touched and calls.value == 100
+        assert spark.read.parquet(f"file://{tmp_path}/{name}").count() == left and change.count() == touched
+    assert mutations.update(rows.limit(0), F.col("kind") == 1, kind=2).write(f"file://{tmp_path}/empty") == 0
+    assert mutations.delete(spark.createDataFrame([], "id long"), F.col("id") == 1).write(f"file://{tmp_path}/empty2") == 0
+    fresh = mutations.insert(spark.range(3), spark.range(3, 5))
+    assert fresh.write(f"file://{tmp_path}/i") == 2 and spark.read.parquet(f"file://{tmp_path}/i").count() == 5
+
+
 def test_registry_and_hooks(spark):
     reg, log = Registry(), []
     reg.register("head", lambda df: df.limit(1))
