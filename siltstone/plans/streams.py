@@ -91,7 +91,8 @@ def message_stream(spark, d):
     clock = spark.range(1).select(F.lit("").alias("turn_id"), F.lit("clock").alias("type"), (start + F.expr("INTERVAL 2 DAYS")).alias("at"))
     deltas.unionByName(clock, allowMissingColumns=True).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    stateful.run_into(stateful.assembled(stream), target, state).awaitTermination()
+    groups = max(stateful.TURN_GROUPS, table(spark, d, "conversations").count() // 200)  # as all are open at once here
+    stateful.run_into(stateful.assembled(stream, groups=groups), target, state).awaitTermination()
     return spark.read.option("basePath", target).parquet(f"{target}/epoch=*").select("turn_id", F.md5("content").alias("content_md5"), "outcome")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.streaming.jobs import BACKOFF_SECONDS, LATE, TASK_RETRIES, TASK_SECONDS, TERMINAL_EVENTS
 
-#: Rows that the state of open tasks is dealt to.
-TASK_GROUPS = 1024
+#: Rows that the state of open tasks, and of open turns, is dealt to.
+TASK_GROUPS = TURN_GROUPS = 1024
 #: Seconds after its last piece at which an unfinished message is let go.
 OPEN_SECONDS = 3600
 _SECOND = 1_000_000
@@ -30,7 +31,7 @@ _SECOND = 1_000_000
 _MOVES = "id long, status string, tries int, micros long"
 _TASK = "ids array<long>, due array<long>, running array<boolean>, tries array<int>, max_retry array<int>, timeout array<long>"
 _MESSAGES = "turn_id string, content string, outcome string"
-_TURN = "seqs array<long>, pieces array<string>, last long, end_seq long, end_at long, outcome string"
+_TURNS = "ids array<string>, seqs array<array<long>>, pieces array<array<string>>, last array<long>, end_seq array<long>, end_at array<long>, outcome array<string>"
 
 
 @dataclass
@@ -62,7 +63,7 @@ def _wind(task: _Task | None, until: int, moves: list, late: bool) -> _Task | No
 
 def _rows(frames: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
     """These columns of all rows, sorted by the first three. Lists, as most keys have few rows, for which frames are slow."""
-    return sorted((row for f in frames for row in zip(*(f[c].tolist() for c in columns), strict=True)), key=lambda row: row[:3])
+    return sorted((row for f in frames for row in zip(*(f[c].tolist() for c in columns), strict=True)), key=itemgetter(0, 1, 2))
 
 
 def _keep(state: GroupState, value: tuple, due: int, mark: int) -> None:
@@ -132,50 +133,63 @@ class _Turn:
     end_at: int | None
     outcome: str
 
+    def due(self, limit: int) -> int:
+        return self.last + limit if self.end_at is None else self.end_at
 
-def _restored(state: tuple) -> _Turn:
-    seqs, pieces, *rest = state
-    return _Turn(list(seqs), list(pieces), *rest)
+
+def _restored(state: tuple) -> dict[str | None, _Turn]:
+    return {id_: _Turn(list(seqs), list(pieces), *rest) for id_, seqs, pieces, *rest in zip(*state, strict=True)}
 
 
 def _message_step(limit: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn = _restored(state.get) if state.exists else None
+        turns = _restored(state.get) if state.exists else {}
         mark = state.getCurrentWatermarkMs() * 1000
-        for at, seq, kind, content in _rows(frames, "at", "seq", "type", "content"):
-            if kind != "message" and kind not in TERMINAL_EVENTS:
-                continue
-            turn = turn or _Turn([], [], at, None, None, "open")
-            turn.last = max(turn.last, at)
-            if kind == "message":
-                turn.seqs.append(seq)
-                turn.pieces.append(content or "")
-            elif turn.end_seq is None or seq >= turn.end_seq:
-                turn.end_seq, turn.end_at, turn.outcome = seq, at, kind
-        if not turn:
-            return
-        due = turn.last + limit if turn.end_at is None else turn.end_at
-        if due > mark:
-            _keep(state, astuple(turn), due, mark)
-            return
-        if state.exists:
+        for frame in frames:
+            for at, seq, kind, id_, content in zip(*(frame[c].tolist() for c in ("at", "seq", "type", "turn_id", "content")), strict=True):
+                ends = kind in TERMINAL_EVENTS
+                if not ends and kind != "message":
+                    continue
+                turn = turns.get(id_)
+                if turn is None:
+                    turn = turns[id_] = _Turn([], [], at, None, None, "open")
+                elif at > turn.last:
+                    turn.last = at
+                if not ends:
+                    turn.seqs.append(seq)
+                    turn.pieces.append(content or "")
+                elif turn.end_seq is None or seq >= turn.end_seq:
+                    turn.end_seq, turn.end_at, turn.outcome = seq, at, kind
+        over = [id_ for id_, turn in turns.items() if turn.due(limit) <= mark]
+        out = []
+        for id_ in over:
+            turn = turns.pop(id_)
+            out.append((id_, "".join(piece for _, piece in sorted(zip(turn.seqs, turn.pieces, strict=True))), turn.outcome))
+        if turns:
+            left = [(id_, t.seqs, t.pieces, t.last, t.end_seq, t.end_at, t.outcome) for id_, t in turns.items()]
+            _keep(state, tuple(map(list, zip(*left, strict=True))), min(t.due(limit) for t in turns.values()), mark)
+        elif state.exists:
             state.remove()
-        content = "".join(piece for _, piece in sorted(zip(turn.seqs, turn.pieces, strict=True)))
-        yield pd.DataFrame([(key[0], content, turn.outcome)], columns=["turn_id", "content", "outcome"])
+        if out:
+            yield pd.DataFrame(out, columns=["turn_id", "content", "outcome"])
 
     return step
 
 
-def assembled(deltas: DataFrame, late: str = LATE, open_seconds: int = OPEN_SECONDS) -> DataFrame:
+def assembled(deltas: DataFrame, late: str = LATE, open_seconds: int = OPEN_SECONDS, groups: int = TURN_GROUPS) -> DataFrame:
     """What `jobs.messages` gives, from a stream of deltas (turn_id, seq, type, content, at).
 
     A turn comes out, and its state goes, when it has ended and the watermark is past its end, so that no
     earlier piece can follow; or, `open`, when open_seconds have gone by since its last piece. Other types only move the clock;
-    rows without a time are left out, and pieces without a number come first.
+    rows without a time are left out, and pieces without a number come first. Open turns are kept in `groups` rows of
+    state by a hash of the turn, as tasks are in `task_moves`; a row should hold some hundred open turns.
     """
     marked = deltas.where(F.col("at").isNotNull()).withColumn("_at", F.col("at").cast("timestamp")).withWatermark("_at", late)
-    narrow = marked.select("turn_id", "_at", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), F.coalesce("type", F.lit("")).alias("type"), "content", F.unix_micros("_at").alias("at"))
-    return narrow.groupBy("turn_id").applyInPandasWithState(_message_step(open_seconds * _SECOND), _MESSAGES, _TURN, "append", GroupStateTimeout.EventTimeTimeout)
+    narrow = marked.select(
+        F.pmod(F.xxhash64("turn_id"), F.lit(groups)).alias("slot"), "turn_id", "_at", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"),
+        F.coalesce("type", F.lit("")).alias("type"), "content", F.unix_micros("_at").alias("at"),
+    )
+    return narrow.groupBy("slot").applyInPandasWithState(_message_step(open_seconds * _SECOND), _MESSAGES, _TURNS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_into(out: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
