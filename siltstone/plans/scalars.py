@@ -8,7 +8,7 @@ from siltstone.functions import policy, text
 from siltstone.operators.products import overlay, parse_products
 from siltstone.plans.chunks import trim_sql
 from siltstone.runtime import cut, scratch, table
-from siltstone.sources.files import load_products
+from siltstone.sources.files import MOST_BYTES, load_products
 
 
 def _docs(spark, d):
@@ -81,9 +81,11 @@ def product_front_matter(spark, d):
 
 
 def load_product_files(spark, d):
-    """Product files in a folder, read and parsed."""
+    """Product files in a folder, read and parsed; a file has as many texts as surely stay below the loader's limit."""
     folder = scratch(spark, "products")
-    _product_texts(spark, d).select("text").write.option("lineSep", "\n").option("maxRecordsPerFile", 10_000).text(folder)
+    texts = _product_texts(spark, d).select("text")
+    longest = texts.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    texts.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, MOST_BYTES // (longest + 1))).text(folder)
     return _product_rows(load_products(spark, folder))
 
 

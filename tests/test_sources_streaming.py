@@ -218,3 +218,11 @@ def test_stream_of_messages_equals_batch_and_drops_its_state(spark, tmp_path):
     batch = {r.turn_id: (r.content, r.outcome) for r in jobs.messages(spark.createDataFrame(first + second, schema)).collect()}
     assert got == batch == {"a": ("xyz", "done"), "b": ("lost", "open"), "c": ("pq", "error"), "e": ("", "done"), "f": ("", "done")}
     assert left[0] == 2 and left[2] == 1 and left[-1] == 0
+
+
+def test_product_files_stay_below_the_loaders_limit(spark, tmp_path):
+    from siltstone.plans import scalars
+
+    spark.range(50_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("name " * 20).alias("p_name"), F.lit("t").alias("p_type"), F.lit(5).alias("p_size")).coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    got = scalars.load_product_files(spark, f"file://{tmp_path}")
+    assert got.select("product_id").distinct().count() == 50_000 == got.count()
