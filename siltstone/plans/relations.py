@@ -56,6 +56,12 @@ def _page(number, size):
     return lambda spark, d: numbered_page(_schema(spark, d).tables["orders"].select("id", "status"), number, size, "id")
 
 
+def _past_end(spark, d, size=50):
+    """A page past the last one, however many orders there are."""
+    pages = -(-table(spark, d, "orders").count() // size)
+    return _page(max(100_000, pages + 1), size)(spark, d)
+
+
 def newest_n_history(spark, d):
     return newest(table(spark, d, "conversations"), "conv_id", 2, "turn").select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
@@ -149,7 +155,7 @@ _ALL = {
         f"SELECT c.id, n.name AS nation FROM ({_C}) c JOIN ({_N}) n ON n.id = nation_id ORDER BY nation, c.id DESC LIMIT 25"),
     "page_2_desc_id": (_page(2, 50), f"SELECT id, status, (SELECT count(*) FROM orders) AS total, 2 AS page, 50 AS size FROM ({_O}) ORDER BY id DESC LIMIT 50 OFFSET 50"),
     "page_deep": (_page(250, 50), f"SELECT id, status, (SELECT count(*) FROM orders) AS total, 250 AS page, 50 AS size FROM ({_O}) ORDER BY id DESC LIMIT 50 OFFSET 12450"),
-    "page_past_end": (_page(100000, 50), "SELECT o_orderkey AS id, o_orderstatus AS status, 0::BIGINT AS total, 1 AS page, 50 AS size FROM orders WHERE false"),
+    "page_past_end": (_past_end, "SELECT o_orderkey AS id, o_orderstatus AS status, 0::BIGINT AS total, 1 AS page, 50 AS size FROM orders WHERE false"),
     "first_only": (first_only, f"""SELECT 'first' AS how, id FROM (SELECT id FROM ({_O}) WHERE status = 'P' ORDER BY at_, id LIMIT 1) UNION ALL SELECT 'only', max(id) FROM ({_O})
         UNION ALL SELECT 'only of many', -1 UNION ALL SELECT 'first of none', -2"""),
     "edge_pairs": (_of("nations", lambda q: q.pairs("customers", ["name", "segment"], P("balance").gt(0.0))), f"SELECT nation_id AS id, name, segment FROM ({_C}) WHERE balance > 0"),

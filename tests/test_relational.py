@@ -123,3 +123,12 @@ def test_mutations(spark, store):
     m.replace_table(spark, docs.where("id = 1"), "swapped")
     assert spark.table("swapped").count() == 1
     spark.sql("DROP TABLE swapped")
+
+
+def test_a_page_past_the_end_of_many_orders(spark, tmp_path):
+    from siltstone.plans import relations
+
+    spark.range(5_000_100).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), *[F.lit(0).alias(c) for c in ("o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")]).write.parquet(f"file://{tmp_path}/orders.parquet")
+    for name in ("region", "nation", "customer", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert relations.QUERIES["page_past_end"](spark, f"file://{tmp_path}").count() == 0
