@@ -36,9 +36,9 @@ def transition(df: DataFrame, allowed: tuple[str, ...], to: str, guard: Column |
     return update(df, F.col("status").isin(*allowed) & (F.lit(True) if guard is None else guard), status=to, **values)
 
 
-def first_of(df: DataFrame, predicate: Column, limit: int, *order: Column, key: str = "id") -> DataFrame:
-    """Keys of the first `limit` rows under the predicate."""
-    return df.where(predicate).orderBy(*order).limit(limit).select(key)
+def first_of(df: DataFrame, predicate: Column, limit: int | None, *order: Column, key: str = "id") -> DataFrame:
+    """Keys of the first `limit` rows under the predicate, of all without a limit."""
+    return df.where(predicate).select(key) if limit is None else df.where(predicate).orderBy(*order).limit(limit).select(key)
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,11 @@ class Removed:
         return self.ids.count()
 
 
-def _without_first(df: DataFrame, predicate: Column, limit: int, key: str, *order: Column) -> Removed:
-    """The first `limit` rows under the predicate go; in the order given, then of the key, so that a run that is repeated takes the same."""
+def _without_first(df: DataFrame, predicate: Column, limit: int | None, key: str, *order: Column) -> Removed:
+    """The first `limit` rows under the predicate go; in the order given, then of the key, so that a run that is repeated takes the same. Without a limit all go."""
+    if limit is None:
+        gone = F.coalesce(predicate, F.lit(False))
+        return Removed(df.where(~gone), df.where(gone).select(key))
     if limit <= 0:
         raise ValueError("delete limit must be greater than zero")
     ids = first_of(df, predicate, limit, *order, F.col(key), key=key)
@@ -149,13 +152,19 @@ def release(df: DataFrame, which: Column) -> Change:
     return transition(df, ("RESUMING",), "APPROVED", which)
 
 
-def due(df: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
-    """Ids of the first `limit` PENDING rows strictly past their expiry: those that expire() returns as EXPIRED."""
-    return first_of(df, (F.col("status") == "PENDING") & (F.col("expires_at") < now), limit, F.col("expires_at"), F.col("id"))
+def _past(now: Column) -> Column:
+    return (F.col("status") == "PENDING") & (F.col("expires_at") < now)
 
 
-def expire(df: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
+def due(df: DataFrame, now: Column, limit: int | None = BATCH) -> DataFrame:
+    """Ids of the first `limit` PENDING rows strictly past their expiry, of all without a limit: those that expire() returns as EXPIRED."""
+    return first_of(df, _past(now), limit, F.col("expires_at"), F.col("id"))
+
+
+def expire(df: DataFrame, now: Column, limit: int | None = BATCH) -> DataFrame:
     """The due rows become EXPIRED; decided_at stays."""
+    if limit is None:
+        return df.withColumn("status", F.when(_past(now), "EXPIRED").otherwise(F.col("status")))
     hit = F.broadcast(due(df, now, limit).select(F.col("id").alias("_due")))  # `limit` rows
     out = df.join(hit, df["id"] == F.col("_due"), "left")
     return out.withColumn("status", F.when(F.col("_due").isNotNull(), "EXPIRED").otherwise(F.col("status"))).drop("_due")
@@ -170,8 +179,8 @@ def delete_terminal(df: DataFrame, cutoff: Column, states: tuple[str, ...], at:
     return delete(df, _terminal(cutoff, states, at, fixed))
 
 
-def delete_terminal_turns(df: DataFrame, cutoff: Column, limit: int = BATCH) -> Removed:
-    """The first `limit` turns that completed or failed before the cutoff go; turns that never got the time stay."""
+def delete_terminal_turns(df: DataFrame, cutoff: Column, limit: int | None = BATCH) -> Removed:
+    """The first `limit` turns that completed or failed before the cutoff go, without a limit all; turns that never got the time stay."""
     return _without_first(df, _terminal(cutoff, TERMINAL_TURNS, "completed_at", None), limit, "id", F.col("completed_at"))
 
 
@@ -236,8 +245,8 @@ def live_checkpoints(df: DataFrame, now: Column) -> DataFrame:
     return df.where(F.col("expires_at") > now)
 
 
-def delete_expired_checkpoints(df: DataFrame, cutoff: Column, limit: int = BATCH) -> Removed:
-    """The first `limit` checkpoints that expired before the cutoff go."""
+def delete_expired_checkpoints(df: DataFrame, cutoff: Column, limit: int | None = BATCH) -> Removed:
+    """The first `limit` checkpoints that expired before the cutoff go, without a limit all."""
     return _without_first(df, F.col("expires_at") < cutoff, limit, "checkpoint_id", F.col("expires_at"))
 
 

@@ -221,9 +221,9 @@ def _maintenance_sql() -> str:
 
     now = "TIMESTAMP '1996-06-15'"
     return f"""WITH a AS ({APPROVALS_SQL}) SELECT 'approvals' AS what, count(*) AS n FROM a WHERE NOT coalesce(status IN ('REJECTED', 'EXECUTED') AND decided_at < {now} - INTERVAL 168 HOUR, false)
-      UNION ALL SELECT 'checkpoints', count(*) - least(100, count(*) FILTER (TIMESTAMP '1996-06-01' + to_days(p_size) < {now} - INTERVAL 24 HOUR)) FROM part
-      UNION ALL SELECT 'turns', count(*) - least(100, count(*) FILTER (status = 'COMPLETED' AND at_ < {now} - INTERVAL 720 HOUR)) FROM {_T}
-      UNION ALL SELECT 'expired', least(100, count(*)) FROM a WHERE status = 'PENDING' AND expires_at < {now}"""
+      UNION ALL SELECT 'checkpoints', count(*) - count(*) FILTER (TIMESTAMP '1996-06-01' + to_days(p_size) < {now} - INTERVAL 24 HOUR) FROM part
+      UNION ALL SELECT 'turns', count(*) - count(*) FILTER (status = 'COMPLETED' AND at_ < {now} - INTERVAL 720 HOUR) FROM {_T}
+      UNION ALL SELECT 'expired', count(*) FROM a WHERE status = 'PENDING' AND expires_at < {now}"""
 
 
 def _timers_sql() -> str:

@@ -151,12 +151,12 @@ def compact_vectors(spark: SparkSession, target: str) -> None:
         remove(spark, f"{target}/epoch={epoch}")
 
 
-def maintain(approvals: DataFrame, checkpoints: DataFrame, turns: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round: expire approvals, then drop old checkpoints, approvals and turns. All but the approvals' deletion stop at a batch."""
-    approvals = lifecycle.expire(approvals, now)
-    checkpoints = lifecycle.delete_expired_checkpoints(checkpoints, lifecycle.before(now, lifecycle.RETENTION_HOURS["checkpoints"])).state
+def maintain(approvals: DataFrame, checkpoints: DataFrame, turns: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: expire approvals, then drop old checkpoints, approvals and turns: all that are due, or, but for the approvals' deletion, `limit` of each."""
+    approvals = lifecycle.expire(approvals, now, limit)
+    checkpoints = lifecycle.delete_expired_checkpoints(checkpoints, lifecycle.before(now, lifecycle.RETENTION_HOURS["checkpoints"]), limit).state
     approvals = lifecycle.delete_terminal(approvals, lifecycle.before(now, lifecycle.RETENTION_HOURS["approvals"]), lifecycle.TERMINAL_APPROVALS, "decided_at").state
-    turns = lifecycle.delete_terminal_turns(turns, lifecycle.before(now, lifecycle.RETENTION_HOURS["turns"])).state
+    turns = lifecycle.delete_terminal_turns(turns, lifecycle.before(now, lifecycle.RETENTION_HOURS["turns"]), limit).state
     return approvals, checkpoints, turns
 
 

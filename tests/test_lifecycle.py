@@ -103,6 +103,21 @@ def test_turns(spark, now):
     for limit in (0, -1):
         with pytest.raises(ValueError, match="limit"):
             lc.delete_terminal_turns(many, now, limit)
+    removed = lc.delete_terminal_turns(many, now, None)
+    assert removed.count() == 9 and removed.state.count() == 0
+
+
+def test_a_maintenance_round_does_all_that_is_due(spark, now):
+    from siltstone.streaming import jobs
+
+    approvals = spark.range(250).select("id", F.lit("PENDING").alias("status"), F.lit(AGO).alias("expires_at"), F.lit(None).cast("timestamp").alias("decided_at"))
+    checkpoints = spark.range(251).select(F.col("id").alias("checkpoint_id"), F.when(F.col("id") > 0, F.lit(AGO)).alias("expires_at"))
+    turns = spark.range(252).select("id", F.when(F.col("id") < 2, "RUNNING").otherwise("COMPLETED").alias("status"), F.when(F.col("id") > 1, F.lit(AGO)).alias("completed_at"))
+    later = now + F.expr("INTERVAL 90 DAYS")
+    a, c, t = jobs.maintain(approvals, checkpoints, turns, later)
+    assert a.where("status = 'EXPIRED'").count() == 250 and [r.checkpoint_id for r in c.collect()] == [0] and sorted(r.id for r in t.collect()) == [0, 1]
+    a, c, t = jobs.maintain(approvals, checkpoints, turns, later, 100)
+    assert a.where("status = 'EXPIRED'").count() == 100 and c.count() == 151 and t.count() == 152
 
 
 def test_checkpoints_sessions_grants(spark, now):
