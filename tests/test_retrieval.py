@@ -178,3 +178,55 @@ def test_stored_terms_search_as_texts_do(spark):
     got = r.search_terms(r.inverted_index(docs, fields), r.lengths(docs, fields), queries)
     want = sorted(map(tuple, r.bm25(docs, queries, fields).collect()))
     assert sorted(map(tuple, got.collect())) == want and {w[0] for w in want} == {1, 2, 3}
+
+
+def test_ranks_are_exact_in_small_blocks(spark, monkeypatch):
+    """Sums of many rows and ties, a few pairs at a time, against plain Python."""
+    import random
+    from collections import defaultdict
+
+    from siltstone.operators import scoring
+
+    rng = random.Random(3)
+    rows = [(k, t, rng.choice([0.5, 0.25, 1.0 + t / 8])) for k in range(400) for t in rng.sample(range(12), rng.randrange(0, 5))]
+    texts = [(q, rng.sample([f"t{t}" for t in range(12)], rng.randrange(0, 6))) for q in range(30)]
+    asked = scoring.Asked(spark.createDataFrame(texts, "query_id long, ts array<string>").toArrow())
+    wanted, named = asked.frames(spark)
+    weights = spark.createDataFrame([(k, f"t{t}", w) for k, t, w in rows], "id long, term string, weight double").join(wanted, "term")
+    want = set()
+    for q, ts in texts:
+        sums = defaultdict(float)
+        for k, t, w in rows:
+            if f"t{t}" in ts:
+                sums[k] += w
+        want |= {(q, k, round(s, 6), n) for n, (k, s) in enumerate(sorted(sums.items(), key=lambda x: (-round(x[1], 6), x[0]))[:7], 1)}
+    for pairs in (1 << 20, 40, 1):
+        monkeypatch.setattr(scoring, "PAIRS", pairs)
+        got = scoring.best(weights, asked, 7).join(named, "q").select("query_id", "id", "score", "rank")
+        assert {tuple(x) for x in got.collect()} == want
+
+
+def _sizes(spark, plan):
+    """Rows that each shuffle of an executed plan wrote."""
+    out, todo = [0], [plan]
+    while todo:
+        node = todo.pop()
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        kids = node.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        for name in ("executedPlan", "plan"):
+            if name in ("executedPlan",) and node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or name == "plan" and node.getClass().getSimpleName().endswith("QueryStageExec"):
+                todo.append(getattr(node, name)())
+    return out
+
+
+def test_pairs_of_query_and_document_are_not_shuffled(spark):
+    """Every query names the source of half of the documents, yet no step between the scan and the result has a row for each pair."""
+    docs = spark.range(2000).select("id", F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.concat(F.lit("s"), F.col("id") % 2).alias("content"))
+    queries = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("s"), F.col("id") % 2, F.lit(" x"), "id").alias("query"))
+    for out, n in ((r.exact(docs, queries, "source"), 20), (r.bm25(docs, queries, ["content"]), 10)):
+        rows = out.collect()
+        assert len(rows) == 200 * n and {x.id % 2 == x.query_id % 2 for x in rows} == {True} and max(x.id for x in rows) < 2 * n
+        plan = out._jdf.queryExecution().executedPlan()
+        assert max(_sizes(spark, plan)) <= 200 * 8 * n
