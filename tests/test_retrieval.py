@@ -230,3 +230,32 @@ def test_pairs_of_query_and_document_are_not_shuffled(spark):
         assert len(rows) == 200 * n and {x.id % 2 == x.query_id % 2 for x in rows} == {True} and max(x.id for x in rows) < 2 * n
         plan = out._jdf.queryExecution().executedPlan()
         assert max(_sizes(spark, plan)) <= 200 * 8 * n
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
+def test_a_task_holds_a_block_of_scores(metric, monkeypatch):
+    """However many queries meet a batch, no more than BLOCK_SCORES of them (or 4 k rows) are scored at a time, and no hit is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.operators import annindex as ann
+    from siltstone.operators import nearest
+
+    rng = np.random.default_rng(2)
+    rows, asked = rng.normal(size=(3000, 8)), rng.normal(size=(50, 8))
+    lists = ann.Lists(np.zeros((1, 8)), metric, 8, float(np.linalg.norm(rows, axis=1).max()))
+    if metric == "IP":
+        lists = ann.Lists(np.zeros((1, 9)), metric, 8, lists.longest)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(rows.tolist())], ["id", "embedding"])
+    (coded,) = ann._assigned(iter([batch]), lists)
+    coded = coded.select(["id", "list_id", "code", "step", "error", "length"])
+    queries = nearest.Queries(pa.table({"q": pa.array(range(50)), "v": pa.array(asked.tolist())}))
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("list_id", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
+    sizes, bounds = [], ann._bounds
+    monkeypatch.setattr(nearest, "BLOCK_SCORES", 5000)
+    monkeypatch.setattr(ann, "_bounds", lambda *a: sizes.append(len(a[1]) * len(a[3])) or bounds(*a))
+    found = {(q, i) for b in ann._candidates(iter([coded]), queries, lists, 5, 1, schema) for q, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert max(sizes) <= 5000 and sum(sizes) == 50 * 3000
+    for q in range(50):
+        score = nearest.exact_scores(metric, np.repeat(asked[q : q + 1], 3000, axis=0), rows)
+        assert {(q, int(i)) for i in np.argsort(-score)[:5]} <= found
