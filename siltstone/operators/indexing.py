@@ -27,6 +27,8 @@ from siltstone.runtime import cut
 
 # Texts an embedding call takes, and the form of a collection's name.
 EMBED_BATCH = 32
+#: Terms whose place the stand-in embedder remembers.
+KNOWN_TERMS = 1 << 16
 #: Row groups of the stores, small so that a term is read without its neighbours.
 GROUP_BYTES = 8 << 20
 COLLECTION_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,254}$"
@@ -36,12 +38,20 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 def hash_embedder(dims: int = 16) -> Embedder:
     """A stand-in for a model: counts of terms by a digit of their MD5, as a unit vector (all zero without terms)."""
+    known: dict[str, int] = {}
+
+    def place(term: str) -> int:
+        if (found := known.get(term)) is None:
+            if len(known) >= KNOWN_TERMS:
+                known.clear()
+            found = known[term] = int(hashlib.md5(term.encode()).hexdigest()[0], 16) % dims
+        return found
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dims))
         for k, text in enumerate(texts):
-            for term in re.findall(r"[^\W_]+", text.lower()):
-                out[k, int(hashlib.md5(term.encode()).hexdigest()[0], 16) % dims] += 1
+            places = [place(term) for term in re.findall(r"[^\W_]+", text.lower())]
+            out[k] = np.bincount(np.array(places, np.int64), minlength=dims)
         norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
@@ -174,13 +184,14 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
     added = cut(embed(fresh.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding"))
     stores.put(validated(added.unionByName(kept) if had else added, dims, model, CHUNK), "vectors", state)
     blocks = stores.put(postings.blocks(postings.counted(pieces, FIELDS)), "postings", state)
-    changes = postings.statistics(_lengths(pieces), blocks)
+    chunks_ = pieces.count()
+    changes = postings.of_blocks(blocks, chunks_, FIELDS)
     if had:  # what the documents had before no longer counts
         gone = postings.statistics(_lengths(old), postings.counted(old, FIELDS).withColumn("n", F.lit(1)), -1)
         changes = changes.unionByName(gone).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
     stores.put(changes.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
     stores.finish(mine, state)
-    return {"chunks": pieces.count(), "embedded": added.count()}
+    return {"chunks": chunks_, "embedded": added.count()}
 
 
 def search_index(spark: SparkSession, stores: Stores, queries: DataFrame, dims: int, options: Options = Options(), vectors: bool = True, where: Column | None = None) -> DataFrame:

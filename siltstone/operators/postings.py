@@ -96,7 +96,20 @@ def statistics(lengths: DataFrame, per_term: DataFrame, sign: int = 1) -> DataFr
 
     per_term (field, term, n, ...) may have several rows for a term: blocks, or single postings with n = 1.
     """
-    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("total")).withColumn("term", F.lit(None).cast("string"))
+    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("total"))
+    return _statistics(fields, per_term, sign)
+
+
+def of_blocks(blocks_: DataFrame, rows: int, fields: tuple[str, ...]) -> DataFrame:
+    """statistics of the `rows` chunks that the blocks are of, whose texts aren't split again: a field is as long as its terms are many."""
+    occurrences = F.aggregate("tfs", F.lit(0).cast("long"), lambda total, tf: total + tf)
+    sums = blocks_.groupBy("field").agg(F.sum(occurrences).alias("total"))
+    every = blocks_.sparkSession.createDataFrame([(f,) for f in fields], "field string").join(F.broadcast(sums), "field", "left")
+    return _statistics(every.where(F.lit(rows > 0)).select("field", F.lit(rows).cast("long").alias("n"), F.coalesce("total", F.lit(0)).cast("long").alias("total")), blocks_, 1)
+
+
+def _statistics(fields: DataFrame, per_term: DataFrame, sign: int) -> DataFrame:
+    fields = fields.withColumn("term", F.lit(None).cast("string"))
     per = per_term.groupBy("field", "term").agg(F.sum("n").cast("long").alias("n")).withColumn("total", F.lit(0).cast("long"))
     return fields.unionByName(per).select("field", "term", (F.col("n") * sign).alias("n"), (F.col("total") * sign).alias("total"))
 

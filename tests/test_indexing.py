@@ -22,6 +22,18 @@ def test_embedding(spark):
             ix.embed(df, "t", bad, 4).collect()
 
 
+def test_the_embedder_digests_a_term_once(monkeypatch):
+    import hashlib
+
+    calls, md5 = [], hashlib.md5
+    monkeypatch.setattr(ix.hashlib, "md5", lambda x: calls.append(x) or md5(x))
+    embedder = ix.hash_embedder(16)
+    once = embedder(["a b a", "", "b " * 50])
+    assert sorted(calls) == [b"a", b"b"] and once[1] == [0.0] * 16 and abs(sum(x * x for x in once[0]) - 1) < 1e-12
+    monkeypatch.setattr(ix, "KNOWN_TERMS", 1)
+    assert ix.hash_embedder(16)(["a b a", "", "b " * 50]) == once
+
+
 def test_collections(spark):
     ix.ensure_collection(spark, "vecs_t", 4)
     ix.ensure_collection(spark, "vecs_t", 4)
