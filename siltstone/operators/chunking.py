@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import words
 from siltstone.functions.text import _SPACES, WHITE, trim_unicode
 
 DEFAULT_CHARS = 1200
@@ -72,7 +74,8 @@ def pieces(text: str | None, most: int) -> Iterator[tuple[str, str]]:
                 yield path, f"# {path}\n\n{trimmed}" if path else trimmed
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+def _chunked(batches: Iterator[pa.RecordBatch], text: str, most: int, edges: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    holds = None if edges is None else words.letters(edges)
     for batch in batches:
         column = batch.schema.get_field_index(text)
         row, index, path, content = [], [], [], []
@@ -83,17 +86,18 @@ def _chunked(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
                 path.append(p)
                 content.append(c)
         kept = batch.drop_columns([text]).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(index, pa.int32()), pa.array(path, pa.string()), pa.array(content, pa.string())],
-            [*kept.schema.names, "chunk_index", "heading_path", "content"],
-        )
+        made = {"chunk_index": pa.array(index, pa.int32()), "heading_path": pa.array(path, pa.string()), "content": pa.array(content, pa.string())}
+        if holds is not None:
+            made["terms"] = pa.array(words.count(pa.array([c.lower() for c in content], pa.string()), holds), pa.int32())
+        yield pa.RecordBatch.from_arrays([*kept.columns, *made.values()], [*kept.schema.names, *made])
 
 
-def chunk(docs: DataFrame, text: str = "text", most: int = DEFAULT_CHARS) -> DataFrame:
-    """docs with `text` replaced by chunk_index (from 0 per document), heading_path and content, a row per chunk."""
+def chunk(docs: DataFrame, text: str = "text", most: int = DEFAULT_CHARS, counted: bool = False) -> DataFrame:
+    """docs with `text` replaced by chunk_index (from 0 per document), heading_path and content, a row per chunk; counted: and terms, how many the content has."""
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    schema = f"{rest}, chunk_index int, heading_path string, content string"
-    return docs.mapInArrow(lambda batches: _chunked(batches, text, most), schema)
+    schema = f"{rest}, chunk_index int, heading_path string, content string" + (", terms int" if counted else "")
+    edges = words.edges(docs.sparkSession) if counted else None
+    return docs.mapInArrow(lambda batches: _chunked(batches, text, most, edges), schema)
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

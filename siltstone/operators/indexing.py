@@ -18,17 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import words
 from siltstone.functions.vector import narrow
 from siltstone.operators.chunking import DEFAULT_CHARS, chunk
 from siltstone.operators import postings
 from siltstone.operators.generations import Segments, State
-from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, knn, lengths, rrf, terms, top, validated
-from siltstone.runtime import cut
+from siltstone.operators.retrieval import OVERFETCH, Options, checked_queries, knn, rrf, terms, top, validated
+from siltstone.runtime import cut, remove, scratch
 
 # Texts an embedding call takes, and the form of a collection's name.
 EMBED_BATCH = 32
 #: Terms whose place the stand-in embedder remembers.
-KNOWN_TERMS = 1 << 16
+KNOWN_TERMS = 1 << 18
 #: Row groups of the stores, small so that a term is read without its neighbours.
 GROUP_BYTES = 8 << 20
 COLLECTION_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,254}$"
@@ -38,20 +39,23 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 def hash_embedder(dims: int = 16) -> Embedder:
     """A stand-in for a model: counts of terms by a digit of their MD5, as a unit vector (all zero without terms)."""
-    known: dict[str, int] = {}
 
-    def place(term: str) -> int:
-        if (found := known.get(term)) is None:
-            if len(known) >= KNOWN_TERMS:
-                known.clear()
-            found = known[term] = int(hashlib.md5(term.encode()).hexdigest()[0], 16) % dims
-        return found
+    class Known(dict):
+        def __missing__(self, term: str) -> int:
+            if len(self) >= KNOWN_TERMS:
+                self.clear()
+            found = self[term] = (hashlib.md5(term.encode()).digest()[0] >> 4) % dims
+            return found
+
+    known = Known()
 
     def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dims))
-        for k, text in enumerate(texts):
-            places = [place(term) for term in re.findall(r"[^\W_]+", text.lower())]
-            out[k] = np.bincount(np.array(places, np.int64), minlength=dims)
+        found, counts = words.split(pa.array([text.lower() for text in texts], pa.string()), words.alphanumeric())
+        coded = found.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        row = np.repeat(np.arange(len(texts)), counts)
+        out = np.bincount(row * dims + places, minlength=len(texts) * dims).reshape(-1, dims).astype(float)
         norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
@@ -119,9 +123,17 @@ class Stores:
     def put(self, rows: DataFrame, name: str, state: State) -> DataFrame:
         """Write a store's rows of the state; gives them as they were written, so nothing need be computed or kept twice."""
         typed = [F.col(c).cast(t).alias(c) for c, t in (x.strip().split(" ", 1) for x in STORES[name].split(", "))]
-        self.segments().put(rows.select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES})
+        self.segments().put(rows.select(*typed), name, state, **{"parquet.block.size": GROUP_BYTES, "compression": "zstd"})
         return rows.sparkSession.read.parquet(self.segments().path(f"{name}/segment={state.n}"))
 
+    def put_postings(self, parts: DataFrame, state: State) -> DataFrame:
+        """Write postings from blocks in any order. They are kept once before, as a shuffle by ranges goes through its input twice."""
+        spark, path = parts.sparkSession, scratch(parts.sparkSession, "postings")
+        parts.write.options(**{"parquet.enable.dictionary": "false", "compression": "zstd"}).parquet(path)
+        out = self.put(postings.blocks(spark.read.parquet(path)), "postings", state)
+        remove(spark, path)
+        return out
+
     def finish(self, documents: DataFrame, state: State) -> None:
         """What the documents (document_id) had before gives way to the state's rows, in all stores at once."""
         self.segments().take(documents, state)
@@ -132,9 +144,8 @@ class Stores:
         segments = self.segments()
         state = segments.next(spark, *STORES)
         for name in ("documents", "chunks", "vectors"):
-            segments.put(self.read(spark, name), name, state)
-        terms = cut(self.terms(spark))
-        segments.put(postings.blocks(terms), "postings", state, **{"parquet.block.size": GROUP_BYTES})
+            self.put(self.read(spark, name), name, state)
+        self.put_postings(postings.closed(cut(self.terms(spark))), state)
         totals = segments.every(spark, "statistics").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
         segments.put(totals.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
         segments.rebase(spark, state, *STORES)
@@ -156,10 +167,6 @@ def chunk_id() -> Column:
     return F.concat_ws("#", *CHUNK)
 
 
-def _lengths(chunks: DataFrame) -> DataFrame:
-    return lengths(chunks.withColumn("id", F.struct(*CHUNK)), list(FIELDS)).select("id.*", "field", "dl")
-
-
 def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: int, model: str, most: int = DEFAULT_CHARS) -> dict[str, int]:
     """Chunk, embed and write docs (id, title, text, and what else of STORES["documents"] there is) as one state of the stores.
 
@@ -173,8 +180,8 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
     state = stores.begin(spark)
     known = [c if c in docs.columns else F.lit(None).alias(c) for c in ("title", "visibility", "owner_subject", "dataset_id")]
     stores.put(named.select("document_id", *known), "documents", state)
-    every = chunk(named.select("document_id", "title", "text"), most=most).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    pieces = stores.put(every.withColumn("terms", F.size(terms(F.coalesce("content", F.lit("")))) + F.size(terms(F.coalesce("title", F.lit(""))))), "chunks", state)
+    every = chunk(named.select("document_id", "title", "text"), most=most, counted=True).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    pieces = stores.put(every.withColumn("terms", F.col("terms") + F.size(terms(F.coalesce("title", F.lit(""))))), "chunks", state)
     keyed, old, fresh = pieces.select(*CHUNK, "digest"), None, pieces
     if had:
         old = stores.read(spark, "chunks").join(mine, "document_id", "left_semi")
@@ -183,11 +190,11 @@ def index_documents(docs: DataFrame, stores: Stores, embedder: Embedder, dims: i
         fresh = pieces.join(kept.select(*CHUNK), list(CHUNK), "left_anti")
     added = cut(embed(fresh.select(*CHUNK, "content"), "content", embedder, dims).select(*CHUNK, "embedding"))
     stores.put(validated(added.unionByName(kept) if had else added, dims, model, CHUNK), "vectors", state)
-    blocks = stores.put(postings.blocks(postings.counted(pieces, FIELDS)), "postings", state)
+    blocks = stores.put_postings(postings.inverted(pieces, FIELDS), state)
     chunks_ = pieces.count()
-    changes = postings.of_blocks(blocks, chunks_, FIELDS)
+    changes = postings.statistics(blocks, chunks_, FIELDS)
     if had:  # what the documents had before no longer counts
-        gone = postings.statistics(_lengths(old), postings.counted(old, FIELDS).withColumn("n", F.lit(1)), -1)
+        gone = postings.statistics(cut(postings.inverted(old, FIELDS)), old.count(), FIELDS, -1)
         changes = changes.unionByName(gone).groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n <> 0 or total <> 0")
     stores.put(changes.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
     stores.finish(mine, state)
