@@ -38,7 +38,8 @@ def trim_unicode(c: str | Column) -> Column:
 
 
 def is_blank(c: str | Column) -> Column:
-    return trim_unicode(c) == ""
+    """Whether trimming leaves nothing; it is seen at the first other character, however long the text is."""
+    return ~_col(c).rlike(f"[^{WHITE}]")
 
 
 def preview(c: str | Column, n: int) -> Column:

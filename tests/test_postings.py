@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.functions import words
+from siltstone.functions import text, words
 from siltstone.operators import postings
 from siltstone.operators import retrieval as r
 from siltstone.operators.chunking import chunk
@@ -24,6 +24,14 @@ def test_terms_of_batches_are_those_of_expressions(spark):
     assert pieces.where("chunk_index = 0").select("terms", "n").where("terms <> n").count() == 0 and pieces.count() == sum(bool(x and x.strip()) for x in ODD)
 
 
+def test_blank_is_seen_at_the_first_character(spark):
+    rows = ["", " \n 　", "x", " x ", None, " " * 50 + " ", "​", "\n"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string").coalesce(1)
+    out = df.select(text.is_blank("t").alias("b"), (text.trim_unicode("t") == "").alias("w")).collect()
+    assert [x.b for x in out] == [x.w for x in out] == [True, True, False, False, None, True, False, True]
+    assert "regexp_replace" not in df.where(text.is_blank("t"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def _chunks(spark, n):
     text_ = F.concat(F.lit("all all "), F.repeat(F.lit("some "), (F.col("id") % 4).cast("int")), F.concat(F.lit("w"), (F.col("id") % 9).cast("string")))
     return spark.range(1, n + 1, 1, 2).select(F.col("id").alias("document_id"), (F.col("id") % 3).cast("int").alias("chunk_index"), text_.alias("content"), F.when(F.col("id") % 2 == 0, F.lit("all t")).alias("title"))
