@@ -134,6 +134,14 @@ class Stores:
         remove(spark, path)
         return out
 
+    def live_postings(self, spark: SparkSession) -> DataFrame:
+        """Blocks of what self.terms gives."""
+        segments = self.segments()
+        every, gone = segments.every(spark, "postings"), segments.gone(spark)
+        if gone is None or gone.count() <= BROADCAST_DOCUMENTS:
+            return postings.kept(every, None if gone is None else gone.toArrow())
+        return postings.closed(segments.live(postings.opened(every)))
+
     def finish(self, documents: DataFrame, state: State) -> None:
         """What the documents (document_id) had before gives way to the state's rows, in all stores at once."""
         self.segments().take(documents, state)
@@ -145,7 +153,7 @@ class Stores:
         state = segments.next(spark, *STORES)
         for name in ("documents", "chunks", "vectors"):
             self.put(self.read(spark, name), name, state)
-        self.put_postings(postings.closed(cut(self.terms(spark))), state)
+        self.put_postings(self.live_postings(spark), state)
         totals = segments.every(spark, "statistics").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
         segments.put(totals.repartitionByRange("term", "field").sortWithinPartitions("term"), "statistics", state)
         segments.rebase(spark, state, *STORES)

@@ -135,6 +135,24 @@ def blocks(parts: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _merged(batches, size), BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
+def _kept(batches: Iterator[pa.RecordBatch], keys: np.ndarray, before: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks without the postings of documents that a later segment replaced: keys, in order, are dead in segments less than `before`."""
+    for batch in batches:
+        row, lists = _flat(batch)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, lists[0]), len(keys) - 1)
+            live = (keys[at] != lists[0]) | (batch.column("_segment").to_numpy()[row] >= before[at])
+            row, lists = row[live], [x[live] for x in lists]
+        yield _closed(batch.column("field"), batch.column("term"), row, lists, size)
+
+
+def kept(blocks_: DataFrame, gone: pa.Table | None = None) -> DataFrame:
+    """Blocks of blocks (with _segment), without the postings of gone (document_id, and the segment from which on its rows live), which is shipped to every task."""
+    gone = pa.table({"key": pa.array([], pa.int64()), "before": pa.array([], pa.int32())}) if gone is None else gone.sort_by(gone.column_names[0])
+    shipped, size = blocks_.sparkSession.sparkContext.broadcast(tuple(gone.column(c).to_numpy() for c in (0, 1))), BLOCK
+    return blocks_.drop("block").mapInArrow(lambda batches: _kept(batches, *shipped.value, size), BLOCKS)
+
+
 def _regrouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Of rows (field, term, document_id, chunk_index, tf, dl): blocks of a batch's postings each."""
     for batch in batches:

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, words
+from siltstone.operators import indexing as ix
 from siltstone.operators import postings
 from siltstone.operators import retrieval as r
 from siltstone.operators.chunking import chunk
@@ -52,3 +53,27 @@ def test_postings_move_as_blocks(spark, monkeypatch):
         assert stored.agg(F.max("n")).first()[0] <= block and stored.where("most_tf > total OR least_dl < 1 OR total < n").count() == 0
         totals = {(x.field, x.term): (x.n, x.total) for x in postings.statistics(stored, 600, ("content", "title")).collect()}
         assert totals["content", None] == (600, sum(x[4] for x in want if x[2] == "content")) and totals["content", "all"] == (600, 0) and totals["title", "t"] == (300, 0)
+
+
+def test_compaction_opens_no_block(spark, tmp_path, monkeypatch):
+    stores = ix.Stores(f"file://{tmp_path}/index")
+    docs = spark.range(1, 201).select("id", F.lit("t").alias("title"), F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), F.col("id") % 7)).alias("text"))
+    ix.index_documents(docs, stores, ix.hash_embedder(4), 4, "hash")
+    ix.index_documents(docs.where("id % 5 = 0").withColumn("text", F.lit("beta beta")), stores, ix.hash_embedder(4), 4, "hash")
+    state = lambda: {tuple(x) for x in stores.terms(spark).select("document_id", "chunk_index", "field", "term", "tf", "dl").collect()}
+    before, opened = state(), postings.opened
+
+    def never(df):
+        raise AssertionError("blocks were opened")
+
+    monkeypatch.setattr(postings, "opened", never)
+    stores.compact(spark)
+    monkeypatch.undo()
+    assert state() == before and len(before) == 160 * 3 + 40 * 2
+    assert stores.segments().every(spark, "postings").agg(F.sum("n")).first()[0] == len(before)
+    # Beyond what is shipped to every task, the documents that are gone are joined.
+    ix.index_documents(docs.where("id % 5 = 1").withColumn("text", F.lit("gamma")), stores, ix.hash_embedder(4), 4, "hash")
+    before = state()
+    monkeypatch.setattr(ix, "BROADCAST_DOCUMENTS", 0)
+    stores.compact(spark)
+    assert state() == before and postings.opened is opened
